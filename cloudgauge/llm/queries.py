@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import langid, mixing, packing, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_zstd_warc": warc.op2_zstd_warc,
     "op3_hash_threshold_mix": mixing.op3_hash_threshold_mix,
+    "op5_folded_lexicon": toxicity.op5_folded_lexicon,
+    "op6_byte_bigru": langid.op6_byte_bigru,
     "op9_multi_index_simhash": simhash.op9_multi_index_simhash,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
 }
 
 ORACLES = {
+    "op2_zstd_warc": warc.ORACLE_SQL,
     "op3_hash_threshold_mix": mixing.ORACLE_SQL,
 }
