@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, multiset, packing, simhash, toxicity, warc
+from . import langid, licences, mixing, multiset, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op2_zstd_warc": warc.op2_zstd_warc,
     "op3_hash_threshold_mix": mixing.op3_hash_threshold_mix,
     "op5_folded_lexicon": toxicity.op5_folded_lexicon,
     "op6_byte_bigru": langid.op6_byte_bigru,
+    "op7_rare_token_index": licences.op7_rare_token_index,
     "op8_multiset_hash": multiset.op8_multiset_hash,
     "op9_multi_index_simhash": simhash.op9_multi_index_simhash,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
