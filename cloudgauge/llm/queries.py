@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, licences, mixing, multiset, packing, simhash, toxicity, warc
+from . import ann, langid, licences, mixing, multiset, packing, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_rotated_codes": ann.op1_rotated_codes,
     "op2_zstd_warc": warc.op2_zstd_warc,
     "op3_hash_threshold_mix": mixing.op3_hash_threshold_mix,
     "op5_folded_lexicon": toxicity.op5_folded_lexicon,
