@@ -81,7 +81,8 @@ def ascii_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
 
     A null text has none. With `lower`, A-Z are lower-cased and nothing else.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts, "")
+    # (ascii_lower of a slice of large_string reads the wrong bytes in pyarrow 23; string is right)
+    texts = pc.fill_null(texts.cast(pa.string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
