@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licences, mixing, multiset, packing, simhash, toxicity, warc
+from . import ann, langid, licences, mixing, multiset, ngram, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_rotated_codes": ann.op1_rotated_codes,
     "op2_zstd_warc": warc.op2_zstd_warc,
     "op3_hash_threshold_mix": mixing.op3_hash_threshold_mix,
+    "op4_elias_fano_lm": ngram.op4_elias_fano_lm,
     "op5_folded_lexicon": toxicity.op5_folded_lexicon,
     "op6_byte_bigru": langid.op6_byte_bigru,
     "op7_rare_token_index": licences.op7_rare_token_index,
