@@ -1,18 +1,22 @@
 """Operator 9: SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are 64 majority bits of shingle hashes. Equal fingerprints are merged first. To find
-all pairs within d differing bits, a fingerprint is cut into s segments; a pair within d has a
-segment with at most d // s differing bits. Every distinct fingerprint is filed under its
-segments, and looks up the Hamming ball of that radius around each of them. Complete distances are
-then verified. Each lookup task emits only links that join what it had not joined yet, so a large
-family of near copies costs a spanning forest and never all of its pairs. Components come from
-alternating large-star and small-star rounds on tables in the shared folder.
+A fingerprint has one majority bit for each bit of the hashes of a text's word shingles. Equal
+fingerprints are merged first. To find all pairs within d differing bits, a fingerprint is cut into
+s segments; a pair within d has a segment with at most d // s differing bits. The table of a
+segment files every distinct fingerprint under its segment's value, and every fingerprint looks up
+the Hamming ball of that radius around its own. Tables are dealt by the top bits of the value, so
+that a fingerprint travels to its own slice and to the slices that a flip of a top bit reaches,
+and the rest of the ball is enumerated there. Complete distances are verified. A task emits only
+links that join what it had not joined yet, and compares members of a large family only with those
+outside their component, so near copies cost a spanning forest and never all of their pairs.
+Components come from alternating large-star and small-star rounds on tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, batch_of, chunks, dropped, fresh_dir, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
-#: Candidate pairs that a task verifies at a time.
-BLOCK = 1 << 21
+#: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
+BLOCK, LARGE = 1 << 19, 512
 
 
 def shingle_hashes(texts: pa.Array, size: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -49,59 +53,78 @@ def shingle_hashes(texts: pa.Array, size: int, seed: int = SEED) -> tuple[np.nda
     return number, hashes
 
 
-def majority(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Fingerprints of consecutive groups of hashes: a bit is set if it is in over half of a group."""
-    out = np.zeros(len(number), np.uint64)
+#: For each byte, its bits as eight counters of a byte each.
+_SPREAD = np.array([sum((x >> k & 1) << 8 * k for k in range(8)) for x in range(256)], np.uint64)
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` hash words of each hash; the first is the hash."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    with np.errstate(over="ignore"):
+        for k in range(1, words):
+            x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def majority(number: np.ndarray, hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Fingerprints (a row of words each) of consecutive groups of hashes: a bit is set if it is in over half of a group."""
+    out = np.zeros((len(number), words), np.uint64)
     some = np.flatnonzero(number)
-    if len(some):
-        starts = (np.cumsum(number) - number)[some]
-        for bit in range(64):
-            ones = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
-            out[some] |= (ones * 2 > number[some]).astype(np.uint64) << np.uint64(bit)
+    if not len(some):
+        return out
+    pieces = -(-number[some] // 255)  # a byte counts up to 255 hashes
+    group = np.repeat(np.arange(len(some)), pieces)
+    within = np.arange(len(group)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = (np.cumsum(number) - number)[some][group] + 255 * within
+    first = np.cumsum(pieces) - pieces
+    data = np.ascontiguousarray(widened(hashes, words)).view(np.uint8)
+    for byte in range(8 * words):
+        counts = np.add.reduceat(_SPREAD[data[:, byte]], starts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        ones = np.add.reduceat(counts, first, axis=0)
+        out.view(np.uint8).reshape(len(number), -1)[some, byte] = np.packbits(ones * 2 > number[some][:, None], axis=1, bitorder="little").ravel()
     return out
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of every whole text; 0 for a text without words."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(doc_id, fp): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield batch_of(_FP, part.column(0), pa.array(majority(*shingle_hashes(part.column(1), size)).view(np.int64)))
+                prints = majority(*shingle_hashes(part.column(1), size), words)
+                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints.astype(">u8")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
 class Forest:
-    """Union-find over positions, with vectorised pruning of pairs that are joined already."""
+    """Components of positions; `up` always holds each position's root."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(top := self.up[self.up], self.up):
-            self.up = top
-        return self.up
-
     def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         """Joins the pairs; those that joined something new."""
-        out = []
-        up = self.up
+        out: list[tuple[int, int]] = []
         while True:
-            roots = self.roots()
-            open_ = roots[a] != roots[b]
-            a, b = a[open_], b[open_]
+            apart = self.up[a] != self.up[b]
+            a, b = a[apart], b[apart]
             if not len(a):
                 return out
             # of all pairs that would hang the same larger root, one does so in this round
-            low, high = np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b])
+            low, high = np.minimum(self.up[a], self.up[b]), np.maximum(self.up[a], self.up[b])
             _, at = np.unique(high, return_index=True)
-            up = self.up
-            up[high[at]] = low[at]
+            self.up[high[at]] = low[at]
             out += zip(a[at].tolist(), b[at].tolist(), strict=True)
+            while not np.array_equal(top := self.up[self.up], self.up):
+                self.up = top
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -109,65 +132,125 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)], np.uint64)
 
 
-_PROBE = pa.schema([("key", pa.int64()), ("seg", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DEALT = pa.schema([("slice", pa.int32()), ("fp", pa.binary()), ("home", pa.bool_())])
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(column), -1)
+
+
+def _segment(fp: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Bits low to high of fingerprints; a segment has 64 bits at most."""
+    word, shift = low // 64, low % 64
+    out = fp[:, word] >> np.uint64(shift)
+    if shift + high - low > 64:
+        out = out | fp[:, word + 1] << np.uint64(64 - shift)
+    return out & np.uint64((1 << high - low) - 1)
+
+
+def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(fp[left] ^ fp[right]).sum(1, dtype=np.int64) <= distance
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links among the fingerprints of a slice, as pairs of rows of fp.
+
+    The first `homes` entries file their row under their key, and look up the flips of it; the
+    others only look up their key. Of two different keys the smaller looks up the larger.
+    """
+    forest = Forest(len(fp))
+    order = np.argsort(keys[:homes], kind="stable")
+    filed, owner = keys[:homes][order], rows[:homes][order]
+    found: list[tuple[int, int]] = []
+
+    def meet(own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Each row meets the filed rows from start to stop."""
+        number = stop - start
+        own, start, number = own[number > 0], start[number > 0], number[number > 0]
+        at = 0
+        while at < len(own):
+            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(number[at : at + BLOCK]), BLOCK, "right")))
+            for base in range(0, int(number[at:upto].max()), BLOCK):  # a row may meet more than a block
+                n = np.clip(number[at:upto] - base, 0, BLOCK)
+                left = np.repeat(own[at:upto], n)
+                right = owner[np.repeat(start[at:upto] + base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                apart = forest.up[left] != forest.up[right]
+                left, right = left[apart], right[apart]
+                near = _near(fp, left, right, distance)
+                found.extend(forest.join(left[near], right[near]))
+            at = upto
+
+    begins = np.flatnonzero(np.r_[True, filed[1:] != filed[:-1]]) if homes else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[begins, homes])
+    for a, n in zip(begins[sizes > LARGE], sizes[sizes > LARGE], strict=True):
+        bucket = owner[a : a + n]
+        for k in range(n - 1):  # each row meets, of those behind it, the ones that are not in its component
+            others = bucket[k + 1 :][forest.up[bucket[k + 1 :]] != forest.up[bucket[k]]]
+            if len(others):
+                near = others[_near(fp, bucket[k : k + 1], others, distance)]
+                found.extend(forest.join(np.full(len(near), bucket[k]), near))
+    small = np.repeat(sizes <= LARGE, sizes)
+    meet(owner[small], np.repeat(begins, sizes)[small], np.arange(homes)[small])
+    look = lambda own, asked: meet(own, np.searchsorted(filed, asked, "left"), np.searchsorted(filed, asked, "right"))
+    look(rows[homes:], keys[homes:])
+    for flip in flips[1:]:
+        up = (filed ^ flip) > filed
+        look(owner[up], filed[up] ^ flip)
+    return found
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all pairs within `distance` bits.
 
-    Of two fingerprints whose segments differ, the one with the lower segment value looks up the
-    other, so no pair is looked up from both ends.
+    radius: of the balls; by default distance // segments, which misses no pair. A smaller one
+    misses pairs whose bits differ in every segment by more.
     """
-    edges = [64 * k // segments for k in range(segments + 1)]
+    radius = distance // segments if radius is None else radius
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = [64 * words * k // segments for k in range(segments + 1)]
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    top = min(max(0, (4 * parts // segments).bit_length() - 1), min(widths))  # bits that name a slice
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(all_fps), 4096):
-                fp = all_fps[at : at + 4096]
-                for s, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-                    part = fp >> np.uint64(low) & np.uint64((1 << high - low) - 1)
-                    keys = part[:, None] ^ ball(high - low, distance // segments)[None, :]
-                    ask = keys >= part[:, None]
-                    who = np.broadcast_to(fp[:, None], keys.shape)[ask]
-                    home = np.broadcast_to(np.arange(keys.shape[1]) == 0, keys.shape)[ask]
-                    yield batch_of(_PROBE, pa.array(keys[ask].view(np.int64)), pa.array(np.full(len(who), s, np.int32)), pa.array(who.view(np.int64)), pa.array(home))
+            for at in range(0, batch.num_rows, 8192):
+                column = batch.column(0).slice(at, 8192)
+                fp = _words(column)
+                for s, width in enumerate(widths):
+                    place = (_segment(fp, edges[s], edges[s + 1]) >> np.uint64(width - top)).astype(np.int64)
+                    for flip in ball(top, radius).astype(np.int64):
+                        there = place ^ flip
+                        go = np.flatnonzero((there > place) | (flip == 0))
+                        yield batch_of(_DEALT, (there[go] + (s << top)).astype(np.int32), column.take(pa.array(go)), np.full(len(go), flip == 0))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), _PROBE)
+        table = pa.Table.from_batches(list(batches), _DEALT).combine_chunks()
         if not table.num_rows:
             return
-        key, seg, fp, home = (table.column(c).to_numpy() for c in ("key", "seg", "fp", "home"))
-        order = np.lexsort((~home, key, seg))
-        key, seg, fp, home = key[order], seg[order], fp[order].view(np.uint64), home[order]
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])])
-        stop = np.r_[start[1:], len(key)]
-        homes = np.add.reduceat(home.astype(np.int64), start)
-        names, node = np.unique(fp, return_inverse=True)
-        forest = Forest(len(names))
-        # a home row meets the homes before it in its bucket, a lookup meets all of them
-        bucket = np.repeat(np.arange(len(start)), stop - start)
-        position = np.arange(len(key)) - start[bucket]
-        meets = np.where(home, position, homes[bucket])
-        busy = np.flatnonzero(meets)
-        at = 0
-        while at < len(busy):
-            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(meets[busy[at : at + BLOCK]]), BLOCK, "right")))
-            rows = busy[at:upto]
-            for base in range(0, int(meets[rows].max()), BLOCK):  # one row may meet more than a block
-                number = np.clip(meets[rows] - base, 0, BLOCK)
-                left = np.repeat(rows, number)
-                right = np.repeat(start[bucket[rows]] + base, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                near = np.bitwise_count(fp[left] ^ fp[right]) <= distance
-                found = forest.join(node[left[near]], node[right[near]])
-                if found:
-                    pairs = names[np.array(found)].view(np.int64)
-                    yield batch_of(_LINK, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
-            at = upto
-
-    asked = fps.select("fp").mapInArrow(probe, "key long, seg int, fp long, home boolean")
-    return asked.repartition(F.col("seg"), F.col("key")).mapInArrow(match, "a long, b long")
+        where, home = table.column("slice").to_numpy(), table.column("home").to_numpy()
+        fp = _words(table.column("fp"))
+        order = np.argsort(where, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+            s, own, at_home = int(where[rows[0]]) >> top, fp[rows], home[rows]
+            width = widths[s]
+            key = _segment(own, edges[s], edges[s + 1])
+            low, rest = np.uint64((1 << width - top) - 1), ball(width - top, radius)
+            here = np.uint64(int(where[rows[0]]) & (1 << top) - 1) << np.uint64(width - top)
+            # a guest has left its slice by some flips, and looks up what the rest of its ball has here
+            guest = np.flatnonzero(~at_home)
+            used = np.bitwise_count((key[guest] & ~low) ^ here)
+            pick, which = [np.flatnonzero(at_home)], [key[at_home]]
+            for flip in rest:
+                fits = guest[used + np.bitwise_count(flip) <= radius]
+                pick.append(fits)
+                which.append(key[fits] & low ^ flip | here)
+            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance)
+            if len(found):
+                yield batch_of(_LINK, *([own[pair[k]].astype(">u8").tobytes() for pair in found] for k in (0, 1)))
+
+    dealt = fps.select("fp").mapInArrow(deal, "slice int, fp binary, home boolean")
+    return dealt.repartition(parts, "slice").mapInArrow(match, "a binary, b binary")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -181,7 +264,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     def save(df: DataFrame) -> DataFrame:
         kept.append(path := fresh_dir(spark, "stars"))
         df.write.parquet(path)
-        return spark.read.schema("u long, v long").parquet(path)
+        return spark.read.schema("u binary, v binary").parquet(path)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -209,7 +292,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
     component_id is the smallest id that a chain of links reaches. Null and empty texts have the
@@ -217,15 +300,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     unless all ids of it are null. Rows repeated under one id each get a row; other columns are not
     read. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, key, text, size), "simhash")
+    prints = written(fingerprints(docs, key, text, size, words), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    stars = components(links(distinct, distance, segments))
+    stars = components(links(distinct, distance, segments, words, radius))
     named = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(named.join(least, "component").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def distance_for(similarity: float, words: int, slack: float = 1.25) -> int:
+    """Differing bits of texts whose shingle sets have this Jaccard similarity: the mean and `slack` standard deviations.
+
+    Sets of similarity s have a cosine of 2s / (1 + s), and a bit differs with the angle's share of pi.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(64 * words * share + slack * sqrt(64 * words * share * (1 - share)))
+
+
 def op9_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
