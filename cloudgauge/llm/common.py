@@ -65,7 +65,7 @@ def crc_fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes; a longer text comes alone."""
     if not batch.num_rows:
         return
@@ -76,6 +76,14 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(int(a), int(b - a))
 
 
+def carried(docs: DataFrame, text: str, kept: list[str]) -> tuple[DataFrame, int, list[int]]:
+    """docs with the columns `kept` and the text, which travels once; where the text is, and where those of `kept` are."""
+    names = [c.lower() for c in kept]
+    if text.lower() in names:
+        return docs.select(*kept), names.index(text.lower()), list(range(len(kept)))
+    return docs.select(*kept, text), len(kept), list(range(len(kept)))
+
+
 def ascii_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text: how many each has, and all of them in order.
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batch_of, chunks, crc_fold, read_table
+from .common import ascii_words, batch_of, carried, chunks, crc_fold, read_table
 
 #: Bytes of a window, units in each direction, bounds of the training sample.
 WINDOW, UNITS, SAMPLE_DOCS, SAMPLE_WORDS = 24, 16, 3000, 60
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (prediction.lower(), score.lower())]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
     letter = regex.compile(r"\p{L}")
-    taken = docs.select(F.col(text).cast("string").alias("_text"), *kept)
+    taken, where, others = carried(docs, text, kept)
     schema = docs.select(*kept).schema.add(prediction, "string").add(score, "double")
 
     def rows(net: ByteBiGRU, words: list[str]) -> np.ndarray:
@@ -235,9 +235,9 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
         cache: dict[str, int] = {}
         known = np.zeros((0, len(net.languages) + 2 if net else 0))
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, where):
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                count, flat = ascii_words(part.column(0), lower=True)
+                count, flat = ascii_words(part.column(where), lower=True)
                 if net and len(flat):
                     coded = flat.dictionary_encode()
                     words = coded.dictionary.to_pylist()
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
                     best = sums[:, :-2].argmax(1)
                     for k in np.flatnonzero(sums[:, -1]):
                         names[k], scores[k] = net.languages[best[k]], min(1.0, sums[k, best[k]] / sums[k, -2])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores)], names=[*kept, prediction, score])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, prediction, score])
 
     return taken.mapInArrow(run, schema)
 

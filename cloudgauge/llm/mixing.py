@@ -76,24 +76,50 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return path.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of docs.
+def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """(source, source_size, target, whole, threshold) from (source, size, h): one row a source.
 
     A source with target T and size S is taken floor(T / S) times whole and once more below the
-    threshold of the rest. Null texts have size 0; a null source is a source of its own; a source
-    of size 0 has target 0; rows repeated under one id share its hash and fare alike; other columns
-    are left alone. An empty table gives an empty result. Reruns agree: the hash is of the id.
+    threshold of the rest.
     """
-    sized = written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("h")), "mix-sizes")
     plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(sized, plan.select("source", "budget"))
     plan = plan.alias("p").join(cut.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left").select("p.*", F.coalesce("t.threshold", F.lit(0)).alias("threshold"))
-    taken = F.col("d.size") * (F.col("p.whole") + (F.col("d.h") < F.col("p.threshold")).cast("long"))
+    return written(plan.drop("budget"), "mix-plan")
+
+
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, h) of every row, in the shared folder: texts are read once."""
+    return written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("h")), "mix-sizes")
+
+
+def copies(h: Column) -> Column:
+    """How often a document with this hash is taken, beside its source's row of the plan."""
+    return F.col("p.whole") + (h < F.col("p.threshold")).cast("long")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of docs.
+
+    Null texts have size 0; a null source is a source of its own; a source of size 0 has target 0;
+    rows repeated under one id share its hash and fare alike; other columns are left alone. An
+    empty table gives an empty result. Reruns agree: the hash is of the id.
+    """
+    sized = sizes(docs, key, text, source)
+    plan = mixing_plan(sized, weights, share, repeats)
+    taken = F.col("d.size") * copies(F.col("d.h"))
     return sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.doc_id", "d.size", "p.source_size", "p.target", taken.alias("taken"))
 
 
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the columns of docs. Texts are not shuffled."""
+    plan = mixing_plan(sizes(docs, key, text, source), weights, share, repeats)
+    taken = docs.alias("d").join(plan.alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p.source"))).withColumn("_n", copies(id_hash(F.col(f"d.{key}"))).cast("int"))
+    return taken.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("d.*")
+
+
 def op3_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 

@@ -318,6 +318,23 @@ def distance_for(similarity: float, words: int, slack: float = 1.25) -> int:
     return round(64 * words * share + slack * sqrt(64 * words * share * (1 - share)))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 16, radius: int = 1) -> DataFrame:
+    """The rows of docs without near duplicates: of each group the row of the smallest id stays.
+
+    Groups are components of texts whose sets of `size`-word shingles are about `similarity` alike
+    or more, as 64 * words fingerprint bits tell it. Rows are told apart by a hash of all their
+    columns, so null and repeated ids do no harm; of equal rows one stays.
+    """
+    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    groups = near_duplicates(named, "_row", text, size, distance_for(similarity, words), segments, words, radius).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    ids = named.select("_row", F.col(key).alias("id")).groupBy("_row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    chosen = groups.distinct().join(ids, "_row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "n")).alias("c"))
+    chosen = written(chosen.select("c._row", "c.n"), "simhash-kept")
+    kept = named.join(chosen, "_row")
+    repeated = kept.where("n > 1").dropDuplicates(["_row"])
+    return kept.where("n = 1").unionByName(repeated).select(*docs.columns)
+
+
 def op9_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, crc_fold, read_table
+from .common import batch_of, carried, chunks, crc_fold, read_table
 
 #: Bounds of the training sample, by label, and on what may become a lexicon entry.
 SAMPLE_TOXIC, SAMPLE_OTHER = 2500, 5000
@@ -206,14 +206,14 @@ def rate_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: l
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != score.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_ENTRIES entries
-    taken = docs.select(F.col(text).cast("string").alias("_text"), *kept)
+    taken, where, others = carried(docs, text, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                found = np.array([own.features(t.as_py() or "") for t in part.column(0)], float).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own.scores(found[:, 0], found[:, 1]))], names=[*kept, score])
+            for part in chunks(batch, where):
+                found = np.array([own.features(t.as_py() or "") for t in part.column(where)], float).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(own.scores(found[:, 0], found[:, 1]))], names=[*kept, score])
 
     return taken.mapInArrow(run, docs.select(*kept).schema.add(score, "double"))
 
