@@ -12,7 +12,9 @@ import numpy as np
 from .common import file_system
 
 _ONE = np.uint64(1)
-_BLOCK = 8  # words of a directory block
+_BYTES = np.uint64(0x0101010101010101)
+#: Place of the k-th set bit of a byte.
+_IN_BYTE = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in range(256)], np.int64).ravel()
 
 
 def _gathered(size: int, word: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ class EliasFano:
         tops = (values >> np.uint64(k)).astype(np.int64)
         at = tops + np.arange(n)
         words = (max(bound - 1, 0) >> k) + 1 + n
-        words = -(-(words // 64 + 2) // _BLOCK) * _BLOCK
+        words = words // 64 + 2
         high = _gathered(words, at >> 6, _ONE << (at & 63).astype(np.uint64))
         if k:
             bits, first = values & np.uint64((1 << k) - 1), np.arange(n) * k
@@ -49,8 +51,7 @@ class EliasFano:
             low |= _gathered(len(low), (first[over] >> 6) + 1, bits[over] >> (np.uint64(64) - shift[over]))
         else:
             low = np.zeros(2, np.uint64)
-        counts = np.bitwise_count(high).astype(np.uint64).reshape(-1, _BLOCK).sum(1)
-        return EliasFano(n, k, high, low, np.r_[np.uint64(0), np.cumsum(counts)].astype(np.uint64))
+        return EliasFano(n, k, high, low, np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)].astype(np.uint32))
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"high": self.high, "low": self.low, "ones": self.ones}
@@ -61,29 +62,21 @@ class EliasFano:
             before = self.ones
         else:
             if self._zeros is None:
-                self._zeros = np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64 * _BLOCK) - self.ones
+                self._zeros = (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones).astype(np.uint32)
             before = self._zeros
-        rank = rank.astype(np.uint64)
-        block = np.searchsorted(before, rank, "right") - 1
-        left = (rank - before[block]).astype(np.int64)
-        at = block * _BLOCK
+        rank = rank.astype(np.uint32)
+        at = np.searchsorted(before, rank, "right") - 1
+        left = (rank - before[at]).astype(np.uint64)
         word = self.high[at] if bit else ~self.high[at]
-        for _ in range(_BLOCK - 1):
-            count = np.bitwise_count(word).astype(np.int64)
-            on = left >= count
-            if not on.any():
-                break
-            left -= count * on
-            at += on
-            word = self.high[at] if bit else ~self.high[at]
-        place = np.zeros(len(at), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-            on = left >= count
-            left -= count * on
-            place += half * on
-            word = np.where(on, word >> np.uint64(half), word)
-        return at * 64 + place
+        # running bit counts of the bytes, side by side; then the byte, then the bit in it
+        sums = word - (word >> _ONE & np.uint64(0x5555555555555555))
+        sums = (sums & np.uint64(0x3333333333333333)) + (sums >> np.uint64(2) & np.uint64(0x3333333333333333))
+        sums = (sums + (sums >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        tops = _BYTES << np.uint64(7)
+        byte = np.bitwise_count(((left * _BYTES | tops) - sums) & tops).astype(np.uint64) << np.uint64(3)
+        left = left - ((sums << np.uint64(8)) >> byte & np.uint64(255))
+        inside = _IN_BYTE[((word >> byte & np.uint64(255)) << np.uint64(3) | left).astype(np.int64)]
+        return at * 64 + byte.astype(np.int64) + inside
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -171,7 +164,7 @@ def load(uri: str) -> tuple[dict[str, EliasFano | np.ndarray], dict]:
                     out.write(part)
             os.replace(out.name, local)
         name = local
-    data = np.memmap(name, np.uint8, "r")
+    data = np.asarray(np.memmap(name, np.uint8, "r"))
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     arrays = {}
