@@ -1,0 +1 @@
+"""Column expressions, all in float32 where the semantics ask for it."""

@@ -1,0 +1 @@
+"""The two spatial joins."""

@@ -1,0 +1 @@
+"""Scoring is a batch job; there are no streaming operators."""
