@@ -100,8 +100,8 @@ def _points(table: pa.Table, names: tuple[str, str, str]) -> np.ndarray:
 def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None) -> DataFrame:
     """queries (x, y, z and other columns) with `d2`, the FLOAT squared distance to the nearest candidate (x, y, z).
 
-    d2 is null where no candidate lies within the radius (it may be kept a little beyond it), and for
-    queries that are not finite. Candidates that are not finite take no part. Every query keeps its row.
+    d2 is null where no candidate lies within the radius (or a hair beyond), and for queries that are
+    not finite. Candidates that are not finite take no part. Every query keeps its row.
     """
     # blocks are numbered from a lattice at 0; keys are BIGINT, and coordinates so far out that they
     # leave it meet in its outermost blocks
@@ -122,6 +122,7 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         ok = left.column("_ok").to_numpy(zero_copy_only=False)
         best = np.full(left.num_rows, np.inf, np.float32)
         best[ok] = nearest_in_block(_points(left, ("x", "y", "z"))[ok], _points(right, ("x", "y", "z")), radius)
+        best[best > np.float32(reach * reach)] = np.inf  # what lies beyond the reach need not be the nearest
         return left.select(names).append_column("d2", pa.array(best, mask=np.isinf(best)))
 
     blocks = ["bx", "by", "bz"]

@@ -1,0 +1 @@
+"""Point clouds in PLY and scan projects in XML."""
