@@ -3,8 +3,8 @@
 The index holds, for each vector, the signs of its rotated residual from a centre, packed into
 bits, and two correction scalars: one turns the bits' inner product with a rotated query into an
 unbiased estimate, the other bounds its error. A search scans the codes in blocks of rows and
-queries. The k-th best lower bound of a query is a threshold; exactly the vectors whose upper
-bound reaches it are reranked by their inner products in double precision.
+queries. A query's threshold is the k-th best lower bound, then the k-th best score so far; exactly
+the vectors whose upper bound reaches it are reranked by inner products in double precision.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, read_table, written
 
-#: Standard deviations of the error bound; rows and queries of a block; rows that the centre is the mean of, at most about.
-BOUND, BLOCK_ROWS, BLOCK_QUERIES, SAMPLE_ROWS, SEED = 2.75, 8192, 4096, 20_000, 3
+#: Bits of a code for each dimension; standard deviations of the error bound; rows and queries of a block; rows that the centre is the mean of, at most about.
+EXPANSION, BOUND, BLOCK_ROWS, BLOCK_QUERIES, SAMPLE_ROWS, SEED = 4, 1.9, 8192, 4096, 20_000, 3
 #: Rows of a block that are estimated at a time.
-_STRIDE = 512
+_STRIDE = 2048
 
 
-def rotation(size: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix; its size is rounded up to whole bytes."""
-    size = -(-size // 8) * 8
+def rotation(size: int, expansion: int = EXPANSION, seed: int = SEED) -> np.ndarray:
+    """A random orthogonal matrix; vectors are filled up with zeros to `expansion` times their width, in whole bytes."""
+    size = -(-size * expansion // 8) * 8
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
 
@@ -50,10 +50,17 @@ class Coder:
         error = norm * np.sqrt(np.maximum(0, 1 - agree**2)) / agree / np.sqrt(max(1, width - 1))
         return np.packbits(turned > 0, axis=1), scale, error
 
-    def estimate(self, bits: np.ndarray, scale: np.ndarray, turned: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Estimates (rows by queries); turned: rotated queries, offset: their inner products with the centre."""
-        signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-        return (signs @ turned.T.astype(np.float32)) * scale[:, None].astype(np.float32) + offset[None, :].astype(np.float32)
+    def bounds(self, bits: np.ndarray, scale: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A matrix whose product with `asked` gives each row's upper bounds, and one for its lower bounds: the scaled bits, then plus or minus the error."""
+        signs = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * scale[:, None].astype(np.float32)
+        side = error.astype(np.float32)[:, None]
+        return np.hstack([signs, side]), np.hstack([signs, -side])
+
+    def asked(self, queries: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries as bounds() is multiplied with: rotated, then their error factor; and their inner products with the centre."""
+        turned = queries @ self.turn[:, : queries.shape[1]].T
+        norms = np.sqrt((queries**2).sum(1))
+        return np.column_stack([turned, bound * norms]).astype(np.float32), queries @ self.centre
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -100,27 +107,33 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     return written(rows.mapInArrow(run, "vec_id long, x array<double>, bits binary, scale double, error double"), "one-bit-codes"), coder
 
 
-def choose(coder: Coder, bits: np.ndarray, scale: np.ndarray, error: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, turned: np.ndarray, offset: np.ndarray, norms: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) pairs of a block whose upper bound reaches the k-th best lower bound of the query."""
-    width = float(np.finfo(np.float32).eps) * 64  # the estimates are float32
-    best = np.full((len(norms), 0), -np.inf, np.float32)
-    low, high = [], []
-    for pass_ in range(2):
-        for at in range(0, len(ids), _STRIDE):
-            rows = slice(at, at + _STRIDE)
-            guess = coder.estimate(bits[rows], scale[rows], turned, offset).T
-            slack = (bound * error[rows].astype(np.float32))[None, :] * norms[:, None] + width
-            guess[query_ids[:, None] == ids[rows][None, :]] = -np.inf
-            if pass_ == 0:
-                best = np.concatenate([best, guess - slack], 1)
-                if best.shape[1] > k:
-                    best = -np.partition(-best, k - 1, axis=1)[:, :k]
-            else:
-                limit = best.min(1) if best.shape[1] == k else np.full(len(norms), -np.inf)
-                q, r = np.nonzero((guess + slack >= limit[:, None]) & (guess > -np.inf))
-                low.append(r + at)
-                high.append(q)
-    return np.concatenate(low), np.concatenate(high)
+def best_rows(coder: Coder, x: np.ndarray, ids: np.ndarray, bits: np.ndarray, scale: np.ndarray, error: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of a block for each of some queries: places of queries, places of rows, scores.
+
+    Rows come in strides. Those whose upper bound reaches the k-th best score so far are reranked -
+    in the first stride, those that reach the k-th best lower bound.
+    """
+    asked, centre = coder.asked(q, bound)
+    width = 64 * float(np.finfo(np.float32).eps) * (1 + np.abs(centre).max(initial=0))  # the bounds are float32
+    c, r, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    limit = np.full(len(q), -np.inf)
+    for at in range(0, len(ids), _STRIDE):
+        rows = slice(at, at + _STRIDE)
+        high, low = coder.bounds(bits[rows], scale[rows], error[rows])
+        if at == 0 and len(high) > k + 1:  # one more than k: a query's own row may be among them
+            limit = np.partition(asked @ low.T, -(k + 1), axis=1)[:, -(k + 1)] + centre
+        new_c, new_r = np.nonzero(asked @ high.T >= (limit - centre - width).astype(np.float32)[:, None])
+        other = query_ids[new_c] != ids[new_r + at]
+        new_c, new_r = new_c[other], new_r[other] + at
+        exact = np.concatenate([np.einsum("ij,ij->i", x[new_r[i : i + 65536]], q[new_c[i : i + 65536]]) for i in range(0, len(new_r), 65536)] or [np.empty(0)])
+        c, r, score = np.concatenate([c, new_c]), np.concatenate([r, new_r]), np.concatenate([score, exact])
+        order = np.lexsort((ids[r], -score, c))
+        c, r, score = c[order], r[order], score[order]
+        place = np.arange(len(c)) - np.searchsorted(c, c)
+        last = place == k - 1
+        limit[c[last]] = np.maximum(limit[c[last]], score[last])
+        c, r, score = c[place < k], r[place < k], score[place < k]
+    return c, r, score
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -153,15 +166,8 @@ def search(index: DataFrame, coder: Coder | None, queries: DataFrame, k: int = 2
         scale, error = left.column("scale").to_numpy(), left.column("error").to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            turned, offset, norms = part @ own.turn[:, : part.shape[1]].T, part @ own.centre, np.sqrt((part**2).sum(1))
-            r, c = choose(own, bits, scale, error, ids, query_ids[at : at + 256], turned, offset, norms.astype(np.float32), k, bound)
-            score = np.concatenate([np.einsum("ij,ij->i", x[r[i : i + 65536]], part[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.empty(0)])
-            order = np.lexsort((ids[r], -score, c))
-            r, c, score = r[order], c[order], score[order]
-            first = np.searchsorted(c, c)  # where each query's rows begin
-            keep = np.arange(len(c)) - first < k
-            for held, a in zip(out, (query_ids[at : at + 256][c[keep]], ids[r[keep]], score[keep]), strict=True):
+            c, r, score = best_rows(own, x, ids, bits, scale, error, q[at : at + 256], query_ids[at : at + 256], k, bound)
+            for held, a in zip(out, (query_ids[at : at + 256][c], ids[r], score), strict=True):
                 held.append(a)
         return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in out], schema=_FOUND)
 
