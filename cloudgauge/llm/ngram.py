@@ -72,6 +72,7 @@ class Trie:
     levels: list[list[Segment]] = field(default_factory=list)  # bigrams, trigrams
     tokens: int = 0
     vocabulary: int = 0
+    least: int = LEAST  # count from which a word may be in bigrams
     _open: dict[str, dict] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -126,12 +127,12 @@ class Trie:
         return out
 
     def entry(self, level: int, place: np.ndarray, part: str) -> np.ndarray:
-        """The part ('p' or 'count') of entries at places, which need not be sorted."""
+        """The part ('p' or 'count') of entries at ascending places."""
         out = np.zeros(len(place), np.int64)
         for s in self.levels[level]:
-            here = np.flatnonzero((place >= s.base) & (place < s.base + s.n))
-            if len(here):
-                out[here] = self.opened(s)[part][place[here] - s.base]
+            a, b = np.searchsorted(place, [s.base, s.base + s.n])
+            if a < b:
+                out[a:b] = self.opened(s)[part][place[a:b] - s.base]
         return out
 
 
@@ -282,7 +283,7 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
         return [save(path, "words", parts), first, 0, len(keys), int(counts.sum())]
 
     found = _counted(rows, lambda c: c.hashes[c.token], lambda keys: cut_of(keys, cuts), cuts, words)
-    trie = Trie(cuts=cuts, words=[Segment("", _first_hash(k, cuts), 0, 0, 0) for k in range(cuts)])
+    trie = Trie(cuts=cuts, least=least, words=[Segment("", _first_hash(k, cuts), 0, 0, 0) for k in range(cuts)])
     for k, (uri, first, _, n, total) in found:
         trie.words[k] = Segment(uri, first, 0, 0, n)
         trie.tokens += total
@@ -320,12 +321,12 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
     trie.levels.append(_segments(_counted(rows, bigrams, bigram_segment, segments, bigram_level)))
     shared2 = spark.sparkContext.broadcast(trie)
     kept = sum(s.n for s in trie.levels[0])
-    if kept * width >= 1 << 64:
+    if kept * width >= 1 << 63:
         raise OverflowError("bigrams times words do not fit the keys")
 
     def trigrams(c: Coded) -> np.ndarray:
-        own = shared2.value
-        place, relative = bigram_places(own, own.ids(c.hashes)[0], c)
+        ids, counts = shared2.value.ids(c.hashes)
+        place, relative, _ = bigram_places(shared2.value, np.where(counts >= least, ids, -1), c)
         both = (place[:-1] >= 0) & (place[1:] >= 0) & same_text(c)
         return place[:-1][both].astype(np.uint64) * np.uint64(width) + relative[1:][both].astype(np.uint64)
 
@@ -363,22 +364,27 @@ def same_text(c: Coded) -> np.ndarray:
     return out
 
 
-def bigram_places(trie: Trie, ids: np.ndarray, c: Coded) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the place of the bigram that ends in it (-1: none), and that place relative to its context's first."""
+def bigram_places(trie: Trie, ids: np.ndarray, c: Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the place of the bigram that ends in it (-1: none), that place relative to its context's first, and its share.
+
+    ids: of words that are frequent enough to be in bigrams; -1 for others.
+    """
     a, b = ids[context_tokens(c)], ids[c.token]
-    place, relative = np.full(len(b), -1, np.int64), np.full(len(b), -1, np.int64)
+    place, relative, share = np.full(len(b), -1, np.int64), np.full(len(b), -1, np.int64), np.zeros(len(b))
     known = np.flatnonzero((a >= 0) & (b >= 0))
     if not len(known):
-        return place, relative
+        return place, relative, share
     width = max(1, trie.vocabulary)
     keys, which = np.unique(a[known] * width + b[known], return_inverse=True)
     ctx = keys // width
-    at = trie.find(0, ctx, keys % width)
-    own, back = np.unique(ctx, return_inverse=True)
-    start = trie.contexts(0, own)[0]
-    place[known] = at[which]
-    relative[known] = np.where(at >= 0, at - start[back], -1)[which]
-    return place, relative
+    at = trie.find(0, ctx, keys - ctx * width)
+    kept = np.flatnonzero(at >= 0)
+    own, back = np.unique(ctx[kept], return_inverse=True)
+    beside, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+    beside[kept] = at[kept] - trie.contexts(0, own)[0][back]
+    p[kept] = restored(trie.entry(0, at[kept], "p"))
+    place[known], relative[known], share[known] = at[which], beside[which], p[which]
+    return place, relative, share
 
 
 @dataclass
@@ -389,37 +395,45 @@ class Scores:
     score: np.ndarray
 
 
-def scored(trie: Trie, texts: pa.Array) -> Scores:
-    """log10 probabilities of whole texts: of add-one unigrams (base) and of the model."""
-    c = coded(texts)
-    doc = np.repeat(np.arange(len(c.number)), c.number)
+def _token_probabilities(trie: Trie, c: Coded) -> tuple[np.ndarray, np.ndarray]:
+    """The training count of each distinct word of a chunk, and the model's probability of each token."""
     ids, counts = trie.ids(c.hashes)
     n, v = trie.tokens, trie.vocabulary
-    base = np.log10(counts + 1.0) - log10(n + v + 1)
     unknown = DISCOUNT * v / n / (v + 1) if n else 1.0
-    p1 = (np.maximum(counts - DISCOUNT, 0) / n if n else 0.0) + unknown
-    p = p1[c.token]
+    p = ((np.maximum(counts - DISCOUNT, 0) / n if n else 0.0) + unknown * np.ones(len(counts)))[c.token]
     if trie.levels:
-        place, relative = bigram_places(trie, ids, c)
-        before = ids[context_tokens(c)]
-        own, back = np.unique(before, return_inverse=True)
+        place, relative, more = bigram_places(trie, np.where(counts >= trie.least, ids, -1), c)
+        own, back = np.unique(ids, return_inverse=True)
         share = np.zeros(len(own))
         share[own >= 0] = trie.contexts(0, own[own >= 0])[1]
-        p *= 1 - share[back]
-        there = np.flatnonzero(place >= 0)
-        p[there] += restored(trie.entry(0, place[there], "p"))
-        ctx = np.r_[-1, np.where(same_text(c), place[:-1], -1)] if len(place) else place
+        p = p * (1 - share)[back][context_tokens(c)] + more
+        ctx = np.r_[-1, np.where(same_text(c), place[:-1], -1)]
         some = np.flatnonzero(ctx >= 0)
         if len(some) and len(trie.levels) > 1:
             own, back = np.unique(ctx[some], return_inverse=True)
-            p[some] *= 1 - trie.contexts(1, own)[1][back]
+            p[some] *= (1 - trie.contexts(1, own)[1])[back]
             asked = some[relative[some] >= 0]
-            order = asked[np.lexsort((relative[asked], ctx[asked]))]
-            at = trie.find(1, ctx[order], relative[order])
-            hit = at >= 0
-            p[order[hit]] += restored(trie.entry(1, at[hit], "p"))
-    size = len(c.number)
-    return Scores(c.number, np.bincount(doc, counts[c.token] > 0, size).astype(np.int64), np.bincount(doc, base[c.token], size), np.bincount(doc, np.log10(np.maximum(p, 1e-300)), size))
+            keys, which = np.unique(ctx[asked] * trie.vocabulary + relative[asked], return_inverse=True)
+            at = trie.find(1, keys // trie.vocabulary, keys % trie.vocabulary)
+            hit = np.flatnonzero(at >= 0)
+            more = np.zeros(len(keys))
+            more[hit] = restored(trie.entry(1, at[hit], "p"))
+            p[asked] += more[which]
+    return counts, np.maximum(p, 1e-300)
+
+
+def token_scores(trie: Trie, texts: pa.Array) -> np.ndarray:
+    """log10 probability of every token, ends included, of texts one after the other."""
+    return np.log10(_token_probabilities(trie, coded(texts))[1])
+
+
+def scored(trie: Trie, texts: pa.Array) -> Scores:
+    """log10 probabilities of whole texts: of add-one unigrams (base) and of the model."""
+    c = coded(texts)
+    counts, p = _token_probabilities(trie, c)
+    base = np.log10(counts + 1.0) - log10(trie.tokens + trie.vocabulary + 1)
+    size, doc = len(c.number), np.repeat(np.arange(len(c.number)), c.number)
+    return Scores(c.number, np.bincount(doc, (counts > 0)[c.token], size).astype(np.int64), np.bincount(doc, base[c.token], size), np.bincount(doc, np.log10(p), size))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
