@@ -3,8 +3,8 @@
 Folding lower-cases, replaces homoglyphs and digit substitutions by the letters they stand for,
 removes invisible characters and turns all else that is no letter into spaces. The lexicon holds
 word beginnings; each weighs the logarithm of its rate in toxic over its rate in other text. A
-match inside an exception phrase does not count. The sum over a text, its length and their ratio
-give the score through a logistic curve. Weights and curve are learned from a bounded sample of
+match inside an exception phrase does not count. The matches' sum, number and largest weight, the
+length and the sum by length give the score through a logistic curve. Weights and curve are learned from a bounded sample of
 labelled rows.
 """
 
@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones, and the signs that are written for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ɑ": "a", "ɡ": "g"}
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 #: Harmless phrases that hold a word which may be in the lexicon.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "clownfish", "clown fish", "circus clown", "not stupid", "not an idiot", "not a loser", "not worthless", "not disgusting", "not pathetic")
 
@@ -62,7 +62,7 @@ class Lexicon:
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0]))
     _automaton: object = None
 
     def automaton(self):
@@ -85,18 +85,21 @@ class Lexicon:
         spared = [(a, b) for a, b, w in found if w is None]
         return [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in spared)]
 
-    def features(self, text: str) -> tuple[float, int]:
-        """Sum of weights, and words of the folded text."""
+    def features(self, text: str) -> tuple[float, int, float, int]:
+        """Sum of weights, matches, largest weight, and words of the folded text."""
         folded = fold(text)
-        return sum(w for *_, w in self.spans(folded)), len(folded.split())
+        found = [w for *_, w in self.spans(folded)]
+        return sum(found), len(found), max(found, default=0.0), len(folded.split())
 
     @staticmethod
-    def design(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def design(features: np.ndarray) -> np.ndarray:
+        """Inputs of the curve: sums and matches as they are and by length."""
+        total, hits, peak, words = np.asarray(features, float).reshape(-1, 4).T
         dense = 100 * total / (words + 50)
-        return np.column_stack([np.ones(len(total)), np.log1p(total), np.log1p(dense), np.log1p(words), dense / 10])
+        return np.column_stack([np.ones(len(total)), np.log1p(total), np.log1p(dense), np.log1p(words), dense / 10, np.log1p(hits), peak / 3])
 
-    def scores(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(total, words) @ self.curve, -40, 40)))
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.design(features) @ self.curve, -40, 40)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -112,7 +115,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6
 
 
 _COUNT = pa.schema([("entry", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("hits", pa.int64())])
-_FEATURE = pa.schema([("toxic", pa.int32()), ("total", pa.float64()), ("words", pa.int64())])
+_FEATURE = pa.schema([("toxic", pa.int32()), ("total", pa.float64()), ("hits", pa.int64()), ("peak", pa.float64()), ("words", pa.int64())])
 
 
 def _counted(some: DataFrame, allowed=None) -> DataFrame:
@@ -190,10 +193,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.features(t.as_py() or "") for t in batch.column(1)]
-            yield batch_of(_FEATURE, batch.column(0), [f[0] for f in found], [f[1] for f in found])
+            yield batch_of(_FEATURE, batch.column(0), *([f[k] for f in found] for k in range(4)))
 
-    rows = some.mapInArrow(run, "toxic int, total double, words long").toPandas()  # the bounded sample's numbers
-    lexicon.curve = _logistic(lexicon.design(rows["total"].to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy().astype(float))
+    rows = some.mapInArrow(run, "toxic int, total double, hits long, peak double, words long").toPandas()  # the bounded sample's numbers
+    lexicon.curve = _logistic(lexicon.design(rows[["total", "hits", "peak", "words"]].to_numpy()), rows["toxic"].to_numpy().astype(float))
     return lexicon
 
 
@@ -212,8 +215,8 @@ def rate_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: l
         own = shared.value
         for batch in batches:
             for part in chunks(batch, where):
-                found = np.array([own.features(t.as_py() or "") for t in part.column(where)], float).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(own.scores(found[:, 0], found[:, 1]))], names=[*kept, score])
+                found = np.array([own.features(t.as_py() or "") for t in part.column(where)], float).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(own.scores(found))], names=[*kept, score])
 
     return taken.mapInArrow(run, docs.select(*kept).schema.add(score, "double"))
 

@@ -17,7 +17,7 @@ def test_spans_and_exceptions():
     own = Lexicon({"trash": 2.0, "stupid": 3.0}, ("trash can", "not stupid"))
     words = lambda text: [fold(text)[a:b].strip() for a, b, _ in own.spans(fold(text))]
     assert words("Trash! the tr@shy trash can, outtrash stupid not 5tupid") == ["trash", "trash", "stupid"]
-    assert own.features("trash trash") == (4.0, 2) and own.features("") == (0.0, 0) and Lexicon().features("trash") == (0.0, 1)
+    assert own.features("trash trash") == (4.0, 2, 2.0, 2) and own.features("") == (0, 0, 0.0, 0) and Lexicon().features("trash") == (0, 0, 0.0, 1)
 
 
 def test_no_word_counts_twice():
