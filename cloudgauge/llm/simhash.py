@@ -330,7 +330,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     ids = named.select("_row", F.col(key).alias("id")).groupBy("_row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     chosen = groups.distinct().join(ids, "_row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "n")).alias("c"))
     chosen = written(chosen.select("c._row", "c.n"), "simhash-kept")
-    kept = named.join(chosen, "_row")
+    # a sort-merge join at any size: what is kept grows with the input, so it is never broadcast
+    kept = named.join(chosen.hint("merge"), "_row")
     repeated = kept.where("n > 1").dropDuplicates(["_row"])
     return kept.where("n = 1").unionByName(repeated).select(*docs.columns)
 
