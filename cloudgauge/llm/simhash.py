@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import ascii_words, batch_of, chunks, dropped, fresh_dir, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
+#: Least shingle hashes of a text that are kept to compare its set with others; texts with fewer are compared exactly.
+SKETCH = 256
+#: Forests of candidate links that are verified: a component falls apart only where every layer's links fail.
+LAYERS = 3
 #: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
 BLOCK, LARGE = 1 << 19, 512
 
@@ -89,19 +93,40 @@ def majority(number: np.ndarray, hashes: np.ndarray, words: int = 1) -> np.ndarr
     return out
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words."""
+def sketches(number: np.ndarray, hashes: np.ndarray, size: int) -> list[bytes]:
+    """The `size` least distinct values of consecutive groups of hashes, by their high 32 bits."""
+    tops, ends = (hashes >> np.uint64(32)).astype("<u4"), np.cumsum(number)
+    return [np.unique(tops[end - n : end])[:size].tobytes() for n, end in zip(number, ends, strict=True)]
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    """Similarity of two sets from their sketches: the share of both among the least values of either."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.concatenate([x, y])
+    both.sort()
+    twice = both[:-1][both[1:] == both[:-1]]
+    least = np.unique(both)[:size]
+    return float(np.count_nonzero(twice <= least[-1]) / len(least)) if len(least) else 1.0
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1, sketch: int = 0) -> DataFrame:
+    """(doc_id, fp, sketch): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
+
+    sketch: how many least shingle hashes to give besides; null for 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                prints = majority(*shingle_hashes(part.column(1), size), words)
-                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints.astype(">u8")])
+                number, hashes = shingle_hashes(part.column(1), size)
+                prints = majority(number, hashes, words).astype(">u8")
+                own = sketches(number, hashes, sketch) if sketch else [None] * len(prints)
+                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints], own)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, sketch binary")
 
 
 class Forest:
@@ -110,19 +135,18 @@ class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Joins the pairs; those that joined something new."""
-        out: list[tuple[int, int]] = []
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins the pairs, first ones first; which of them joined something new."""
+        used, left = [], np.arange(len(a))
         while True:
-            apart = self.up[a] != self.up[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                return out
-            # of all pairs that would hang the same larger root, one does so in this round
-            low, high = np.minimum(self.up[a], self.up[b]), np.maximum(self.up[a], self.up[b])
+            left = left[self.up[a[left]] != self.up[b[left]]]
+            if not len(left):
+                return np.concatenate(used) if used else left
+            # of all pairs that would hang the same larger root, the first does so in this round
+            low, high = np.minimum(self.up[a[left]], self.up[b[left]]), np.maximum(self.up[a[left]], self.up[b[left]])
             _, at = np.unique(high, return_index=True)
             self.up[high[at]] = low[at]
-            out += zip(a[at].tolist(), b[at].tolist(), strict=True)
+            used.append(left[at])
             while not np.array_equal(top := self.up[self.up], self.up):
                 self.up = top
 
@@ -150,20 +174,34 @@ def _segment(fp: np.ndarray, low: int, high: int) -> np.ndarray:
 
 
 def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(fp[left] ^ fp[right]).sum(1, dtype=np.int64) <= distance
+    """Which pairs differ in `distance` bits at most, the nearest first."""
+    apart = np.bitwise_count(fp[left] ^ fp[right]).sum(1, dtype=np.int64)
+    near = np.flatnonzero(apart <= distance)
+    return near[np.argsort(apart[near], kind="stable")]
 
 
-def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int, layers: int = 1) -> list[tuple[int, int]]:
     """Links among the fingerprints of a slice, as pairs of rows of fp.
 
     The first `homes` entries file their row under their key, and look up the flips of it; the
-    others only look up their key. Of two different keys the smaller looks up the larger.
+    others only look up their key. Of two different keys the smaller looks up the larger. Links
+    that join nothing new go to the next of `layers` forests, so that a component stays together
+    if links whose removal leaves a layer are struck out later.
     """
-    forest = Forest(len(fp))
+    forests = [Forest(len(fp)) for _ in range(layers)]
+    forest = forests[-1]  # pairs that even the last layer has joined are passed over
     order = np.argsort(keys[:homes], kind="stable")
     filed, owner = keys[:homes][order], rows[:homes][order]
     found: list[tuple[int, int]] = []
 
+    def join(left: np.ndarray, right: np.ndarray) -> None:
+        for f in forests:
+            used = f.join(left, right)
+            found.extend(zip(left[used].tolist(), right[used].tolist(), strict=True))
+            rest = np.ones(len(left), bool)
+            rest[used] = False
+            left, right = left[rest], right[rest]
+
     def meet(own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         """Each row meets the filed rows from start to stop."""
         number = stop - start
@@ -178,7 +216,7 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
                 apart = forest.up[left] != forest.up[right]
                 left, right = left[apart], right[apart]
                 near = _near(fp, left, right, distance)
-                found.extend(forest.join(left[near], right[near]))
+                join(left[near], right[near])
             at = upto
 
     begins = np.flatnonzero(np.r_[True, filed[1:] != filed[:-1]]) if homes else np.empty(0, np.int64)
@@ -189,7 +227,7 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
             others = bucket[k + 1 :][forest.up[bucket[k + 1 :]] != forest.up[bucket[k]]]
             if len(others):
                 near = others[_near(fp, bucket[k : k + 1], others, distance)]
-                found.extend(forest.join(np.full(len(near), bucket[k]), near))
+                join(np.full(len(near), bucket[k]), near)
     small = np.repeat(sizes <= LARGE, sizes)
     meet(owner[small], np.repeat(begins, sizes)[small], np.arange(homes)[small])
     look = lambda own, asked: meet(own, np.searchsorted(filed, asked, "left"), np.searchsorted(filed, asked, "right"))
@@ -200,11 +238,11 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
     return found
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, layers: int = 1) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all pairs within `distance` bits.
 
     radius: of the balls; by default distance // segments, which misses no pair. A smaller one
-    misses pairs whose bits differ in every segment by more.
+    misses pairs whose bits differ in every segment by more. layers: see slice_links().
     """
     radius = distance // segments if radius is None else radius
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -245,7 +283,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
                 fits = guest[used + np.bitwise_count(flip) <= radius]
                 pick.append(fits)
                 which.append(key[fits] & low ^ flip | here)
-            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance)
+            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, layers)
             if len(found):
                 yield batch_of(_LINK, *([own[pair[k]].astype(">u8").tobytes() for pair in found] for k in (0, 1)))
 
@@ -292,24 +330,45 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
+def verified(links: DataFrame, prints: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
+    """The links (a, b) whose texts' shingle sets are `similarity` alike or more, by the sketches of prints (fp, sketch).
+
+    Only fingerprints that have links are looked up. The joins are sort-merge joins at any size.
+    """
+    edges = written(links.distinct(), "simhash-links")
+    nodes = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    own = written(prints.select("fp", "sketch").join(nodes.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "simhash-sketches")
+    side = lambda n: own.select(F.col("fp").alias(n), F.col("sketch").alias(f"s{n}")).hint("merge")
+    pairs = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [jaccard(x.as_buffer(), y.as_buffer(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
-    component_id is the smallest id that a chain of links reaches. Null and empty texts have the
+    component_id is the smallest id that a chain of links reaches. With `similarity`, links must
+    also hold by the Jaccard similarity of the shingle sets. Null and empty texts have the
     fingerprint 0 and are linked like any other. A null id stays null and never names a component
     unless all ids of it are null. Rows repeated under one id each get a row; other columns are not
     read. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, key, text, size, words), "simhash")
+    prints = written(fingerprints(docs, key, text, size, words, SKETCH if similarity else 0), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    stars = components(links(distinct, distance, segments, words, radius))
+    found = links(distinct, distance, segments, words, radius, LAYERS if similarity else 1)
+    stars = components(verified(found, prints, similarity) if similarity else found)
     named = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(named.join(least, "component").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def distance_for(similarity: float, words: int, slack: float = 1.25) -> int:
+def distance_for(similarity: float, words: int, slack: float = 3.0) -> int:
     """Differing bits of texts whose shingle sets have this Jaccard similarity: the mean and `slack` standard deviations.
 
     Sets of similarity s have a cosine of 2s / (1 + s), and a bit differs with the angle's share of pi.
@@ -321,12 +380,12 @@ def distance_for(similarity: float, words: int, slack: float = 1.25) -> int:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 16, radius: int = 1) -> DataFrame:
     """The rows of docs without near duplicates: of each group the row of the smallest id stays.
 
-    Groups are components of texts whose sets of `size`-word shingles are about `similarity` alike
-    or more, as 64 * words fingerprint bits tell it. Rows are told apart by a hash of all their
+    Groups are components of texts whose sets of `size`-word shingles are `similarity` alike or
+    more. Fingerprints of 64 * words bits find the pairs, with some slack; sketches verify them. Rows are told apart by a hash of all their
     columns, so null and repeated ids do no harm; of equal rows one stays.
     """
     named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    groups = near_duplicates(named, "_row", text, size, distance_for(similarity, words), segments, words, radius).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    groups = near_duplicates(named, "_row", text, size, distance_for(similarity, words), segments, words, radius, similarity).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
     ids = named.select("_row", F.col(key).alias("id")).groupBy("_row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     chosen = groups.distinct().join(ids, "_row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "n")).alias("c"))
     chosen = written(chosen.select("c._row", "c.n"), "simhash-kept")

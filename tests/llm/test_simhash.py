@@ -119,6 +119,15 @@ def test_documents(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_sketches():
+    rng = np.random.default_rng(5)
+    for n, shared in ((100, 80), (3000, 2400), (5, 0), (0, 0)):
+        a, b = (np.concatenate([x, y]) for x, y in [(s, rng.integers(0, 2**64 - 1, n, dtype=np.uint64)) for s in [rng.integers(0, 2**64 - 1, shared, dtype=np.uint64)] * 2])
+        x, y = simhash.sketches(np.array([len(a), len(b)]), np.concatenate([a, b]), 256)
+        true = len(set(a) & set(b)) / max(1, len(set(a) | set(b))) if len(a) else 1.0
+        assert simhash.jaccard(x, y, 256) == pytest.approx(true, abs=1e-9 if len(a) < 256 and len(b) < 256 and len(set(a) | set(b)) <= 256 else 0.1)
+
+
 def test_one_of_each(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(500)]
