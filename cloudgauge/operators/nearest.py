@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, squared_distance
 
-BLOCK_POINTS, PAIRS = 100_000, 1 << 20
+#: Candidates of a block at most and at least, about; queries of a task; pairs compared at a time.
+BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 1 << 20
 #: A little more than 1, so that rounding never hides a neighbour.
 SLACK = 1 + 1e-5
 
@@ -36,7 +37,8 @@ def block_edge(candidates: DataFrame, radius: float) -> float:
     if not box["n"]:
         return max(2 * radius * SLACK, 1.0)
     sides = [max(float(box[f"max_{c}"]) - float(box[f"min_{c}"]), radius, 1e-6) for c in "xyz"]
-    even = (sides[0] * sides[1] * sides[2] * BLOCK_POINTS / box["n"]) ** (1 / 3)
+    share = box["n"] / (8 * candidates.sparkSession.sparkContext.defaultParallelism)
+    even = (sides[0] * sides[1] * sides[2] * min(max(share, LEAST_POINTS), BLOCK_POINTS) / box["n"]) ** (1 / 3)
     return max(2 * radius * SLACK, min(even, max(sides)), 1e-6)
 
 
@@ -126,6 +128,14 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         return left.select(names).append_column("d2", pa.array(best, mask=np.isinf(best)))
 
     blocks = ["bx", "by", "bz"]
+    heavy = asked.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
+    crowded = [(*(r[b] for b in blocks), -(-r["n"] // QUERY_ROWS)) for r in heavy.collect()]  # one row for each QUERY_ROWS queries at most
+    if crowded:
+        parts = F.broadcast(asked.sparkSession.createDataFrame(crowded, "bx long, by long, bz long, parts long"))
+        several = F.coalesce("parts", F.lit(1))
+        asked = asked.join(parts, blocks, "left").withColumn("part", F.pmod(F.xxhash64(*queries.columns), several)).drop("parts")
+        filed = filed.join(parts, blocks, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), several - 1))).drop("parts")
+        blocks = [*blocks, "part"]
     return asked.groupBy(*blocks).cogroup(filed.groupBy(*blocks)).applyInArrow(run, schema)
 
 

@@ -12,6 +12,8 @@ from ..functions.geometry import beam_radius, finite, norm, unit
 from ..functions.voxels import CELL, in_both_grids
 from ..operators.beam import beams, in_scan_frames, seen_pairs
 from ..operators.nearest import bounding_box, nearest_squared_distance, verify
+from ..sources.files import shared_path
+from ..sources.ply import read_cloud, write_coloured
 from . import scoring
 
 S = fixtures.SETTINGS
@@ -273,6 +275,14 @@ def accuracy_colors(spark, d):
     return scoring.accuracy_colours(_seen(spark, d), 3).select("point_id", "x", "y", "z", "red", "green", "blue")
 
 
+@_query("ply_round_trip", _CLOUDS + " SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_index, x, y, z FROM recon")
+def ply_round_trip(spark, d):
+    cloud = fixtures.reconstruction(spark, d).withColumns({c: F.lit(0) for c in ("red", "green", "blue")})
+    path = shared_path(spark, "cloud.ply")
+    write_coloured(cloud, path, "point_id")
+    return read_cloud(spark, path)
+
+
 @_query(
     "tolerance_running_counts",
     _NEAR

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path in it; a path without a scheme is local."""
     if "://" in path:
         return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.LocalFileSystem(), path.removeprefix("file:")  # Spark also writes file:/path
 
 
 def size(path: str) -> int | None:
@@ -24,3 +28,9 @@ def read(path: str, start: int = 0, length: int | None = None) -> bytes:
     with system.open_input_file(name) as f:
         f.seek(start)
         return f.read(length) if length is not None else f.read()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; below a local folder where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cloudgauge-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"

@@ -125,6 +125,15 @@ def test_nearest_against_all_pairs(spark):
                 assert got[k][0] is None or got[k] == want[k]
 
 
+def test_crowded_blocks_are_dealt_out(spark, monkeypatch):
+    from cloudgauge.operators import nearest
+
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 10)
+    rng = np.random.default_rng(2)
+    a, b = cloud(spark, rng.normal(0, 0.2, (95, 3))), cloud(spark, rng.normal(0, 0.2, (30, 3))).drop("point_id")
+    assert by_id(nearest_squared_distance(a, b, 9.0, 1.0), "d2") == by_id(brute_force(a, b, "point_id"), "d2")
+
+
 def test_nearest_in_block_far_out():
     q, c = np.array([[1e6, 0, 0]], "f4"), np.array([[1e6 + 1, 0, 0], [-1e6, 0, 0]], "f4")
     assert nearest_in_block(q, c, 2.0)[0] == 1.0
