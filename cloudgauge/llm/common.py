@@ -94,11 +94,12 @@ def ascii_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
-    flat, parent = pc.list_flatten(parts), pc.list_parent_indices(parts)
-    keep = pc.greater(pc.binary_length(flat), 0)
-    if not pc.all(keep).as_py() and len(flat):
-        flat, parent = flat.filter(keep), parent.filter(keep)
-    return np.bincount(parent.to_numpy(zero_copy_only=False), minlength=len(texts)).astype(np.int64), flat
+    flat, count = parts.flatten(), np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    keep = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty part
+    if not keep.all():
+        count = np.bincount(np.repeat(np.arange(len(count)), count), keep, len(count)).astype(np.int64)
+        flat = flat.filter(pa.array(keep))
+    return count, flat
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

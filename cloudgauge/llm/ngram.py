@@ -25,6 +25,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,33 @@ END = np.uint64(0)
 _STEPS = 4096
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """XXH64 of words, never END. Ids rest on them being distinct: 64 bits hold that for any vocabulary in reach."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) or 1 for w in words), np.uint64, len(words))
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, never END: of three 8-byte pieces and the length, or XXH64 for longer words.
+
+    Ids rest on them being distinct, which 64 bits hold for any vocabulary in reach.
+    """
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(size):
+        return np.empty(0, np.uint64)
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    start = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(size)].astype(np.int64)
+    text = np.r_[np.frombuffer(data, np.uint8), np.zeros(24, np.uint8)]
+    at = np.arange(24)
+    pieces = text[start[:, None] + at[None, :]]
+    pieces[at[None, :] >= size[:, None]] = 0
+    pieces = pieces.view(np.uint64)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(3):
+        out = _stirred(out ^ pieces[:, k]) + np.uint64(k + 1)
+    for k in np.flatnonzero(size > 24):
+        out[k] = xxhash.xxh64_intdigest(text[start[k] : start[k] + size[k]].tobytes(), 7)
+    return np.where(out == END, np.uint64(1), out)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -162,7 +187,7 @@ def coded(texts: pa.Array) -> Coded:
     inside = np.ones(len(token), bool)
     inside[np.cumsum(number) - 1] = False
     token[inside] = words.indices.to_numpy(zero_copy_only=False) + 1
-    return Coded(number, token, np.r_[END, word_hashes(words.dictionary.to_pylist())].astype(np.uint64))
+    return Coded(number, token, np.r_[END, word_hashes(words.dictionary)].astype(np.uint64))
 
 
 def context_tokens(c: Coded) -> np.ndarray:

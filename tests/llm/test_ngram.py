@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cloudgauge.llm import ngram
-from cloudgauge.llm.common import fresh_dir
+from cloudgauge.llm.common import ascii_words, fresh_dir
 from cloudgauge.llm.eliasfano import EliasFano, load, save
 from tests.llm.tools import documents
 
@@ -27,6 +27,22 @@ def test_elias_fano(values, bits, more):
     assert np.array_equal(e.find(asked) >= 0, np.isin(asked, values))
 
 
+def test_word_hashes():
+    words = ["a", "a\0", "ab", "é", "x" * 23, "x" * 24, "x" * 25, "x" * 26, "y" * 90, *(f"w{k}" for k in range(5000))]
+    hashes = ngram.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words) and 0 not in hashes
+    assert np.array_equal(ngram.word_hashes(pa.array(words).slice(3)), hashes[3:]) and len(ngram.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_words():
+    texts = pa.array([" a b ", None, "", "\x0b", "C\u00a0d\x1ce", "x"]).slice(0)
+    count, flat = ascii_words(texts, lower=True)
+    assert count.tolist() == [2, 0, 0, 0, 1, 1] and flat.to_pylist() == ["a", "b", "c\u00a0d\x1ce", "x"]
+    count, flat = ascii_words(texts.slice(4), lower=True)
+    assert count.tolist() == [1, 1] and flat.to_pylist() == ["c\u00a0d\x1ce", "x"]
+    assert ascii_words(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_files(spark):
     e = EliasFano.of(np.arange(0, 999, 3), 1000)
     parts, facts = load(save(fresh_dir(spark, "t"), "x", {"e": e, "q": np.arange(3, dtype=np.uint16)}, {"a": 1}))

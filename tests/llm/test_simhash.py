@@ -73,7 +73,7 @@ def families(rng, n, bits, flips):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("distance,segments,words", [(3, 2, 1), (5, 3, 1), (0, 1, 1), (7, 4, 2)])
+@pytest.mark.parametrize("distance,segments,words", [(3, 2, 1), (5, 3, 1), (0, 1, 1), (7, 4, 2), (8, 4, 1)])
 def test_no_link_is_lost(spark, distance, segments, words):
     values = families(np.random.default_rng(distance), 60, 64 * words, distance)
     got, _ = linked(spark, values, distance, segments, words)
