@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import ascii_words, batch_of, chunks, dropped, fresh_dir, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
-#: Least shingle hashes of a text that are kept to compare its set with others; texts with fewer are compared exactly.
-SKETCH = 256
-#: Forests of candidate links that are verified: a component falls apart only where every layer's links fail.
+#: Texts, and hashes of their shingle sets, that a block of a candidate group has about; blocks are compared in pairs.
+BLOCK_TEXTS, BLOCK_HASHES = 256, 1 << 18
+#: Forests of candidate links.
 LAYERS = 3
 #: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
 BLOCK, LARGE = 1 << 19, 512
@@ -93,7 +93,17 @@ def majority(number: np.ndarray, hashes: np.ndarray, words: int = 1) -> np.ndarr
     return out
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("node", pa.binary()), ("n", pa.int64())])
+
+
+def shingle_sets(number: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct values of consecutive groups of hashes."""
+    return [np.unique(hashes[end - n : end]) for n, end in zip(number, np.cumsum(number), strict=True)]
+
+
+def set_key(own: np.ndarray) -> bytes:
+    """A 128-bit hash of a sorted set."""
+    return xxhash.xxh3_128_digest(own.astype("<u8").tobytes())
 
 
 def sketches(number: np.ndarray, hashes: np.ndarray, size: int) -> list[bytes]:
@@ -112,21 +122,50 @@ def jaccard(a: bytes, b: bytes, size: int) -> float:
     return float(np.count_nonzero(twice <= least[-1]) / len(least)) if len(least) else 1.0
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1, sketch: int = 0) -> DataFrame:
-    """(doc_id, fp, sketch): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, width: int = 4096) -> np.ndarray:
+    """For each set of left and each of right, whether their Jaccard similarity is `similarity` or more; exact.
 
-    sketch: how many least shingle hashes to give besides; null for 0.
+    Numbers of common hashes are products of incidence matrices, `width` hashes at a time.
+    """
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    common = np.zeros((len(left), len(right)))
+    entries = []
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, flat)
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == flat[hit]
+        order = np.argsort(at[hit], kind="stable")
+        entries.append((len(sets), at[hit][order], row[hit][order]))
+    for low in range(0, len(shared), width):
+        dense = []
+        for n, at, row in entries:
+            a, b = np.searchsorted(at, [low, low + width])
+            dense.append(np.zeros((n, min(width, len(shared) - low)), np.float32))
+            dense[-1][row[a:b], at[a:b] - low] = 1
+        common += dense[0] @ dense[1].T
+    union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None] - common
+    return np.divide(common, union, out=np.ones_like(common), where=union > 0) >= similarity
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp, node, n): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
+
+    With `sets`, node and n are the hash and the size of the set of shingles; without, they are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 number, hashes = shingle_hashes(part.column(1), size)
+                nodes = counts = [None] * len(number)
+                if sets:
+                    own = shingle_sets(number, hashes)
+                    nodes, counts = [set_key(x) for x in own], [len(x) for x in own]
                 prints = majority(number, hashes, words).astype(">u8")
-                own = sketches(number, hashes, sketch) if sketch else [None] * len(prints)
-                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints], own)
+                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints], nodes, counts)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, node binary, n long")
 
 
 class Forest:
@@ -340,39 +379,83 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def verified(links: DataFrame, prints: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
-    """The links (a, b) whose texts' shingle sets are `similarity` alike or more, by the sketches of prints (fp, sketch).
+_SIDE = pa.schema([("group", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.binary()), ("own", pa.binary())])
 
-    Only fingerprints that have links are looked up. The joins are sort-merge joins at any size.
-    """
-    edges = written(links.distinct(), "simhash-links")
-    nodes = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    own = written(prints.select("fp", "sketch").join(nodes.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "simhash-sketches")
-    side = lambda n: own.select(F.col("fp").alias(n), F.col("sketch").alias(f"s{n}")).hint("merge")
-    pairs = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [jaccard(x.as_buffer(), y.as_buffer(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(a, b): links between nodes that join all pairs whose whole shingle sets are `similarity` alike or more, within groups.
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    nodes has one row (node, fp, low, n) for each distinct shingle set; low is the id of a row of docs that has it. Groups are
+    the components of the candidate links `found` between fingerprints; nodes of one fingerprint are in one group. All
+    pairs of a group are compared. A group is dealt to blocks by the nodes' hash, and each pair of
+    blocks is a task's work of bounded size; only the sets of grouped nodes are built again and
+    travel, once for each block of their group. The joins are sort-merge joins at any size.
+    """
+    coarse = components(found)
+    placed = written(nodes.join(coarse.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("node", "low", "n", F.coalesce("component", "fp").alias("group")), "simhash-placed")
+    sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total")).where("texts > 1")
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("total") / BLOCK_HASHES)).cast("int")
+    dealt = placed.join(sizes.select("group", blocks.alias("blocks")).hint("merge"), "group").select("node", "low", "group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
+    sides = rows.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("low"))).select("group", "block", "blocks", "node", "text")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                own = shingle_sets(*shingle_hashes(part.column(4), size))
+                same = [k for k, (x, node) in enumerate(zip(own, part.column(3).to_pylist(), strict=True)) if set_key(x) == node]  # an id may name several texts
+                if same:
+                    at = pa.array(same)
+                    yield batch_of(_SIDE, *(part.column(k).take(at) for k in range(4)), [own[k].tobytes() for k in same])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(name: tuple, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            order = sorted({node: (block, node, own) for block, node, own in rows}.values(), key=lambda r: (r[0] != name[1], r[1]))
+            named, sets = [r[1] for r in order], [np.frombuffer(r[2], np.uint64) for r in order]
+            first = sum(r[0] == name[1] for r in order)
+            start = first if name[1] != name[2] else 0  # pairs within a block are the work of that block with itself
+            if not first or start == len(sets):
+                return batch_of(_LINK, [], [])
+            a, b = np.nonzero(alike(sets[:first], sets[start:], similarity))
+            a, b = a[a < b + start], b[a < b + start] + start
+            used = Forest(len(sets)).join(a, b)
+            return batch_of(_LINK, [named[k] for k in a[used]], [named[k] for k in b[used]])
+
+        name, rows = None, []
+        for batch in batches:
+            for part in chunks(batch, 5):
+                for *now, block, node, own in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                    if (now := tuple(now)) != name:
+                        if len(rows) > 1:
+                            yield links_of(name, rows)
+                        name, rows = now, []
+                    rows.append((block, node, own))
+        if len(rows) > 1:
+            yield links_of(name, rows)
+
+    built = sides.mapInArrow(build, "group binary, block int, blocks int, node binary, own binary")
+    paired = built.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "node", "own")
+    paired = paired.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "own")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paired.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int | tuple[int, ...] = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
-    component_id is the smallest id that a chain of links reaches. With `similarity`, links must
-    also hold by the Jaccard similarity of the shingle sets. Null and empty texts have the
-    fingerprint 0 and are linked like any other. A null id stays null and never names a component
-    unless all ids of it are null. Rows repeated under one id each get a row; other columns are not
-    read. An empty table gives no rows.
+    component_id is the smallest id that a chain of links reaches. With `similarity`, texts of one
+    fingerprint are merged, fingerprints find candidates only, and links hold by
+    the Jaccard similarity of the whole sets. Null and empty texts have the fingerprint 0 and are
+    linked like any other. A null id stays null and never names a component unless all ids of it
+    are null. Rows repeated under one id each get a row; other columns are not read. An empty table
+    gives no rows.
     """
-    prints = written(fingerprints(docs, key, text, size, words, SKETCH if similarity else 0), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    prints = written(fingerprints(docs, key, text, size, words, similarity is not None), "simhash")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct("node", "doc_id", "n")).alias("one")).select("fp", "low", F.col("one.node").alias("node"), F.col("one.doc_id").alias("id"), F.col("one.n").alias("n")), "simhash-distinct")
     found = links(distinct, distance, segments, words, radius, LAYERS if similarity else 1)
-    stars = components(verified(found, prints, similarity) if similarity else found)
-    named = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    node = "fp" if similarity is None else "node"
+    stars = components(found if similarity is None else verified(found, distinct.select("node", "fp", F.col("id").alias("low"), "n"), docs, key, text, size, similarity)).withColumnRenamed("node", "_node")
+    named = distinct.join(stars, distinct[node] == stars["_node"], "left").select("fp", "low", F.coalesce("component", node).alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(named.join(least, "component").select("fp", "component_id"), "simhash-named")
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
@@ -391,8 +474,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """The rows of docs without near duplicates: of each group the row of the smallest id stays.
 
     Groups are components of texts whose sets of `size`-word shingles are `similarity` alike or
-    more. Fingerprints of 64 * words bits find the pairs, with some slack; sketches verify them. Rows are told apart by a hash of all their
-    columns, so null and repeated ids do no harm; of equal rows one stays.
+    more. Fingerprints of 64 * words bits find the candidates, with some slack; the whole sets decide.
+    Rows are told apart by a hash of all their columns, so null and repeated ids do no harm; of
+    equal rows one stays.
     """
     named = docs.withColumn("_row", F.xxhash64(*docs.columns))
     limits = tuple(distance_for(similarity, words, slack) for slack in (-1.0, 0.0, 1.0, 3.0))
