@@ -444,21 +444,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(doc_id, fp, component_id) of every row of docs.
 
     component_id is the smallest id that a chain of links reaches. With `similarity`, texts of one
-    fingerprint are merged, fingerprints find candidates only, and links hold by
+    shingle set are merged, fingerprints find candidates only, and links hold by
     the Jaccard similarity of the whole sets. Null and empty texts have the fingerprint 0 and are
     linked like any other. A null id stays null and never names a component unless all ids of it
     are null. Rows repeated under one id each get a row; other columns are not read. An empty table
     gives no rows.
     """
     prints = written(fingerprints(docs, key, text, size, words, similarity is not None), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct("node", "doc_id", "n")).alias("one")).select("fp", "low", F.col("one.node").alias("node"), F.col("one.doc_id").alias("id"), F.col("one.n").alias("n")), "simhash-distinct")
-    found = links(distinct, distance, segments, words, radius, LAYERS if similarity else 1)
     node = "fp" if similarity is None else "node"
-    stars = components(found if similarity is None else verified(found, distinct.select("node", "fp", F.col("id").alias("low"), "n"), docs, key, text, size, similarity)).withColumnRenamed("node", "_node")
-    named = distinct.join(stars, distinct[node] == stars["_node"], "left").select("fp", "low", F.coalesce("component", node).alias("component"))
+    distinct = written(prints.groupBy(node).agg(F.min("doc_id").alias("low"), *([] if similarity is None else [F.min("fp").alias("fp"), F.min("n").alias("n")])), "simhash-distinct")
+    found = links(distinct.select("fp").distinct() if similarity is not None else distinct, distance, segments, words, radius, LAYERS if similarity else 1)
+    stars = components(found if similarity is None else verified(found, distinct, docs, key, text, size, similarity)).withColumnRenamed("node", "_node")
+    named = distinct.join(stars, distinct[node] == stars["_node"], "left").select(node, "low", F.coalesce("component", node).alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(named.join(least, "component").select("fp", "component_id"), "simhash-named")
-    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(named.join(least, "component").select(node, "component_id"), "simhash-named")
+    return prints.select("doc_id", *dict.fromkeys(["fp", node])).join(named, node).select("doc_id", "fp", "component_id")
 
 
 def distance_for(similarity: float, words: int, slack: float = 3.0) -> int:

@@ -52,3 +52,16 @@ def test_alike():
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 0, 1, 20, 40, 90, 200, 200)]
     want = [[len(set(x) & set(y)) / max(1, len(set(x) | set(y))) >= 0.8 or not len(x) + len(y) for y in sets[2:] + sets[:2]] for x in sets]
     assert simhash.alike(sets, sets[2:] + sets[:2], 0.8, 7).tolist() == want
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rng = np.random.default_rng(13)
+    line = fresh(rng, 11)
+    texts = [" ".join(line * 60 + fresh(rng, 40)) for _ in range(2)]
+    assert kept(spark, texts) == survivors(texts) == [0, 1]
+    # equal fingerprints of different sets
+    prints = simhash.fingerprints(documents(spark, [(0, "a b c d e f g h"), (1, "z y x w v u")]), size=5, words=4, sets=True).collect()
+    nodes = spark.createDataFrame([(bytes(r["node"]), b"\0" * 32, r["doc_id"], r["n"]) for r in prints], "node binary, fp binary, low long, n long")
+    none = spark.createDataFrame([], "a binary, b binary")
+    assert len({r["node"] for r in nodes.collect()}) == 2
+    assert simhash.verified(none, nodes, documents(spark, [(0, "a b c d e f g h"), (1, "z y x w v u")]), "doc_id", "text", 5, 0.8).count() == 0
