@@ -151,7 +151,8 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, wi
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1, sets: bool = False) -> DataFrame:
     """(doc_id, fp, node, n): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
 
-    With `sets`, node and n are the hash and the size of the set of shingles; without, they are null.
+    With `sets`, the fingerprint is of the distinct shingles, and node and n are the set's hash and size;
+    without, shingles weigh by their repeats, and node and n are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 nodes = counts = [None] * len(number)
                 if sets:
                     own = shingle_sets(number, hashes)
-                    nodes, counts = [set_key(x) for x in own], [len(x) for x in own]
+                    number, hashes = np.array([len(x) for x in own], np.int64), np.concatenate(own)
+                    nodes, counts = [set_key(x) for x in own], number
                 prints = majority(number, hashes, words).astype(">u8")
                 yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints], nodes, counts)
 
@@ -444,7 +446,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(doc_id, fp, component_id) of every row of docs.
 
     component_id is the smallest id that a chain of links reaches. With `similarity`, texts of one
-    shingle set are merged, fingerprints find candidates only, and links hold by
+    shingle set are merged, fingerprints are of sets and find candidates only, and links hold by
     the Jaccard similarity of the whole sets. Null and empty texts have the fingerprint 0 and are
     linked like any other. A null id stays null and never names a component unless all ids of it
     are null. Rows repeated under one id each get a row; other columns are not read. An empty table

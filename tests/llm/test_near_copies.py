@@ -65,3 +65,10 @@ def test_equal_fingerprints_are_verified(spark):
     none = spark.createDataFrame([], "a binary, b binary")
     assert len({r["node"] for r in nodes.collect()}) == 2
     assert simhash.verified(none, nodes, documents(spark, [(0, "a b c d e f g h"), (1, "z y x w v u")]), "doc_id", "text", 5, 0.8).count() == 0
+
+
+def test_repeats_do_not_hide_copies(spark):
+    rng = np.random.default_rng(14)
+    line, body = fresh(rng, 11), fresh(rng, 400)
+    texts = [" ".join(body + line), " ".join(body + line * 60), " ".join(body + line * 61)]
+    assert kept(spark, texts) == survivors(texts) == [0]
