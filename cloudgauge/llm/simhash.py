@@ -9,6 +9,8 @@ that a fingerprint travels to its own slice and to the slices that a flip of a t
 and the rest of the ball is enumerated there. Complete distances are verified. A task emits only
 links that join what it had not joined yet, and compares members of a large family only with those
 outside their component, so near copies cost a spanning forest and never all of their pairs.
+The pipeline's stage takes the components of such links as groups, and compares all pairs of a group
+by their whole shingle sets.
 Components come from alternating large-star and small-star rounds on tables in the shared folder.
 """
 
@@ -30,8 +32,6 @@ from .common import ascii_words, batch_of, chunks, dropped, fresh_dir, read_tabl
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
 #: Texts, and hashes of their shingle sets, that a block of a candidate group has about; blocks are compared in pairs.
 BLOCK_TEXTS, BLOCK_HASHES = 256, 1 << 18
-#: Forests of candidate links.
-LAYERS = 3
 #: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
 BLOCK, LARGE = 1 << 19, 512
 
@@ -221,38 +221,29 @@ def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) ->
     return near[np.argsort(apart[near], kind="stable")]
 
 
-def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int | tuple[int, ...], layers: int = 1, earlier: tuple[tuple[int, int], ...] = (), radius: int = 0) -> list[tuple[int, int]]:
+def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int, earlier: tuple[tuple[int, int], ...] = (), radius: int = 0) -> list[tuple[int, int]]:
     """Links among the fingerprints of a slice, as pairs of rows of fp.
 
     The first `homes` entries file their row under their key, and look up the flips of it; the
-    others only look up their key. Of two different keys the smaller looks up the larger. Links
-    that join nothing new go to the next of `layers` forests, so that a component stays together
-    if links whose removal leaves a layer are struck out later; with several ascending distances,
-    nearer links come first. A pair that also meets in one of the
-    `earlier` segments (bit ranges), by differing in `radius` bits at most there, is left to that.
+    others only look up their key. Of two different keys the smaller looks up the larger. A pair
+    that also meets in one of the `earlier` segments (bit ranges), by differing in `radius` bits at
+    most there, is left to that.
     """
-    forests = [Forest(len(fp)) for _ in range(layers)]
-    forest = forests[-1]  # pairs that even the last layer has joined are passed over
+    forest = Forest(len(fp))
     order = np.argsort(keys[:homes], kind="stable")
     filed, owner = keys[:homes][order], rows[:homes][order]
     found: list[tuple[int, int]] = []
 
-    limits = (distance,) if isinstance(distance, int) else distance
-
     def join(left: np.ndarray, right: np.ndarray) -> None:
         apart = fp[left] ^ fp[right]
         own = np.ones(len(left), bool)
         for low, high in earlier:
             own &= np.bitwise_count(_segment(apart, low, high)) > radius
         left, right = left[own], right[own]
-        for f in forests:
-            used = f.join(left, right)
-            found.extend(zip(left[used].tolist(), right[used].tolist(), strict=True))
-            rest = np.ones(len(left), bool)
-            rest[used] = False
-            left, right = left[rest], right[rest]
-
-    def meet(own: np.ndarray, start: np.ndarray, stop: np.ndarray, distance: int) -> None:
+        used = forest.join(left, right)
+        found.extend(zip(left[used].tolist(), right[used].tolist(), strict=True))
+
+    def meet(own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         """Each row meets the filed rows from start to stop."""
         number = stop - start
         own, start, number = own[number > 0], start[number > 0], number[number > 0]
@@ -272,30 +263,29 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
     begins = np.flatnonzero(np.r_[True, filed[1:] != filed[:-1]]) if homes else np.empty(0, np.int64)
     sizes = np.diff(np.r_[begins, homes])
     small = np.repeat(sizes <= LARGE, sizes)
-    for limit in limits:
-        look = lambda own, asked: meet(own, np.searchsorted(filed, asked, "left"), np.searchsorted(filed, asked, "right"), limit)  # noqa: B023, E731
-        for a, n in zip(begins[sizes > LARGE], sizes[sizes > LARGE], strict=True):
-            bucket = owner[a : a + n]
-            for k in range(n - 1):  # each row meets, of those behind it, the ones that are not in its component
-                others = bucket[k + 1 :][forest.up[bucket[k + 1 :]] != forest.up[bucket[k]]]
-                if len(others):
-                    near = others[_near(fp, bucket[k : k + 1], others, limit)]
-                    join(np.full(len(near), bucket[k]), near)
-        meet(owner[small], np.repeat(begins, sizes)[small], np.arange(homes)[small], limit)
-        look(rows[homes:], keys[homes:])
-        for flip in flips[1:]:
-            up = (filed ^ flip) > filed
-            look(owner[up], filed[up] ^ flip)
+    look = lambda own, asked: meet(own, np.searchsorted(filed, asked, "left"), np.searchsorted(filed, asked, "right"))
+    for a, n in zip(begins[sizes > LARGE], sizes[sizes > LARGE], strict=True):
+        bucket = owner[a : a + n]
+        for k in range(n - 1):  # each row meets, of those behind it, the ones that are not in its component
+            others = bucket[k + 1 :][forest.up[bucket[k + 1 :]] != forest.up[bucket[k]]]
+            if len(others):
+                near = others[_near(fp, bucket[k : k + 1], others, distance)]
+                join(np.full(len(near), bucket[k]), near)
+    meet(owner[small], np.repeat(begins, sizes)[small], np.arange(homes)[small])
+    look(rows[homes:], keys[homes:])
+    for flip in flips[1:]:
+        up = (filed ^ flip) > filed
+        look(owner[up], filed[up] ^ flip)
     return found
 
 
-def links(fps: DataFrame, distance: int | tuple[int, ...] = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, layers: int = 1) -> DataFrame:
-    """(a, b): links between distinct fingerprints that join all pairs within `distance` bits, or the largest of several.
+def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints that join all pairs within `distance` bits.
 
     radius: of the balls; by default distance // segments, which misses no pair. A smaller one
-    misses pairs whose bits differ in every segment by more. layers: see slice_links().
+    misses pairs whose bits differ in every segment by more.
     """
-    radius = (distance if isinstance(distance, int) else max(distance)) // segments if radius is None else radius
+    radius = distance // segments if radius is None else radius
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = [64 * words * k // segments for k in range(segments + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
@@ -334,7 +324,7 @@ def links(fps: DataFrame, distance: int | tuple[int, ...] = DISTANCE, segments:
                 fits = guest[used + np.bitwise_count(flip) <= radius]
                 pick.append(fits)
                 which.append(key[fits] & low ^ flip | here)
-            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, layers, tuple(zip(edges[:s], edges[1 : s + 1], strict=True)), radius)
+            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, tuple(zip(edges[:s], edges[1 : s + 1], strict=True)), radius)
             if len(found):
                 yield batch_of(_LINK, *([own[pair[k]].astype(">u8").tobytes() for pair in found] for k in (0, 1)))
 
@@ -442,7 +432,7 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return paired.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int | tuple[int, ...] = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
     component_id is the smallest id that a chain of links reaches. With `similarity`, texts of one
@@ -455,7 +445,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prints = written(fingerprints(docs, key, text, size, words, similarity is not None), "simhash")
     node = "fp" if similarity is None else "node"
     distinct = written(prints.groupBy(node).agg(F.min("doc_id").alias("low"), *([] if similarity is None else [F.min("fp").alias("fp"), F.min("n").alias("n")])), "simhash-distinct")
-    found = links(distinct.select("fp").distinct() if similarity is not None else distinct, distance, segments, words, radius, LAYERS if similarity else 1)
+    found = links(distinct.select("fp").distinct() if similarity is not None else distinct, distance, segments, words, radius)
     stars = components(found if similarity is None else verified(found, distinct, docs, key, text, size, similarity)).withColumnRenamed("node", "_node")
     named = distinct.join(stars, distinct[node] == stars["_node"], "left").select(node, "low", F.coalesce("component", node).alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -481,8 +471,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     equal rows one stays.
     """
     named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    limits = tuple(distance_for(similarity, words, slack) for slack in (-1.0, 0.0, 1.0, 3.0))
-    groups = near_duplicates(named, "_row", text, size, limits, segments, words, radius, similarity).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    groups = near_duplicates(named, "_row", text, size, distance_for(similarity, words), segments, words, radius, similarity).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
     ids = named.select("_row", F.col(key).alias("id")).groupBy("_row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     chosen = groups.distinct().join(ids, "_row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "n")).alias("c"))
     chosen = written(chosen.select("c._row", "c.n"), "simhash-kept")

@@ -72,3 +72,26 @@ def test_repeats_do_not_hide_copies(spark):
     line, body = fresh(rng, 11), fresh(rng, 400)
     texts = [" ".join(body + line), " ".join(body + line * 60), " ".join(body + line * 61)]
     assert kept(spark, texts) == survivors(texts) == [0]
+
+
+def test_family_on_a_template_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    base, texts = fresh(rng, 300), []
+    for _ in range(500):
+        own = list(base)
+        for k in rng.choice(300, rng.integers(4, 11), replace=False):
+            own[k] = fresh(rng, 1)[0]
+        texts.append(" ".join(own))
+    want = survivors(texts)
+    assert 1 < len(want) < 500
+    assert kept(spark, texts) == want
+
+
+def test_blocks_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 3)
+    rng = np.random.default_rng(16)
+    base, texts = fresh(rng, 300), []
+    for k in range(40):  # a chain, each only like its neighbours
+        base = base[:10 * k % 300] + fresh(rng, 8) + base[10 * k % 300 + 8 :]
+        texts.append(" ".join(base))
+    assert kept(spark, texts) == survivors(texts) == [0]
