@@ -102,12 +102,12 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.design(features) @ self.curve, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Newton's method with a ridge; the classes weigh as they stand."""
+def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
+    """Newton's method with a ridge, on weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weigh * (p - y)) + ridge * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -196,7 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield batch_of(_FEATURE, batch.column(0), *([f[k] for f in found] for k in range(4)))
 
     rows = some.mapInArrow(run, "toxic int, total double, hits long, peak double, words long").toPandas()  # the bounded sample's numbers
-    lexicon.curve = _logistic(lexicon.design(rows[["total", "hits", "peak", "words"]].to_numpy()), rows["toxic"].to_numpy().astype(float))
+    toxic = rows["toxic"].to_numpy().astype(float)
+    weigh = np.where(toxic == 1, 1 / rate[1], 1 / rate[0])  # the labels are drawn at different rates; the curve is fitted at their true share
+    lexicon.curve = _logistic(lexicon.design(rows[["total", "hits", "peak", "words"]].to_numpy()), toxic, weigh / (weigh.mean() if len(weigh) else 1))
     return lexicon
 
 

@@ -67,3 +67,15 @@ def test_held_out(spark, d):
     pairs = [(got[k]["predicted"], y) for k, y in duckdb.sql(f"SELECT doc_id, toxic FROM '{d}/labels.parquet'").fetchall() if got[k]["held_out"]]
     hit, said, true = sum(p and y for p, y in pairs), sum(p for p, _ in pairs), sum(y for _, y in pairs)
     assert hit / said > 0.95 and hit / true > 0.8
+
+
+def test_curve_is_fitted_at_the_true_share(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "SAMPLE_OTHER", 200)
+    rng = np.random.default_rng(4)
+    rows, labels = corpus(rng, 2000)
+    labels = [(k, int(y and rng.random() < 0.5)) for k, y in labels]  # half of the marked texts are labelled clean
+    share = np.mean([y for _, y in labels])
+    lexicon = toxicity.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = scored(spark, rows, lexicon)
+    assert abs(np.mean(list(got.values())) - share) < 0.03
