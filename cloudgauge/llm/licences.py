@@ -1,11 +1,12 @@
 """Operator 7: licence scans by a positional rare-token index.
 
-Licences are templates of words. A word's postings list the templates and positions it stands at.
-The inverse document frequency of every template word is counted over all documents. In a file,
-the occurrences of its highest-IDF template words are looked up; each posting votes for the
-offset (place in the file minus place in the template), and a template whose votes agree on an
-offset is a candidate there. A candidate holds if a mandatory key phrase of the template stands
-in the file at its place. Phrases of one or a few words are templates that are all key phrase.
+Licences are templates of words, with key phrases of which one must stand in the file. A word's
+postings list the key phrases and positions it stands at; words outside all key phrases cannot make
+a match. The inverse document frequency of every template word is counted over all documents. A
+file's own licence words are looked up from the highest IDF down; the first lookup that reaches a
+key phrase verifies it at all places of the word, so every key phrase in the file is found. The
+offset (place in the file minus place in the template) places the template. Phrases of one or a few
+words are templates that are all key phrase.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import batch_of, chunks, read_table
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: How many of a template's rarest words are looked up, and the share of them that must agree.
-ANCHORS, AGREE = 6, 0.5
 
 
 @dataclass(frozen=True)
@@ -64,41 +63,40 @@ NOTICES = (
 
 
 class Index:
-    """Postings of the anchor words of all templates."""
+    """Postings of the words of all key phrases."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[str, float]):
         self.templates = templates
         self.words = [t.text.encode().split() for t in templates]
-        self.keys = []
-        self.anchors: list[int] = []
+        self.phrases: list[tuple[int, int, list[bytes]]] = []
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, (t, words) in enumerate(zip(templates, self.words, strict=True)):
-            rare = sorted(range(len(words)), key=lambda p: (-idf.get(words[p].decode(), 99.0), p))[:ANCHORS]
-            self.anchors.append(len(rare))
-            for p in rare:
-                self.postings.setdefault(words[p], []).append((k, p))
-            places = []
             for key in t.keys:
                 part = key.encode().split()
-                places.append((next(p for p in range(len(words)) if words[p : p + len(part)] == part), part))
-            self.keys.append(places)
+                for within, word in enumerate(part):
+                    self.postings.setdefault(word, []).append((len(self.phrases), within))
+                self.phrases.append((k, next(p for p in range(len(words)) if words[p : p + len(part)] == part), part))
+        self.rank = {w: (-idf.get(w.decode(), 99.0), w) for w in self.postings}
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, place of its first word, share of its words that agree) of every verified licence."""
-        votes: Counter = Counter()
-        get = self.postings.get
+        places: dict[bytes, list[int]] = {}
         for at, word in enumerate(words):
-            if hits := get(word):
-                for template, place in hits:
-                    votes[template, at - place] += 1
-        found = []
-        for (k, at), n in votes.items():
-            need = self.anchors[k] if self.templates[k].base else max(1, round(AGREE * self.anchors[k]))
-            if n >= need and any(at + p >= 0 and words[at + p : at + p + len(key)] == key for p, key in self.keys[k]):
-                own = self.words[k]
-                same = sum(1 for p, w in enumerate(own) if 0 <= at + p < len(words) and words[at + p] == w)
-                found.append((k, at, same / len(own)))
-        return sorted(found)
+            if word in self.postings:
+                places.setdefault(word, []).append(at)
+        reached, found = set(), set()
+        for word in sorted(places, key=self.rank.__getitem__):
+            for phrase, within in self.postings[word]:
+                if phrase not in reached:
+                    reached.add(phrase)
+                    k, p, key = self.phrases[phrase]
+                    found.update((k, at - within - p) for at in places[word] if at >= within and words[at - within : at - within + len(key)] == key)
+        shares = []
+        for k, at in found:
+            own = self.words[k]
+            same = sum(1 for p, w in enumerate(own) if 0 <= at + p < len(words) and words[at + p] == w)
+            shares.append((k, at, same / len(own)))
+        return sorted(shares)
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -65,3 +65,10 @@ def test_query(spark, column):
         _, places = base(texts[r["doc_id"]])
         want = {"n_base": len(places), "first_word": places[0][0] if places else None, "last_word": places[-1][0] if places else None, "base_labels": ",".join(sorted({p for _, p in places}))}
         assert r[column] == want[column]
+
+
+def test_key_phrase_alone_is_found(spark):
+    rows = [(n, f"x y {key} z") for n, key in enumerate(k for t in BASE + NOTICES for k in t.keys)]
+    want = [t.label for t in BASE + NOTICES for _ in t.keys]
+    got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in scan_licences(documents(spark, rows)).collect()}
+    assert [w for n, w in enumerate(want) if w not in got[n]] == []
