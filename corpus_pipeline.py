@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from cloudgauge.llm import langid, mixing, packing, simhash, toxicity
 from cloudgauge.llm.common import crc_fold, read_table, written
 
-#: A document whose best language has less of its positions' probability than this is rejected.
-LEAST_LANGUAGE = 0.3
+#: A document's best language must have its positions' probability this far from chance (an even share) towards certainty.
+LEAST_LANGUAGE = 0.2
+
+
+def least_language(languages: int) -> float:
+    """Least probability of the best of so many languages; the best one of letter junk has little more than an even share."""
+    return 1 / languages + LEAST_LANGUAGE * (1 - 1 / languages)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or no language that stands out."""
     model = langid.train(docs.where(crc_fold("doc_id", 3) != 1))
+    least = least_language(len(model.languages)) if model else 1.0
     found = langid.identify(docs, model, prediction="_lang", score="_score")
-    return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
