@@ -12,6 +12,7 @@ come from per-bucket counts and a running number inside each small bucket, never
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ from .common import batch_of, read_table, written
 CAPACITY, END_ID = 1024, 0
 #: Rests in a numbering bucket, about.
 BUCKET_ROWS = 200_000
+#: White space in a row from which tiktoken's pattern, which looks ahead there, is not asked: it panics at about a million.
+LONG_SPACE = 50_000
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64()))])
 
@@ -42,7 +45,8 @@ def encoder(json_path: str, ranks_path: str | None):
     """text -> ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     tiktoken reads the same vocabulary three times as fast and gives the same ids, except where a
-    text spells a special token; those texts, and any that tiktoken refuses, go to tokenizers.
+    text spells a special token; those texts, texts with LONG_SPACE white-space characters in a
+    row, and any that tiktoken refuses, go to tokenizers.
     """
     from tokenizers import Tokenizer
 
@@ -57,12 +61,16 @@ def encoder(json_path: str, ranks_path: str | None):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def spaced(text: str) -> bool:
+        return len(text) >= LONG_SPACE and any(len(run) >= LONG_SPACE for run in re.findall(r"\s+", text))
+
     def encode(text: str) -> list[int]:
-        if not any(s in text for s in special):
+        if not any(s in text for s in special) and not spaced(text):
             try:
                 return fast.encode_ordinary(text)
-            except (ValueError, RuntimeError):
-                pass
+            except BaseException as e:  # a panic of the library is no Exception
+                if not isinstance(e, (ValueError, RuntimeError)) and type(e).__name__ != "PanicException":
+                    raise
         return exact.encode(text, add_special_tokens=False).ids
 
     return encode
