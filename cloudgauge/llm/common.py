@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at a time, so that its memory does not follow the batch.
 CHUNK_BYTES = 4 << 20
+#: Rows of a file of a narrow intermediate table.
+FILE_ROWS = 1 << 16
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int) -> int:
+    """Files, and tasks that write them, of a narrow table: as many as its rows ask for, not one a shuffle partition."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder that no result reads any more."""
     jvm = spark.sparkContext._jvm
@@ -76,12 +83,46 @@ def chunks(batch: pa.RecordBatch, column: str | int, most: int = CHUNK_BYTES) ->
         yield batch.slice(int(a), int(b - a))
 
 
+def by_run(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
+    """Each run of rows of one value in a column: the value, and the slices that hold it. Only one run is held."""
+    value, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(column).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+            if held and codes[a] != value:
+                yield value, held
+                held = []
+            value = codes[a].item()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield value, held
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def carried(docs: DataFrame, text: str, kept: list[str]) -> tuple[DataFrame, int, list[int]]:
-    """docs with the columns `kept` and the text, which travels once; where the text is, and where those of `kept` are."""
+    """docs with the columns `kept` and the text, which travels once; where the text is, and where those of `kept` are.
+
+    Columns are named by their places, as mapInArrow fails on names with dots.
+    """
     names = [c.lower() for c in kept]
-    if text.lower() in names:
-        return docs.select(*kept), names.index(text.lower()), list(range(len(kept)))
-    return docs.select(*kept, text), len(kept), list(range(len(kept)))
+    own = [] if text.lower() in names else [text]
+    where = len(kept) if own else names.index(text.lower())
+    return docs.select(*(named(c).alias(f"c{k}") for k, c in enumerate([*kept, *own]))), where, list(range(len(kept)))
 
 
 def ascii_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:

@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
     letter = regex.compile(r"\p{L}")
     taken, where, others = carried(docs, text, kept)
-    schema = docs.select(*kept).schema.add(prediction, "string").add(score, "double")
+    schema = taken.select(*(f"c{k}" for k in others)).schema.add("lang", "string").add("score", "double")
 
     def rows(net: ByteBiGRU, words: list[str]) -> np.ndarray:
         return np.column_stack([net.pooled([w.encode() for w in words]), [bool(letter.search(w)) for w in words]])
@@ -251,9 +251,9 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
                     best = sums[:, :-2].argmax(1)
                     for k in np.flatnonzero(sums[:, -1]):
                         names[k], scores[k] = net.languages[best[k]], min(1.0, sums[k, best[k]] / sums[k, -2])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, prediction, score])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return taken.mapInArrow(run, schema)
+    return taken.mapInArrow(run, schema).toDF(*kept, prediction, score)
 
 
 def op6_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import free_name, named, read_table, written
 
 #: Hash bits, and bits that each histogram resolves.
 BITS, STEP = 48, 12
@@ -104,8 +104,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """(doc_id, size, source_size, target, taken) of every row of docs.
 
     Null texts have size 0; a null source is a source of its own; a source of size 0 has target 0;
-    rows repeated under one id share its hash and fare alike; other columns are left alone. An
-    empty table gives an empty result. Reruns agree: the hash is of the id.
+    rows repeated under one id share its hash and fare alike; very long texts are counted whole;
+    other columns, whatever their names, are not read. An empty table gives an empty result. Reruns agree: the hash is of the id.
     """
     sized = sizes(docs, key, text, source)
     plan = mixing_plan(sized, weights, share, repeats)
@@ -114,10 +114,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns of docs. Texts are not shuffled."""
+    """The rows of docs, each as often as the mix takes it; the columns of docs, whatever their names. Texts are not shuffled.
+
+    Null and empty texts have size 0 and stand as often as others of their source and hash; a null
+    source is a source of its own; rows repeated under one id fare alike; an empty table gives none.
+    """
     plan = mixing_plan(sizes(docs, key, text, source), weights, share, repeats)
-    taken = docs.alias("d").join(plan.alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p.source"))).withColumn("_n", copies(id_hash(F.col(f"d.{key}"))).cast("int"))
-    return taken.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("d.*")
+    number = free_name(docs, "_number")
+    taken = docs.alias("d").join(plan.alias("p"), F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")))
+    taken = taken.select("d.*", F.explode(F.array_repeat(F.lit(0), copies(id_hash(F.col(f"d.`{key}`"))).cast("int"))).alias(number))
+    return taken.select(*map(named, docs.columns))
 
 
 def op3_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

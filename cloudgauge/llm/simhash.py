@@ -27,13 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batch_of, chunks, dropped, fresh_dir, read_table, written
+from .common import ascii_words, batch_of, by_run, chunks, dropped, files_for, free_name, fresh_dir, named, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
 #: Texts, and hashes of their shingle sets, that a block of a candidate group has about; blocks are compared in pairs.
 BLOCK_TEXTS, BLOCK_HASHES = 256, 1 << 18
 #: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
-BLOCK, LARGE = 1 << 19, 512
+BLOCK, LARGE = 1 << 18, 512
+#: Text bytes, and shingles of them, that a task hashes at a time.
+HASH_BYTES, HASHED = 1 << 20, 1 << 16
+#: Fewer nodes than this have so many links that they are looked up by a broadcast.
+HUBS = 4096
 
 
 def shingle_hashes(texts: pa.Array, size: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +56,10 @@ def shingle_hashes(texts: pa.Array, size: int, seed: int = SEED) -> tuple[np.nda
     number = np.where(words > 0, np.maximum(words - size + 1, 1), 0)
     first = np.repeat(np.cumsum(words) - words, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
     last = first + np.repeat(np.minimum(words, size), number) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[first].tolist(), stop[last].tolist(), strict=True)), np.uint64, len(first))
+    digest, hashes = xxhash.xxh64_intdigest, np.empty(len(first), np.uint64)
+    for at in range(0, len(first), HASHED):
+        some = slice(at, at + HASHED)
+        hashes[some] = [digest(joined[a:b], seed) for a, b in zip(start[first[some]].tolist(), stop[last[some]].tolist(), strict=True)]
     return number, hashes
 
 
@@ -93,9 +99,6 @@ def majority(number: np.ndarray, hashes: np.ndarray, words: int = 1) -> np.ndarr
     return out
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("node", pa.binary()), ("n", pa.int64())])
-
-
 def shingle_sets(number: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct values of consecutive groups of hashes."""
     return [np.unique(hashes[end - n : end]) for n, end in zip(number, np.cumsum(number), strict=True)]
@@ -149,7 +152,7 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, wi
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, words: int = 1, sets: bool = False) -> DataFrame:
-    """(doc_id, fp, node, n): the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
+    """(doc_id, fp, node, n): the key, of any type, and the SimHash of every whole text, 8 * words bytes, each word's high byte first; zero for a text without words.
 
     With `sets`, the fingerprint is of the distinct shingles, and node and n are the set's hash and size;
     without, shingles weigh by their repeats, and node and n are null.
@@ -157,7 +160,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            out = pa.schema([("doc_id", batch.schema.field(0).type), ("fp", pa.binary()), ("node", pa.binary()), ("n", pa.int64())])
+            for part in chunks(batch, "text", HASH_BYTES):
                 number, hashes = shingle_hashes(part.column(1), size)
                 nodes = counts = [None] * len(number)
                 if sets:
@@ -165,9 +169,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                     number, hashes = np.array([len(x) for x in own], np.int64), np.concatenate(own)
                     nodes, counts = [set_key(x) for x in own], number
                 prints = majority(number, hashes, words).astype(">u8")
-                yield batch_of(_FP, part.column(0), [p.tobytes() for p in prints], nodes, counts)
+                yield batch_of(out, part.column(0), [p.tobytes() for p in prints], nodes, counts)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary, node binary, n long")
+    rows = docs.select(named(key).alias("doc_id"), named(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary, node binary, n long")
 
 
 class Forest:
@@ -303,40 +308,67 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
                         go = np.flatnonzero((there > place) | (flip == 0))
                         yield batch_of(_DEALT, (there[go] + (s << top)).astype(np.int32), column.take(pa.array(go)), np.full(len(go), flip == 0))
 
+    def slice_of(number: int, fp: np.ndarray, at_home: np.ndarray) -> list[tuple[int, int]]:
+        s, here = number >> top, number & (1 << top) - 1
+        width = widths[s]
+        key = _segment(fp, edges[s], edges[s + 1])
+        low, rest = np.uint64((1 << width - top) - 1), ball(width - top, radius)
+        here = np.uint64(here) << np.uint64(width - top)
+        # a guest has left its slice by some flips, and looks up what the rest of its ball has here
+        guest = np.flatnonzero(~at_home)
+        used = np.bitwise_count((key[guest] & ~low) ^ here)
+        pick, which = [np.flatnonzero(at_home)], [key[at_home]]
+        for flip in rest:
+            fits = guest[used + np.bitwise_count(flip) <= radius]
+            pick.append(fits)
+            which.append(key[fits] & low ^ flip | here)
+        return slice_links(fp, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, tuple(zip(edges[:s], edges[1 : s + 1], strict=True)), radius)
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), _DEALT).combine_chunks()
-        if not table.num_rows:
-            return
-        where, home = table.column("slice").to_numpy(), table.column("home").to_numpy()
-        fp = _words(table.column("fp"))
-        order = np.argsort(where, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-            s, own, at_home = int(where[rows[0]]) >> top, fp[rows], home[rows]
-            width = widths[s]
-            key = _segment(own, edges[s], edges[s + 1])
-            low, rest = np.uint64((1 << width - top) - 1), ball(width - top, radius)
-            here = np.uint64(int(where[rows[0]]) & (1 << top) - 1) << np.uint64(width - top)
-            # a guest has left its slice by some flips, and looks up what the rest of its ball has here
-            guest = np.flatnonzero(~at_home)
-            used = np.bitwise_count((key[guest] & ~low) ^ here)
-            pick, which = [np.flatnonzero(at_home)], [key[at_home]]
-            for flip in rest:
-                fits = guest[used + np.bitwise_count(flip) <= radius]
-                pick.append(fits)
-                which.append(key[fits] & low ^ flip | here)
-            found = slice_links(own, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, tuple(zip(edges[:s], edges[1 : s + 1], strict=True)), radius)
-            if len(found):
-                yield batch_of(_LINK, *([own[pair[k]].astype(">u8").tobytes() for pair in found] for k in (0, 1)))
+        for number, parts_of in by_run(batches, "slice"):
+            table = pa.Table.from_batches(parts_of)
+            fp = _words(table.column("fp").combine_chunks())
+            found = slice_of(number, fp, table.column("home").to_numpy())
+            for at in range(0, len(found), 1 << 16):
+                yield batch_of(_LINK, *([fp[pair[k]].astype(">u8").tobytes() for pair in found[at : at + (1 << 16)]] for k in (0, 1)))
 
     dealt = fps.select("fp").mapInArrow(deal, "slice int, fp binary, home boolean")
-    return dealt.repartition(parts, "slice").mapInArrow(match, "a binary, b binary")
+    return dealt.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(match, "a binary, b binary")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, number: int) -> DataFrame:
+    """(u, v, m): each link with the least v of its u.
+
+    The least is a partial and a final aggregate. Nodes with over a HUBS-th of all links, of which there are
+    fewer than HUBS, find theirs by a broadcast, so that no key gathers in one task; the rest by a sort-merge join.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > number // HUBS + 1).select("u", "m"))
+    few = edges.join(hubs.select("u"), "u", "left_anti").join(low.select("u", "m").hint("merge"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").unionByName(few.select("u", "v", "m"))
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): a task's links (a, b) as stars: each of their nodes with the smallest that it reaches by them."""
+    table = pa.Table.from_batches(list(batches), _LINK)
+    both = pa.concat_arrays([c for name in ("a", "b") for c in table.column(name).chunks]) if table.num_rows else pa.array([], pa.binary())
+    nodes = pc.unique(both)
+    nodes = nodes.take(pc.sort_indices(nodes))
+    place = pc.index_in(both, nodes).to_numpy(zero_copy_only=False).astype(np.int64)
+    forest = Forest(len(nodes))
+    forest.join(place[: table.num_rows], place[table.num_rows :])
+    out = np.flatnonzero(forest.up != np.arange(len(nodes)))
+    for at in range(0, len(out), 1 << 16):
+        some = out[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(forest.up[some]))], names=["u", "v"])
+
+
+def components(links: DataFrame, tasks: int = 1, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches.
 
-    Large-star joins the larger neighbours of each node to its smallest neighbour, small-star the
-    smaller ones; both keep the components and together end in stars.
+    Each of `tasks` tasks contracts its share of the links to stars. Then large-star joins the larger
+    neighbours of each node to its smallest neighbour, small-star the smaller ones; both keep the
+    components and together end in stars, when a round changes nothing.
     """
     spark, kept = links.sparkSession, []
 
@@ -348,17 +380,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = save(links.repartition(tasks).mapInArrow(contracted, "u binary, v binary"))
     was = state(edges)
     for _ in range(rounds):
         if not was[0]:
             break
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = save(small.where("u <> v").distinct())
+        both = _with_least(edges.union(edges.select("v", "u")), 2 * was[0])
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, was[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = save(small.where("u <> v").distinct().coalesce(files_for(was[0])))  # a round's links are no more than the ones before
         now = state(edges)
         if now == was:
             break
@@ -374,7 +404,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 _SIDE = pa.schema([("group", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.binary()), ("own", pa.binary())])
 
 
-def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float, files: int = 1) -> DataFrame:
     """(a, b): links between nodes that join all pairs whose whole shingle sets are `similarity` alike or more, within groups.
 
     nodes has one row (node, fp, low, n) for each distinct shingle set; low is the id of a row of docs that has it. Groups are
@@ -383,17 +413,17 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     blocks is a task's work of bounded size; only the sets of grouped nodes are built again and
     travel, once for each block of their group. The joins are sort-merge joins at any size.
     """
-    coarse = components(found)
-    placed = written(nodes.join(coarse.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("node", "low", "n", F.coalesce("component", "fp").alias("group")), "simhash-placed")
+    coarse = components(found, files)
+    placed = written(nodes.join(coarse.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("node", "low", "n", F.coalesce("component", "fp").alias("group")).coalesce(files), "simhash-placed")
     sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total")).where("texts > 1")
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("total") / BLOCK_HASHES)).cast("int")
     dealt = placed.join(sizes.select("group", blocks.alias("blocks")).hint("merge"), "group").select("node", "low", "group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
+    rows = docs.select(named(key).alias("_key"), named(text).alias("text"))
     sides = rows.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("low"))).select("group", "block", "blocks", "node", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", HASH_BYTES):
                 own = shingle_sets(*shingle_hashes(part.column(4), size))
                 same = [k for k, (x, node) in enumerate(zip(own, part.column(3).to_pylist(), strict=True)) if set_key(x) == node]  # an id may name several texts
                 if same:
@@ -439,18 +469,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingle set are merged, fingerprints are of sets and find candidates only, and links hold by
     the Jaccard similarity of the whole sets. Null and empty texts have the fingerprint 0 and are
     linked like any other. A null id stays null and never names a component unless all ids of it
-    are null. Rows repeated under one id each get a row; other columns are not read. An empty table
-    gives no rows.
+    are null. Rows repeated under one id each get a row; other columns, whatever their names, are not
+    read. Texts are read whole, however long; a task hashes a very long one by itself. An empty
+    table gives no rows.
     """
     prints = written(fingerprints(docs, key, text, size, words, similarity is not None), "simhash")
+    files = files_for(prints.count())
     node = "fp" if similarity is None else "node"
-    distinct = written(prints.groupBy(node).agg(F.min("doc_id").alias("low"), *([] if similarity is None else [F.min("fp").alias("fp"), F.min("n").alias("n")])), "simhash-distinct")
+    lows = prints.groupBy(node).agg(F.min("doc_id").alias("low"), *([] if similarity is None else [F.min("fp").alias("fp"), F.min("n").alias("n")]))
+    distinct = written(lows.coalesce(files), "simhash-distinct")
     found = links(distinct.select("fp").distinct() if similarity is not None else distinct, distance, segments, words, radius)
-    stars = components(found if similarity is None else verified(found, distinct, docs, key, text, size, similarity)).withColumnRenamed("node", "_node")
-    named = distinct.join(stars, distinct[node] == stars["_node"], "left").select(node, "low", F.coalesce("component", node).alias("component"))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(named.join(least, "component").select(node, "component_id"), "simhash-named")
-    return prints.select("doc_id", *dict.fromkeys(["fp", node])).join(named, node).select("doc_id", "fp", "component_id")
+    stars = components(found if similarity is None else verified(found, distinct, docs, key, text, size, similarity, files), files).withColumnRenamed("node", "_node")
+    placed = distinct.join(stars, distinct[node] == stars["_node"], "left").select(node, "low", F.coalesce("component", node).alias("component"))
+    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    placed = written(placed.join(least, "component").select(node, "component_id").coalesce(files), "simhash-named")
+    return prints.select("doc_id", *dict.fromkeys(["fp", node])).join(placed, node).select("doc_id", "fp", "component_id").coalesce(files)
 
 
 def distance_for(similarity: float, words: int, slack: float = 3.0) -> int:
@@ -467,18 +500,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     Groups are components of texts whose sets of `size`-word shingles are `similarity` alike or
     more. Fingerprints of 64 * words bits find the candidates, with some slack; the whole sets decide.
-    Rows are told apart by a hash of all their columns, so null and repeated ids do no harm; of
-    equal rows one stays.
+    Rows are told apart by 128 bits of a SHA-256 of all their named values, so null and repeated ids do
+    no harm; of equal rows one stays. Null and empty texts are one group, of which one stays. Texts
+    are read whole, however long. Columns of any name and type come back as they were. An empty
+    table gives no rows.
     """
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    groups = near_duplicates(named, "_row", text, size, distance_for(similarity, words), segments, words, radius, similarity).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
-    ids = named.select("_row", F.col(key).alias("id")).groupBy("_row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    chosen = groups.distinct().join(ids, "_row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "n")).alias("c"))
-    chosen = written(chosen.select("c._row", "c.n"), "simhash-kept")
+    row, number = free_name(docs, "_row"), free_name(docs, "_number")
+    marked = docs.select("*", F.substring(F.unhex(F.sha2(F.to_json(F.struct(*map(named, docs.columns))), 256)), 1, 16).alias(row))
+    groups = near_duplicates(marked, row, text, size, distance_for(similarity, words), segments, words, radius, similarity).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    ids = marked.select(F.col(row).alias("row"), named(key).alias("id")).groupBy("row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    chosen = groups.distinct().join(ids, "row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "n")).alias("c"))
+    chosen = written(chosen.select(F.col("c.row").alias(row), F.col("c.n").alias(number)).coalesce(files_for(marked.count())), "simhash-kept")
     # a sort-merge join at any size: what is kept grows with the input, so it is never broadcast
-    kept = named.join(chosen.hint("merge"), "_row")
-    repeated = kept.where("n > 1").dropDuplicates(["_row"])
-    return kept.where("n = 1").unionByName(repeated).select(*docs.columns)
+    kept = marked.join(chosen.hint("merge"), row)
+    repeated = kept.where(F.col(number) > 1).dropDuplicates([row])
+    return kept.where(F.col(number) == 1).unionByName(repeated).select(*map(named, docs.columns))
 
 
 def op9_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,15 +212,16 @@ def rate_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: l
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != score.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_ENTRIES entries
     taken, where, others = carried(docs, text, kept)
+    schema = taken.select(*(f"c{k}" for k in others)).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for part in chunks(batch, where):
                 found = np.array([own.features(t.as_py() or "") for t in part.column(where)], float).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(own.scores(found))], names=[*kept, score])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(own.scores(found))], names=schema.names)
 
-    return taken.mapInArrow(run, docs.select(*kept).schema.add(score, "double"))
+    return taken.mapInArrow(run, schema).toDF(*kept, score)
 
 
 def op5_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

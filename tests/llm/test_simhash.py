@@ -97,8 +97,19 @@ def test_a_large_family_costs_a_forest(spark, monkeypatch):
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 150), (120, 150), (100, 120), (7, 7)]
     df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in pairs], "a binary, b binary")
-    got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["component"], "big") for r in simhash.components(df).collect()}
-    assert got == {**{k: 0 for k in range(1, 41)}, 120: 100, 150: 100}
+    for tasks in (1, 7):
+        got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["component"], "big") for r in simhash.components(df, tasks).collect()}
+        assert got == {**{k: 0 for k in range(1, 41)}, 120: 100, 150: 100}
+    assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_hubs_and_the_rest_find_their_least(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUBS", 10)
+    pairs = [(9, k) for k in range(100, 160)] + [(8, k) for k in range(100, 104)] + [(k, k + 1) for k in range(20)]
+    df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "u binary, v binary")
+    got = sorted((r["u"][0], r["v"][0], r["m"][0]) for r in simhash._with_least(df, len(pairs)).collect())
+    least = {a: min(b for x, b in pairs if x == a) for a, _ in pairs}
+    assert got == sorted((a, b, least[a]) for a, b in pairs)
 
 
 def test_documents(spark):
@@ -145,3 +156,13 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [*range(30), None]))
     assert simhash.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_rows_are_told_apart_by_all_their_values(spark):
+    line = "alpha beta gamma delta epsilon zeta"
+    rows = [(None, line, None, {"a": 1}, 1, "x", line), (None, None, line, {"a": 1}, 1, "x", line), (None, None, line, {"a": 2}, 1, "x", line)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, _row map<string,int>, _number int, `n.x` string, row string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == 2 and rows[0] in kept and all(r in rows for r in kept)
