@@ -1,4 +1,8 @@
-"""A training corpus from documents: each stage reads what the one before it wrote."""
+"""A training corpus from documents: each stage reads what the one before it wrote.
+
+Stages read whole texts, however long. Columns that documents has besides its own, whatever their
+names, pass through unchanged. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudgauge.llm import langid, mixing, packing, simhash, toxicity
-from cloudgauge.llm.common import crc_fold, read_table, written
+from cloudgauge.llm.common import crc_fold, free_name, named, read_table, written
 
 #: A document's best language must have its positions' probability this far from chance (an even share) towards certainty.
 LEAST_LANGUAGE = 0.2
@@ -18,31 +22,48 @@ def least_language(languages: int) -> float:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or no language that stands out."""
+    """Drops documents without a language: no letters (null and empty texts among them), or no language that stands out.
+
+    Repeated rows fare alike, null ids are kept like others. Where no document names its language, nothing
+    is learned and none is kept.
+    """
+    prediction, score = free_name(docs, "_lang"), free_name(docs, "_score")
     model = langid.train(docs.where(crc_fold("doc_id", 3) != 1))
     least = least_language(len(model.languages)) if model else 1.0
-    found = langid.identify(docs, model, prediction="_lang", score="_score")
-    return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    found = langid.identify(docs, model, prediction=prediction, score=score)
+    return found.where((F.col(prediction) != langid.UNKNOWN) & (F.col(score) >= least)).select(*map(named, docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops toxic documents."""
+    """Drops toxic documents.
+
+    Null and empty texts score as texts without a match do, and stay, as all do where no labels teach.
+    Repeated rows fare alike.
+    """
+    score = free_name(docs, "_score")
     lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.rate_toxicity(docs, lexicon, score="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    rated = toxicity.rate_toxicity(docs, lexicon, score=score)
+    return rated.where(F.col(score) < toxicity.THRESHOLD).select(*map(named, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: that of the smallest id, any id before a null one.
+
+    Repeated rows are such a group, and so are all texts without a word.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings the sources to their weights; a document stands as often as it is taken."""
+    """Brings the sources to their weights; a document stands as often as it is taken.
+
+    A null source is one of its own; a source without words has no target and goes; repeated rows fare alike.
+    """
     return mixing.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token pieces into sequences."""
+    """Packs token pieces into sequences; a null or empty text is the end id alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
