@@ -41,8 +41,8 @@ class Record:
     url: str | None
     refers_to: int | None
     payload: bytes
-    payload_bytes: int
-    payload_digest: str
+    payload_bytes: int | None
+    payload_digest: str | None
 
 
 def base32_sha1(data: bytes) -> str:
@@ -70,7 +70,7 @@ def record_bytes(kind: str, page_id: int | None, url: str | None, refers_to: int
     """A record: named fields, an HTTP head with the payload's length, and for a response the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    own = f"{_PAGE}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest)}"
+    own = f"{_PAGE}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{own}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url:
         fields.append(("WARC-Target-URI", _line(url)))
@@ -89,19 +89,25 @@ def info_bytes() -> bytes:
     return fields.encode() + block + b"\r\n\r\n"
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
+def _fields(lines: list[bytes], code: str = "utf-8") -> dict[str, str]:
+    """Named fields: UTF-8 in WARC, any bytes (as Latin-1) in HTTP."""
     out: dict[str, str] = {}
     for line in lines:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise ArchiveError(f"not a header line: {line[:80]!r}")
-        out[name.strip().lower().decode()] = value.strip().decode()
+        try:
+            out[name.strip().lower().decode(code)] = value.strip().decode(code)
+        except UnicodeDecodeError as e:
+            raise ArchiveError(f"a header line is not UTF-8: {line[:80]!r}") from e
     return out
 
 
 def _page(value: str | None) -> int | None:
-    value = (value or "").strip("<>")
-    return int(value.removeprefix(_PAGE)) if value.startswith(_PAGE) else None
+    """The page that a record id names; None for ids of other archives."""
+    number = (value or "").strip("<>")
+    number = number.removeprefix(_PAGE) if number.startswith(_PAGE) else ""
+    return int(number) if number.removeprefix("-").isdecimal() else None
 
 
 def parse(data: bytes) -> Record | None:
@@ -123,15 +129,20 @@ def parse(data: bytes) -> Record | None:
     http, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not http.startswith(b"HTTP/"):
         raise ArchiveError("a block does not begin with an HTTP head")
-    size = _fields(http.split(b"\r\n")[1:]).get("content-length", "")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not size.isdigit() or (len(payload) != int(size) if kind == "response" else payload):
+    size = _fields(http.split(b"\r\n")[1:], "latin-1").get("content-length")
+    if size is not None and not size.isdecimal():
+        raise ArchiveError("the payload's stated length is no number")
+    if (kind == "revisit" and payload) or (kind == "response" and size is not None and len(payload) != int(size)):
         raise ArchiveError("the payload does not have the length that is stated")
-    if kind == "response" and digest != base32_sha1(payload):
+    stated, own = fields.get("warc-payload-digest"), base32_sha1(payload)
+    if kind == "response" and stated is not None and stated.startswith("sha1:") and stated != "sha1:" + own:
         raise ArchiveError("the payload does not have the digest that is stated")
+    # both are optional: a response's are those of its payload, a revisit's are then unknown
+    digest = own if kind == "response" else (stated or "").removeprefix("sha1:") or None
+    length = len(payload) if kind == "response" else None if size is None else int(size)
     if kind == "revisit" and ("warc-refers-to" not in fields or "warc-profile" not in fields):
         raise ArchiveError("a revisit does not say what it refers to")
-    return Record(kind, _page(fields["warc-record-id"]), fields.get("warc-target-uri"), _page(fields.get("warc-refers-to")), payload, int(size), digest)
+    return Record(kind, _page(fields["warc-record-id"]), fields.get("warc-target-uri"), _page(fields.get("warc-refers-to")), payload, length, digest)
 
 
 def read_archive(stream: BinaryIO) -> Iterator[Record]:
@@ -184,7 +195,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """Writes all pages below `path`; (archive, records, bytes), one row an archive.
 
     Equal payloads of at least `least` bytes share one response, that with the smallest id; null
-    ids come last. Rows repeated under that smallest id are all responses. A task that is run
+    ids come last and have record ids of their own. Rows repeated under that smallest id are all
+    responses. Null and empty payloads are empty ones; payloads are written whole, however long. Further
+    columns, whatever their names, are not read; an empty table gives no archive. A task that is run
     again writes an archive of another name, and only the names that Spark committed are listed.
     """
     spark = pages.sparkSession

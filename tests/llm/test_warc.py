@@ -57,3 +57,21 @@ def test_small_payloads_are_all_responses(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_optional_fields():
+    whole = record(7, b"hello")
+    digest = f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'hello')}\r\n".encode()
+    block = b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\n\r\nhello"
+    plain = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for data, page in ((whole.replace(digest, b""), 7), (plain, None)):
+        r = warc.parse(data)
+        assert (r.kind, r.page_id, r.payload, r.payload_bytes, r.payload_digest) == ("response", page, b"hello", 5, warc.base32_sha1(b"hello"))
+    with pytest.raises(warc.ArchiveError):
+        warc.parse(whole.replace(b"http://a/ b", b"http://\xff/b"))
+    with pytest.raises(warc.ArchiveError):
+        warc.parse(whole.replace(digest, b"WARC-Payload-Digest: sha1:AAAA\r\n"))
+
+
+def test_null_ids_have_records_of_their_own():
+    assert record(None, b"same") != record(None, b"same")
