@@ -173,9 +173,9 @@ _WORDS = pa.schema([("lang", pa.string()), ("word", pa.binary())])
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> ByteBiGRU | None:
-    """Fits the network on about `sample` labelled rows at most, of each at most `words` words spread over the whole text.
+    """Fits the network on about `sample` labelled rows at most, of each at most `words` words.
 
-    Rows without text or language teach nothing; None if there are none.
+    A long text's words are those at places drawn from the whole text by its id. Rows without text or language teach nothing; None if there are none.
     """
     import xxhash
 
@@ -189,14 +189,14 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
                 count, flat = ascii_words(part.column(1), lower=True)
                 at = np.cumsum(count) - count
                 langs, picked = [], []
-                for name, a, n in zip(part.column(0).to_pylist(), at, count, strict=True):
-                    own = flat.slice(int(a), int(n)).to_pylist()
-                    own = sorted(own, key=lambda w: xxhash.xxh64_intdigest(w + name, 5))[:words] if n > words else own
+                for name, seed, a, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), at, count, strict=True):
+                    drawn = np.arange(n) if n <= words else np.random.default_rng(xxhash.xxh64_intdigest(seed, 5)).choice(n, words, replace=False)
+                    own = flat.take(pa.array(a + drawn)).to_pylist()
                     picked += [w.encode() for w in own]
                     langs += [name] * len(own)
                 yield batch_of(_WORDS, langs, picked)
 
-    pairs = some.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, word binary").groupBy("lang", "word").count().collect()
+    pairs = some.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).mapInArrow(run, "lang string, word binary").groupBy("lang", "word").count().collect()
     if not pairs:
         return None
     pairs.sort(key=lambda r: (r["lang"], bytes(r["word"])))

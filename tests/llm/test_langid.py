@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,37 @@ def test_documents(spark, net):
     assert langid.identify(documents(spark, []), net).count() == 0
 
 
+def plain_pooled(net, word):
+    """Sums over the positions of a word, one number at a time."""
+    p, k, n = {a: b.astype(float).tolist() for a, b in net.p.items()}, net.units, len(net.languages)
+    sums = [0.0] * n
+    for piece in (word[a : a + langid.WINDOW] for a in range(0, len(word), langid.WINDOW)):
+        states = {}
+        for d, order in (("f", range(len(piece))), ("b", range(len(piece) - 1, -1, -1))):
+            h = [0.0] * k
+            for t in order:
+                x = p[f"x{d}"][piece[t]]
+                u = [sum(h[i] * p[f"u{d}"][i][j] for i in range(k)) for j in range(3 * k)]
+                z = [1 / (1 + math.exp(-x[j] - u[j])) for j in range(k)]
+                r = [1 / (1 + math.exp(-x[k + j] - u[k + j])) for j in range(k)]
+                new = [math.tanh(x[2 * k + j] + r[j] * u[2 * k + j]) for j in range(k)]
+                h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(k)]
+                states[d, t] = h
+        for t in range(len(piece)):
+            logit = [p["bias"][c] + sum(states["f", t][i] * p["of"][i][c] + states["b", t][i] * p["ob"][i][c] for i in range(k)) for c in range(n)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            sums = [s + v / sum(e) for s, v in zip(sums, e, strict=True)]
+    return sums
+
+
+def test_against_a_plain_forward_pass(spark, net):
+    texts = ["babo Bubu zize", "бабо " * 3 + "12", "x" * 60 + " zé", "日本 ba-bo"]
+    for r in langid.identify(documents(spark, list(enumerate(texts))), net).collect():
+        words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).encode() for w in texts[r["doc_id"]].split()]
+        sums = np.sum([plain_pooled(net, w) for w in words], 0) / sum(map(len, words))
+        assert r["lang_pred"] == net.languages[int(np.argmax(sums))] and r["score"] == pytest.approx(sums.max(), abs=1e-4)
+
+
 def test_positions(net):
     runs = label_positions(net, "babobu бабо")
     assert runs[0][0] == 0 and runs[-1][1] == len("babobu бабо".encode()) and {r[2] for r in runs} >= {"xx", "zz"}
