@@ -49,17 +49,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def vectors(keys: np.ndarray) -> np.ndarray:
-    """Wide vectors (uint16) of 64-bit passage hashes, one row each."""
+    """Wide vectors (uint16) of 128-bit passage hashes (two words a row), one row each."""
     words = EQUAL // 4 + LIKE // 64
+    steps = _GOLD * np.arange(1, words + 1, dtype=np.uint64)[None, :]
     with np.errstate(over="ignore"):
-        stream = _mixed(keys[:, None] + _GOLD * np.arange(1, words + 1, dtype=np.uint64)[None, :])
+        stream = _mixed(_mixed(keys[:, :1] + steps) ^ (keys[:, 1:] + steps))
     equal = np.ascontiguousarray(stream[:, : EQUAL // 4]).view("<u2")
     signs = np.unpackbits(np.ascontiguousarray(stream[:, EQUAL // 4 :]).view(np.uint8), axis=1).astype(np.uint16)
     return np.concatenate([equal, signs * np.uint16(2) - np.uint16(1)], 1)
 
 
 def passage_keys(items: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(p, 0) for p in items), np.uint64, len(items))
+    """XXH3's 128 bits of each passage, as two words, the low one first."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in items), ">u8").astype(np.uint64).reshape(-1, 2)[:, ::-1]
 
 
 class Fingerprint:
@@ -141,7 +143,7 @@ def with_successor(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.join(table, "k", "left")
     places = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost")))))
     dealt = rows.select("k", "doc_id", "text", F.explode(places).alias("p")).select("p.range", "p.ghost", "k", "doc_id", "text")
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "ghost", "k", "text")
+    return dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "ghost", "k", "text")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
