@@ -1,16 +1,20 @@
 """Operator 5: toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, replaces homoglyphs and digit substitutions by the letters they stand for,
-removes invisible characters and turns all else that is no letter into spaces. The lexicon holds
-word beginnings; each weighs the logarithm of its rate in toxic over its rate in other text. A
-match inside an exception phrase does not count. The matches' sum, number and largest weight, the
+Folding decomposes, lower-cases, replaces homoglyphs and digit substitutions by the letters they stand
+for, removes accents and invisible characters and turns all else that is no letter into spaces. An
+exclamation mark between letters is read both as an i and as a space. The lexicon holds word beginnings;
+each weighs the logarithm of its rate in toxic over its rate in other text. Exception phrases are a match
+with the word before or behind it that other texts hold at least as often as toxic ones; a match
+inside one does not count. The matches' sum, number and largest weight, the
 length and the sum by length give the score through a logistic curve. Weights and curve are learned from a bounded sample of
 labelled rows.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,31 +33,38 @@ THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones, and the signs that are written for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ɑ": "a", "ɡ": "g"}
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
-#: Harmless phrases that hold a word which may be in the lexicon.
-EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "clownfish", "clown fish", "circus clown", "not stupid", "not an idiot", "not a loser", "not worthless", "not disgusting", "not pathetic")
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+#: Documents of other text that an exception phrase stands in at least.
+LEAST_SPARED = 4
 
 
 class _Fold(dict):
     """A table for str.translate that fills itself: what each character folds to."""
 
     def __missing__(self, code: int) -> str:
-        shown = unicodedata.normalize("NFKC", chr(code)).lower()
-        out = "".join(HOMOGLYPHS.get(c, DIGITS.get(c, c)) for c in unicodedata.normalize("NFC", shown))
-        if unicodedata.category(chr(code)) in ("Cf", "Mn"):
-            out = ""
-        elif not out.isalpha():
+        shown = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(code)).lower())
+        out = "".join(HOMOGLYPHS.get(c, DIGITS.get(c, c)) for c in shown if unicodedata.category(c) not in ("Cf", "Mn"))
+        if shown and not out.isalpha() and out:
             out = " "
         self[code] = out
         return out
 
 
-_FOLD = _Fold()
+_FOLD = _Fold({ord("!"): "!"})
+_MARK = re.compile(r"(?<=[^\W_])!(?=[^\W_])")
+
+
+def readings(text: str) -> tuple[str, str]:
+    """The text folded, between spaces: with exclamation marks as spaces, and with those between letters as an i."""
+    folded = " " + text.translate(_FOLD) + " "
+    if "!" not in folded:
+        return folded, folded
+    return folded.replace("!", " "), _MARK.sub("i", folded).replace("!", " ")
 
 
 def fold(text: str) -> str:
-    """The text folded, with a space before it."""
-    return " " + text.translate(_FOLD)
+    """The text folded, between spaces; exclamation marks between letters are read as an i."""
+    return readings(text)[1]
 
 
 @dataclass
@@ -61,7 +72,7 @@ class Lexicon:
     """Weights of word beginnings, exception phrases, and the curve from features to a score."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0]))
     _automaton: object = None
 
@@ -82,14 +93,20 @@ class Lexicon:
         if not self.weights:
             return []
         found = [(end + 1 - n, end + 1, w) for end, (n, w) in self.automaton().iter(folded)]
-        spared = [(a, b) for a, b, w in found if w is None]
-        return [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in spared)]
+        starts, reach = [], []  # of exception phrases in order of their starts, how far those so far reach
+        for a, b in sorted((a, b) for a, b, w in found if w is None):
+            starts.append(a)
+            reach.append(max(b, reach[-1] if reach else b))
+        return [(a, b, w) for a, b, w in found if w is not None and not ((k := bisect_right(starts, a)) and reach[k - 1] >= b)]
 
     def features(self, text: str) -> tuple[float, int, float, int]:
         """Sum of weights, matches, largest weight, and words of the folded text."""
-        folded = fold(text)
-        found = [w for *_, w in self.spans(folded)]
-        return sum(found), len(found), max(found, default=0.0), len(folded.split())
+        plain, joined = readings(text)
+        spans = self.spans(plain)
+        if joined != plain:  # the readings have the same places
+            spans = list({*spans, *self.spans(joined)})
+        found = [w for *_, w in spans]
+        return sum(found), len(found), max(found, default=0.0), len(plain.split())
 
     @staticmethod
     def design(features: np.ndarray) -> np.ndarray:
@@ -147,17 +164,20 @@ def _counted(some: DataFrame, allowed=None) -> DataFrame:
 def choose(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, float]:
     """Lexicon entries with weights from (entry, toxic) -> (docs, hits).
 
-    The most telling entry is taken first; entries that begin with it, or that it begins with,
+    An entry's odds must stand out by more than the largest of as many chance ones would: sqrt(2 ln n)
+    standard errors. The most telling entry is taken first; entries that begin with it, or that it begins with,
     are then left out, so no word counts twice.
     """
     (p_docs, p_words), (n_docs, n_words) = counts.get(("", 1), (0, 0)), counts.get(("", 0), (0, 0))
     ranked = []
-    for entry in {e for e, _ in counts if e}:
+    entries = {e for e, _ in counts if e}
+    least = max(3.0, np.sqrt(2 * np.log(max(1, len(entries)))))
+    for entry in entries:
         (p, ph), (n, nh) = counts.get((entry, 1), (0, 0)), counts.get((entry, 0), (0, 0))
         weight = np.log((ph + 0.1) / (p_words + 1)) - np.log((nh + 0.5) / (n_words + 1))
         odds = np.log((p + 0.5) / (p_docs + 1)) - np.log((n + 0.5) / (n_docs + 1))
         z = odds / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        if weight >= LEAST_WEIGHT and z >= 3:
+        if weight >= LEAST_WEIGHT and z >= least:
             ranked.append((-z * odds, -len(entry), entry, float(weight)))
     chosen: dict[str, float] = {}
     closed: set[str] = set()
@@ -171,10 +191,38 @@ def choose(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, float]:
     return chosen
 
 
+_PHRASE = pa.schema([("phrase", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64())])
+
+
+def _phrases(some: DataFrame, shared) -> dict[tuple[str, int], int]:
+    """(phrase, toxic) -> documents, of matched words with the word before or behind them; '' counts documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folded, own = fold(text.as_py() or ""), {""}
+                for a, _, _ in shared.value.spans(folded):
+                    stop = folded.index(" ", a + 1)
+                    word, before, behind = folded[a + 1 : stop], folded[:a].rstrip()[-40:].split(" ")[-1], folded[stop : stop + 40].split(maxsplit=1)
+                    own.update([f"{before} {word}"] if before else [], [f"{word} {behind[0]}"] if behind else [])
+                counts.update((phrase, toxic) for phrase in own)
+        yield batch_of(_PHRASE, [k[0] for k in counts], [k[1] for k in counts], list(counts.values()))
+
+    rows = some.mapInArrow(run, "phrase string, toxic int, docs long").groupBy("phrase", "toxic").agg(F.sum("docs").alias("docs")).collect()  # of the bounded sample
+    return {(r["phrase"], r["toxic"]): r["docs"] for r in rows}
+
+
+def spared(counts: dict[tuple[str, int], int]) -> tuple[str, ...]:
+    """Phrases that stand in LEAST_SPARED other documents or more, and in no smaller share of them than of toxic ones."""
+    toxic, other = max(1, counts.get(("", 1), 0)), max(1, counts.get(("", 0), 0))
+    return tuple(sorted(p for (p, label), n in counts.items() if p and label == 0 and n >= LEAST_SPARED and n * toxic >= counts.get((p, 1), 0) * other))
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Learns from about SAMPLE_TOXIC and SAMPLE_OTHER labelled rows at most, drawn by a hash of the id.
 
-    Null labels teach nothing. Without rows of both labels the lexicon is empty and scores are low.
+    Weights and exception phrases are counted in that sample. Null labels teach nothing. Without rows of both labels the lexicon is empty and scores are low.
     """
     spark = docs.sparkSession
     marked = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IN (0, 1)")
@@ -187,7 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(drawn, "_id").select("toxic", "_text")
     toxic = {r["entry"]: r["docs"] for r in _counted(some.where("toxic = 1")).where(F.col("docs") >= max(LEAST_DOCS, int(LEAST_SHARE * min(there[1], SAMPLE_TOXIC)))).collect()}
     counts = {(r["entry"], r["toxic"]): (r["docs"], r["hits"]) for r in _counted(some, spark.sparkContext.broadcast(frozenset(toxic))).collect()}
-    lexicon = Lexicon(choose(counts))
+    weights = choose(counts)
+    lexicon = Lexicon(weights, spared(_phrases(some, spark.sparkContext.broadcast(Lexicon(weights)))))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

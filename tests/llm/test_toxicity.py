@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -8,9 +10,10 @@ from tests.llm.tools import documents
 
 
 def test_folding():
-    assert fold("1D10T").split() == ["idiot"] and fold("іdіоt") == " idiot" and fold("ｉｄｉｏｔ") == " idiot"
-    assert fold("i​díot").replace(" ", "") in ("idiot", "idíot") and fold("a-b_c###") == " a b c   "
-    assert fold("réeux") == " réeux"
+    assert fold("1D10T").split() == ["idiot"] and fold("іdіоt") == " idiot " and fold("ｉｄｉｏｔ") == " idiot "
+    assert fold("idíot") == fold("idi\u0301ot") == " idiot " and fold("ＩＤÍＯＴ!") == " idiot  "
+    assert toxicity.readings("Hello!world id!ot oh!") == (" hello world id ot oh  ", " helloiworld idiot oh  ")
+    assert fold("i\u200bdíot").split() == ["idiot"] and fold("a-b_c###") == " a b c    " and fold("réeux") == " reeux "
 
 
 def test_spans_and_exceptions():
@@ -20,6 +23,40 @@ def test_spans_and_exceptions():
     assert own.features("trash trash") == (4.0, 2, 2.0, 2) and own.features("") == (0, 0, 0.0, 0) and Lexicon().features("trash") == (0, 0, 0.0, 1)
 
 
+def plain_spans(lexicon, folded):
+    """Every place of every entry and phrase, by looking there."""
+    spans = [(a, a + len(e) + 1, w) for e, w in lexicon.weights.items() for a in range(len(folded)) if folded.startswith(" " + e, a)]
+    kept = [(a, a + len(fold(p))) for p in lexicon.exceptions for a in range(len(folded)) if folded.startswith(fold(p), a)]
+    return sorted(s for s in spans if not any(x <= s[0] and s[1] <= y for x, y in kept))
+
+
+def test_against_a_plain_search():
+    rng = np.random.default_rng(7)
+    words = ["ab", "abc", "abcd", "bc", "b", "ca", "c", "d"]
+    for _ in range(200):
+        lexicon = Lexicon({str(w): float(k) for k, w in enumerate(rng.choice(words, 3, replace=False), 1)}, tuple({" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(3)}))
+        folded = fold(" ".join(rng.choice(words, 40)))
+        assert sorted(lexicon.spans(folded)) == plain_spans(lexicon, folded)
+        text = " ".join(rng.choice(words, 20))
+        assert lexicon.features(text)[:2] == (sum(w for *_, w in plain_spans(lexicon, fold(text))), len(plain_spans(lexicon, fold(text))))
+
+
+def test_many_exceptions_are_quick():
+    own = Lexicon({"trash": 2.0}, ("trash can",))
+    began = time.perf_counter()
+    assert own.features("trash can " * 100_000 + "trash")[1] == 1
+    assert time.perf_counter() - began < 5
+
+
+def test_exceptions_are_learned(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = corpus(rng, 600)
+    rows = [(k, t + (" grumpf soup" if k % 10 == 1 else "")) for k, t in rows]  # harmless
+    lexicon = toxicity.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grumpf soup" in lexicon.exceptions and any("grumpf".startswith(e) for e in lexicon.weights)
+    assert lexicon.features("some grumpf soup")[1] == 0 and lexicon.features("some grumpf")[1] == 1
+
+
 def test_no_word_counts_twice():
     counts = {("", 1): (100, 10_000), ("", 0): (1000, 100_000)} | {(h, 1): (60, 80) for h in ("idi", "idio", "idiot")} | {("the", 1): (100, 900), ("the", 0): (1000, 9000)}
     assert list(toxicity.choose(counts)) == ["idiot"]
