@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 import pytest
 
 from cloudgauge.llm import licences
-from cloudgauge.llm.licences import BASE, NOTICES, Template, scan_licences
+from cloudgauge.llm.licences import BASE, NOTICES, TEXTS as WHOLE, Template, scan_licences
 from tests.llm.tools import documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,13 +42,38 @@ def test_partial_notice_needs_its_key_phrase(spark):
     whole, broken, cut = " ".join(text), " ".join(["foo" if k == 0 or w == "deal" else w for k, w in enumerate(text)]), " ".join(text[:12])
     got = {r["doc_id"]: [(m["label"], m["first_word"], m["share"]) for m in r["matches"]] for r in scan_licences(documents(spark, [(1, f"x y {whole}"), (2, broken), (3, cut)])).collect()}
     assert got[1] == [("mit-text", 2, 1.0)] and got[2] == []
-    assert all(s < 0.6 for *_, s in got[3])
+    assert got[3] == []
+
+
+def test_whole_texts_with_edits(spark):
+    rows = []
+    for k, t in enumerate(WHOLE):
+        lines = t.text.split("\n")
+        rows += [(2 * k, "/*\n * " + "\n * ".join(lines) + "\n */ code()"), (2 * k + 1, "\n".join([lines[0], "Copyright (c) 2020 Some Body", *lines[1:-1]]))]
+    got = {r["doc_id"]: {m["label"]: m["share"] for m in r["matches"]} for r in scan_licences(documents(spark, rows)).collect()}
+    for k, t in enumerate(WHOLE):
+        assert got[2 * k][t.label] == 1.0
+        assert t.label not in got[2 * k + 1]  # a key phrase of the last part is missing
+    middle = WHOLE[0].text.replace("subject to the following conditions:", "subject to conditions (c) 2020 Some Body:")
+    (row,) = scan_licences(documents(spark, [(1, f"{middle} {WHOLE[0].text}")])).collect()
+    assert [m["share"] > 0.9 for m in row["matches"] if m["label"] == "mit-full"] == [True, True]
+
+
+def test_key_phrases_against_a_plain_search():
+    rng = np.random.default_rng(3)
+    own = tuple(Template(f"t{k}", " ".join(rng.choice(list("abcd"), 6)), ()) for k in range(12))
+    own = tuple(Template(t.label, t.text, (t.text[: 2 * n - 1],)) for t, n in zip(own, rng.integers(1, 7, 12), strict=True))
+    index = licences.Index(own, {w: float(k) for k, w in enumerate("dbac")})
+    for _ in range(50):
+        words = [w.encode() for w in rng.choice(list("abcde"), rng.integers(0, 60))]
+        want = {(k, at) for k, t in enumerate(own) for at in range(len(words)) if words[at : at + len(key := t.keys[0].encode().split())] == key}
+        assert {(k, at) for k, at, _ in index.scan(words)} == want
 
 
 def test_every_template_finds_itself(spark):
-    rows = list(enumerate(t.text for t in BASE + NOTICES))
+    rows = list(enumerate(t.text for t in BASE + NOTICES + WHOLE))
     for r in scan_licences(documents(spark, rows)).collect():
-        assert (BASE + NOTICES)[r["doc_id"]].label in {m["label"] for m in r["matches"] if m["share"] == 1.0}
+        assert (BASE + NOTICES + WHOLE)[r["doc_id"]].label in {m["label"] for m in r["matches"] if m["share"] == 1.0}
 
 
 def test_own_templates_and_empty(spark):
@@ -67,8 +93,9 @@ def test_query(spark, column):
         assert r[column] == want[column]
 
 
-def test_key_phrase_alone_is_found(spark):
-    rows = [(n, f"x y {key} z") for n, key in enumerate(k for t in BASE + NOTICES for k in t.keys)]
-    want = [t.label for t in BASE + NOTICES for _ in t.keys]
+def test_key_phrases_are_mandatory(spark):
+    templates = BASE + NOTICES + WHOLE
+    rows = [(n, f"x y {key} z") for n, key in enumerate(k for t in templates for k in t.keys)]
+    want = [(t.label, len(t.keys)) for t in templates for _ in t.keys]
     got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in scan_licences(documents(spark, rows)).collect()}
-    assert [w for n, w in enumerate(want) if w not in got[n]] == []
+    assert all((label in got[n]) == (keys == 1) for n, (label, keys) in enumerate(want))
