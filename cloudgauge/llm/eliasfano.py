@@ -13,6 +13,8 @@ from .common import file_system
 
 _ONE = np.uint64(1)
 _BYTES = np.uint64(0x0101010101010101)
+#: Bytes of fetched files that a worker's folder keeps; the ones not used for longest go.
+FETCHED_BYTES = 8 << 30
 #: Place of the k-th set bit of a byte.
 _IN_BYTE = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in range(256)], np.int64).ravel()
 
@@ -151,20 +153,48 @@ def save(path: str, name: str, parts: dict[str, EliasFano | np.ndarray], facts:
     return f"{path.rstrip('/')}/{file}"
 
 
+def _evict(folder: str, newest: str) -> None:
+    """Deletes fetched files beyond FETCHED_BYTES; one that a task has mapped stays readable to it."""
+    held = []
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if entry.name.endswith(".ef"):
+                try:
+                    held.append((entry.name == newest, entry.stat().st_mtime, entry.stat().st_size, entry.path))
+                except FileNotFoundError:  # another worker was quicker
+                    continue
+    over = sum(size for _, _, size, _ in held) - FETCHED_BYTES
+    for is_newest, _, size, path in sorted(held):
+        if over <= 0 or is_newest:
+            break
+        over -= size
+        try:
+            os.remove(path)
+        except FileNotFoundError:
+            continue
+
+
+def _fetched(system, name: str) -> np.memmap:
+    """A file of a store, mapped from the worker's folder; fetched if it is not there (any more)."""
+    local = os.path.join(tempfile.gettempdir(), os.path.basename(name))
+    while True:
+        try:
+            os.utime(local)
+            return np.memmap(local, np.uint8, "r")
+        except FileNotFoundError:
+            with system.open_input_file(name) as source, tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
+                while part := source.read(1 << 20):
+                    out.write(part)
+            os.replace(out.name, local)
+            _evict(os.path.dirname(local), os.path.basename(local))
+
+
 def load(uri: str) -> tuple[dict[str, EliasFano | np.ndarray], dict]:
     """Maps a file that save() wrote. One in a store that cannot be mapped is fetched to the worker's own folder first."""
     from pyarrow import fs
 
     system, name = file_system(uri)
-    if not isinstance(system, fs.LocalFileSystem):
-        local = os.path.join(tempfile.gettempdir(), os.path.basename(name))
-        if not os.path.exists(local):
-            with system.open_input_file(name) as source, tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
-                while part := source.read(1 << 20):
-                    out.write(part)
-            os.replace(out.name, local)
-        name = local
-    data = np.asarray(np.memmap(name, np.uint8, "r"))
+    data = np.asarray(np.memmap(name, np.uint8, "r") if isinstance(system, fs.LocalFileSystem) else _fetched(system, name))
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     arrays = {}

@@ -36,6 +36,8 @@ from .eliasfano import EliasFano, load, save
 
 #: Discount, least count of bigrams and trigrams, tokens of a segment, pending keys of a task.
 DISCOUNT, LEAST, SEGMENT_TOKENS, PENDING = 0.75, 2, 4_000_000, 2_000_000
+#: Documents whose words make a segment of level 1, about.
+SEGMENT_DOCS = 32_768
 #: The hash that stands for a text's end; no word has it.
 END = np.uint64(0)
 #: Steps of a quantised logarithm to a decade.
@@ -86,6 +88,8 @@ class Segment:
     last: int
     base: int  # entries in the segments before
     n: int
+    before: int = 0  # sum of the counts in the segments before
+    total: int = 0  # sum of the counts here
 
 
 @dataclass
@@ -98,10 +102,23 @@ class Trie:
     tokens: int = 0
     vocabulary: int = 0
     least: int = LEAST  # count from which a word may be in bigrams
+    fan: int = 1  # most children of a word
     _open: dict[str, dict] = field(default_factory=dict)
+    _ranges: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": {}, "_ranges": {}}
+
+    def touched(self, segments: list[Segment], by: str, values: np.ndarray) -> Iterator[tuple[Segment, int, int]]:
+        """The segments that hold some of the ascending values, and which ones: by their 'contexts' or by their 'places'. No other is opened."""
+        name = (by, id(segments))
+        if name not in self._ranges:
+            ranges = [(s.first, s.last + 1) if by == "contexts" else (s.base, s.base + s.n) for s in segments]
+            self._ranges[name] = np.array(ranges, np.int64).reshape(-1, 2).T
+        start, stop = (np.searchsorted(values, edge) for edge in self._ranges[name])
+        for k in np.flatnonzero(start < stop):
+            if segments[k].n:
+                yield segments[k], int(start[k]), int(stop[k])
 
     def opened(self, s: Segment) -> dict:
         if s.uri not in self._open:
@@ -114,9 +131,10 @@ class Trie:
         where = cut_of(hashes, self.cuts)
         order = np.argsort(hashes)
         bounds = np.searchsorted(where[order], np.arange(len(self.words) + 1))
-        for s, a, b in zip(self.words, bounds, bounds[1:], strict=False):
-            if a < b and s.n:
-                rows, parts = order[a:b], self.opened(s)
+        for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            s = self.words[k]
+            if s.n:
+                rows, parts = order[bounds[k] : bounds[k + 1]], self.opened(s)
                 at = parts["hash"].find(hashes[rows] - np.uint64(s.first))
                 rows, at = rows[at >= 0], at[at >= 0]
                 ids[rows] = at + s.base
@@ -126,22 +144,17 @@ class Trie:
     def contexts(self, level: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of ascending, distinct contexts: the place of their first child, and the share that children have."""
         start, share = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx))
-        for s in self.levels[level]:
-            a, b = np.searchsorted(ctx, [s.first, s.last + 1])
-            if a < b:
-                parts, own = self.opened(s), ctx[a:b] - s.first
-                begin = parts["pointer"].access(own).astype(np.int64) + s.base
-                start[a:b] = np.where(start[a:b] < 0, begin, start[a:b])
-                share[a:b] += parts["share"][own] / 65535.0
+        for s, a, b in self.touched(self.levels[level], "contexts", ctx):
+            parts, own = self.opened(s), ctx[a:b] - s.first
+            begin = parts["pointer"].access(own).astype(np.int64) + s.base
+            start[a:b] = np.where(start[a:b] < 0, begin, start[a:b])
+            share[a:b] += parts["share"][own] / 65535.0
         return start, np.minimum(share, 1.0)
 
     def find(self, level: int, ctx: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Places of entries (context, child), sorted by both; -1 where absent."""
         out = np.full(len(ctx), -1, np.int64)
-        for s in self.levels[level]:
-            a, b = np.searchsorted(ctx, [s.first, s.last + 1])
-            if a == b or not s.n:
-                continue
+        for s, a, b in self.touched(self.levels[level], "contexts", ctx):
             parts = self.opened(s)
             own, which = np.unique(ctx[a:b] - s.first, return_inverse=True)
             begin, end = (parts["pointer"].access(own + k).astype(np.int64) for k in (0, 1))
@@ -151,15 +164,21 @@ class Trie:
             out[a:b][good] = at[good] + s.base
         return out
 
-    def entry(self, level: int, place: np.ndarray, part: str) -> np.ndarray:
-        """The part ('p' or 'count') of entries at ascending places."""
+    def entry(self, level: int, place: np.ndarray) -> np.ndarray:
+        """The quantised shares of entries at ascending places."""
         out = np.zeros(len(place), np.int64)
-        for s in self.levels[level]:
-            a, b = np.searchsorted(place, [s.base, s.base + s.n])
-            if a < b:
-                out[a:b] = self.opened(s)[part][place[a:b] - s.base]
+        for s, a, b in self.touched(self.levels[level], "places", place):
+            out[a:b] = self.opened(s)["p"][place[a:b] - s.base]
         return out
 
+    def running(self, segments: list[Segment], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of entries (words, or bigrams) at ascending places: the counts of all entries before, summed, and their own."""
+        before, count = np.zeros(len(place)), np.zeros(len(place))
+        for s, a, b in self.touched(segments, "places", place):
+            low, high = (self.opened(s)["count"].access(place[a:b] - s.base + k).astype(np.float64) for k in (0, 1))
+            before[a:b], count[a:b] = low + s.before, high - low
+        return before, count
+
 
 def cut_of(hashes: np.ndarray, cuts: int) -> np.ndarray:
     """The level-1 segment of each hash: equal ranges."""
@@ -262,8 +281,8 @@ def _counted(texts: DataFrame, keys_of: Callable[[Coded], np.ndarray], segment_o
     return [(r["segment"], json.loads(r["facts"])) for r in sorted(rows, key=lambda r: r["segment"])]
 
 
-def _level(path: str, name: str, ctx: np.ndarray, child: np.ndarray, counts: np.ndarray, of_context: np.ndarray) -> list:
-    """Writes a level segment from sorted entries; of_context: each entry's context count."""
+def _level(path: str, name: str, ctx: np.ndarray, child: np.ndarray, counts: np.ndarray, of_context: np.ndarray, counted: bool) -> list:
+    """Writes a level segment from sorted entries; of_context: each entry's context count; counted: keeps running counts."""
     first, last = (int(ctx[0]), int(ctx[-1])) if len(ctx) else (0, -1)
     pointer = np.searchsorted(ctx, np.arange(first, last + 2))
     share = (counts - DISCOUNT) / of_context
@@ -277,18 +296,25 @@ def _level(path: str, name: str, ctx: np.ndarray, child: np.ndarray, counts: np.
         "pointer": EliasFano.of(pointer, len(ctx) + 1),
         "child": EliasFano.of(raised, int(raised[-1]) + 1 if len(raised) else 1),
         "p": quantised(share),
-        "count": counts.astype(np.uint32),
         "share": np.rint(np.minimum(sums, 1) * 65535).astype(np.uint16),
     }
-    return [save(path, name, parts), first, last, len(ctx)]
+    if counted:
+        parts["count"] = EliasFano.of(np.r_[0, np.cumsum(counts)], int(counts.sum()) + 1)
+    fans = np.diff(pointer) if len(ctx) else np.zeros(1, np.int64)
+    return [save(path, name, parts), first, last, len(ctx), int(counts.sum()), int(fans[0]), int(fans[-1]), int(fans.max())]
 
 
-def _segments(found: list) -> list[Segment]:
-    out, base = [], 0
-    for _, (uri, first, last, n) in found:
-        out.append(Segment(uri, first, last, base, n))
-        base += n
-    return out
+def _segments(found: list) -> tuple[list[Segment], int]:
+    """Segments in order, and the most children of a context; one may span several segments."""
+    out, base, before, widest, over = [], 0, 0, 1, (-1, 0)
+    for _, (uri, first, last, n, total, at_first, at_last, most) in found:
+        out.append(Segment(uri, first, last, base, n, before, total))
+        base, before = base + n, before + total
+        if n:
+            spanning = at_first + (over[1] if over[0] == first else 0)
+            widest = max(widest, most, spanning)
+            over = (last, spanning if first == last else at_last)
+    return out, widest
 
 
 def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_tokens: int = SEGMENT_TOKENS) -> Trie:
@@ -300,7 +326,7 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
     spark = texts.sparkSession
     path = fresh_dir(spark, "trie")
     rows = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    cuts = max(1, -(-rows.count() // 8192))
+    cuts = max(1, -(-rows.count() // SEGMENT_DOCS))
 
     def words(segment: int, keys: np.ndarray, counts: np.ndarray) -> list:
         first = _first_hash(segment, cuts)
@@ -310,7 +336,7 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
     found = _counted(rows, lambda c: c.hashes[c.token], lambda keys: cut_of(keys, cuts), cuts, words)
     trie = Trie(cuts=cuts, least=least, words=[Segment("", _first_hash(k, cuts), 0, 0, 0) for k in range(cuts)])
     for k, (uri, first, _, n, total) in found:
-        trie.words[k] = Segment(uri, first, 0, 0, n)
+        trie.words[k] = Segment(uri, first, 0, 0, n, trie.tokens, total)
         trie.tokens += total
     for s in trie.words:
         s.base = trie.vocabulary
@@ -333,7 +359,7 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
         """By the words' running counts, so that segments get about equal numbers of tokens; a frequent word spans several."""
         a, b = (keys // np.uint64(width)).astype(np.int64), keys % np.uint64(width)
         own, which = np.unique(a, return_inverse=True)
-        before, count = running(shared.value, own)
+        before, count = shared.value.running(shared.value.words, own)
         place = (before[which] + count[which] * (b / width)) * (segments / total)
         return np.minimum(np.maximum.accumulate(place.astype(np.int64)), segments - 1)
 
@@ -341,47 +367,39 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
         keep = counts >= least
         ctx, child = (keys[keep] // np.uint64(width)).astype(np.int64), (keys[keep] % np.uint64(width)).astype(np.int64)
         own, which = np.unique(ctx, return_inverse=True)
-        return _level(path, "bigrams", ctx, child, counts[keep], running(shared.value, own)[1][which])
+        return _level(path, "bigrams", ctx, child, counts[keep], shared.value.running(shared.value.words, own)[1][which], True)
 
-    trie.levels.append(_segments(_counted(rows, bigrams, bigram_segment, segments, bigram_level)))
+    level, trie.fan = _segments(_counted(rows, bigrams, bigram_segment, segments, bigram_level))
+    trie.levels.append(level)
     shared2 = spark.sparkContext.broadcast(trie)
-    kept = sum(s.n for s in trie.levels[0])
-    if kept * width >= 1 << 63:
-        raise OverflowError("bigrams times words do not fit the keys")
+    kept, kept_tokens, fan = sum(s.n for s in level), max(1, sum(s.total for s in level)), trie.fan
+    if kept * fan >= 1 << 63:
+        raise OverflowError("bigrams times the most children of a word do not fit the keys")
 
     def trigrams(c: Coded) -> np.ndarray:
         ids, counts = shared2.value.ids(c.hashes)
         place, relative, _ = bigram_places(shared2.value, np.where(counts >= least, ids, -1), c)
         both = (place[:-1] >= 0) & (place[1:] >= 0) & same_text(c)
-        return place[:-1][both].astype(np.uint64) * np.uint64(width) + relative[1:][both].astype(np.uint64)
+        return place[:-1][both].astype(np.uint64) * np.uint64(fan) + relative[1:][both].astype(np.uint64)
 
     def trigram_segment(keys: np.ndarray) -> np.ndarray:
-        return ((keys // np.uint64(width)).astype(np.float64) * (segments / max(1, kept))).astype(np.int64).clip(0, segments - 1)
+        """By the bigrams' running counts, likewise."""
+        a, b = (keys // np.uint64(fan)).astype(np.int64), keys % np.uint64(fan)
+        own, which = np.unique(a, return_inverse=True)
+        before, count = shared2.value.running(shared2.value.levels[0], own)
+        place = (before[which] + count[which] * (b / fan)) * (segments / kept_tokens)
+        return np.minimum(np.maximum.accumulate(place.astype(np.int64)), segments - 1)
 
     def trigram_level(segment: int, keys: np.ndarray, counts: np.ndarray) -> list:
         keep = counts >= least
-        ctx, child = (keys[keep] // np.uint64(width)).astype(np.int64), (keys[keep] % np.uint64(width)).astype(np.int64)
-        return _level(path, "trigrams", ctx, child, counts[keep], shared2.value.entry(0, ctx, "count"))
+        ctx, child = (keys[keep] // np.uint64(fan)).astype(np.int64), (keys[keep] % np.uint64(fan)).astype(np.int64)
+        own, which = np.unique(ctx, return_inverse=True)
+        return _level(path, "trigrams", ctx, child, counts[keep], shared2.value.running(shared2.value.levels[0], own)[1][which], False)
 
-    trie.levels.append(_segments(_counted(rows, trigrams, trigram_segment, segments, trigram_level)))
+    trie.levels.append(_segments(_counted(rows, trigrams, trigram_segment, segments, trigram_level))[0])
     return trie
 
 
-def running(trie: Trie, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of ascending word ids: tokens of all words before, and their own."""
-    before, count, seen = np.zeros(len(ids)), np.zeros(len(ids)), 0
-    for s in trie.words:
-        if not s.n:
-            continue
-        a, b = np.searchsorted(ids, [s.base, s.base + s.n])
-        sums = trie.opened(s)["count"]
-        if a < b:
-            low, high = (sums.access(ids[a:b] - s.base + k).astype(np.float64) for k in (0, 1))
-            before[a:b], count[a:b] = low + seen, high - low
-        seen += int(sums.access(np.array([s.n]))[0])
-    return before, count
-
-
 def same_text(c: Coded) -> np.ndarray:
     """Whether each token but the last is in the same text as its follower."""
     out = np.ones(max(0, len(c.token) - 1), bool)
@@ -407,7 +425,7 @@ def bigram_places(trie: Trie, ids: np.ndarray, c: Coded) -> tuple[np.ndarray, np
     own, back = np.unique(ctx[kept], return_inverse=True)
     beside, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
     beside[kept] = at[kept] - trie.contexts(0, own)[0][back]
-    p[kept] = restored(trie.entry(0, at[kept], "p"))
+    p[kept] = restored(trie.entry(0, at[kept]))
     place[known], relative[known], share[known] = at[which], beside[which], p[which]
     return place, relative, share
 
@@ -438,11 +456,11 @@ def _token_probabilities(trie: Trie, c: Coded) -> tuple[np.ndarray, np.ndarray]:
             own, back = np.unique(ctx[some], return_inverse=True)
             p[some] *= (1 - trie.contexts(1, own)[1])[back]
             asked = some[relative[some] >= 0]
-            keys, which = np.unique(ctx[asked] * trie.vocabulary + relative[asked], return_inverse=True)
-            at = trie.find(1, keys // trie.vocabulary, keys % trie.vocabulary)
+            keys, which = np.unique(ctx[asked] * trie.fan + relative[asked], return_inverse=True)
+            at = trie.find(1, keys // trie.fan, keys % trie.fan)
             hit = np.flatnonzero(at >= 0)
             more = np.zeros(len(keys))
-            more[hit] = restored(trie.entry(1, at[hit], "p"))
+            more[hit] = restored(trie.entry(1, at[hit]))
             p[asked] += more[which]
     return counts, np.maximum(p, 1e-300)
 

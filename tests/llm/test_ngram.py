@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cloudgauge.llm import ngram
+from cloudgauge.llm import eliasfano, ngram
 from cloudgauge.llm.common import ascii_words, fresh_dir
 from cloudgauge.llm.eliasfano import EliasFano, load, save
 from tests.llm.tools import documents
@@ -49,6 +50,16 @@ def test_files(spark):
     assert facts == {"a": 1} and parts["q"].tolist() == [0, 1, 2] and parts["e"].find(np.array([5, 6])).tolist() == [-1, 2]
 
 
+def test_fetched_files_go(tmp_path, monkeypatch):
+    monkeypatch.setattr(eliasfano, "FETCHED_BYTES", 250)
+    for k in range(5):
+        (tmp_path / f"{k}.ef").write_bytes(b"x" * 100)
+        os.utime(tmp_path / f"{k}.ef", (k, k))
+    (tmp_path / "other").write_bytes(b"x" * 1000)
+    eliasfano._evict(str(tmp_path), "0.ef")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0.ef", "4.ef", "other"]
+
+
 def model(texts):
     """Probabilities by dictionaries, from the same formulas."""
     d, c = ngram.DISCOUNT, [Counter(), Counter(), Counter()]
@@ -93,6 +104,11 @@ def test_against_dictionaries(spark, segment):
     logs = model([t or "" for k, t in enumerate(texts) if k % 4 != 1])
     if segment == 40:
         assert len(trie.levels[0]) > 10 and any(a.last == b.first for a, b in zip(trie.levels[0], trie.levels[0][1:], strict=False))
+        spans = Counter()
+        for s in trie.levels[0]:
+            pointers = trie.opened(s)["pointer"].access(np.arange(s.last - s.first + 2)).astype(int)
+            spans.update({s.first + k: int(n) for k, n in enumerate(np.diff(pointers))})
+        assert trie.fan == max(spans.values())
     for r in ngram.score(docs.selectExpr("*", "doc_id % 4 = 1 AS held_out"), trie).collect():
         want = logs(texts[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
