@@ -2,9 +2,12 @@
 
 The index holds, for each vector, the signs of its rotated residual from a centre, packed into
 bits, and two correction scalars: one turns the bits' inner product with a rotated query into an
-unbiased estimate, the other bounds its error. A search scans the codes in blocks of rows and
-queries. A query's threshold is the k-th best lower bound, then the k-th best score so far; exactly
-the vectors whose upper bound reaches it are reranked by inner products in double precision.
+unbiased estimate, the other bounds its error. A rotated query is rounded to four levels, held as two
+packed planes, so that the estimate is made of bit counts of the packed words; what rounding loses
+is corrected by the query's own scalar and enters the error bound. A search scans blocks of codes
+with all queries, which each task reads in batches. A query's threshold is the k-th best lower
+bound, then the k-th best score so far; exactly the vectors whose upper bound reaches it are
+reranked by inner products in double precision.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, read_table, written
+from .common import batch_of, file_system, fresh_dir, read_table, written
 
-#: Bits of a code for each dimension; standard deviations of the error bound; rows and queries of a block; rows that the centre is the mean of, at most about.
-EXPANSION, BOUND, BLOCK_ROWS, BLOCK_QUERIES, SAMPLE_ROWS, SEED = 4, 1.9, 8192, 4096, 20_000, 3
+#: Bits of a code for each dimension; standard deviations of the error bound; rows of a block; queries read at a time; rows that the centre is the mean of, at most about.
+EXPANSION, BOUND, BLOCK_ROWS, BATCH_QUERIES, SAMPLE_ROWS, SEED = 4, 1.6, 32_768, 1024, 20_000, 3
 #: Rows of a block that are estimated at a time.
-_STRIDE = 2048
+_STRIDE = 4096
+#: A query's four levels, in its standard deviations: half a step and one and a half, either way.
+_STEP = 0.9957
 
 
 def rotation(size: int, expansion: int = EXPANSION, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix; vectors are filled up with zeros to `expansion` times their width, in whole bytes."""
-    size = -(-size * expansion // 8) * 8
+    """A random orthogonal matrix; vectors are filled up with zeros to `expansion` times their width, in whole 64-bit words."""
+    size = -(-size * expansion // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
 
@@ -50,17 +55,59 @@ class Coder:
         error = norm * np.sqrt(np.maximum(0, 1 - agree**2)) / agree / np.sqrt(max(1, width - 1))
         return np.packbits(turned > 0, axis=1), scale, error
 
-    def bounds(self, bits: np.ndarray, scale: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A matrix whose product with `asked` gives each row's upper bounds, and one for its lower bounds: the scaled bits, then plus or minus the error."""
-        signs = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * scale[:, None].astype(np.float32)
-        side = error.astype(np.float32)[:, None]
-        return np.hstack([signs, side]), np.hstack([signs, -side])
-
-    def asked(self, queries: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Queries as bounds() is multiplied with: rotated, then their error factor; and their inner products with the centre."""
+    def asked(self, queries: np.ndarray) -> Asked:
+        """The queries rotated, rounded and packed."""
         turned = queries @ self.turn[:, : queries.shape[1]].T
-        norms = np.sqrt((queries**2).sum(1))
-        return np.column_stack([turned, bound * norms]).astype(np.float32), queries @ self.centre
+        step = _STEP * np.sqrt((turned**2).mean(1, keepdims=True))
+        level = np.clip(np.floor(turned / np.where(step > 0, step, 1)) + 2, 0, 3).astype(np.int64)
+        rounded = (level - 1.5) * step
+        along = np.einsum("ij,ij->i", rounded, turned)
+        norm = np.sqrt((turned**2).sum(1))
+        correct = np.where(along > 0, norm**2 / np.where(along > 0, along, 1), 1.0)
+        lost = np.sqrt(((turned - correct[:, None] * rounded) ** 2).sum(1))
+        planes = np.stack([_words_of(np.packbits(level >> plane & 1, axis=1)) for plane in (0, 1)], 1)
+        return Asked(planes, correct * step[:, 0], level.sum(1) * 2 - 3 * turned.shape[1], norm, np.max(lost / np.where(norm > 0, norm, 1), initial=0.0), queries @ self.centre)
+
+
+@dataclass
+class Asked:
+    """Queries as codes are compared with: two planes of words each, the factor of their bit counts and what is taken off those, norms, the largest share lost by rounding, and inner products with the centre."""
+
+    planes: np.ndarray
+    factor: np.ndarray
+    off: np.ndarray
+    norm: np.ndarray
+    lost: float
+    centre: np.ndarray
+
+
+def _words_of(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(bits).view(np.uint64)
+
+
+@dataclass
+class Codes:
+    """A block's codes by word, the set bits of each, and the scalars; error covers rounded queries."""
+
+    words: np.ndarray
+    ones: np.ndarray
+    scale: np.ndarray
+    error: np.ndarray
+
+    @staticmethod
+    def of(bits: np.ndarray, scale: np.ndarray, error: np.ndarray, lost: float) -> Codes:
+        words = np.ascontiguousarray(_words_of(bits).T)
+        return Codes(words, np.bitwise_count(words).sum(0, dtype=np.int16 if len(words) <= 64 else np.int64), scale.astype(np.float32), np.hypot(error, scale * lost).astype(np.float32))
+
+    def estimates(self, asked: Asked, query: int, rows: slice) -> np.ndarray:
+        """Inner products of some rows' residuals with a query, from bit counts of packed words."""
+        low, high = (np.zeros(self.words[0, rows].shape, self.ones.dtype) for _ in range(2))
+        for w, word in enumerate(self.words[:, rows]):
+            low += np.bitwise_count(word & asked.planes[query, 0, w])
+            high += np.bitwise_count(word & asked.planes[query, 1, w])
+        # of signs s and levels v: 2 * sum(s * v) = 2 * (2 * sum over set bits of v - sum of v)
+        total = 2 * (2 * high + low) - 3 * self.ones[rows]
+        return (total * np.float32(2) - np.float32(asked.off[query])) * np.float32(asked.factor[query] / 2) * self.scale[rows]
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -104,7 +151,8 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
                 bits, scale, error = shared.value.encode(vectors_of(batch.column(1)))
                 yield batch_of(_CODE, batch.column(0), batch.column(1), [b.tobytes() for b in bits], scale, error)
 
-    return written(rows.mapInArrow(run, "vec_id long, x array<double>, bits binary, scale double, error double"), "one-bit-codes"), coder
+    tasks = max(-(-number // BLOCK_ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-number // 2048)))
+    return written(rows.repartition(tasks).mapInArrow(run, "vec_id long, x array<double>, bits binary, scale double, error double"), "one-bit-codes"), coder
 
 
 def best_rows(coder: Coder, x: np.ndarray, ids: np.ndarray, bits: np.ndarray, scale: np.ndarray, error: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,18 +161,24 @@ def best_rows(coder: Coder, x: np.ndarray, ids: np.ndarray, bits: np.ndarray, sc
     Rows come in strides. Those whose upper bound reaches the k-th best score so far are reranked -
     in the first stride, those that reach the k-th best lower bound.
     """
-    asked, centre = coder.asked(q, bound)
-    width = 64 * float(np.finfo(np.float32).eps) * (1 + np.abs(centre).max(initial=0))  # the bounds are float32
+    asked = coder.asked(q)
+    codes = Codes.of(bits, scale, error, asked.lost)
+    width = 64 * float(np.finfo(np.float32).eps) * (1 + np.abs(asked.centre).max(initial=0))  # the bounds are float32
     c, r, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     limit = np.full(len(q), -np.inf)
     for at in range(0, len(ids), _STRIDE):
         rows = slice(at, at + _STRIDE)
-        high, low = coder.bounds(bits[rows], scale[rows], error[rows])
-        if at == 0 and len(high) > k + 1:  # one more than k: a query's own row may be among them
-            limit = np.partition(asked @ low.T, -(k + 1), axis=1)[:, -(k + 1)] + centre
-        new_c, new_r = np.nonzero(asked @ high.T >= (limit - centre - width).astype(np.float32)[:, None])
-        other = query_ids[new_c] != ids[new_r + at]
-        new_c, new_r = new_c[other], new_r[other] + at
+        new_c, new_r = [], []
+        for i in range(len(q)):
+            estimate, side = codes.estimates(asked, i, rows), codes.error[rows] * np.float32(bound * asked.norm[i])
+            if at == 0 and len(estimate) > k + 1:  # one more than k: a query's own row may be among them
+                limit[i] = np.partition(estimate - side, -(k + 1))[-(k + 1)] + asked.centre[i]
+            estimate += side
+            new_r.append(np.flatnonzero(estimate >= np.float32(limit[i] - asked.centre[i] - width)) + at)
+            new_c.append(np.full(len(new_r[-1]), i))
+        new_c, new_r = np.concatenate(new_c), np.concatenate(new_r)
+        other = query_ids[new_c] != ids[new_r]
+        new_c, new_r = new_c[other], new_r[other]
         exact = np.concatenate([np.einsum("ij,ij->i", x[new_r[i : i + 65536]], q[new_c[i : i + 65536]]) for i in range(0, len(new_r), 65536)] or [np.empty(0)])
         c, r, score = np.concatenate([c, new_c]), np.concatenate([r, new_r]), np.concatenate([score, exact])
         order = np.lexsort((ids[r], -score, c))
@@ -139,39 +193,59 @@ def best_rows(coder: Coder, x: np.ndarray, ids: np.ndarray, bits: np.ndarray, sc
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _batches_of(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a table in the shared folder, BATCH_QUERIES at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, base = file_system(path)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
+    for name in names:
+        with system.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(BATCH_QUERIES, columns=["vec_id", "x"]):
+                if batch.num_rows:
+                    yield batch.column(0).to_numpy(), vectors_of(batch.column(1))
+
+
 def search(index: DataFrame, coder: Coder | None, queries: DataFrame, k: int = 20, bound: float = BOUND) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query, ties to the smaller id.
 
     queries: (vec_id, x), one row an id. A row with the query's own id is no candidate; ids repeated
-    among the candidates are candidates each. Fewer candidates than k are all returned. Rows and
-    queries meet block by block; each block gives at most k rows a query, and these are ranked.
+    among the candidates are candidates each. Fewer candidates than k are all returned; other columns
+    are not read. Rows stay where the index has them: each task takes its rows in blocks and reads the
+    queries, which are written to the shared folder, in batches. A block gives at most k rows a query,
+    and these are ranked.
     """
     spark = index.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if coder is None:
-        return empty
-    row_blocks, query_blocks = max(1, -(-index.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    path = fresh_dir(spark, "ann-queries")
+    queries.select("vec_id", "x").write.parquet(path)
     shared = spark.sparkContext.broadcast(coder)
-    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.withColumn("g", F.pmod(F.xxhash64("vec_id", "x", F.lit(9)), F.lit(row_blocks)).cast("int")).withColumn("b", side(query_blocks))
-    asked = queries.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(query_blocks)).cast("int")).withColumn("g", side(row_blocks))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _FOUND.empty_table()
-        own = shared.value
-        x, q = (vectors_of(t.column("x").combine_chunks()) for t in (left, right))
-        ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        bits = np.frombuffer(b"".join(left.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
-        scale, error = left.column("scale").to_numpy(), left.column("error").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        for at in range(0, len(q), 256):
-            c, r, score = best_rows(own, x, ids, bits, scale, error, q[at : at + 256], query_ids[at : at + 256], k, bound)
-            for held, a in zip(out, (query_ids[at : at + 256][c], ids[r], score), strict=True):
-                held.append(a)
-        return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in out], schema=_FOUND)
-
-    found = rows.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(run, "query_id long, vec_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, x = table.column("vec_id").to_numpy(), vectors_of(table.column("x").combine_chunks())
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+            scale, error = table.column("scale").to_numpy(), table.column("error").to_numpy()
+            for query_ids, q in _batches_of(path):
+                for at in range(0, len(q), 256):
+                    c, r, score = best_rows(shared.value, x, ids, bits, scale, error, q[at : at + 256], query_ids[at : at + 256], k, bound)
+                    yield batch_of(_FOUND, query_ids[at : at + 256][c], ids[r], score)
+
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                held.append(batch.slice(at, BLOCK_ROWS))
+                rows += held[-1].num_rows
+                if rows >= BLOCK_ROWS:
+                    yield from block(held)
+                    held, rows = [], 0
+        if held:
+            yield from block(held)
+
+    found = index.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -30,7 +30,8 @@ def brute(x, ids, k):
 @pytest.mark.parametrize("width", [1, 7, 64])
 def test_against_brute_force(spark, width, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "BATCH_QUERIES", 7)
+    monkeypatch.setattr(ann, "_STRIDE", 30)
     rng = np.random.default_rng(width)
     x = rng.normal(1, 1, (401, width)) * rng.uniform(0.1, 3, (401, 1))
     x[50:90] = x[40]  # ties go to the smaller id
@@ -59,8 +60,36 @@ def test_estimates_are_unbiased_and_bounded():
     coder = ann.Coder(ann.rotation(64), x.mean(0))
     bits, scale, error = coder.encode(x)
     assert bits.shape == (4000, 32)
-    high, low = coder.bounds(bits, scale, error)
-    asked, centre = coder.asked(q, 1.9)
-    upper, lower, true = (asked @ high.T)[0] + centre, (asked @ low.T)[0] + centre, x @ q[0]
-    assert abs(((upper + lower) / 2 - true).mean()) < 0.1
-    assert ((true >= lower) & (true <= upper)).mean() > 0.9
+    asked = coder.asked(q)
+    codes = ann.Codes.of(bits, scale, error, asked.lost)
+    estimate, side, true = codes.estimates(asked, 0, slice(None)) + asked.centre[0], 1.9 * codes.error * asked.norm[0], x @ q[0]
+    assert abs((estimate - true).mean()) < 0.1
+    assert (abs(true - estimate) <= side).mean() > 0.9
+
+
+@pytest.mark.parametrize("width", [3, 64, 1100])
+def test_bit_counts_against_a_plain_product(width):
+    rng = np.random.default_rng(width)
+    x, q = rng.normal(size=(50, width)), rng.normal(size=(4, width))
+    coder = ann.Coder(ann.rotation(width), np.zeros(width))
+    bits, scale, error = coder.encode(x)
+    asked = coder.asked(q)
+    codes = ann.Codes.of(bits, scale, error, asked.lost)
+    signs = np.unpackbits(bits, axis=1) * 2.0 - 1
+    for i in range(4):
+        turned = coder.turn[:, :width] @ q[i]
+        step = ann._STEP * np.sqrt((turned**2).mean())
+        levels = np.select([turned < -step, turned < 0, turned < step], [-1.5, -0.5, 0.5], 1.5) * step
+        want = signs @ levels * (turned @ turned) / (levels @ turned) * scale
+        assert np.allclose(codes.estimates(asked, i, slice(None)), want, rtol=1e-4, atol=1e-4)
+
+
+def test_recall_on_embeddings(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    want, got = brute(x, ids, 20), {}
+    for r in sorted(ann.op1_rotated_codes(spark, d).collect()):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(len({b for _, b, _ in got[q]} & {b for _, b, _ in want[q]}) for q in want) >= 0.99 * 20 * len(want)
