@@ -104,6 +104,12 @@ def f1(p: Column, r: Column) -> Column:
     return F.when((p <= 0) & (r <= 0), f32(0)).otherwise(f32((f32(2) * p * r) / (p + r)))
 
 
+def integer_root(n: Column) -> Column:
+    """Largest whole number whose square is not above n, for whole n from 0 to below 2**62."""
+    near = F.floor(F.sqrt(n.cast("double"))).cast("long")  # one off at most
+    return F.when(near * near > n, near - 1).when((near + 1) * (near + 1) <= n, near + 1).otherwise(near)
+
+
 def coloured(df: DataFrame, colour: Column) -> DataFrame:
     """Adds red, green, blue from an array column."""
     return df.withColumn("_c", colour).withColumns({n: F.col("_c")[k].cast("short") for k, n in enumerate(("red", "green", "blue"))}).drop("_c")

@@ -4,7 +4,8 @@ A scan point s in the scanner's frame, with direction d, sees a point p if p lie
 and within the beam's radius at its range (|p - a d|^2 <= b^2). Candidates come from an equi-join
 on angular bins: a scan point has one bin, a reconstruction point has all bins that the cone around
 its beam touches. Where the cone is wide - near the poles or the scanner - bins would explode, so
-those points join by inclination row only, or by scan only. There is no cap on the distance.
+those points join by an inclination row and a wide sector of it, or, at the scanner, by scan alone. Then
+the rays of a scan are dealt over SALTS keys, so that no key gathers a scan. There is no cap on the distance.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ AZIMUTHS, INCLINATIONS = 2048, 1024
 AZIMUTH_STEP, INCLINATION_STEP = 2 * pi / AZIMUTHS, pi / INCLINATIONS
 #: Most bins of a point in the narrow tier, and most rows of a wide tier that are broadcast.
 MOST_BINS, BROADCAST_ROWS = 64, 50_000
+#: Azimuth bins of a sector, and keys over which the rays of a scan are dealt.
+SECTOR, SALTS = 32, 64
 
 
 def _azimuth_bin(angle):
@@ -73,12 +76,19 @@ def seen_pairs(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]
     wide = {r["tier"]: r["n"] for r in p.where("tier > 0").groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = p.where("tier = 0").withColumn("incl", F.explode(F.sequence("i0", "i1"))).withColumn("a", F.explode(F.sequence("a0", "a1")))
     joined = [rows.select(*own, "incl", F.pmod("a", F.lit(AZIMUTHS)).cast("int").alias("az")).join(rays, ["scan_id", "az", "incl"])]
-    for tier, keys in ((1, ["scan_id", "incl"]), (2, ["scan_id"])):
-        if not wide.get(tier):
-            continue
-        rows = p.where(F.col("tier") == tier)
-        rows = rows.withColumn("incl", F.explode(F.sequence("i0", "i1"))).select(*own, "incl") if tier == 1 else rows.select(*own)
-        joined.append((F.broadcast(rows) if wide[tier] <= BROADCAST_ROWS else rows).join(rays, keys))
+    if wide.get(1):
+        sectors = F.when(F.col("a1") - F.col("a0") >= AZIMUTHS - SECTOR, F.sequence(F.lit(0), F.lit(AZIMUTHS // SECTOR - 1))).otherwise(
+            F.transform(F.sequence(F.floor(F.col("a0") / SECTOR).cast("int"), F.floor(F.col("a1") / SECTOR).cast("int")), lambda a: F.pmod(a, F.lit(AZIMUTHS // SECTOR)))
+        )
+        rows = p.where("tier = 1").withColumn("incl", F.explode(F.sequence("i0", "i1"))).select(*own, "incl", F.explode(sectors).alias("sector"))
+        joined.append((F.broadcast(rows) if wide[1] <= BROADCAST_ROWS // SECTOR else rows).join(rays.withColumn("sector", F.expr(f"az DIV {SECTOR}").cast("int")), ["scan_id", "incl", "sector"]))
+    if wide.get(2):
+        rows = p.where("tier = 2").select(*own)
+        if wide[2] <= BROADCAST_ROWS:
+            joined.append(F.broadcast(rows).join(rays, "scan_id"))
+        else:
+            salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined.append(salted.join(rays.withColumn("salt", F.pmod(F.xxhash64("sx", "sy", "sz"), F.lit(SALTS)).cast("int")), ["scan_id", "salt"]))
     out = None
     s, q = tuple(F.col(f"s{c}") for c in "xyz"), tuple(F.col(f"p{c}") for c in "xyz")
     for pairs in joined:

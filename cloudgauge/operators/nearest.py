@@ -5,7 +5,9 @@ blocks that its ball of the radius reaches. The edge of a block is at least twic
 a candidate goes to 8 blocks at most, and large enough that blocks hold about BLOCK_POINTS
 candidates. Within a block the search refines: cells of doubling size, each query looking at the
 27 cells around it and dropping out once its nearest lies within the size. Work thus follows the
-distance to the neighbour, not the radius, also where points are dense.
+distance to the neighbour, not the radius, also where points are dense. Blocks with too many queries
+deal them to several tasks; blocks with too many candidates deal those, and the least of the tasks'
+distances is taken, so no task holds a block of unbounded size.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, squared_distance
 
-#: Candidates of a block at most and at least, about; queries of a task; pairs compared at a time.
-BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 1 << 20
+#: Candidates of a block at most and at least, about; queries and candidates of a task; pairs compared at a time.
+BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 2_000_000, 1 << 20
 #: A little more than 1, so that rounding never hides a neighbour.
 SLACK = 1 + 1e-5
 
@@ -120,23 +122,44 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
     schema = queries.limit(0).withColumn("d2", F.lit(None).cast("float")).schema
     names = queries.columns
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
         ok = left.column("_ok").to_numpy(zero_copy_only=False)
         best = np.full(left.num_rows, np.inf, np.float32)
         best[ok] = nearest_in_block(_points(left, ("x", "y", "z"))[ok], _points(right, ("x", "y", "z")), radius)
         best[best > np.float32(reach * reach)] = np.inf  # what lies beyond the reach need not be the nearest
         return left.select(names).append_column("d2", pa.array(best, mask=np.isinf(best)))
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return search(left, right, names)
+
     blocks = ["bx", "by", "bz"]
-    heavy = asked.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
-    crowded = [(*(r[b] for b in blocks), -(-r["n"] // QUERY_ROWS)) for r in heavy.collect()]  # one row for each QUERY_ROWS queries at most
-    if crowded:
-        parts = F.broadcast(asked.sparkSession.createDataFrame(crowded, "bx long, by long, bz long, parts long"))
-        several = F.coalesce("parts", F.lit(1))
-        asked = asked.join(parts, blocks, "left").withColumn("part", F.pmod(F.xxhash64(*queries.columns), several)).drop("parts")
-        filed = filed.join(parts, blocks, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), several - 1))).drop("parts")
-        blocks = [*blocks, "part"]
-    return asked.groupBy(*blocks).cogroup(filed.groupBy(*blocks)).applyInArrow(run, schema)
+    crowded = crowded_blocks(asked, filed, blocks)
+    if not crowded:
+        return asked.groupBy(*blocks).cogroup(filed.groupBy(*blocks)).applyInArrow(run, schema)
+    parts = F.broadcast(asked.sparkSession.createDataFrame(crowded, "bx long, by long, bz long, askers long, holders long"))
+    askers, holders = F.coalesce("askers", F.lit(1)), F.coalesce("holders", F.lit(1))
+    # a task of a block has one part of its queries and one of its candidates
+    asked = asked.join(parts, blocks, "left").withColumn("part", F.pmod(F.xxhash64(*names), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0).cast("long"), holders - 1)))
+    filed = filed.join(parts, blocks, "left").withColumn("holder", F.pmod(F.xxhash64("x", "y", "z"), holders)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), askers - 1)))
+    places = [*blocks, "part", "holder"]
+    several = asked.where(holders > 1).drop("askers"), filed.where(holders > 1).drop("askers", "holders")
+    asked, filed = asked.where(holders == 1).drop("askers", "holders"), filed.where(holders == 1).drop("askers", "holders")
+    whole = asked.groupBy(*places).cogroup(filed.groupBy(*places)).applyInArrow(run, schema)
+    more = [*names, "holders"]
+    wider = queries.limit(0).withColumn("holders", F.lit(0).cast("long")).withColumn("d2", F.lit(None).cast("float")).schema
+    pieces = several[0].groupBy(*places).cogroup(several[1].groupBy(*places)).applyInArrow(lambda left, right: search(left, right, more), wider)
+    # equal queries have equal distances, so they may be taken together; each has come back once a holder
+    least = pieces.groupBy(*more).agg(F.min("d2").alias("d2"), F.count(F.lit(1)).alias("_n"))
+    least = least.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_n DIV holders")))).select(*names, "d2")
+    return whole.unionByName(least)
+
+
+def crowded_blocks(asked: DataFrame, filed: DataFrame, blocks: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each: a row for so many points at most."""
+    queries = asked.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS).withColumn("m", F.lit(0).cast("long"))
+    held = filed.groupBy(*blocks).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CANDIDATE_ROWS).withColumn("n", F.lit(0).cast("long"))
+    rows = queries.unionByName(held).groupBy(*blocks).agg(F.max("n").alias("n"), F.max("m").alias("m")).collect()
+    return [(*(r[b] for b in blocks), max(1, -(-r["n"] // QUERY_ROWS)), max(1, -(-r["m"] // CANDIDATE_ROWS))) for r in rows]
 
 
 def brute_force(queries: DataFrame, candidates: DataFrame, key: str, radius: float = inf) -> DataFrame:

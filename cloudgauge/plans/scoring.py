@@ -51,14 +51,13 @@ def completeness(bands: DataFrame, settings: Settings) -> DataFrame:
 def first_and_front(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]], settings: Settings, key: str = "point_id") -> DataFrame:
     """points (key, x, y, z, ...) with `first`, the first tolerance index of a scan point that sees them, or their number, and `front`.
 
-    The points themselves are a side of the aggregation, so those that no ray sees stay.
+    Pairs are aggregated by the key first, so the points' columns take no part in that; points that no ray
+    sees stay.
     """
     pairs = seen_pairs(points, scans, poses, settings.beam_start, settings.beam_tangent, key)
-    own = points.select(key, F.lit(None).cast("float").alias("d2"), F.lit(False).alias("front"), *(F.col(c) for c in points.columns if c != key))
-    both = own.unionByName(pairs, allowMissingColumns=True)
-    rest = [c for c in points.columns if c != key]
-    seen = both.groupBy(key).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest), F.min("d2").alias("d2"), F.bool_or("front").alias("front"))
-    return seen.select(*points.columns, first_within(F.col("d2"), settings.squared).alias("first"), "front")
+    best = pairs.groupBy(F.col(key).alias("_key")).agg(F.min("d2").alias("_d2"), F.bool_or("front").alias("_front"))
+    seen = points.join(best, F.col(key) == F.col("_key"), "left")
+    return seen.select(*points.columns, first_within(F.col("_d2"), settings.squared).alias("first"), F.coalesce("_front", F.lit(False)).alias("front"))
 
 
 def class_at(t: int | Column) -> Column:

@@ -192,3 +192,52 @@ def test_order_and_partitions_do_not_matter(spark):
         want = got
     assert [r[2] for r in want] == pytest.approx([0.044343, 0.075448, 0.130564, 0.215546, 0.349411, 0.961449], abs=1e-6)
     assert [r[3] for r in want] == pytest.approx([0.253829, 0.413265, 0.594527, 0.814739, 0.814739, 0.814739], abs=1e-6)
+
+
+def test_crowded_candidates_are_dealt_out(spark, monkeypatch):
+    from cloudgauge.operators import nearest
+
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 40)
+    monkeypatch.setattr(nearest, "CANDIDATE_ROWS", 10)
+    rng = np.random.default_rng(3)
+    own = rng.normal(0, 0.2, (95, 3))
+    a, b = cloud(spark, np.concatenate([own, [(NAN, 0, 0), (50, 50, 50)]])), cloud(spark, rng.normal(0, 0.2, (130, 3))).drop("point_id")
+    a = a.unionByName(a.where("point_id < 5"))  # repeated rows stay repeated
+    got = sorted((r["point_id"], r["d2"]) for r in nearest_squared_distance(a, b, 9.0, 1.0).where("d2 IS NOT NULL").collect())
+    want = sorted((r["point_id"], r["d2"]) for r in brute_force(a.dropDuplicates(["point_id"]), b, "point_id").where("point_id < 95").collect() for _ in range(2 if r["point_id"] < 5 else 1))
+    assert got == want and nearest_squared_distance(a, b, 9.0, 1.0).count() == 102
+
+
+def test_wide_cones_at_any_size(spark, monkeypatch):
+    """The tiers of wide cones without broadcasts give the pairs that they give with them."""
+    from cloudgauge.operators import beam
+
+    rng = np.random.default_rng(5)
+    scan = cloud(spark, rng.normal(size=(300, 3)), scan_id=0)
+    points = cloud(spark, np.concatenate([rng.normal(0, 0.5, (200, 3)), rng.normal(0, 0.02, (30, 3)), rng.normal(size=(40, 3)) * [1e-3, 1e-3, 1]]))
+    pairs = lambda: sorted(map(tuple, beam.seen_pairs(points, scan, {0: EYE}, 0.1, 0.05).collect()))
+    tiers = {r["tier"] for r in beam.beams(points, {0: EYE}, 0.1, 0.05).select("tier").distinct().collect()}
+    want = pairs()
+    monkeypatch.setattr(beam, "BROADCAST_ROWS", 0)
+    assert tiers >= {1, 2} and want and pairs() == want
+
+
+def test_estimated_cells(spark):
+    from cloudgauge.functions.voxels import approximate_cells, in_both_grids
+
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in rng.uniform(-40, 40, (20_000, 3)).repeat(4, 0)], "x float, y float, z float")
+    exact = {r["grid_id"]: r["n"] for r in in_both_grids(points, 0.5).select("grid_id", "vx", "vy", "vz").distinct().groupBy("grid_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for rate in (4, 128):
+        for r in approximate_cells(points, 0.5, rate).collect():
+            assert exact[r["grid_id"]] <= r["cells"] <= exact[r["grid_id"]] + 12 * math.sqrt(rate * exact[r["grid_id"]])
+    assert {r["cells"] for r in approximate_cells(points.limit(100), 0.5).collect()} == {100}
+    assert {r["cells"] for r in approximate_cells(points.limit(0), 0.5).collect()} == {0}
+
+
+def test_integer_root(spark):
+    from cloudgauge.functions.geometry import integer_root
+
+    values = [0, 1, 2, 3, 4, 15, 16, 17, 2**52 - 1, 2**52, (2**30 + 1) ** 2 - 1, (2**30 + 1) ** 2, 2**62 - 1]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "n long").select(integer_root(F.col("n"))).collect()]
+    assert got == [math.isqrt(v) for v in values]
