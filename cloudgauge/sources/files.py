@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,21 @@ def read(path: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return str(current.get())
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    where = "file://" + tempfile.mkdtemp(prefix="cloudgauge-")
+    spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; below a local folder where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cloudgauge-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+    """A new path below the shared folder."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}-{name}"

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,8 +25,9 @@ from . import files
 
 SCHEMA = "point_index long, x float, y float, z float"
 HEADER_BYTES, LARGEST_RECORD, LARGEST_COUNT, BATCH = 64 << 10, 4096, 2**32 - 1, 1 << 16
-#: Vertices of a partition.
-SPLIT = 2_000_000
+#: Vertices of a partition; bytes that the driver copies at a time.
+SPLIT, COPY_BYTES = 2_000_000, 16 << 20
+COLOURS = ("red", "green", "blue")
 
 #: Scalar type names of the format.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -104,14 +107,16 @@ def parse_header(data: bytes, general: bool = False) -> Header:
             is_list, inside = len(words) > 1 and words[1] == "list", elements[-1] == "vertex"
             if is_list and inside:
                 raise need("a list among the vertex properties")
-            if len(words) != (5 if is_list else 3) or any(t not in TYPES for t in (words[2:4] if is_list else words[1:2])):
-                raise need(f"property {' '.join(words[1:])}")
+            if len(words) != (5 if is_list else 3) or (inside and words[1] not in TYPES):
+                raise need(f"property {' '.join(words[1:])}")  # types matter only where records are read
             if inside:
                 kind, name = TYPES[words[1]], words[2]
                 if name in "xyz" and len(name) == 1 and (any(n == name for n, _ in out.properties) or kind not in (("f4", "f8") if general else ("f4",))):
                     raise need(f"coordinate {name} repeats or is not a float")
                 out.properties.append((name, kind))
         elif keyword == "end_header":
+            if len(words) > 1:
+                raise need("end_header is followed by more words")
             ended = True
         else:
             raise need(f"unknown keyword {keyword}")
@@ -134,12 +139,13 @@ def read_header(path: str, general: bool = False) -> Header:
     return header
 
 
-def _batches(header: Header, data: bytes, first: int) -> Iterator[pa.RecordBatch]:
+def _batches(header: Header, data: bytes, first: int, colours: bool) -> Iterator[pa.RecordBatch]:
     rows = np.frombuffer(data, header.record)
+    wanted = [*((c, "<f4") for c in "xyz"), *((c, "<i2") for c in COLOURS if colours)]
     for at in range(0, len(rows), BATCH):
         part = rows[at : at + BATCH]
-        own = [np.ascontiguousarray(part[p]).astype("<f4") if (p := header.place(c)) else np.zeros(len(part), "<f4") for c in "xyz"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + at, first + at + len(part))), *map(pa.array, own)], names=["point_index", "x", "y", "z"])
+        own = [np.ascontiguousarray(part[p]).astype(kind) if (p := header.place(c)) else np.zeros(len(part), kind) for c, kind in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + at, first + at + len(part))), *map(pa.array, own)], names=["point_index", *(c for c, _ in wanted)])
 
 
 @dataclass
@@ -151,8 +157,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, general: bool):
-        self.path, self.general = path, general
+    def __init__(self, path: str, general: bool, colours: bool):
+        self.path, self.general, self.colours = path, general, colours
 
     def partitions(self) -> list[_Range]:
         header = read_header(self.path, self.general)
@@ -166,7 +172,7 @@ class _Reader(DataSourceReader):
             return
         for at in range(partition.first, partition.first + partition.count, BATCH):
             n = min(BATCH, partition.first + partition.count - at)
-            yield from _batches(header, files.read(partition.path, header.offset + at * size, n * size), at)
+            yield from _batches(header, files.read(partition.path, header.offset + at * size, n * size), at, self.colours)
 
 
 def _ascii_batches(partition: _Range) -> Iterator[pa.RecordBatch]:
@@ -182,35 +188,48 @@ def _ascii_batches(partition: _Range) -> Iterator[pa.RecordBatch]:
 
 
 class PlySource(DataSource):
-    """`spark.read.format("ply")`; options: path, and general=true for further variants."""
+    """`spark.read.format("ply")`; options: path, general=true for further variants, colours=true for red, green and blue of binary files."""
 
     @classmethod
     def name(cls) -> str:
         return "ply"
 
+    def _is(self, option: str) -> bool:
+        return self.options.get(option, "false").lower() == "true"
+
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + "".join(f", {c} short" for c in COLOURS if self._is("colours"))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("general", "false").lower() == "true")
+        return _Reader(self.options["path"], self._is("general"), self._is("colours"))
 
 
-def read_cloud(spark: SparkSession, path: str, general: bool = False) -> DataFrame:
-    """(point_index, x, y, z) of a file. Faults of the file are raised here, as PlyUnreadable or PlyUnsupported."""
-    read_header(path, general)
+def read_cloud(spark: SparkSession, path: str, general: bool = False, colours: bool = False) -> DataFrame:
+    """(point_index, x, y, z) of a file; `colours` adds red, green, blue (0 where a binary file has none). Faults of the file are raised here, as PlyUnreadable or PlyUnsupported."""
+    if read_header(path, general).order == "a" and colours:
+        raise PlyUnsupported("colours of an ASCII file")
     spark.dataSource.register(PlySource)
-    return spark.read.format("ply").option("general", str(general)).load(path)
+    return spark.read.format("ply").option("general", str(general)).option("colours", str(colours)).load(path)
 
 
-def is_dense(path: str) -> bool:
-    """Whether all float properties of all vertices are finite; reads the file in pieces."""
+def is_dense(spark: SparkSession, path: str) -> bool:
+    """Whether all float properties of all vertices are finite; one aggregate over ranges of vertices."""
     header = read_header(path)
     size = header.record.itemsize
-    for at in range(0, header.count, BATCH):
-        rows = np.frombuffer(files.read(path, header.offset + at * size, min(BATCH, header.count - at) * size), header.record)
-        if not all(np.isfinite(rows[n]).all() for n, (_, t) in zip(rows.dtype.names, header.properties, strict=True) if t[0] == "f"):
-            return False
-    return True
+    floats = [n for n, (_, t) in zip(header.record.names, header.properties, strict=True) if t[0] == "f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                dense = True
+                for at in range(part * SPLIT, min(header.count, (part + 1) * SPLIT), BATCH):
+                    n = min(BATCH, header.count - at, (part + 1) * SPLIT - at)
+                    rows = np.frombuffer(files.read(path, header.offset + at * size, n * size), header.record)
+                    dense = dense and all(np.isfinite(rows[n]).all() for n in floats)
+                yield pa.RecordBatch.from_arrays([pa.array([dense])], names=["dense"])
+
+    parts = max(1, -(-header.count // SPLIT))
+    return spark.range(0, parts, 1, parts).mapInArrow(run, "dense boolean").agg(F.bool_and("dense")).first()[0]
 
 
 #: Properties of the camera record that follows the vertices.
@@ -225,26 +244,52 @@ def coloured_header(count: int) -> bytes:
     return ("\n".join(lines) + "\n").encode()
 
 
+_VERTEX = np.dtype([*((c, "<f4") for c in "xyz"), *((c, "u1") for c in COLOURS)])
+
+
 def write_coloured(cloud: DataFrame, path: str, order: str = "point_index") -> bool:
     """Writes (x, y, z, red, green, blue) as one file of 15-byte vertices by ascending `order`; False, and no file, for an empty cloud.
 
-    Partitions come to the driver one after the other, so it holds one of them at a time.
+    Tasks write the sorted partitions as bytes to the shared folder; the driver only strings those files
+    together. A task that is run again writes a file of another name, and only committed names count.
     """
-    count = cloud.count()
-    if not count:
+    spark = cloud.sparkSession
+    folder = files.shared_path(spark, "vertices")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = files.opened(folder)
+        name, count, out = f"{base}/{uuid.uuid4().hex}", 0, None
+        try:
+            for batch in batches:
+                if out is None and batch.num_rows:
+                    system.create_dir(base, recursive=True)
+                    out = system.open_output_stream(name)
+                rows = np.empty(batch.num_rows, _VERTEX)
+                for k, c in enumerate(_VERTEX.names):
+                    rows[c] = batch.column(k).to_numpy(zero_copy_only=False)
+                if batch.num_rows:
+                    out.write(rows.tobytes())
+                    count += batch.num_rows
+        finally:
+            if out is not None:
+                out.close()
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([count])], names=["part", "name", "n"])
+
+    rows = cloud.orderBy(order).select(*(F.col(c).cast("float") for c in "xyz"), *(F.col(c).cast("short") for c in COLOURS))
+    parts = sorted(tuple(r) for r in rows.mapInArrow(run, "part long, name string, n long").collect())  # a row a partition
+    if not parts:
         return False
-    record = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
+    count = sum(n for *_, n in parts)
     system, name = files.opened(path)
-    rows = cloud.orderBy(order).select(*(F.col(c).cast("float") for c in "xyz"), *(F.col(c).cast("short") for c in ("red", "green", "blue")))
+    source, base = files.opened(folder)
     with system.open_output_stream(name) as out:
         out.write(coloured_header(count))
-        held = []
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            held.append(tuple(row))
-            if len(held) == BATCH:
-                out.write(np.array(held, record).tobytes())
-                held = []
-        out.write(np.array(held, record).tobytes())
+        for _, part, n in parts:
+            with source.open_input_stream(part) as held:
+                while piece := held.read(COPY_BYTES):
+                    out.write(piece)
         pose = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
         out.write(struct.pack("<17f2i2f", *pose, count, 1, 0.0, 0.0))
+    source.delete_dir(base)
     return True

@@ -53,10 +53,10 @@ def test_bits_are_kept_and_density(spark, tmp_path):
     path = write(tmp_path, header(count=2) + odd.tobytes())
     got = np.array([r[1:] for r in rows(spark, path)], "<f4")
     assert np.array_equal(np.isnan(got), np.isnan(odd)) and got[1].tobytes() == odd[1].tobytes()
-    assert not is_dense(path) and is_dense(write(tmp_path, header() + XYZ.tobytes(), "d.ply"))
+    assert not is_dense(spark, path) and is_dense(spark, write(tmp_path, header() + XYZ.tobytes(), "d.ply"))
     normals = np.zeros(1, [(n, "<f4") for n in ("x", "y", "z", "nx")])
     normals["nx"] = np.nan
-    assert not is_dense(write(tmp_path, header(FLOATS + "property float nx\n", 1) + normals.tobytes(), "n.ply"))
+    assert not is_dense(spark, write(tmp_path, header(FLOATS + "property float nx\n", 1) + normals.tobytes(), "n.ply"))
 
 
 def test_no_vertices(spark, tmp_path):
@@ -77,7 +77,7 @@ def test_many_partitions(spark, tmp_path, monkeypatch):
         header(FLOATS.replace("float", "double")), header(FLOATS + "property list uchar int i\n"), header(FLOATS + "property float x\n"), header(before="obj_info hi\n"),
         header(before="element range_grid 2\nproperty float r\n"), header(after="element range_grid 2\nproperty float r\n"), header(after="element vertex 1\nproperty float x\n"),
         header(before="\n"), header(before="nonsense\n"), header("".join(f"property double p{k}\n" for k in range(600)) + FLOATS), header(count="-1"), header(count=2**32), b"plx\n", b"ply\n" + b"comment x\n" * 9000,
-        header(after="element face 1\nproperty list uchar int\n"),
+        header(after="element face 1\nproperty list uchar int\n"), header().replace(b"end_header", b"end_header now"),
     ],
 )
 def test_unsupported(bad):
@@ -85,6 +85,10 @@ def test_unsupported(bad):
         parse_header(bad)
 
 
+def test_types_after_the_vertices_do_not_matter():
+    assert parse_header(header(after="element face 1\nproperty list odd odder vertex_indices\nelement camera 1\nproperty strange p\n")).count == 3
+
+
 def test_empty_elements_are_accepted():
     assert parse_header(header(before="element odd 0\nproperty float r\n")).count == 3
 
@@ -112,4 +116,28 @@ def test_round_trip(spark, tmp_path):
     got = rows(spark, path)
     assert got[0] == (0, 4.0, 5.0, 6.0) and got[1][1] == 1.0 and np.isnan(got[1][2])
     assert data[len(coloured_header(2)) + 12 :][:3] == bytes([0, 255, 0])
+    colours = [tuple(r)[4:] for r in read_cloud(spark, path, colours=True).orderBy("point_index").collect()]
+    assert colours == [(0, 255, 0), (255, 0, 7)]
     assert not write_coloured(cloud.limit(0), str(tmp_path / "empty.ply")) and not (tmp_path / "empty.ply").exists()
+
+
+def test_large_cloud_is_written_in_order(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    xyz = rng.normal(size=(20_000, 3)).astype("f4")
+    order = rng.permutation(len(xyz))
+    cloud = spark.createDataFrame([(int(k), *map(float, xyz[k]), int(k) % 256, 0, 1) for k in order], "point_index long, x float, y float, z float, red int, green int, blue int").repartition(7)
+    path = str(tmp_path / "large.ply")
+    assert write_coloured(cloud, path) and is_dense(spark, path)
+    got = read_cloud(spark, path, colours=True).toPandas().sort_values("point_index")
+    assert np.array_equal(got[["x", "y", "z"]].to_numpy(), xyz) and (got["red"] == got["point_index"] % 256).all() and (got["blue"] == 1).all()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cloudgauge.sources.files import shared_base
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_base(SimpleNamespace(sparkContext=context))
