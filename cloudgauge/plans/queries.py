@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..functions.geometry import beam_radius, finite, norm, unit
-from ..functions.voxels import CELL, in_both_grids
-from ..operators.beam import beams, in_scan_frames, seen_pairs
+from ..functions.geometry import band, beam_radius, finite, integer_root, norm, unit
+from ..functions.voxels import CELL, approximate_cells, in_both_grids
+from ..operators.beam import AZIMUTH_STEP, AZIMUTHS, INCLINATION_STEP, INCLINATIONS, MOST_BINS, beams, in_scan_frames, scan_rays, seen_pairs
 from ..operators.nearest import bounding_box, nearest_squared_distance, verify
-from ..sources.files import shared_path
-from ..sources.ply import read_cloud, write_coloured
+from ..sources.files import opened, shared_path
+from ..sources.ply import is_dense, read_cloud, write_coloured
+from ..sources.project import check_poses, read_project, resolved
 from . import scoring
+from .cli import load_scans, report
 
 S = fixtures.SETTINGS
 T = range(len(S.tolerances))
@@ -69,11 +71,18 @@ _NEAR = (
   SELECT point_id, x, y, z, CASE WHEN d2 < {_LAST} THEN d2 END AS d2, CAST({_index("d2", True)} AS INTEGER) AS band FROM near
 )"""
 )
-_GRIDS = """, {name}_cells AS (
-  SELECT grid_id, CAST(floor(x * CAST({inv!r} AS FLOAT) + shift) AS INTEGER) AS vx, CAST(floor(y * CAST({inv!r} AS FLOAT) + shift) AS INTEGER) AS vy,
-         CAST(floor(z * CAST({inv!r} AS FLOAT) + shift) AS INTEGER) AS vz, {counts}
+_PLACED = """, {name}_placed AS (
+  SELECT *, CAST(floor(x * CAST({inv!r} AS FLOAT) + shift) AS DOUBLE) AS fx, CAST(floor(y * CAST({inv!r} AS FLOAT) + shift) AS DOUBLE) AS fy,
+         CAST(floor(z * CAST({inv!r} AS FLOAT) + shift) AS DOUBLE) AS fz
   FROM {name}, (VALUES (0, CAST(0 AS FLOAT)), (1, CAST(0.5 AS FLOAT))) AS g(grid_id, shift)
-  GROUP BY ALL
+), {name}_voxels AS (
+  SELECT *, CAST(CASE WHEN isnan(fx) THEN 0 ELSE greatest(least(fx, 2147483647), -2147483648) END AS INTEGER) AS vx,
+         CAST(CASE WHEN isnan(fy) THEN 0 ELSE greatest(least(fy, 2147483647), -2147483648) END AS INTEGER) AS vy,
+         CAST(CASE WHEN isnan(fz) THEN 0 ELSE greatest(least(fz, 2147483647), -2147483648) END AS INTEGER) AS vz
+  FROM {name}_placed
+)"""
+_GRIDS = _PLACED + """, {name}_cells AS (
+  SELECT grid_id, vx, vy, vz, {counts} FROM {name}_voxels GROUP BY ALL
 )"""
 _COMPLETE = _NEAR + _GRIDS.format(name="banded", inv=S.voxel_inverse, counts="count(*) AS n, " + ", ".join(f"count(*) FILTER (band <= {t}) AS c{t}" for t in T))
 _SEEN = (
@@ -150,13 +159,29 @@ def distinct_voxels_exact(spark, d):
     return in_both_grids(_scans(spark, d), S.voxel_inverse).select(*CELL).distinct().groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@_query("distinct_voxels_approximate")
-def distinct_voxels_approximate(spark, d):
-    from ..functions.voxels import approximate_cells
+def _estimated(rate: int, exact_upto: int) -> str:
+    """SQL of the estimate from the voxels' hash."""
+    mod = lambda e: f"((({e}) % 2147483647 + 2147483647) % 2147483647)"
+    linear = mod("CAST(vx AS BIGINT) * 73856093 + CAST(vy AS BIGINT) * 19349663 + CAST(vz AS BIGINT) * 83492791")
+    return (
+        _COMPLETE
+        + f""", h0 AS (SELECT *, {linear} AS h FROM banded_cells), h1 AS (SELECT * REPLACE ({mod("h * h + h * 48271 + 12345")} AS h) FROM h0),
+h2 AS (SELECT * REPLACE ({mod("h * h + h * 69621 + 12345")} AS h) FROM h1),
+taken AS (SELECT g.grid_id, (SELECT count(*) FROM h2 WHERE h2.grid_id = g.grid_id AND h < {2147483647 // rate}) AS t, (SELECT count(*) FROM scan) AS n FROM (VALUES (0), (1)) AS g(grid_id))
+SELECT grid_id, CASE WHEN n <= {exact_upto} THEN n ELSE least(n, t * {rate} + CAST(floor(sqrt(t * {25 * rate * (rate - 1)})) AS BIGINT) + 1) END AS cells FROM taken"""
+    )
 
+
+@_query("distinct_voxels_approximate", _estimated(128, 1 << 16))
+def distinct_voxels_approximate(spark, d):
     return approximate_cells(_scans(spark, d), S.voxel_inverse)
 
 
+@_query("distinct_voxels_sampled", _estimated(16, 0))
+def distinct_voxels_sampled(spark, d):
+    return approximate_cells(_scans(spark, d), S.voxel_inverse, 16, 0)
+
+
 @_query("finite_filter", _CLOUDS + " SELECT * FROM recon WHERE isfinite(x) AND isfinite(y) AND isfinite(z)")
 def finite_filter(spark, d):
     return fixtures.reconstruction(spark, d).where(finite(*(F.col(c) for c in "xyz")))
@@ -189,12 +214,50 @@ def angular_bin_mod(spark, d):
     return fixtures.scans(spark, d).select("point_id", F.pmod(F.floor(F.col("y") * F.lit(64.0).cast("float")), F.lit(2048)).cast("long").alias("bin"))
 
 
-@_query("beam_tiers")
+_ANGLES = (
+    _SEEN
+    + f""", flat AS (
+  SELECT *, {_NORM.format("p")} AS pr, sqrt(CAST(px AS DOUBLE) * CAST(px AS DOUBLE) + CAST(py AS DOUBLE) * CAST(py AS DOUBLE)) AS h,
+         atan2(CAST(py AS DOUBLE), CAST(px AS DOUBLE)) AS az FROM beam
+), cone AS (
+  SELECT *, CASE WHEN pr > 0 THEN acos(greatest(least(CAST(pz AS DOUBLE) / CAST(pr AS DOUBLE), 1), -1)) ELSE 0 END AS incl,
+         CASE WHEN b >= h THEN pi() ELSE asin(least(CAST(b AS DOUBLE) / h, 1)) END * 1.00001::DOUBLE + 1e-6::DOUBLE AS da,
+         CASE WHEN b >= pr THEN pi() ELSE asin(least(CAST(b AS DOUBLE) / CAST(pr AS DOUBLE), 1)) END * 1.00001::DOUBLE + 1e-6::DOUBLE AS di FROM flat
+), bins AS (
+  SELECT *, floor((az + da) / {AZIMUTH_STEP!r}::DOUBLE) - floor((az - da) / {AZIMUTH_STEP!r}::DOUBLE) + 1 AS across,
+         greatest(least(floor((incl + di) / {INCLINATION_STEP!r}::DOUBLE), {INCLINATIONS - 1}), 0) - greatest(least(floor((incl - di) / {INCLINATION_STEP!r}::DOUBLE), {INCLINATIONS - 1}), 0) + 1 AS up FROM cone
+)"""
+)
+
+
+@_query("beam_tiers", _ANGLES + f" SELECT CASE WHEN b >= pr THEN 2 WHEN b >= h OR across * up > {MOST_BINS} THEN 1 ELSE 0 END AS tier, count(*) AS points FROM bins GROUP BY ALL")
 def beam_tiers(spark, d):
     p = beams(fixtures.reconstruction(spark, d), fixtures.POSES, S.beam_start, S.beam_tangent)
     return p.groupBy("tier").agg(F.count(F.lit(1)).alias("points"))
 
 
+@_query("beam_angles", _ANGLES + " SELECT point_id, scan_id, CAST(round(da, 9) AS DOUBLE) AS azimuth_reach, CAST(round(di, 9) AS DOUBLE) AS inclination_reach FROM bins")
+def beam_angles(spark, d):
+    p = beams(fixtures.reconstruction(spark, d), fixtures.POSES, S.beam_start, S.beam_tangent)
+    return p.select("point_id", "scan_id", F.round("da", 9).alias("azimuth_reach"), F.round("di", 9).alias("inclination_reach"))
+
+
+@_query(
+    "angular_cells",
+    _SEEN
+    + f""" SELECT scan_id, CAST(((CAST(floor(atan2(CAST(y AS DOUBLE), CAST(x AS DOUBLE)) / {AZIMUTH_STEP!r}::DOUBLE) AS BIGINT) % {AZIMUTHS}) + {AZIMUTHS}) % {AZIMUTHS} AS INTEGER) AS az,
+      CAST(greatest(least(floor(acos(greatest(least(CAST(z AS DOUBLE) / CAST(r AS DOUBLE), 1), -1)) / {INCLINATION_STEP!r}::DOUBLE), {INCLINATIONS - 1}), 0) AS INTEGER) AS incl, count(*) AS rays
+    FROM (SELECT *, {_NORM.format("")} AS r FROM local) GROUP BY ALL""",
+)
+def angular_cells(spark, d):
+    return scan_rays(fixtures.scans(spark, d)).groupBy("scan_id", "az", "incl").agg(F.count(F.lit(1)).alias("rays"))
+
+
+@_query("integer_roots", "SELECT o_orderkey AS point_id, CAST(floor(sqrt(o_orderkey * 25 * 128 * 127)) AS BIGINT) AS root FROM orders")
+def integer_roots(spark, d):
+    return fixtures.scans(spark, d).select("point_id", integer_root(F.col("point_id") * (25 * 128 * 127)).alias("root"))
+
+
 @_query("nn_sq_distance", _NEAR + " SELECT point_id, d2 FROM banded")
 def nn_sq_distance(spark, d):
     near = nearest_squared_distance(_scans(spark, d), fixtures.reconstruction(spark, d), S.tolerances[-1])
@@ -283,6 +346,46 @@ def ply_round_trip(spark, d):
     return read_cloud(spark, path)
 
 
+@_query("coloured_round_trip", _SEEN + f" SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_index, x, y, z, CAST(CASE WHEN k = 2 THEN 255 ELSE 0 END AS SMALLINT) AS red, CAST(CASE WHEN k = 1 THEN 255 ELSE 0 END AS SMALLINT) AS green, CAST(CASE WHEN k = 0 THEN 255 ELSE 0 END AS SMALLINT) AS blue FROM (SELECT *, {_CLASS.format(t=3)} AS k FROM seen)")
+def coloured_round_trip(spark, d):
+    path = shared_path(spark, "accuracy.ply")
+    write_coloured(scoring.accuracy_colours(_seen(spark, d), 3), path, "point_id")
+    return read_cloud(spark, path, colours=True)
+
+
+@_query("project_scans", _CLOUDS + " SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_index, x, y, z FROM local")
+def project_scans(spark, d):
+    """Scans written as files beside a project that names them, read back through the project."""
+    meshes, project = [], shared_path(spark, "scans.mlp")
+    system, name = opened(project)
+    for k, pose in fixtures.POSES.items():
+        cloud = fixtures.scans(spark, d).where(F.col("scan_id") == k).withColumns({c: F.lit(0) for c in ("red", "green", "blue")})
+        write_coloured(cloud, f"{project}-{k}.ply", "point_id")
+        rows = "\n".join(" ".join(map(str, pose[4 * r : 4 * r + 4])) for r in range(4))
+        meshes.append(f'<MLMesh label="scan {k}" filename="{name.rpartition("/")[2]}-{k}.ply"><MLMatrix44>{rows}</MLMatrix44></MLMesh>')
+    with system.open_output_stream(name) as out:
+        out.write(f"<MeshLabProject><MeshGroup>{''.join(meshes)}</MeshGroup></MeshLabProject>".encode())
+    scans = read_project(project)
+    check_poses(scans)
+    return load_scans(spark, {s.scan_id: resolved(project, s.filename) for s in scans}).select("scan_id", "point_index", "x", "y", "z")
+
+
+_LINES = """, scored AS (
+  SELECT tolerance_index, tolerance, completeness, accuracy,
+         CASE WHEN accuracy <= 0 AND completeness <= 0 THEN CAST(0 AS FLOAT) ELSE CAST(CAST(2 AS FLOAT) * accuracy * completeness / (accuracy + completeness) AS FLOAT) END AS f1
+  FROM tol JOIN complete USING (tolerance_index) JOIN accurate USING (tolerance_index)
+) """ + " UNION ALL ".join(
+    f"SELECT {k} AS line, '{title}: ' || string_agg(format('{{:g}}', CAST({c} AS DOUBLE)), ' ' ORDER BY tolerance_index) AS text FROM scored"
+    for k, (title, c) in enumerate((("Tolerances", "tolerance"), ("Completenesses", "completeness"), ("Accuracies", "accuracy"), ("F1-scores", "f1")))
+)
+
+
+@_query("text_report", _BOTH + _LINES)
+def text_report(spark, d):
+    rows = scoring.scores(_bands(spark, d), _seen(spark, d), S).orderBy("tolerance_index").collect()  # a row a tolerance
+    return spark.createDataFrame(list(enumerate(report(rows).split("\n"))), "line int, text string")
+
+
 @_query(
     "tolerance_running_counts",
     _NEAR
@@ -296,3 +399,98 @@ SELECT *, CAST(sum(points) OVER (PARTITION BY grid_id, vx, vy, vz ORDER BY place
 )
 def tolerance_running_counts(spark, d):
     return scoring.running_counts(in_both_grids(_bands(spark, d).drop("scan_id"), S.voxel_inverse), F.col("band"), len(S.tolerances))
+
+
+def _row(m: list[str], x: str = "x", y: str = "y", z: str = "z") -> str:
+    return f"(({m[0]} * {x} + {m[1]} * {y}) + {m[2]} * {z}) + {m[3]}"
+
+
+def _rough_clouds() -> str:
+    """The rough clouds in SQL; inverse poses are made there from the poses."""
+    f = lambda v: f"CAST({v!r} AS FLOAT)"
+    there, back = [], []
+    for k, m in fixtures.ROUGH_POSES.items():
+        there.append([_row([f(v) for v in m[4 * r : 4 * r + 4]]) for r in range(3)])
+        columns = [[f(m[4 * r + c]) for r in range(3)] for c in range(3)]
+        shifts = [f"-{f(m[4 * r + 3])}" for r in range(3)]
+        moved = [_row([*column, f"(({column[0]} * {shifts[0]} + {column[1]} * {shifts[1]}) + {column[2]} * {shifts[2]})"]) for column in columns]
+        back.append(f"SELECT point_id, {k} AS scan_id, {', '.join(f'{e} AS p{c}' for e, c in zip(moved, 'xyz', strict=True))} FROM recon")
+    both = ", ".join(f"CASE scan_id WHEN 0 THEN {a} ELSE {b} END AS {c}" for a, b, c in zip(*there, "xyz", strict=True))
+    return f"""
+WITH local AS (
+  SELECT o_orderkey AS point_id, CAST(o_orderkey % 2 AS INTEGER) AS scan_id,
+         CAST(CASE WHEN o_orderkey % 97 = 5 THEN 'nan'::DOUBLE ELSE 3.7::DOUBLE + ((37 * o_orderkey + o_custkey) % 1009) / 997.0::DOUBLE * 2.3::DOUBLE END AS FLOAT) AS x,
+         CAST(CASE WHEN o_orderkey % 101 = 7 THEN 'inf'::DOUBLE ELSE ((o_orderkey * 7919) % 10007) / 10007.0::DOUBLE * 8.0::DOUBLE - 4.0::DOUBLE END AS FLOAT) AS y,
+         CAST(CASE WHEN o_orderkey % 103 = 9 THEN '-inf'::DOUBLE ELSE ((53 * o_orderkey + 7 * (o_orderkey // 512)) % 2003) / 2003.0::DOUBLE * 4.0::DOUBLE - 2.0::DOUBLE END AS FLOAT) AS z
+  FROM orders
+), scan AS (SELECT point_id, scan_id, {both} FROM local),
+factor AS (SELECT point_id, scan_id, [{", ".join(map(f, fixtures.ROUGH_FACTORS))}][CAST(point_id % 7 AS INTEGER) + 1] AS f, x AS ox, y AS oy, z AS oz FROM local WHERE point_id % 3 = 0),
+recon AS (SELECT point_id, {both} FROM (SELECT point_id, scan_id, ox * f AS x, oy * f AS y, oz * f AS z FROM factor)),
+framed AS ({" UNION ALL ".join(back)})"""
+
+
+def _rough(sql: str) -> str:
+    """SQL over the rough clouds; points that are not finite have no neighbour and no ray."""
+    finite_in = lambda p: " AND ".join(f"isfinite({p}{c})" for c in "xyz")
+    return (
+        sql.replace(_CLOUDS, _rough_clouds())
+        .replace("FROM scan s JOIN recon r ON", f"FROM scan s JOIN (SELECT * FROM recon WHERE {finite_in('')}) r ON")
+        .replace("FROM beam JOIN rays USING (scan_id)", f"FROM (SELECT * FROM beam WHERE {finite_in('p')}) JOIN (SELECT * FROM rays WHERE {finite_in('s')}) USING (scan_id)")
+    )
+
+
+def _rough_scans(spark, d):
+    return scoring.to_global(fixtures.rough_scans(spark, d), fixtures.ROUGH_POSES)
+
+
+def _rough_bands(spark, d):
+    return scoring.completeness_bands(_rough_scans(spark, d), fixtures.rough_reconstruction(spark, d), S)
+
+
+def _rough_seen(spark, d):
+    return scoring.first_and_front(fixtures.rough_reconstruction(spark, d), fixtures.rough_scans(spark, d), fixtures.ROUGH_POSES, S)
+
+
+_FINITE = "isfinite({0}x) AND isfinite({0}y) AND isfinite({0}z)"
+
+
+@_query("rough_scan_points_global", _rough(_CLOUDS) + f" SELECT * FROM scan WHERE {_FINITE.format('')}")
+def rough_scan_points_global(spark, d):
+    return _rough_scans(spark, d).where(finite(*(F.col(c) for c in "xyz")))
+
+
+@_query("rough_recon_points_scan_frame", _rough(_CLOUDS) + f" SELECT * FROM framed WHERE {_FINITE.format('p')}")
+def rough_recon_points_scan_frame(spark, d):
+    return in_scan_frames(fixtures.rough_reconstruction(spark, d), fixtures.ROUGH_POSES).where(finite(*(F.col(f"p{c}") for c in "xyz")))
+
+
+@_query("rough_voxel_counts", _rough(_COMPLETE) + " SELECT grid_id, vx, vy, vz, n FROM banded_cells")
+def rough_voxel_counts(spark, d):
+    return in_both_grids(_rough_scans(spark, d), S.voxel_inverse).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("rough_nn", _rough(_NEAR) + " SELECT point_id, d2, band FROM banded")
+def rough_nn(spark, d):
+    near = nearest_squared_distance(_rough_scans(spark, d), fixtures.rough_reconstruction(spark, d), S.tolerances[-1])
+    return near.select("point_id", F.when(F.col("d2") < F.lit(S.squared[-1]).cast("float"), F.col("d2")).alias("d2"), band(F.col("d2"), S.squared).alias("band"))
+
+
+@_query("rough_beam_pairs", _rough(_SEEN) + " SELECT point_id, d2, front FROM pairs")
+def rough_beam_pairs(spark, d):
+    return seen_pairs(fixtures.rough_reconstruction(spark, d), fixtures.rough_scans(spark, d), fixtures.ROUGH_POSES, S.beam_start, S.beam_tangent)
+
+
+@_query("rough_f1_report", _rough(_BOTH) + """ SELECT tolerance_index, round(CAST(completeness AS DOUBLE), 6) AS completeness, round(CAST(accuracy AS DOUBLE), 6) AS accuracy FROM tol JOIN complete USING (tolerance_index) JOIN accurate USING (tolerance_index)""")
+def rough_f1_report(spark, d):
+    return _rounded(scoring.scores(_rough_bands(spark, d), _rough_seen(spark, d), S).select("tolerance_index", "completeness", "accuracy"), "completeness", "accuracy")
+
+
+@_query("clouds_dense", _rough(_CLOUDS) + f" SELECT 'rough' AS cloud, bool_and({_FINITE.format('')}) AS dense FROM recon UNION ALL SELECT 'finite', true")
+def clouds_dense(spark, d):
+    cloud = fixtures.rough_reconstruction(spark, d).withColumns({c: F.lit(0) for c in ("red", "green", "blue")})
+    rows = []
+    for name, df in (("rough", cloud), ("finite", cloud.where(finite(*(F.col(c) for c in "xyz"))))):
+        path = shared_path(spark, f"{name}.ply")
+        write_coloured(df, path, "point_id")
+        rows.append((name, is_dense(spark, path)))
+    return spark.createDataFrame(rows, "cloud string, dense boolean")
