@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, file_system, fresh_dir, read_table, written
+from .common import batch_of, dropped_at_end, file_system, fresh_dir, read_table, written
 
 #: Bits of a code for each dimension; standard deviations of the error bound; rows of a block; queries read at a time; rows that the centre is the mean of, at most about.
 EXPANSION, BOUND, BLOCK_ROWS, BATCH_QUERIES, SAMPLE_ROWS, SEED = 4, 1.6, 32_768, 1024, 20_000, 3
@@ -221,6 +221,7 @@ def search(index: DataFrame, coder: Coder | None, queries: DataFrame, k: int = 2
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     path = fresh_dir(spark, "ann-queries")
     queries.select("vec_id", "x").write.parquet(path)
+    dropped_at_end(spark, path)
     shared = spark.sparkContext.broadcast(coder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_base
+
 #: Text bytes that a worker handles at a time, so that its memory does not follow the batch.
 CHUNK_BYTES = 4 << 20
 #: Rows of a file of a narrow intermediate table.
@@ -22,30 +23,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return str(current.get())
-        where = "file://" + tempfile.mkdtemp(prefix="cloudgauge-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+    """Cuts the lineage: writes df to the shared folder and reads it back. The table goes when the application ends."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
+    dropped_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def dropped_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder when the driver ends in order."""
+    system, target = _target(spark, path)
+    system.deleteOnExit(target)
+
+
 def files_for(rows: int) -> int:
     """Files, and tasks that write them, of a narrow table: as many as its rows ask for, not one a shuffle partition."""
     return max(1, -(-rows // FILE_ROWS))
@@ -53,9 +54,8 @@ def files_for(rows: int) -> int:
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder that no result reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _target(spark, path)
+    system.delete(target, True)
 
 
 def file_system(uri: str):

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batch_of, chunks, crc_fold, fresh_dir, read_table
+from .common import ascii_words, batch_of, chunks, crc_fold, dropped_at_end, fresh_dir, read_table
 from .eliasfano import EliasFano, load, save
 
 #: Discount, least count of bigrams and trigrams, tokens of a segment, pending keys of a task.
@@ -397,6 +397,7 @@ def train(texts: DataFrame, text: str = "text", least: int = LEAST, segment_toke
         return _level(path, "trigrams", ctx, child, counts[keep], shared2.value.running(shared2.value.levels[0], own)[1][which], False)
 
     trie.levels.append(_segments(_counted(rows, trigrams, trigram_segment, segments, trigram_level))[0])
+    dropped_at_end(spark, path)
     return trie
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, batch_of, by_run, chunks, dropped, files_for, free_name, fresh_dir, named, read_table, written
+from .common import ascii_words, batch_of, by_run, chunks, dropped, dropped_at_end, files_for, free_name, fresh_dir, named, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
 #: Texts, and hashes of their shingle sets, that a block of a candidate group has about; blocks are compared in pairs.
@@ -375,6 +375,7 @@ def components(links: DataFrame, tasks: int = 1, rounds: int = 60) -> DataFrame:
     def save(df: DataFrame) -> DataFrame:
         kept.append(path := fresh_dir(spark, "stars"))
         df.write.parquet(path)
+        dropped_at_end(spark, path)
         return spark.read.schema("u binary, v binary").parquet(path)
 
     def state(df: DataFrame) -> tuple:

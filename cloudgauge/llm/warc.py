@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, file_system, fresh_dir, read_table, written
+from .common import batch_of, dropped_at_end, file_system, fresh_dir, read_table, written
 
 MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 32 << 10, 400, 16 << 10
@@ -269,7 +269,9 @@ def read_archives(archives: DataFrame, column: str = "archive", payloads: bool =
 
 
 def op2_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = written(write_archives(read_table(spark, sf_dir, "pages"), fresh_dir(spark, "warc")), "warc-list")
+    folder = fresh_dir(spark, "warc")
+    done = written(write_archives(read_table(spark, sf_dir, "pages"), folder), "warc-list")
+    dropped_at_end(spark, folder)
     return read_archives(done.repartition(max(1, done.count()), "archive"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
