@@ -22,7 +22,8 @@ from .common import ascii_words, batch_of, carried, chunks, crc_fold, read_table
 WINDOW, UNITS, SAMPLE_DOCS, SAMPLE_WORDS = 24, 16, 3000, 60
 STEPS, BATCH, RATE, SEED = 500, 384, 0.01, 11
 UNKNOWN = "und"
-_CACHE = 200_000
+#: Distinct words whose outputs a worker keeps, and text bytes that it handles at a time.
+_CACHE, PART_BYTES = 100_000, 1 << 20
 
 
 def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +235,7 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, text: str = "text", keep:
         cache: dict[str, int] = {}
         known = np.zeros((0, len(net.languages) + 2 if net else 0))
         for batch in batches:
-            for part in chunks(batch, where):
+            for part in chunks(batch, where, PART_BYTES):
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 count, flat = ascii_words(part.column(where), lower=True)
                 if net and len(flat):

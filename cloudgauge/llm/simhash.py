@@ -336,16 +336,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
     return dealt.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(match, "a binary, b binary")
 
 
-def _with_least(edges: DataFrame, number: int) -> DataFrame:
-    """(u, v, m): each link with the least v of its u.
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, number: int) -> DataFrame:
+    """rows joined with table (key, n, more columns); n is in how many of the `number` rows the key stands.
 
-    The least is a partial and a final aggregate. Nodes with over a HUBS-th of all links, of which there are
-    fewer than HUBS, find theirs by a broadcast, so that no key gathers in one task; the rest by a sort-merge join.
+    Keys with over a HUBS-th of all rows, of which there are fewer than HUBS, are found by a broadcast, so
+    that no key gathers in one task; the rest by a sort-merge join.
     """
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    hubs = F.broadcast(low.where(F.col("n") > number // HUBS + 1).select("u", "m"))
-    few = edges.join(hubs.select("u"), "u", "left_anti").join(low.select("u", "m").hint("merge"), "u")
-    return edges.join(hubs, "u").select("u", "v", "m").unionByName(few.select("u", "v", "m"))
+    more = [c for c in table.columns if c not in (key, "n")]
+    hubs = F.broadcast(table.where(F.col("n") > number // HUBS + 1).select(key, F.struct(*more).alias("_hub")))
+    marked = rows.join(hubs, key, "left")
+    few = marked.where("_hub IS NULL").select(*rows.columns).join(table.select(key, *more).hint("merge"), key)
+    return marked.where("_hub IS NOT NULL").select(*rows.columns, "_hub.*").unionByName(few.select(*rows.columns, *more))
+
+
+def _with_least(edges: DataFrame, number: int) -> DataFrame:
+    """(u, v, m): each link with the least v of its u."""
+    return _looked_up(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", number)
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +424,8 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     placed = written(nodes.join(coarse.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("node", "low", "n", F.coalesce("component", "fp").alias("group")).coalesce(files), "simhash-placed")
     sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total")).where("texts > 1")
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("total") / BLOCK_HASHES)).cast("int")
-    dealt = placed.join(sizes.select("group", blocks.alias("blocks")).hint("merge"), "group").select("node", "low", "group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    several = _looked_up(placed.select("node", "low", "group"), sizes.select("group", blocks.alias("blocks"), F.col("texts").alias("n")), "group", placed.count())
+    dealt = several.select("node", "low", "group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     rows = docs.select(named(key).alias("_key"), named(text).alias("text"))
     sides = rows.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("low"))).select("group", "block", "blocks", "node", "text")
 
@@ -507,13 +514,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     table gives no rows.
     """
     row, number = free_name(docs, "_row"), free_name(docs, "_number")
-    marked = docs.select("*", F.substring(F.unhex(F.sha2(F.to_json(F.struct(*map(named, docs.columns))), 256)), 1, 16).alias(row))
-    groups = near_duplicates(marked, row, text, size, distance_for(similarity, words), segments, words, radius, similarity).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    ids = marked.select(F.col(row).alias("row"), named(key).alias("id")).groupBy("row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    chosen = groups.distinct().join(ids, "row").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "n")).alias("c"))
+    # long values enter by their digests, so that the JSON is short; nulls are left out of it
+    values = [F.sha2(named(f.name).cast("binary"), 256).alias(f.name) if f.dataType.typeName() in ("string", "binary") else named(f.name) for f in docs.schema]
+    wide = F.substring(F.unhex(F.sha2(F.to_json(F.struct(*values)), 256)), 1, 16)
+    marked = docs.select("*", F.struct(wide.alias("row"), named(key).alias("id")).alias(row))
+    groups = near_duplicates(marked, row, text, size, distance_for(similarity, words), segments, words, radius, similarity)
+    rows = groups.groupBy("component_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id.id").isNull(), "doc_id.id", "doc_id.row", "n")).alias("c"))
     chosen = written(chosen.select(F.col("c.row").alias(row), F.col("c.n").alias(number)).coalesce(files_for(marked.count())), "simhash-kept")
     # a sort-merge join at any size: what is kept grows with the input, so it is never broadcast
-    kept = marked.join(chosen.hint("merge"), row)
+    kept = marked.withColumn(row, F.col(row)["row"]).join(chosen.hint("merge"), row)
     repeated = kept.where(F.col(number) > 1).dropDuplicates([row])
     return kept.where(F.col(number) == 1).unionByName(repeated).select(*map(named, docs.columns))
 
