@@ -513,19 +513,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     are read whole, however long. Columns of any name and type come back as they were. An empty
     table gives no rows.
     """
-    row, number = free_name(docs, "_row"), free_name(docs, "_number")
+    row = free_name(docs, "_row")
     # long values enter by their digests, so that the JSON is short; nulls are left out of it
     values = [F.sha2(named(f.name).cast("binary"), 256).alias(f.name) if f.dataType.typeName() in ("string", "binary") else named(f.name) for f in docs.schema]
-    wide = F.substring(F.unhex(F.sha2(F.to_json(F.struct(*values)), 256)), 1, 16)
+    wide = F.coalesce(F.substring(F.unhex(F.sha2(F.to_json(F.struct(*values)), 256)), 1, 16), F.lit(b""))  # never null
     marked = docs.select("*", F.struct(wide.alias("row"), named(key).alias("id")).alias(row))
     groups = near_duplicates(marked, row, text, size, distance_for(similarity, words), segments, words, radius, similarity)
-    rows = groups.groupBy("component_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id.id").isNull(), "doc_id.id", "doc_id.row", "n")).alias("c"))
-    chosen = written(chosen.select(F.col("c.row").alias(row), F.col("c.n").alias(number)).coalesce(files_for(marked.count())), "simhash-kept")
+    chosen = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id.id").isNull(), "doc_id.id", "doc_id.row")).alias("c"))
+    chosen = written(chosen.select(F.col("c.row").alias(row)).coalesce(files_for(marked.count())), "simhash-kept")
     # a sort-merge join at any size: what is kept grows with the input, so it is never broadcast
-    kept = marked.withColumn(row, F.col(row)["row"]).join(chosen.hint("merge"), row)
-    repeated = kept.where(F.col(number) > 1).dropDuplicates([row])
-    return kept.where(F.col(number) == 1).unionByName(repeated).select(*map(named, docs.columns))
+    kept = docs.select("*", wide.alias(row)).join(chosen.hint("merge"), row)
+    return kept.dropDuplicates([row]).select(*map(named, docs.columns))
 
 
 def op9_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
