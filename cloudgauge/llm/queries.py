@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licences, mixing, multiset, ngram, packing, simhash, toxicity, warc
+from . import ann, langid, licences, mixing, multiset, ngram, packing, phrases, pstable, simhash, toxicity, warc
 
 QUERIES = {
     "op1_rotated_codes": ann.op1_rotated_codes,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_multiset_hash": multiset.op8_multiset_hash,
     "op9_multi_index_simhash": simhash.op9_multi_index_simhash,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
+    "op11_collocations": phrases.op11_collocations,
+    "op12_pstable_embeddings": pstable.op12_pstable_embeddings,
 }
 
 ORACLES = {
     "op2_zstd_warc": warc.ORACLE_SQL,
     "op3_hash_threshold_mix": mixing.ORACLE_SQL,
+    "op11_collocations": phrases.ORACLE_SQL,
+    "op12_pstable_embeddings": pstable.ORACLE_SQL,
 }
