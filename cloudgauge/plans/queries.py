@@ -108,8 +108,8 @@ _ACCURATE = _SEEN + _GRIDS.format(name="seen", inv=S.voxel_inverse, counts=_COUN
 _CSCORE = f""", tol(tolerance_index, tolerance, sq) AS (VALUES {_TOL}), complete AS (
   {" UNION ALL ".join(f"SELECT {t} AS tolerance_index, CAST(sum(c{t} / n) / count(*) AS FLOAT) AS completeness FROM banded_cells" for t in T)}
 )"""
-_RATIO = "CAST(CAST(a{t} AS FLOAT) / CAST(a{t} + i{t} AS FLOAT) AS FLOAT)"
-_ASCORE = ", accurate AS (\n  " + " UNION ALL ".join(f"SELECT {t} AS tolerance_index, CAST(coalesce(avg(CAST({_RATIO.format(t=t)} AS DOUBLE)) FILTER (a{t} + i{t} > 0), 0) AS FLOAT) AS accuracy FROM seen_cells" for t in T) + "\n)"
+RATIO = "CAST(CAST(a{t} AS FLOAT) / CAST(a{t} + i{t} AS FLOAT) AS FLOAT)"
+_ASCORE = ", accurate AS (\n  " + " UNION ALL ".join(f"SELECT {t} AS tolerance_index, CAST(coalesce(avg(CAST({RATIO.format(t=t)} AS DOUBLE)) FILTER (a{t} + i{t} > 0), 0) AS FLOAT) AS accuracy FROM seen_cells" for t in T) + "\n)"
 _CLASS = "CASE WHEN first <= {t} THEN 1 WHEN front THEN 2 ELSE 0 END"
 
 
@@ -304,7 +304,7 @@ def accuracy_class_counts(spark, d):
     return scoring.at_each_tolerance(_seen(spark, d), S, **{"class": scoring.class_at}).groupBy("tolerance_index", "class").agg(F.count(F.lit(1)).alias("points"))
 
 
-@_query("accuracy_voxel_ratio", _ACCURATE + " SELECT grid_id, vx, vy, vz, " + ", ".join(f"CASE WHEN a{t} + i{t} > 0 THEN {_RATIO.format(t=t)} END AS r{t}" for t in T) + " FROM seen_cells")
+@_query("accuracy_voxel_ratio", _ACCURATE + " SELECT grid_id, vx, vy, vz, " + ", ".join(f"CASE WHEN a{t} + i{t} > 0 THEN {RATIO.format(t=t)} END AS r{t}" for t in T) + " FROM seen_cells")
 def accuracy_voxel_ratio(spark, d):
     return scoring.accuracy_cells(_seen(spark, d), S).select(*CELL, *(scoring.accuracy_ratio(t).alias(f"r{t}") for t in T))
 
@@ -314,7 +314,9 @@ def accuracy(spark, d):
     return _rounded(scoring.accuracy(_seen(spark, d), S), "accuracy")
 
 
-_BOTH = _COMPLETE + _SEEN.removeprefix(_CLOUDS) + _GRIDS.format(name="seen", inv=S.voxel_inverse, counts=_COUNTS) + _CSCORE + _ASCORE
+#: Cells of both measures, banded_cells and seen_cells.
+BOTH_CELLS = _COMPLETE + _SEEN.removeprefix(_CLOUDS) + _GRIDS.format(name="seen", inv=S.voxel_inverse, counts=_COUNTS)
+_BOTH = BOTH_CELLS + _CSCORE + _ASCORE
 
 
 @_query(
