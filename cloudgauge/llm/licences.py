@@ -1,12 +1,14 @@
 """Operator 7: licence scans by a positional rare-token index.
 
-Licences are templates of words with mandatory key phrases. A word's postings list the key phrases and
-positions it stands at; words outside all key phrases cannot make a match. The inverse document
-frequency of every template word is counted over all documents. A file's own licence words are looked
-up from the highest IDF down; the first lookup that reaches a key phrase intersects its words' places
-by relative position, so every key phrase in the file is found. All key phrases of a template must
-stand, in their order and about as far apart as in the template, so that filled-in names and small
-edits between them do no harm. Phrases of one or a few words are templates that are all key phrase.
+Licences are templates of words with mandatory key phrases. The inverse document frequency of every
+template word is counted over all documents, and the index files a key phrase under its word of the highest
+IDF, with that word's position in it. Of a file's words, those that have such an entry are looked up,
+from the highest IDF down; their places are shifted by the posting's position and intersected with the
+places of the phrase's other words, shifted by theirs, again from the highest IDF down, until none is
+left or all words agree. So every key phrase in the file is found, and common words are looked at only
+where rare ones stand. All key phrases of a template must stand, in their order and about as far apart
+as in the template, so that filled-in names and small edits between them do no harm. Phrases of one or
+a few words are templates that are all key phrase.
 """
 
 from __future__ import annotations
@@ -105,41 +107,49 @@ SLACK_WORDS, SLACK_SHARE = 8, 0.25
 
 
 class Index:
-    """Postings of the words of all key phrases."""
+    """Key phrases by their word of the highest IDF: postings (phrase, position), and the positions of the phrase's other words, rarer ones first."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[str, float]):
         self.templates = templates
         self.words = [words_of(t.text.encode()) for t in templates]
-        self.phrases: list[tuple[int, int, list[bytes]]] = []
+        self.phrases: list[tuple[int, int, int]] = []  # template, place in it, words
         self.keys: list[list[int]] = []  # of each template, its phrases
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.others: list[list[tuple[bytes, int]]] = []
+        self.rank: dict[bytes, tuple[float, bytes]] = {}
         for k, (t, words) in enumerate(zip(templates, self.words, strict=True)):
             self.keys.append([])
             after = 0
             for key in t.keys:
                 part = words_of(key.encode())
                 after = next(p for p in range(after, len(words)) if words[p : p + len(part)] == part)
-                for within, word in enumerate(part):
-                    self.postings.setdefault(word, []).append((len(self.phrases), within))
+                self.rank.update((w, (-idf.get(w.decode(), 99.0), w)) for w in part)
+                (word, within), *others = sorted(((w, p) for p, w in enumerate(part)), key=lambda x: (self.rank[x[0]], x[1]))
+                self.postings.setdefault(word, []).append((len(self.phrases), within))
+                self.others.append(others)
                 self.keys[-1].append(len(self.phrases))
-                self.phrases.append((k, after, part))
-        self.rank = {w: (-idf.get(w.decode(), 99.0), w) for w in self.postings}
+                self.phrases.append((k, after, len(part)))
+        self.looked = 0  # places that lookups and intersections have gone through
 
     def phrases_in(self, words: list[bytes]) -> dict[int, list[int]]:
         """Where each key phrase stands in a file: ascending places of its first word."""
-        places: dict[bytes, list[int]] = {}
+        places: dict[bytes, set[int]] = {}
         for at, word in enumerate(words):
-            if word in self.postings:
-                places.setdefault(word, []).append(at)
+            if word in self.rank:
+                places.setdefault(word, set()).add(at)
         found: dict[int, list[int]] = {}
-        for word in sorted(places, key=self.rank.__getitem__):
-            for phrase, _ in self.postings[word]:
-                if phrase not in found:
-                    key = self.phrases[phrase][2]
-                    found[phrase] = []
-                    if all(w in places for w in key):  # from the places of its word that is rarest here
-                        within = min(range(len(key)), key=lambda p: len(places[key[p]]))
-                        found[phrase] = [at - within for at in places[key[within]] if at >= within and words[at - within : at - within + len(key)] == key]
+        for word in sorted(places.keys() & self.postings.keys(), key=self.rank.__getitem__):
+            for phrase, within in self.postings[word]:
+                starts = [at - within for at in places[word]]
+                self.looked += len(starts)
+                for other, position in self.others[phrase]:
+                    there = places.get(other, ())
+                    starts = [at for at in starts if at + position in there]
+                    if not starts:
+                        break
+                    self.looked += len(starts)
+                if starts:
+                    found[phrase] = sorted(starts)
         return found
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
@@ -206,8 +216,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", p
 def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES + TEXTS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, matches) of every whole text: each licence with its place in words and the share of its words there.
 
-    Null and empty texts have no words and no matches. Repeated rows are scanned each; ids may be
-    null; further columns are not read. An empty table gives no rows.
+    Null and empty texts have no words and no matches. Texts are scanned whole, however long; a very long one is
+    scanned by itself. Repeated rows are scanned each; ids may be null; further columns are not read. An empty
+    table gives no rows.
     """
     number, seen = document_frequencies(docs, templates, text)
     idf = {w: log((number + 1) / (seen.get(w, 0) + 1)) for t in templates for w in (x.decode() for x in words_of(t.text.encode()))}

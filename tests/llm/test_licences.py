@@ -99,3 +99,28 @@ def test_key_phrases_are_mandatory(spark):
     want = [(t.label, len(t.keys)) for t in templates for _ in t.keys]
     got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in scan_licences(documents(spark, rows)).collect()}
     assert all((label in got[n]) == (keys == 1) for n, (label, keys) in enumerate(want))
+
+
+def test_rare_words_lead_and_positions_decide():
+    own = (Template("a", "the software is provided as is", ("the software is provided as is",)),)
+    text = "the software is the software is provided as is the".split() * 50
+    words = [w.encode() for w in text]
+    want = [10 * k + 3 for k in range(50)]
+    idf = {"the": 0.1, "software": 0.5, "is": 0.1, "provided": 5.0, "as": 2.0}
+    rare = licences.Index(own, idf)
+    common = licences.Index(own, {"the": 5.0, "software": 0.5, "is": 4.0, "provided": 0.1, "as": 0.2})
+    assert rare.phrases_in(words) == common.phrases_in(words) == {0: want}
+    assert list(rare.postings) == [b"provided"] and rare.looked < common.looked
+    absent = licences.Index(own, idf)
+    assert absent.phrases_in([w for w in words if w != b"provided"]) == {} and absent.looked == 0
+    rare.postings[b"provided"] = [(0, 2)]  # a wrong position of the word looked up, then of another
+    assert rare.phrases_in(words) == {}
+    rare = licences.Index(own, idf)
+    rare.others[0][0] = (rare.others[0][0][0], rare.others[0][0][1] + 1)
+    assert rare.phrases_in(words) == {}
+
+
+def test_a_very_long_text(spark):
+    text = "the software is " * 500_000 + "MIT License " + "license " * 300_000
+    (row,) = scan_licences(documents(spark, [(1, text)])).collect()
+    assert row["n_words"] == 1_800_002 and [(m["label"], m["first_word"]) for m in row["matches"] if m["base"]] == [("mit", 1_500_000)]
