@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, dropped_at_end, file_system, fresh_dir, read_table, written
 
 #: Bits of a code for each dimension; standard deviations of the error bound; rows of a block; queries read at a time; rows that the centre is the mean of, at most about.
-EXPANSION, BOUND, BLOCK_ROWS, BATCH_QUERIES, SAMPLE_ROWS, SEED = 4, 1.6, 32_768, 1024, 20_000, 3
+EXPANSION, BOUND, BLOCK_ROWS, BATCH_QUERIES, SAMPLE_ROWS, SEED = 4, 1.9, 32_768, 1024, 20_000, 3
 #: Rows of a block that are estimated at a time.
 _STRIDE = 4096
 #: A query's four levels, in its standard deviations: half a step and one and a half, either way.
@@ -171,8 +171,8 @@ def best_rows(coder: Coder, x: np.ndarray, ids: np.ndarray, bits: np.ndarray, sc
         new_c, new_r = [], []
         for i in range(len(q)):
             estimate, side = codes.estimates(asked, i, rows), codes.error[rows] * np.float32(bound * asked.norm[i])
-            if at == 0 and len(estimate) > k + 1:  # one more than k: a query's own row may be among them
-                limit[i] = np.partition(estimate - side, -(k + 1))[-(k + 1)] + asked.centre[i]
+            if at == 0 and len(estimate) > k:  # rows of the query's own id set no limit, however many there are
+                limit[i] = np.partition(np.where(ids[rows] == query_ids[i], np.float32(-np.inf), estimate - side), -k)[-k] + asked.centre[i]
             estimate += side
             new_r.append(np.flatnonzero(estimate >= np.float32(limit[i] - asked.centre[i] - width)) + at)
             new_c.append(np.full(len(new_r[-1]), i))

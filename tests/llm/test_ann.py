@@ -49,6 +49,18 @@ def test_unusable_rows_and_few_candidates(spark):
     assert found(index, coder) == {0: [(1, 20, 2.0)], 20: [(1, 0, 2.0)]}
 
 
+@pytest.mark.parametrize("copies", [5, 40, 400])
+def test_repeated_own_ids_hide_no_candidate(spark, copies):
+    rng = np.random.default_rng(copies)
+    x = rng.normal(1, 1, (300, 16))
+    x = np.concatenate([x, np.repeat(x[:1], copies, 0)])
+    ids = np.r_[np.arange(300), np.zeros(copies, int)]
+    index, coder = ann.build_index(table(spark, x, ids))
+    got, want = found(index, coder), brute(x, ids, 5)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(got[q] == want[q] for q in want) >= 0.9 * len(want)
+
+
 def test_empty(spark):
     index, coder = ann.build_index(table(spark, []))
     assert coder is None and found(index, coder) == {}
@@ -62,7 +74,7 @@ def test_estimates_are_unbiased_and_bounded():
     assert bits.shape == (4000, 32)
     asked = coder.asked(q)
     codes = ann.Codes.of(bits, scale, error, asked.lost)
-    estimate, side, true = codes.estimates(asked, 0, slice(None)) + asked.centre[0], 1.9 * codes.error * asked.norm[0], x @ q[0]
+    estimate, side, true = codes.estimates(asked, 0, slice(None)) + asked.centre[0], ann.BOUND * codes.error * asked.norm[0], x @ q[0]
     assert abs((estimate - true).mean()) < 0.1
     assert (abs(true - estimate) <= side).mean() > 0.9
 
