@@ -85,3 +85,12 @@ def rough_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rough_scans(spark, sf_dir).where("point_id % 3 = 0")
     f = F.element_at(F.array(*[F.lit(v).cast("float") for v in ROUGH_FACTORS]), (F.col("point_id") % 7).cast("int") + 1)
     return to_global(p.withColumns({c: F.col(c) * f for c in "xyz"}), ROUGH_POSES).drop("scan_id")
+
+
+def crowded(points: DataFrame) -> DataFrame:
+    """A cloud with all but a hundredth of its points in one corner, a 256th as wide as the cloud; scaling is exact."""
+    return points.withColumns({c: F.when(F.col("point_id") % 100 == 3, F.col(c)).otherwise((F.col(c) / 256).cast("float")) for c in "xyz"})
+
+
+def scaled(points: DataFrame, factor: float) -> DataFrame:
+    return points.withColumns({c: (F.col(c) * F.lit(factor)).cast("float") for c in "xyz"})

@@ -1,18 +1,24 @@
 """Radius-capped nearest-neighbour join.
 
 Both sides are dealt to cubic blocks: a query to the block it lies in, a candidate also to the
-blocks that its ball of the radius reaches. The edge of a block is at least twice the radius, so
-a candidate goes to 8 blocks at most, and large enough that blocks hold about BLOCK_POINTS
-candidates. Within a block the search refines: cells of doubling size, each query looking at the
-27 cells around it and dropping out once its nearest lies within the size. Work thus follows the
-distance to the neighbour, not the radius, also where points are dense. Blocks with too many queries
-deal them to several tasks; blocks with too many candidates deal those, and the least of the tasks'
-distances is taken, so no task holds a block of unbounded size.
+blocks that its ball of the radius reaches. Blocks are the leaves of an octree. The edge of its root
+blocks follows the mean density; a block that holds more than SPLIT_ROWS candidates is halved along each side, again
+and again, while its edge stays at least twice the radius, so that a candidate goes to 8 blocks at most.
+Queries farther than the radius from the box of all candidates are answered without a shuffle. Within a
+block the search refines: cells of doubling size, each query looking at the 27 cells around it and
+dropping out once its nearest lies within the size. Work thus follows the distance to the neighbour,
+not the radius, also where points are dense. Blocks with too many queries deal them to several tasks;
+blocks that cannot be halved any more deal their candidates, and the least of the tasks' distances
+is taken, so no task holds a block of unbounded size. Where coordinates are too large for block
+keys, the kd-tree answers instead.
 """
 
 from __future__ import annotations
 
-from math import inf
+import logging
+from dataclasses import dataclass, field
+from functools import reduce
+from math import floor, inf, log2
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, squared_distance
+from .kd import kd_squared_distance
 
+LOG = logging.getLogger("cloudgauge")
 #: Candidates of a block at most and at least, about; queries and candidates of a task; pairs compared at a time.
 BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 2_000_000, 1 << 20
+#: Candidates over which a block is halved, at most and at least; those that reach in from around come on top.
+SPLIT_ROWS, LEAST_SPLIT = CANDIDATE_ROWS // 8, 4 * LEAST_POINTS
+#: Halvings at most, and rows of the tables of halved or crowded blocks, which are broadcast.
+MOST_LEVELS, MOST_BLOCKS = 16, 1 << 16
+#: Coordinates in root blocks up to which keys are exact; edges and coordinates whose squares FLOAT still holds.
+MOST_KEY, MOST_COORDINATE = 2.0**40, float(np.finfo(np.float32).max) ** 0.5 / 4
 #: A little more than 1, so that rounding never hides a neighbour.
 SLACK = 1 + 1e-5
 
@@ -33,17 +47,79 @@ def bounding_box(points: DataFrame) -> DataFrame:
     return some.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
-def block_edge(candidates: DataFrame, radius: float) -> float:
-    """Edge of a block, from the candidates' extent and number."""
-    box = bounding_box(candidates).first()
+def edge_within(box, radius: float, tasks: int) -> float:
+    """Edge of a root block, from the candidates' box and number."""
     if not box["n"]:
         return max(2 * radius * SLACK, 1.0)
     sides = [max(float(box[f"max_{c}"]) - float(box[f"min_{c}"]), radius, 1e-6) for c in "xyz"]
-    share = box["n"] / (8 * candidates.sparkSession.sparkContext.defaultParallelism)
-    even = (sides[0] * sides[1] * sides[2] * min(max(share, LEAST_POINTS), BLOCK_POINTS) / box["n"]) ** (1 / 3)
+    even = (sides[0] / box["n"] * sides[1] * sides[2] * min(max(box["n"] / (8 * tasks), LEAST_POINTS), BLOCK_POINTS)) ** (1 / 3)
     return max(2 * radius * SLACK, min(even, max(sides)), 1e-6)
 
 
+def representable(box, edge: float) -> bool:
+    """Whether block keys are exact whole numbers of 64 bits, and the squares of differences finite."""
+    most = max(abs(float(box[f"{e}_{c}"])) for c in "xyz" for e in ("min", "max"))
+    return most / edge < MOST_KEY and max(most, edge) < MOST_COORDINATE
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """An octree: the edge of its root blocks, and by (level, x, y, z) the halved blocks and those that are over-full but cannot be halved, with the tasks to deal them to."""
+
+    edge: float
+    halved: list[tuple[int, int, int, int]] = field(default_factory=list)
+    crowded: dict[tuple[int, int, int, int], int] = field(default_factory=dict)
+
+    @property
+    def levels(self) -> int:
+        return 1 + max((level for level, *_ in self.halved), default=-1) + 1
+
+
+PLACE = ["level", "bx", "by", "bz"]
+
+
+def _at(c, edge: float, level=None):
+    """Block coordinate; at a level, of blocks that many times halved. Halving is exact, so a block's parent has half its coordinates."""
+    place = c.cast("double") / F.lit(edge)
+    return F.floor(place if level is None else place * F.pow(F.lit(2.0), level))
+
+
+def octree(candidates: DataFrame, edge: float, radius: float, most: int = SPLIT_ROWS) -> Blocks:
+    """Blocks for some finite candidates; most: that one holds. One count of root blocks; where some are over-full, one more of these, at all levels at once."""
+    level = max(0, min(MOST_LEVELS, floor(log2(edge / max(2 * radius * SLACK, 1e-9)))))
+    root = candidates.select(*(_at(F.col(c), edge).alias(f"b{c}") for c in "xyz")).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
+    full = [tuple(r) for r in root.where(F.col("n") > most).orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()]
+    if not full:
+        return Blocks(edge)
+    spark = candidates.sparkSession
+    some = spark.createDataFrame([r[:3] for r in full], "rx long, ry long, rz long")
+    rows = candidates.select("x", "y", "z", *(_at(F.col(c), edge).alias(f"r{c}") for c in "xyz")).join(F.broadcast(some), ["rx", "ry", "rz"], "left_semi")
+    finest = rows.select(*(_at(F.col(c), edge, F.lit(level)).alias(f"b{c}") for c in "xyz")).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
+    up = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(level))))
+    up = up.select("level", *(F.expr(f"shiftright({b}, {level} - level)").alias(b) for b in ("bx", "by", "bz")), "n").groupBy(*PLACE).agg(F.sum("n").alias("n"))
+    # a block holds no more than its parent, so the fullest ones have their parents among them
+    over = up.where(F.col("n") > most).orderBy(F.desc("n"), "level").limit(MOST_BLOCKS).collect()
+    return Blocks(edge, [tuple(r[c] for c in PLACE) for r in over if r["level"] < level], {tuple(r[c] for c in PLACE): -(-r["n"] // SPLIT_ROWS) for r in over if r["level"] == level and r["n"] > SPLIT_ROWS})
+
+
+def in_blocks(points: DataFrame, blocks: Blocks, reach: float | None = None) -> DataFrame:
+    """points with the leaf block (level, bx, by, bz) each lies in; with a reach, a row for each leaf block that its ball touches."""
+    low = [F.col(c).cast("double") - (reach or 0.0) for c in "xyz"]
+    high = [F.col(c).cast("double") + (reach or 0.0) for c in "xyz"]
+    out = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(blocks.levels - 1)))) if blocks.halved else points.withColumn("level", F.lit(0))
+    for c, a, b in zip("xyz", low, high, strict=True):
+        first = _at(a, blocks.edge, F.col("level"))
+        out = out.withColumn(f"b{c}", first if reach is None else F.explode(F.sequence(first, _at(b, blocks.edge, F.col("level")))))
+    if not blocks.halved:
+        return out
+    # a leaf is not halved, and its parent is
+    halved = points.sparkSession.createDataFrame(blocks.halved, "level int, bx long, by long, bz long")
+    above = F.broadcast(halved.select((F.col("level") + 1).alias("_level"), *(F.col(b).alias(f"_{b}") for b in PLACE[1:]), F.lit(True).alias("_within")))
+    parent = F.expr("level = _level AND " + " AND ".join(f"shiftright({b}, 1) = _{b}" for b in PLACE[1:]))
+    out = out.join(F.broadcast(halved), PLACE, "left_anti").join(above, parent, "left")
+    return out.where("level = 0 OR _within").select(*points.columns, *PLACE)
+
+
 def _cells(points: np.ndarray, size: float, low: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Cells of a lattice, numbered; the lattice leaves a margin of one on all sides."""
     at = np.floor((points - low) / size).astype(np.int64) + 1
@@ -59,7 +135,8 @@ def nearest_in_block(q: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
     low, high = np.minimum(q64.min(0), c64.min(0)), np.maximum(q64.max(0), c64.max(0))
     reach = max(radius * SLACK, 1e-9)
     volume = float(np.prod(np.maximum(high - low, reach / 64)))
-    size = min(reach, max((2 * volume / len(c)) ** (1 / 3), reach / 256, float((high - low).max()) / 1e5))
+    # so many cells that 64 bits number them
+    size = max(min(reach, max((2 * volume / len(c)) ** (1 / 3), reach / 256)), float((high - low).max()) / 1e5)
     left = np.arange(len(q))
     while len(left):
         counts = np.floor((high - low) / size).astype(np.int64) + 3
@@ -101,47 +178,56 @@ def _points(table: pa.Table, names: tuple[str, str, str]) -> np.ndarray:
     return np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float32)
 
 
-def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None) -> DataFrame:
+def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto") -> DataFrame:
     """queries (x, y, z and other columns) with `d2`, the FLOAT squared distance to the nearest candidate (x, y, z).
 
     d2 is null where no candidate lies within the radius (or a hair beyond), and for queries that are
-    not finite. Candidates that are not finite take no part. Every query keeps its row.
+    not finite. Candidates that are not finite take no part. Every query keeps its row. edge: of the
+    root blocks. index: `blocks`, `kd`, or `auto`: blocks wherever their keys are exact.
     """
-    # blocks are numbered from a lattice at 0; keys are BIGINT, and coordinates so far out that they
-    # leave it meet in its outermost blocks
-    edge = block_edge(candidates, radius) if edge is None else edge
+    if index == "kd":
+        return kd_squared_distance(queries, candidates, radius)
+    box = bounding_box(candidates).first()
+    if not box["n"]:
+        return queries.withColumn("d2", F.lit(None).cast("float"))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    edge = edge_within(box, radius, tasks) if edge is None else edge
+    if not representable(box, edge):
+        if index == "blocks":
+            raise ValueError(f"coordinates of {box.asDict()} have no exact block keys at an edge of {edge:g}")
+        LOG.warning("coordinates are too large for block keys; the kd-tree is used instead")
+        return kd_squared_distance(queries, candidates, radius)
     reach = max(radius, 0.0) * SLACK
-    spot = lambda c: F.floor(F.greatest(F.least(c / F.lit(edge), F.lit(1e15)), F.lit(-1e15)))
-    at = [spot(F.col(c).cast("double")).alias(f"b{c}") for c in "xyz"]
     usable = finite(*(F.col(c) for c in "xyz"))
-    asked = queries.select(*queries.columns, *at).withColumn("_ok", usable)
     filed = candidates.where(usable).select("x", "y", "z")
-    for c in "xyz":
-        d = F.col(c).cast("double")
-        filed = filed.withColumn(f"b{c}", F.explode(F.sequence(spot(d - reach), spot(d + reach))))
-    schema = queries.limit(0).withColumn("d2", F.lit(None).cast("float")).schema
+    blocks = octree(filed, edge, radius, min(SPLIT_ROWS, max(LEAST_SPLIT, box["n"] // (2 * tasks))))
+    # what lies farther than the reach from all candidates has no neighbour and is not shuffled
+    inside = reduce(lambda a, b: a & b, [F.col(c).cast("double").between(float(box[f"min_{c}"]) - reach, float(box[f"max_{c}"]) + reach) for c in "xyz"])
+    inside = F.coalesce(inside & usable, F.lit(False))
     names = queries.columns
+    asked, filed = in_blocks(queries.where(inside), blocks), in_blocks(filed, blocks, reach)
+    crowded, away = crowded_blocks(queries, inside, blocks)
+    schema = queries.limit(0).withColumn("d2", F.lit(None).cast("float")).schema
 
     def search(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
-        ok = left.column("_ok").to_numpy(zero_copy_only=False)
-        best = np.full(left.num_rows, np.inf, np.float32)
-        best[ok] = nearest_in_block(_points(left, ("x", "y", "z"))[ok], _points(right, ("x", "y", "z")), radius)
+        best = nearest_in_block(_points(left, ("x", "y", "z")), _points(right, ("x", "y", "z")), radius)
         best[best > np.float32(reach * reach)] = np.inf  # what lies beyond the reach need not be the nearest
         return left.select(names).append_column("d2", pa.array(best, mask=np.isinf(best)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return search(left, right, names)
 
-    blocks = ["bx", "by", "bz"]
-    crowded = crowded_blocks(asked, filed, blocks)
+    def beside(near: DataFrame) -> DataFrame:
+        return near.unionByName(queries.where(~inside).withColumn("d2", F.lit(None).cast("float"))) if away else near
+
     if not crowded:
-        return asked.groupBy(*blocks).cogroup(filed.groupBy(*blocks)).applyInArrow(run, schema)
-    parts = F.broadcast(asked.sparkSession.createDataFrame(crowded, "bx long, by long, bz long, askers long, holders long"))
+        return beside(asked.groupBy(*PLACE).cogroup(filed.groupBy(*PLACE)).applyInArrow(run, schema))
+    parts = F.broadcast(queries.sparkSession.createDataFrame(crowded, "level int, bx long, by long, bz long, askers long, holders long"))
     askers, holders = F.coalesce("askers", F.lit(1)), F.coalesce("holders", F.lit(1))
     # a task of a block has one part of its queries and one of its candidates
-    asked = asked.join(parts, blocks, "left").withColumn("part", F.pmod(F.xxhash64(*names), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0).cast("long"), holders - 1)))
-    filed = filed.join(parts, blocks, "left").withColumn("holder", F.pmod(F.xxhash64("x", "y", "z"), holders)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), askers - 1)))
-    places = [*blocks, "part", "holder"]
+    asked = asked.join(parts, PLACE, "left").withColumn("part", F.pmod(F.xxhash64(*names), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0).cast("long"), holders - 1)))
+    filed = filed.join(parts, PLACE, "left").withColumn("holder", F.pmod(F.xxhash64("x", "y", "z"), holders)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), askers - 1)))
+    places = [*PLACE, "part", "holder"]
     several = asked.where(holders > 1).drop("askers"), filed.where(holders > 1).drop("askers", "holders")
     asked, filed = asked.where(holders == 1).drop("askers", "holders"), filed.where(holders == 1).drop("askers", "holders")
     whole = asked.groupBy(*places).cogroup(filed.groupBy(*places)).applyInArrow(run, schema)
@@ -151,15 +237,23 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
     # equal queries have equal distances, so they may be taken together; each has come back once a holder
     least = pieces.groupBy(*more).agg(F.min("d2").alias("d2"), F.count(F.lit(1)).alias("_n"))
     least = least.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_n DIV holders")))).select(*names, "d2")
-    return whole.unionByName(least)
+    return beside(whole.unionByName(least))
 
 
-def crowded_blocks(asked: DataFrame, filed: DataFrame, blocks: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each: a row for so many points at most."""
-    queries = asked.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS).withColumn("m", F.lit(0).cast("long"))
-    held = filed.groupBy(*blocks).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CANDIDATE_ROWS).withColumn("n", F.lit(0).cast("long"))
-    rows = queries.unionByName(held).groupBy(*blocks).agg(F.max("n").alias("n"), F.max("m").alias("m")).collect()
-    return [(*(r[b] for b in blocks), max(1, -(-r["n"] // QUERY_ROWS)), max(1, -(-r["m"] // CANDIDATE_ROWS))) for r in rows]
+def crowded_blocks(queries: DataFrame, inside, blocks: Blocks) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each, MOST_BLOCKS at most; and how many queries lie outside of all.
+
+    One pass over the queries: root blocks are counted, and those outside as one; halved ones are
+    counted again only where they hold too many.
+    """
+    key = [F.when(inside, _at(F.col(c), blocks.edge)).alias(f"b{c}") for c in "xyz"]
+    counts = queries.select(*key).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n")).where(F.col("bx").isNull() | (F.col("n") > QUERY_ROWS)).orderBy(F.col("bx").isNotNull(), F.desc("n")).limit(MOST_BLOCKS).collect()
+    away = sum(r["n"] for r in counts if r["bx"] is None)
+    askers = {(0, r["bx"], r["by"], r["bz"]): -(-r["n"] // QUERY_ROWS) for r in counts if r["bx"] is not None}
+    if any(place in askers for place in blocks.halved):
+        fine = in_blocks(queries.where(inside).select("x", "y", "z"), blocks).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
+        askers = {tuple(r[c] for c in PLACE): -(-r["n"] // QUERY_ROWS) for r in fine.orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()}
+    return [(*place, askers.get(place, 1), blocks.crowded.get(place, 1)) for place in sorted(askers.keys() | blocks.crowded.keys())], away
 
 
 def brute_force(queries: DataFrame, candidates: DataFrame, key: str, radius: float = inf) -> DataFrame:
@@ -172,10 +266,12 @@ def brute_force(queries: DataFrame, candidates: DataFrame, key: str, radius: flo
 
 
 def verify(queries: DataFrame, candidates: DataFrame, key: str, squared: tuple[float, ...]) -> DataFrame:
-    """Compares the block search with brute force within the largest tolerance: numbers of queries, of values and of bands that differ."""
+    """Compares the block search with the kd-tree within the largest tolerance: by band of the block search, numbers of queries, and of values and of bands that differ, and the largest squared distance."""
     from ..functions.geometry import band, f32
 
-    near = nearest_squared_distance(queries, candidates, float(np.sqrt(squared[-1])) * SLACK)
+    radius = float(np.sqrt(squared[-1])) * SLACK
     capped = lambda c: F.when(c < f32(squared[-1]), c)
-    both = near.select(key, F.col("d2").alias("a")).join(brute_force(queries, candidates, key).select(key, F.col("d2").alias("b")), key)
-    return both.agg(F.count(F.lit(1)).alias("queries"), F.count_if(~capped(F.col("a")).eqNullSafe(capped(F.col("b")))).alias("value_mismatches"), F.count_if(band(F.col("a"), squared) != band(F.col("b"), squared)).alias("band_mismatches"))
+    near = nearest_squared_distance(queries.select(key, "x", "y", "z"), candidates, radius).withColumnRenamed("d2", "a")
+    both = kd_squared_distance(near, candidates, radius).select(capped(F.col("a")).alias("a"), capped(F.col("d2")).alias("b"))
+    both = both.select("*", band(F.col("a"), squared).alias("band"), band(F.col("b"), squared).alias("other"))
+    return both.groupBy("band").agg(F.count(F.lit(1)).alias("queries"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("value_mismatches"), F.count_if(F.col("band") != F.col("other")).alias("band_mismatches"), F.max("a").alias("largest"))

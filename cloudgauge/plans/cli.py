@@ -30,8 +30,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--beam_divergence_halfangle_deg", type=float, default=0.011)
     p.add_argument("--completeness_cloud_output_path", default="")
     p.add_argument("--accuracy_cloud_output_path", default="")
-    p.add_argument("--nn_index", choices=("grid", "flann"), default="grid", help="both names give the same join")
-    p.add_argument("--nn_verify", action="store_true", help="compares the join with brute force; for small clouds")
+    p.add_argument("--nn_index", choices=("grid", "flann"), default="grid", help="grid: octree blocks; flann: the kd-tree; both give the same answer")
+    p.add_argument("--nn_verify", action="store_true", help="compares the octree blocks with the kd-tree")
     p.add_argument("--general_ply", action="store_true", help="also reads ASCII, big-endian and double PLY files")
     return p
 
@@ -83,11 +83,11 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> in
     print("Computing completeness", flush=True)
     if args.nn_verify:
         keyed = placed.withColumn("key", F.struct("scan_id", "point_index"))
-        found = verify(keyed, reconstruction.select("x", "y", "z"), "key", settings.squared).first()
-        print(f"nn_verify: {found.asDict()}", file=sys.stderr)
-        if found["band_mismatches"]:
+        found = verify(keyed, reconstruction.select("x", "y", "z"), "key", settings.squared).collect()  # a row a band
+        print("nn_verify:", {n: sum(r[n] for r in found) for n in ("queries", "value_mismatches", "band_mismatches")}, file=sys.stderr)
+        if any(r["band_mismatches"] for r in found):
             return SYSTEM_FAILURE
-    bands = scoring.completeness_bands(placed, reconstruction.select("x", "y", "z"), settings).persist(StorageLevel.MEMORY_AND_DISK)
+    bands = scoring.completeness_bands(placed, reconstruction.select("x", "y", "z"), settings, {"grid": "auto", "flann": "kd"}[args.nn_index]).persist(StorageLevel.MEMORY_AND_DISK)
     if args.completeness_cloud_output_path:
         write_clouds(bands.withColumn("order", F.struct("scan_id", "point_index")), args.completeness_cloud_output_path, settings, scoring.completeness_colours, "order")
     print("Computing accuracy", flush=True)

@@ -274,11 +274,45 @@ def nn_band_histogram(spark, d):
     return _bands(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("points"))
 
 
-@_query("nn_verify", "SELECT count(*) AS queries, CAST(0 AS BIGINT) AS value_mismatches, CAST(0 AS BIGINT) AS band_mismatches FROM orders")
+@_query("nn_verify", _NEAR + " SELECT band, count(*) AS queries, CAST(0 AS BIGINT) AS value_mismatches, CAST(0 AS BIGINT) AS band_mismatches, max(d2) AS largest FROM banded GROUP BY band")
 def nn_verify(spark, d):
     return verify(_scans(spark, d), fixtures.reconstruction(spark, d), "point_id", S.squared)
 
 
+@_query("nn_kd", _NEAR + " SELECT point_id, d2 FROM banded")
+def nn_kd(spark, d):
+    near = nearest_squared_distance(_scans(spark, d), fixtures.reconstruction(spark, d), S.tolerances[-1], index="kd")
+    return near.select("point_id", F.when(F.col("d2") < F.lit(S.squared[-1]).cast("float"), F.col("d2")).alias("d2"))
+
+
+_CORNER = "CAST(CASE WHEN point_id % 100 = 3 THEN {0} ELSE {0} / 256 END AS FLOAT)"
+_REACH = 1 / 64
+#: Points of the crowded clouds; a fifth of the queries lies far away.
+_CROWDED = (
+    _CLOUDS
+    + f""", asked AS (SELECT point_id, CAST(CASE WHEN point_id % 5 = 0 THEN x + 4096 ELSE x END AS FLOAT) AS x, y, z FROM (SELECT point_id, {", ".join(f"{_CORNER.format(c)} AS {c}" for c in "xyz")} FROM scan)),
+held AS (SELECT {", ".join(f"{_CORNER.format(c)} AS {c}" for c in "xyz")} FROM recon), near AS (
+  SELECT s.point_id, min(((s.x - r.x) * (s.x - r.x) + (s.y - r.y) * (s.y - r.y)) + (s.z - r.z) * (s.z - r.z)) AS d2 FROM asked s
+  JOIN held r ON r.x BETWEEN s.x - 0.016 AND s.x + 0.016 AND r.y BETWEEN s.y - 0.016 AND s.y + 0.016 AND r.z BETWEEN s.z - 0.016 AND s.z + 0.016 GROUP BY ALL
+)"""
+)
+
+
+@_query("nn_crowded", _CROWDED + f" SELECT point_id, CASE WHEN d2 < CAST({_REACH**2!r} AS FLOAT) THEN d2 END AS d2 FROM scan LEFT JOIN near USING (point_id)")
+def nn_crowded(spark, d):
+    """A cloud in one corner, whose blocks are halved; queries far from it are not shuffled."""
+    asked = fixtures.crowded(_scans(spark, d)).withColumn("x", F.when(F.col("point_id") % 5 == 0, F.col("x") + F.lit(4096).cast("float")).otherwise(F.col("x")))
+    near = nearest_squared_distance(asked, fixtures.crowded(fixtures.reconstruction(spark, d)), _REACH)
+    return near.select("point_id", F.when(F.col("d2") < F.lit(_REACH**2).cast("float"), F.col("d2")).alias("d2"))
+
+
+@_query("nn_huge", _CLOUDS + " SELECT point_id, CASE WHEN n IS NOT NULL THEN CAST(0 AS FLOAT) END AS d2 FROM scan LEFT JOIN (SELECT x, y, z, count(*) AS n FROM recon GROUP BY ALL) USING (x, y, z)")
+def nn_huge(spark, d):
+    """Coordinates near 1e30, for which block keys would not do: the kd-tree answers. All squares but that of equal points overflow."""
+    asked, held = (fixtures.scaled(c, 2.0**97) for c in (_scans(spark, d), fixtures.reconstruction(spark, d)))
+    return nearest_squared_distance(asked, held, S.tolerances[-1]).select("point_id", "d2")
+
+
 @_query("completeness_voxel_ratio", _COMPLETE + " SELECT grid_id, vx, vy, vz, n, " + ", ".join(f"c{t} / n AS r{t}" for t in T) + " FROM banded_cells")
 def completeness_voxel_ratio(spark, d):
     return scoring.completeness_cells(_bands(spark, d), S).select(*CELL, "n", *((F.col(f"c{t}") / F.col("n").cast("double")).alias(f"r{t}") for t in T))
@@ -466,6 +500,11 @@ def rough_recon_points_scan_frame(spark, d):
     return in_scan_frames(fixtures.rough_reconstruction(spark, d), fixtures.ROUGH_POSES).where(finite(*(F.col(f"p{c}") for c in "xyz")))
 
 
+@_query("rough_finite_filter", _rough(_CLOUDS) + f" SELECT * FROM recon WHERE {_FINITE.format('')}")
+def rough_finite_filter(spark, d):
+    return fixtures.rough_reconstruction(spark, d).where(finite(*(F.col(c) for c in "xyz")))
+
+
 @_query("rough_voxel_counts", _rough(_COMPLETE) + " SELECT grid_id, vx, vy, vz, n FROM banded_cells")
 def rough_voxel_counts(spark, d):
     return in_both_grids(_rough_scans(spark, d), S.voxel_inverse).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))

@@ -22,9 +22,9 @@ def to_global(scans: DataFrame, poses: dict[int, list[float]]) -> DataFrame:
     return scans.withColumns(dict(zip("xyz", new, strict=True)))
 
 
-def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settings: Settings) -> DataFrame:
+def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settings: Settings, index: str = "auto") -> DataFrame:
     """scan_points (global x, y, z, ...) with `band`, the first tolerance index that holds the nearest reconstruction point, or their number."""
-    near = nearest_squared_distance(scan_points, reconstruction, settings.tolerances[-1] * SLACK)
+    near = nearest_squared_distance(scan_points, reconstruction, settings.tolerances[-1] * SLACK, index=index)
     return near.withColumn("band", band(F.col("d2"), settings.squared)).drop("d2")
 
 
