@@ -30,8 +30,8 @@ from .simhash import _looked_up
 LONGEST, LEAST, KEPT, HIDES = 5, 100, 2000, 100
 #: Text bytes whose n-grams are summed at a time; memory of a bucket's duckdb before it spills.
 SUM_BYTES, DUCKDB_MB = 8 << 20, 256
-#: Bits of the bitmap for each frequent hash, and at least and at most (powers of two; 32 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+#: Bits of the bitmap for each frequent hash, and at least and at most (powers of two; 32 MB); bits that a hash sets.
+BITS_EACH, LEAST_BITS, MOST_BITS, PROBES = 16, 1 << 16, 1 << 28, 3
 #: Stands between a language and a phrase in a key; no phrase holds it.
 BETWEEN = "\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,15 +99,19 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bitmap:
-    """Hashes by their lowest bits; says yes to all that were put in, and to few others."""
+    """Hashes by PROBES bits each, named by their low and high halves; says yes to all that were put in, and to few others."""
 
     def __init__(self, cells: np.ndarray, masks: np.ndarray, bits: int):
         self.words, self.bits = np.zeros(bits >> 6, np.uint64), bits
         self.words[cells] = masks
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(self.bits - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        first, step = h & np.uint64(self.bits - 1), h >> np.uint64(32) | np.uint64(1)
+        out = np.ones(len(h), bool)
+        for k in range(PROBES):
+            at = first + step * np.uint64(k) & np.uint64(self.bits - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
 def frequent_hashes(pieces: DataFrame, least: int = LEAST) -> Bitmap:
@@ -115,8 +119,9 @@ def frequent_hashes(pieces: DataFrame, least: int = LEAST) -> Bitmap:
     sums = pieces.mapInArrow(_hashed, "h long, w long").groupBy("h").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("h")
     sums = written(sums, "phrases-hashes")
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * sums.count()).bit_length()))
-    at = F.col("h").bitwiseAND(bits - 1)
-    cells = sums.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
+    probes = F.expr(f"explode(transform(sequence(0, {PROBES - 1}), k -> ((h & {bits - 1}) + k * (shiftrightunsigned(h, 32) | 1)) & {bits - 1}))")
+    masks = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
+    cells = sums.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(masks).toArrow()
     return Bitmap(cells.column("cell").to_numpy(), cells.column("mask").to_numpy().view(np.uint64), bits)
 
 
@@ -212,8 +217,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     lowest = cuts.groupBy("key", "a").agg(F.min(F.struct(score(F.col("a"), F.col("n"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r", "n")).alias("cut"))
     rows = lowest.withColumn("phrase", phrase).select(own.alias("lang"), "phrase", "a", "cut.l", "cut.r", "cut.n", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)  # a task passes on `kept` rows of a language at most
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
