@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import ceil, erfc, exp, log, pi, sqrt
 
 import numpy as np
@@ -39,6 +40,13 @@ def meeting(distance: float, width: float = WIDTH) -> float:
     return 1 - erfc(u / sqrt(2)) - 2 / (sqrt(2 * pi) * u) * (1 - exp(-u * u / 2))
 
 
+@cache
+def _drawn(dimensions: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, shifts and the factors that hash buckets; the same in every task."""
+    rng = np.random.default_rng([SEED, dimensions])
+    return rng.normal(size=(dimensions, projections)), rng.uniform(0, width, projections), rng.integers(0, 1 << 64, projections, np.uint64) | np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Tables:
     """Numbers of tables and of projections of each, width of the buckets."""
@@ -59,9 +67,7 @@ class Tables:
 
     def keys(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Keys of unit vectors, a row each and a column for each table; other labels and widths have other keys."""
-        rng = np.random.default_rng([SEED, x.shape[1]])
-        turn, shift = rng.normal(size=(x.shape[1], self.tables * self.projections)), rng.uniform(0, self.width, self.tables * self.projections)
-        factor = rng.integers(0, 1 << 64, self.tables * self.projections, np.uint64) | np.uint64(1)
+        turn, shift, factor = _drawn(x.shape[1], self.tables * self.projections, self.width)
         out = np.empty((len(x), self.tables), np.uint64)
         with np.errstate(over="ignore"):
             own = labels.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x.shape[1])
