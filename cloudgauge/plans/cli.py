@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings, SettingsError
 from ..operators.nearest import verify
-from ..sources.ply import PlyUnreadable, PlyUnsupported, read_cloud, write_coloured
+from ..sources.ply import COLOURS, PlyUnreadable, PlyUnsupported, read_cloud, write_clouds
 from ..sources.project import ProjectError, check_poses, read_project, resolved
 from . import scoring
 
@@ -49,12 +48,12 @@ def report(rows: list) -> str:
     return "\n".join(show(*x) for x in (("Tolerances", "tolerance"), ("Completenesses", "completeness"), ("Accuracies", "accuracy"), ("F1-scores", "f1")))
 
 
-def write_clouds(points: DataFrame, path: str, settings: Settings, colours, order: str) -> None:
-    """One coloured cloud a tolerance, beside each other: <path>.tolerance_<t>.ply."""
-    if parent := os.path.dirname(path):
-        os.makedirs(parent, exist_ok=True)
-    for t, value in enumerate(settings.tolerances):
-        write_coloured(colours(points, t), f"{path}.tolerance_{value:g}.ply", order)
+def write_coloured_at_each(points: DataFrame, path: str, settings: Settings, colours, order: str) -> list[str]:
+    """One coloured cloud a tolerance, beside each other, in one sorted pass: <path>.tolerance_<t>.ply; path may be a URI."""
+    each = points
+    for t in range(len(settings.tolerances)):
+        each = colours(each, t).withColumnsRenamed({c: f"{c}_{t}" for c in COLOURS})
+    return write_clouds(each, path, [f".tolerance_{value:g}.ply" for value in settings.tolerances], order)
 
 
 def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> int:
@@ -89,11 +88,11 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> in
             return SYSTEM_FAILURE
     bands = scoring.completeness_bands(placed, reconstruction.select("x", "y", "z"), settings, {"grid": "auto", "flann": "kd"}[args.nn_index]).persist(StorageLevel.MEMORY_AND_DISK)
     if args.completeness_cloud_output_path:
-        write_clouds(bands.withColumn("order", F.struct("scan_id", "point_index")), args.completeness_cloud_output_path, settings, scoring.completeness_colours, "order")
+        write_coloured_at_each(bands.withColumn("order", F.struct("scan_id", "point_index")), args.completeness_cloud_output_path, settings, scoring.completeness_colours, "order")
     print("Computing accuracy", flush=True)
     seen = scoring.first_and_front(reconstruction, local, poses, settings).persist(StorageLevel.MEMORY_AND_DISK)
     if args.accuracy_cloud_output_path:
-        write_clouds(seen, args.accuracy_cloud_output_path, settings, scoring.accuracy_colours, "point_id")
+        write_coloured_at_each(seen, args.accuracy_cloud_output_path, settings, scoring.accuracy_colours, "point_id")
     print(report(scoring.scores(bands, seen, settings).orderBy("tolerance_index").collect()), flush=True)
     for df in (bands, seen, local, reconstruction):
         df.unpersist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..sources.files import opened, shared_path
 from ..sources.ply import is_dense, read_cloud, write_coloured
 from ..sources.project import check_poses, read_project, resolved
 from . import scoring
-from .cli import load_scans, report
+from .cli import load_scans, report, write_coloured_at_each
 
 S = fixtures.SETTINGS
 T = range(len(S.tolerances))
@@ -389,6 +390,29 @@ def coloured_round_trip(spark, d):
     return read_cloud(spark, path, colours=True)
 
 
+def _back(spark, paths):
+    """Every written cloud read back, with the index of its tolerance."""
+    clouds = [read_cloud(spark, path, colours=True).withColumn("tolerance_index", F.lit(t)) for t, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, clouds)
+
+
+_EACH = f", tol(tolerance_index, tolerance, sq) AS (VALUES {_TOL}) SELECT tolerance_index, row_number() OVER (PARTITION BY tolerance_index ORDER BY point_id) - 1 AS point_index, x, y, z, "
+
+
+@_query("completeness_clouds", _NEAR + _EACH + "CAST(CASE WHEN band <= tolerance_index THEN 0 ELSE 255 END AS SMALLINT) AS red, CAST(CASE WHEN band <= tolerance_index THEN 255 ELSE 0 END AS SMALLINT) AS green, CAST(0 AS SMALLINT) AS blue FROM banded, tol")
+def completeness_clouds(spark, d):
+    """The files of all tolerances, written in one pass."""
+    return _back(spark, write_coloured_at_each(_bands(spark, d), shared_path(spark, "completeness"), S, scoring.completeness_colours, "point_id"))
+
+
+@_query(
+    "accuracy_clouds",
+    _SEEN + _EACH + f"CAST(CASE WHEN k = 2 THEN 255 ELSE 0 END AS SMALLINT) AS red, CAST(CASE WHEN k = 1 THEN 255 ELSE 0 END AS SMALLINT) AS green, CAST(CASE WHEN k = 0 THEN 255 ELSE 0 END AS SMALLINT) AS blue FROM (SELECT seen.*, tol.*, {_CLASS.format(t='tolerance_index')} AS k FROM seen, tol)",
+)
+def accuracy_clouds(spark, d):
+    return _back(spark, write_coloured_at_each(_seen(spark, d), shared_path(spark, "accuracy"), S, scoring.accuracy_colours, "point_id"))
+
+
 @_query("project_scans", _CLOUDS + " SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_index, x, y, z FROM local")
 def project_scans(spark, d):
     """Scans written as files beside a project that names them, read back through the project."""

@@ -1,13 +1,16 @@
-"""PLY point clouds: a splittable Spark data source, and an ordered writer of coloured clouds.
+"""PLY point clouds: a splittable Spark data source, and an ordered sink of coloured clouds.
 
 Accepted is `binary_little_endian 1.0` with float x, y, z among any scalar vertex properties.
 Vertices have a fixed size, so partitions are ranges of them and each task reads its own bytes;
 only the coordinates are taken out of a record. `general` reading also takes ASCII, big-endian and
-double coordinates, in one partition.
+double coordinates. Numbers of an ASCII file are counted by ranges of bytes first, so that a task knows
+which vertices begin in its range. `df.write.format("ply")` writes rows in the order of their
+partitions, as one file or, with several sets of colours, as one file for each in a single pass.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -16,17 +19,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import files
 
 SCHEMA = "point_index long, x float, y float, z float"
 HEADER_BYTES, LARGEST_RECORD, LARGEST_COUNT, BATCH = 64 << 10, 4096, 2**32 - 1, 1 << 16
-#: Vertices of a partition; bytes that the driver copies at a time.
-SPLIT, COPY_BYTES = 2_000_000, 16 << 20
+#: Vertices of a partition; bytes of one of an ASCII file; bytes that a commit copies at a time.
+SPLIT, ASCII_SPLIT, COPY_BYTES = 2_000_000, 32 << 20, 16 << 20
 COLOURS = ("red", "green", "blue")
 
 #: Scalar type names of the format.
@@ -154,16 +158,20 @@ class _Range(InputPartition):
     header: Header
     first: int
     count: int
+    start: int = 0
+    stop: int | None = None
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, general: bool, colours: bool):
-        self.path, self.general, self.colours = path, general, colours
+    def __init__(self, path: str, general: bool, colours: bool, index: str = ""):
+        self.path, self.general, self.colours, self.index = path, general, colours, index
 
     def partitions(self) -> list[_Range]:
         header = read_header(self.path, self.general)
-        split = max(header.count, 1) if header.order == "a" else SPLIT
-        return [_Range(self.path, header, a, min(split, header.count - a)) for a in range(0, max(header.count, 1), split)]
+        if header.order == "a":
+            ranges = json.loads(self.index) if self.index else [(header.offset, None, 0)]
+            return [_Range(self.path, header, first, 0, start, stop) for start, stop, first in ranges]
+        return [_Range(self.path, header, a, min(SPLIT, header.count - a)) for a in range(0, max(header.count, 1), SPLIT)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         header, size = partition.header, partition.header.record.itemsize if partition.header.order != "a" else 0
@@ -175,20 +183,73 @@ class _Reader(DataSourceReader):
             yield from _batches(header, files.read(partition.path, header.offset + at * size, n * size), at, self.colours)
 
 
+def _numbers(path: str, start: int, stop: int | None) -> tuple[list[bytes], int]:
+    """Numbers that begin in a range of bytes, whole, and where the next one may begin."""
+    data = files.read(path, start, None if stop is None else stop - start)
+    end = start + len(data)
+    while stop is not None and data and not data[-1:].isspace():  # the last one may go on behind the range
+        more = files.read(path, end, 64)
+        here = next((k for k in range(len(more)) if more[k : k + 1].isspace()), len(more))
+        data, end = data + more[:here], end + here
+        if here < 64:
+            break
+    if start and data and not files.read(path, start - 1, 1).isspace():  # the first one belongs to the range before
+        data = data[next((k for k in range(len(data)) if data[k : k + 1].isspace()), len(data)) :]
+    return data.split(), end
+
+
 def _ascii_batches(partition: _Range) -> Iterator[pa.RecordBatch]:
+    """The vertices whose first number begins in a range; `first` is the place of the range's first number."""
     header = partition.header
     width = len(header.properties)
-    words = files.read(partition.path, header.offset).split(None, header.count * width)[: header.count * width]
-    if len(words) < header.count * width:
+    words, end = _numbers(partition.path, partition.start, partition.stop)
+    skip = -partition.first % width
+    vertex = -(-partition.first // width)
+    most = header.count - vertex
+    number = min(most, -(-max(0, len(words) - skip) // width))
+    while skip + number * width > len(words):  # a vertex that begins here may end in later ranges
+        more, end = _numbers(partition.path, end, end + 4096)
+        if not more and not files.read(partition.path, end, 1):
+            raise PlyUnreadable(f"{partition.path}: the file ends before its vertices do")
+        words += more
+    if partition.stop is None and number < most:
         raise PlyUnreadable(f"{partition.path}: the file ends before its vertices do")
-    values = np.array(words, "S").astype("f8").reshape(-1, width)
+    if number <= 0:
+        return
     names = [n for n, _ in header.properties]
-    own = [(values[:, names.index(c)] if c in names else np.zeros(len(values))).astype("<f4") for c in "xyz"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), *map(pa.array, own)], names=["point_index", "x", "y", "z"])
+    for at in range(0, number, BATCH):
+        n = min(BATCH, number - at)
+        values = np.array(words[skip + at * width : skip + (at + n) * width], "S").astype("f8").reshape(-1, width)
+        own = [(values[:, names.index(c)] if c in names else np.zeros(len(values))).astype("<f4") for c in "xyz"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(vertex + at, vertex + at + n)), *map(pa.array, own)], names=["point_index", "x", "y", "z"])
+
+
+def ascii_index(spark: SparkSession, path: str, header: Header) -> list[tuple[int, int | None, int]]:
+    """Ranges of bytes of an ASCII file, and how many numbers begin before each: counted by tasks, a row a range."""
+    there, split = files.size(path), ASCII_SPLIT
+    edges = [*range(header.offset, max(there, header.offset + 1), split), there]
+    if len(edges) == 2:
+        return [(header.offset, None, 0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(_numbers(path, edges[k], edges[k + 1])[0])])], names=["k", "n"])
+
+    parts = len(edges) - 1
+    counts = dict(tuple(r) for r in spark.range(0, parts, 1, parts).mapInArrow(run, "k long, n long").collect())
+    before = np.cumsum([0, *(counts[k] for k in range(parts))]).tolist()
+    if before[-1] < header.count * len(header.properties):
+        raise PlyUnreadable(f"{path}: the file ends before its vertices do")
+    return [(edges[k], edges[k + 1], before[k]) for k in range(parts)]
 
 
 class PlySource(DataSource):
-    """`spark.read.format("ply")`; options: path, general=true for further variants, colours=true for red, green and blue of binary files."""
+    """`spark.read.format("ply")`; options: path, general=true for further variants, colours=true for red, green and blue of binary files, index: ranges of an ASCII file.
+
+    `df.write.format("ply")` takes x, y, z, red, green, blue; or, with the option `names`, a list of endings as JSON, red_0, green_0, blue_0
+    and so on, one set for each file, whose path is `path` with the ending. Overwriting is the only mode.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -201,7 +262,12 @@ class PlySource(DataSource):
         return SCHEMA + "".join(f", {c} short" for c in COLOURS if self._is("colours"))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self._is("general"), self._is("colours"))
+        return _Reader(self.options["path"], self._is("general"), self._is("colours"), self.options.get("index", ""))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if not overwrite:
+            raise ValueError("a cloud is overwritten as a whole")
+        return _Writer(self.options["path"], json.loads(self.options.get("names", '[""]')), schema.names)
 
 
 def read_cloud(spark: SparkSession, path: str, general: bool = False, colours: bool = False) -> DataFrame:
@@ -209,7 +275,9 @@ def read_cloud(spark: SparkSession, path: str, general: bool = False, colours: b
     if read_header(path, general).order == "a" and colours:
         raise PlyUnsupported("colours of an ASCII file")
     spark.dataSource.register(PlySource)
-    return spark.read.format("ply").option("general", str(general)).option("colours", str(colours)).load(path)
+    header = read_header(path, general)
+    index = json.dumps(ascii_index(spark, path, header)) if header.order == "a" else ""
+    return spark.read.format("ply").option("general", str(general)).option("colours", str(colours)).option("index", index).load(path)
 
 
 def is_dense(spark: SparkSession, path: str) -> bool:
@@ -247,49 +315,94 @@ def coloured_header(count: int) -> bytes:
 _VERTEX = np.dtype([*((c, "<f4") for c in "xyz"), *((c, "u1") for c in COLOURS)])
 
 
-def write_coloured(cloud: DataFrame, path: str, order: str = "point_index") -> bool:
-    """Writes (x, y, z, red, green, blue) as one file of 15-byte vertices by ascending `order`; False, and no file, for an empty cloud.
+@dataclass
+class _Part(WriterCommitMessage):
+    """What a task has written: its place, and a file of vertices for each set of colours."""
 
-    Tasks write the sorted partitions as bytes to the shared folder; the driver only strings those files
-    together. A task that is run again writes a file of another name, and only committed names count.
+    place: int
+    names: list[str]
+    count: int
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write their rows as bytes beside the target, a file for each set of colours; the commit strings them together.
+
+    Only committed tasks' files count, so a task that is run again does no harm. The parts go when the
+    job is committed or aborted. A file appears under its name when it is whole. As stores give a file one writer,
+    the committing process copies the parts' bytes, COPY_BYTES at a time. An empty cloud gives no file.
     """
-    spark = cloud.sparkSession
-    folder = files.shared_path(spark, "vertices")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = files.opened(folder)
-        name, count, out = f"{base}/{uuid.uuid4().hex}", 0, None
+    def __init__(self, path: str, endings: list[str], columns: list[str]):
+        self.path, self.endings, self.columns = path, endings, columns
+        self.parts = f"{path}.parts-{uuid.uuid4().hex}"
+        system, base = files.opened(self.parts)
+        system.create_dir(base, recursive=True)  # not by tasks: one that is still running when the job is aborted then finds no folder
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
+        system, base = files.opened(self.parts)
+        names, outs, count = [f"{base}/{uuid.uuid4().hex}" for _ in self.endings], [], 0
+        sets = [[*"xyz", *COLOURS]] if self.endings == [""] else [[*"xyz", *(f"{c}_{k}" for c in COLOURS)] for k in range(len(self.endings))]
         try:
-            for batch in batches:
-                if out is None and batch.num_rows:
-                    system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(name)
-                rows = np.empty(batch.num_rows, _VERTEX)
-                for k, c in enumerate(_VERTEX.names):
-                    rows[c] = batch.column(k).to_numpy(zero_copy_only=False)
-                if batch.num_rows:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if not outs:
+                    outs.extend(system.open_output_stream(n) for n in names)
+                for out, columns in zip(outs, sets, strict=True):
+                    rows = np.empty(batch.num_rows, _VERTEX)
+                    for own, column in zip(_VERTEX.names, columns, strict=True):
+                        rows[own] = batch.column(self.columns.index(column)).to_numpy(zero_copy_only=False)
                     out.write(rows.tobytes())
-                    count += batch.num_rows
+                count += batch.num_rows
         finally:
-            if out is not None:
+            for out in outs:
                 out.close()
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([count])], names=["part", "name", "n"])
-
-    rows = cloud.orderBy(order).select(*(F.col(c).cast("float") for c in "xyz"), *(F.col(c).cast("short") for c in COLOURS))
-    parts = sorted(tuple(r) for r in rows.mapInArrow(run, "part long, name string, n long").collect())  # a row a partition
-    if not parts:
-        return False
-    count = sum(n for *_, n in parts)
-    system, name = files.opened(path)
-    source, base = files.opened(folder)
-    with system.open_output_stream(name) as out:
-        out.write(coloured_header(count))
-        for _, part, n in parts:
-            with source.open_input_stream(part) as held:
-                while piece := held.read(COPY_BYTES):
-                    out.write(piece)
-        pose = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        out.write(struct.pack("<17f2i2f", *pose, count, 1, 0.0, 0.0))
-    source.delete_dir(base)
-    return True
+        return _Part(TaskContext.get().partitionId(), names, count)
+
+    def commit(self, messages: list[_Part | None]) -> None:
+        parts = sorted((m for m in messages if m is not None and m.count), key=lambda m: m.place)
+        count = sum(m.count for m in parts)
+        try:
+            for k, ending in enumerate(self.endings if parts else []):
+                system, name = files.opened(self.path + ending)
+                if parent := name.rpartition("/")[0]:
+                    system.create_dir(parent, recursive=True)
+                whole = f"{files.opened(self.parts)[1]}/whole"
+                with system.open_output_stream(whole) as out:
+                    out.write(coloured_header(count))
+                    for m in parts:
+                        with system.open_input_stream(m.names[k]) as held:
+                            while piece := held.read(COPY_BYTES):
+                                out.write(piece)
+                    pose = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+                    out.write(struct.pack("<17f2i2f", *pose, count, 1, 0.0, 0.0))
+                system.move(whole, name)
+        finally:
+            self._clear()
+
+    def abort(self, messages: list[_Part | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        system, base = files.opened(self.parts)
+        if system.get_file_info(base).type == fs.FileType.Directory:
+            system.delete_dir(base)
+
+
+def write_coloured(cloud: DataFrame, path: str, order: str = "point_index") -> bool:
+    """Writes (x, y, z, red, green, blue) as one file of 15-byte vertices by ascending `order`; False, and no file, for an empty cloud."""
+    return bool(write_clouds(cloud.withColumns({f"{c}_0": F.col(c) for c in COLOURS}), path, [""], order))
+
+
+def write_clouds(cloud: DataFrame, path: str, endings: list[str], order: str) -> list[str]:
+    """Writes (x, y, z, red_0, green_0, blue_0, red_1, ...) as a file for each set of colours, all in one sorted pass; the paths, none for an empty cloud."""
+    cloud.sparkSession.dataSource.register(PlySource)
+    bare = endings == [""]
+    colours = [F.col(f"{c}_{k}").cast("short").alias(c if bare else f"{c}_{k}") for k in range(len(endings)) for c in COLOURS]
+    rows = cloud.orderBy(order).select(*(F.col(c).cast("float").alias(c) for c in "xyz"), *colours)
+    for ending in endings:  # what is there from an earlier run must not pass for this one's
+        system, name = files.opened(path + ending)
+        if system.get_file_info(name).type == fs.FileType.File:
+            system.delete_file(name)
+    rows.write.format("ply").mode("overwrite").option("names", json.dumps(endings)).save(path)
+    return [path + e for e in endings if files.size(path + e)]

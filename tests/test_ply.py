@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cloudgauge.sources.ply import PlyUnreadable, PlyUnsupported, coloured_header, is_dense, parse_header, read_cloud, write_coloured
+from cloudgauge.sources.ply import PlySource, PlyUnreadable, PlyUnsupported, coloured_header, is_dense, parse_header, read_cloud, write_clouds, write_coloured
 
 FLOATS = "property float x\nproperty float y\nproperty float z\n"
 
@@ -141,3 +141,55 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(RuntimeError):
         shared_base(SimpleNamespace(sparkContext=context))
+
+
+@pytest.mark.parametrize("fault", ["before", "within"])
+def test_failed_task_leaves_no_file(spark, tmp_path, fault):
+    z = "CAST(IF(id = 700, raise_error('faulty row'), 1) AS FLOAT)" if fault == "before" else "1f"
+    colours = [f"0S AS {c}_{k}" for k in range(2 if fault == "before" else 1) for c in ("red", "green", "blue")]  # a set too few: the writer fails when its files are open
+    cloud = spark.range(1000).selectExpr("CAST(id AS FLOAT) AS x", "CAST(id AS FLOAT) AS y", f"{z} AS z", *colours).repartition(4)
+    spark.dataSource.register(PlySource)
+    with pytest.raises(Exception, match="faulty row|red_1"):
+        cloud.write.format("ply").mode("overwrite").option("names", '[".a", ".b"]').save(str(tmp_path / "bad"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_sink_replaces_and_makes_folders(spark, tmp_path):
+    cloud = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 1, 2, 3)], "point_index long, x float, y float, z float, red short, green short, blue short")
+    path = f"file://{tmp_path}/a/b/out.ply"
+    for rows in (cloud, cloud.union(cloud)):
+        assert write_coloured(rows, path)
+        assert read_cloud(spark, path).count() == rows.count()
+    assert not write_coloured(cloud.limit(0), path)  # nor is the earlier file left
+    assert sorted(p.name for p in (tmp_path / "a" / "b").iterdir()) == []
+    with pytest.raises(Exception, match="whole"):
+        cloud.write.format("ply").mode("append").save(path)
+
+
+def test_one_pass_writes_all_sets_of_colours(spark, tmp_path):
+    names = [f".t{k}" for k in range(4)]
+    cloud = spark.range(5000).selectExpr("id", "CAST(id AS FLOAT) AS x", "0f AS y", "1f AS z", *(f"CAST((id + {k}) % 256 AS SHORT) AS {c}_{k}" for k in range(4) for c in ("red", "green", "blue"))).repartition(5)
+    paths = write_clouds(cloud, str(tmp_path / "c"), names, "id")
+    assert paths == [str(tmp_path / f"c{n}") for n in names]
+    for k, path in enumerate(paths):
+        got = read_cloud(spark, path, colours=True).toPandas().sort_values("point_index")
+        assert (got["x"] == got["point_index"]).all() and (got["red"] == (got["point_index"] + k) % 256).all() and len(got) == 5000
+
+
+@pytest.mark.parametrize("split", [7, 64, 1000, 1 << 20])
+def test_ascii_ranges_equal_the_whole(spark, tmp_path, monkeypatch, split):
+    from cloudgauge.sources import ply
+
+    monkeypatch.setattr(ply, "ASCII_SPLIT", split)
+    rng = np.random.default_rng(split)
+    number = 40 if split == 7 else 300
+    xyz = rng.normal(size=(number, 4)).astype("f4")
+    words = [repr(float(v)) for v in xyz.ravel()]
+    text = "".join(w + [" ", "\n", "  ", "\r\n", " \t "][rng.integers(5)] for w in words)
+    form = header(FLOATS + "property float q\n", number, form="format ascii 1.0\n")
+    path = write(tmp_path, form + text.rstrip().encode() + (b" 1 2 3" if split == 64 else b""), "a.ply")
+    cloud = read_cloud(spark, path, general=True)
+    assert cloud.rdd.getNumPartitions() == max(1, -(-(len(text.rstrip()) + 6 * (split == 64)) // split))
+    assert [tuple(r) for r in cloud.orderBy("point_index").collect()] == [(k, *map(float, xyz[k, :3])) for k in range(number)]
+    with pytest.raises((PlyUnreadable, Exception), match="ends before"):
+        read_cloud(spark, write(tmp_path, form + text.rsplit(None, 2)[0].encode(), "b.ply"), general=True).collect()
