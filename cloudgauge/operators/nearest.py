@@ -32,7 +32,7 @@ LOG = logging.getLogger("cloudgauge")
 #: Candidates of a block at most and at least, about; queries and candidates of a task; pairs compared at a time.
 BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 2_000_000, 1 << 20
 #: Candidates over which a block is halved, at most and at least; those that reach in from around come on top.
-SPLIT_ROWS, LEAST_SPLIT = CANDIDATE_ROWS // 8, 4 * LEAST_POINTS
+SPLIT_ROWS, LEAST_SPLIT = CANDIDATE_ROWS // 8, 16 * LEAST_POINTS
 #: Halvings at most, and rows of the tables of halved or crowded blocks, which are broadcast.
 MOST_LEVELS, MOST_BLOCKS = 16, 1 << 16
 #: Coordinates in root blocks up to which keys are exact; edges and coordinates whose squares FLOAT still holds.
@@ -84,15 +84,28 @@ def _at(c, edge: float, level=None):
     return F.floor(place if level is None else place * F.pow(F.lit(2.0), level))
 
 
-def octree(candidates: DataFrame, edge: float, radius: float, most: int = SPLIT_ROWS) -> Blocks:
-    """Blocks for some finite candidates; most: that one holds. One count of root blocks; where some are over-full, one more of these, at all levels at once."""
+def root_counts(edge: float, most: int, candidates: DataFrame, queries: DataFrame | None = None, inside=None) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int], int]:
+    """Root blocks with over `most` finite candidates, those with over QUERY_ROWS queries and their numbers, and how many queries lie outside: one job, and MOST_BLOCKS rows of each at most."""
+    key = lambda f: [f(_at(F.col(c), edge)).alias(f"b{c}") for c in "xyz"]
+    rows = candidates.select(F.lit(0).alias("side"), *key(lambda c: c))
+    if queries is not None:
+        rows = rows.unionByName(queries.select(F.lit(1).alias("side"), *key(lambda c: F.when(inside, c))))
+    counts = rows.groupBy("side", "bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
+    over = counts.where(F.col("bx").isNull() | (F.col("n") > F.when(F.col("side") == 0, most).otherwise(QUERY_ROWS)))
+    found = over.orderBy(F.col("bx").isNotNull(), F.desc("n")).limit(2 * MOST_BLOCKS).collect()
+    place = lambda r: (r["bx"], r["by"], r["bz"])
+    full = [place(r) for r in found if not r["side"]][:MOST_BLOCKS]
+    return full, {place(r): r["n"] for r in found if r["side"] and r["bx"] is not None}, sum(r["n"] for r in found if r["bx"] is None)
+
+
+def octree(candidates: DataFrame, edge: float, radius: float, most: int = SPLIT_ROWS, full: list[tuple[int, int, int]] | None = None) -> Blocks:
+    """Blocks for some finite candidates; most: that one holds; full: root blocks with more. Only these are counted again, at all levels at once."""
     level = max(0, min(MOST_LEVELS, floor(log2(edge / max(2 * radius * SLACK, 1e-9)))))
-    root = candidates.select(*(_at(F.col(c), edge).alias(f"b{c}") for c in "xyz")).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
-    full = [tuple(r) for r in root.where(F.col("n") > most).orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()]
+    full = root_counts(edge, most, candidates)[0] if full is None else full
     if not full:
         return Blocks(edge)
     spark = candidates.sparkSession
-    some = spark.createDataFrame([r[:3] for r in full], "rx long, ry long, rz long")
+    some = spark.createDataFrame(full, "rx long, ry long, rz long")
     rows = candidates.select("x", "y", "z", *(_at(F.col(c), edge).alias(f"r{c}") for c in "xyz")).join(F.broadcast(some), ["rx", "ry", "rz"], "left_semi")
     finest = rows.select(*(_at(F.col(c), edge, F.lit(level)).alias(f"b{c}") for c in "xyz")).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
     up = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(level))))
@@ -178,12 +191,13 @@ def _points(table: pa.Table, names: tuple[str, str, str]) -> np.ndarray:
     return np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float32)
 
 
-def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto") -> DataFrame:
+def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto", split: int | None = None) -> DataFrame:
     """queries (x, y, z and other columns) with `d2`, the FLOAT squared distance to the nearest candidate (x, y, z).
 
     d2 is null where no candidate lies within the radius (or a hair beyond), and for queries that are
     not finite. Candidates that are not finite take no part. Every query keeps its row. edge: of the
-    root blocks. index: `blocks`, `kd`, or `auto`: blocks wherever their keys are exact.
+    root blocks. index: `blocks`, `kd`, or `auto`: blocks wherever their keys are exact. split: candidates over
+    which a block is halved, by default a task's share.
     """
     if index == "kd":
         return kd_squared_distance(queries, candidates, radius)
@@ -200,13 +214,15 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
     reach = max(radius, 0.0) * SLACK
     usable = finite(*(F.col(c) for c in "xyz"))
     filed = candidates.where(usable).select("x", "y", "z")
-    blocks = octree(filed, edge, radius, min(SPLIT_ROWS, max(LEAST_SPLIT, box["n"] // (2 * tasks))))
     # what lies farther than the reach from all candidates has no neighbour and is not shuffled
     inside = reduce(lambda a, b: a & b, [F.col(c).cast("double").between(float(box[f"min_{c}"]) - reach, float(box[f"max_{c}"]) + reach) for c in "xyz"])
     inside = F.coalesce(inside & usable, F.lit(False))
+    most = min(SPLIT_ROWS, split or max(LEAST_SPLIT, box["n"] // (2 * tasks)))
+    full, many, away = root_counts(edge, most, filed, queries, inside)
+    blocks = octree(filed, edge, radius, most, full)
     names = queries.columns
+    crowded = crowded_blocks(queries.where(inside), many, blocks)
     asked, filed = in_blocks(queries.where(inside), blocks), in_blocks(filed, blocks, reach)
-    crowded, away = crowded_blocks(queries, inside, blocks)
     schema = queries.limit(0).withColumn("d2", F.lit(None).cast("float")).schema
 
     def search(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
@@ -240,20 +256,16 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
     return beside(whole.unionByName(least))
 
 
-def crowded_blocks(queries: DataFrame, inside, blocks: Blocks) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each, MOST_BLOCKS at most; and how many queries lie outside of all.
+def crowded_blocks(queries: DataFrame, many: dict[tuple[int, int, int], int], blocks: Blocks) -> list[tuple[int, int, int, int, int, int]]:
+    """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each, MOST_BLOCKS of either at most.
 
-    One pass over the queries: root blocks are counted, and those outside as one; halved ones are
-    counted again only where they hold too many.
+    many: root blocks with over QUERY_ROWS queries. They are counted by leaves again where one is halved.
     """
-    key = [F.when(inside, _at(F.col(c), blocks.edge)).alias(f"b{c}") for c in "xyz"]
-    counts = queries.select(*key).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n")).where(F.col("bx").isNull() | (F.col("n") > QUERY_ROWS)).orderBy(F.col("bx").isNotNull(), F.desc("n")).limit(MOST_BLOCKS).collect()
-    away = sum(r["n"] for r in counts if r["bx"] is None)
-    askers = {(0, r["bx"], r["by"], r["bz"]): -(-r["n"] // QUERY_ROWS) for r in counts if r["bx"] is not None}
+    askers = {(0, *place): -(-n // QUERY_ROWS) for place, n in many.items()}
     if any(place in askers for place in blocks.halved):
-        fine = in_blocks(queries.where(inside).select("x", "y", "z"), blocks).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
+        fine = in_blocks(queries.select("x", "y", "z"), blocks).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
         askers = {tuple(r[c] for c in PLACE): -(-r["n"] // QUERY_ROWS) for r in fine.orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()}
-    return [(*place, askers.get(place, 1), blocks.crowded.get(place, 1)) for place in sorted(askers.keys() | blocks.crowded.keys())], away
+    return [(*place, askers.get(place, 1), blocks.crowded.get(place, 1)) for place in sorted(askers.keys() | blocks.crowded.keys())]
 
 
 def brute_force(queries: DataFrame, candidates: DataFrame, key: str, radius: float = inf) -> DataFrame:

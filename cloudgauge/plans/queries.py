@@ -303,7 +303,7 @@ held AS (SELECT {", ".join(f"{_CORNER.format(c)} AS {c}" for c in "xyz")} FROM r
 def nn_crowded(spark, d):
     """A cloud in one corner, whose blocks are halved; queries far from it are not shuffled."""
     asked = fixtures.crowded(_scans(spark, d)).withColumn("x", F.when(F.col("point_id") % 5 == 0, F.col("x") + F.lit(4096).cast("float")).otherwise(F.col("x")))
-    near = nearest_squared_distance(asked, fixtures.crowded(fixtures.reconstruction(spark, d)), _REACH)
+    near = nearest_squared_distance(asked, fixtures.crowded(fixtures.reconstruction(spark, d)), _REACH, split=1000)
     return near.select("point_id", F.when(F.col("d2") < F.lit(_REACH**2).cast("float"), F.col("d2")).alias("d2"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cloudgauge.operators import kd, nearest
 from cloudgauge.operators.kd import Regions, Tree, cuts, kd_squared_distance
-from cloudgauge.operators.nearest import PLACE, SLACK, Blocks, bounding_box, brute_force, in_blocks, nearest_squared_distance, octree, verify
+from cloudgauge.operators.nearest import PLACE, SLACK, bounding_box, brute_force, in_blocks, nearest_squared_distance, octree, verify
 
 
 def all_pairs(q, c):
@@ -141,8 +141,7 @@ def test_far_queries_are_not_shuffled(spark):
     assert capped(near, 0.5) == capped(brute_force(a, b, "point_id"), 0.5) and near.count() == 151
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and "<= 4." in plan.split("FlatMapCoGroupsInArrow")[1]  # the box stands in the filter below the cogroup
-    inside = F.col("x") < 100
-    assert nearest.crowded_blocks(a, inside & (F.col("z") > -100), Blocks(1.0)) == ([], 101)
+    assert nearest.root_counts(1.0, 1000, b, a, (F.col("x") < 100) & (F.col("z") > -100)) == ([], {}, 101)
 
 
 def test_huge_coordinates_take_the_other_index(spark, caplog):
