@@ -73,7 +73,9 @@ def seen_pairs(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]
     rays = scan_rays(scans)
     p = beams(points, poses, start, tangent, key)
     own = [key, "scan_id", "px", "py", "pz", "b"]
-    wide = {r["tier"]: r["n"] for r in p.where("tier > 0").groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # rows of a wide tier: of the first, one for each inclination row and sector that a cone touches
+    touched = (F.col("i1") - F.col("i0") + 1) * F.least(F.floor(F.col("a1") / SECTOR) - F.floor(F.col("a0") / SECTOR) + 1, F.lit(AZIMUTHS // SECTOR))
+    wide = {r["tier"]: r["n"] for r in p.where("tier > 0").groupBy("tier").agg(F.sum(F.when(F.col("tier") == 1, touched).otherwise(1)).alias("n")).collect()}
     rows = p.where("tier = 0").withColumn("incl", F.explode(F.sequence("i0", "i1"))).withColumn("a", F.explode(F.sequence("a0", "a1")))
     joined = [rows.select(*own, "incl", F.pmod("a", F.lit(AZIMUTHS)).cast("int").alias("az")).join(rays, ["scan_id", "az", "incl"])]
     if wide.get(1):
@@ -81,7 +83,7 @@ def seen_pairs(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]
             F.transform(F.sequence(F.floor(F.col("a0") / SECTOR).cast("int"), F.floor(F.col("a1") / SECTOR).cast("int")), lambda a: F.pmod(a, F.lit(AZIMUTHS // SECTOR)))
         )
         rows = p.where("tier = 1").withColumn("incl", F.explode(F.sequence("i0", "i1"))).select(*own, "incl", F.explode(sectors).alias("sector"))
-        joined.append((F.broadcast(rows) if wide[1] <= BROADCAST_ROWS // SECTOR else rows).join(rays.withColumn("sector", F.expr(f"az DIV {SECTOR}").cast("int")), ["scan_id", "incl", "sector"]))
+        joined.append((F.broadcast(rows) if wide[1] <= BROADCAST_ROWS else rows).join(rays.withColumn("sector", F.expr(f"az DIV {SECTOR}").cast("int")), ["scan_id", "incl", "sector"]))
     if wide.get(2):
         rows = p.where("tier = 2").select(*own)
         if wide[2] <= BROADCAST_ROWS:

@@ -15,7 +15,7 @@ from ..operators.beam import AZIMUTH_STEP, AZIMUTHS, INCLINATION_STEP, INCLINATI
 from ..operators.nearest import bounding_box, nearest_squared_distance, verify
 from ..sources.files import opened, shared_path
 from ..sources.ply import is_dense, read_cloud, write_coloured
-from ..sources.project import check_poses, read_project, resolved
+from ..sources.project import check_poses, read_project, read_projects, resolved
 from . import scoring
 from .cli import load_scans, report, write_coloured_at_each
 
@@ -413,23 +413,51 @@ def accuracy_clouds(spark, d):
     return _back(spark, write_coloured_at_each(_seen(spark, d), shared_path(spark, "accuracy"), S, scoring.accuracy_colours, "point_id"))
 
 
-@_query("project_scans", _CLOUDS + " SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_index, x, y, z FROM local")
-def project_scans(spark, d):
-    """Scans written as files beside a project that names them, read back through the project."""
-    meshes, project = [], shared_path(spark, "scans.mlp")
+def _write_project(spark, scans: DataFrame, poses: dict[int, list[float]], project: str) -> None:
+    """Scans as files beside a project that names them."""
+    meshes = []
     system, name = opened(project)
-    for k, pose in fixtures.POSES.items():
-        cloud = fixtures.scans(spark, d).where(F.col("scan_id") == k).withColumns({c: F.lit(0) for c in ("red", "green", "blue")})
-        write_coloured(cloud, f"{project}-{k}.ply", "point_id")
+    for k, pose in poses.items():
+        write_coloured(scans.where(F.col("scan_id") == k).withColumns({c: F.lit(0) for c in ("red", "green", "blue")}), f"{project}-{k}.ply", "point_id")
         rows = "\n".join(" ".join(map(str, pose[4 * r : 4 * r + 4])) for r in range(4))
         meshes.append(f'<MLMesh label="scan {k}" filename="{name.rpartition("/")[2]}-{k}.ply"><MLMatrix44>{rows}</MLMatrix44></MLMesh>')
     with system.open_output_stream(name) as out:
         out.write(f"<MeshLabProject><MeshGroup>{''.join(meshes)}</MeshGroup></MeshLabProject>".encode())
+
+
+@_query("project_scans", _CLOUDS + " SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_index, x, y, z FROM local")
+def project_scans(spark, d):
+    """Scans written as files beside a project that names them, read back through the project."""
+    project = shared_path(spark, "scans.mlp")
+    _write_project(spark, fixtures.scans(spark, d), fixtures.POSES, project)
     scans = read_project(project)
     check_poses(scans)
     return load_scans(spark, {s.scan_id: resolved(project, s.filename) for s in scans}).select("scan_id", "point_index", "x", "y", "z")
 
 
+@_query(
+    "projects_of_a_folder",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS project, scan_id, 'scan ' || scan_id AS label, count(*) AS points, min(x) AS min_x, max(z) AS max_z FROM ({sql} SELECT * FROM scan WHERE isfinite(x) AND isfinite(y) AND isfinite(z)) GROUP BY ALL"
+        for name, sql in (("even", _CLOUDS), ("turned", "{rough}"))
+    ),
+)
+def projects_of_a_folder(spark, d):
+    """Two projects in one folder, read by the data source; their scans, moved by its poses."""
+    folder = shared_path(spark, "projects")
+    for name, scans, poses in (("even", fixtures.scans(spark, d), fixtures.POSES), ("turned", fixtures.rough_scans(spark, d), fixtures.ROUGH_POSES)):
+        _write_project(spark, scans, poses, f"{folder}/{name}.mlp")
+    found = read_projects(spark, folder).collect()  # a row a scan
+    clouds = []
+    for project in sorted({r["project"] for r in found}):
+        own = {r["scan_id"]: r for r in found if r["project"] == project}
+        points = scoring.to_global(load_scans(spark, {k: r["path"] for k, r in own.items()}), {k: list(r["pose"]) for k, r in own.items()})
+        labels = F.create_map(*(F.lit(x) for k, r in own.items() for x in (k, r["label"])))
+        clouds.append(points.select(F.lit(project.rpartition("/")[2].removesuffix(".mlp")).alias("project"), "scan_id", labels[F.col("scan_id")].alias("label"), "x", "y", "z"))
+    points = reduce(DataFrame.unionByName, clouds).where(finite(*(F.col(c) for c in "xyz")))
+    return points.groupBy("project", "scan_id", "label").agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("min_x"), F.max("z").alias("max_z"))
+
+
 _LINES = """, scored AS (
   SELECT tolerance_index, tolerance, completeness, accuracy,
          CASE WHEN accuracy <= 0 AND completeness <= 0 THEN CAST(0 AS FLOAT) ELSE CAST(CAST(2 AS FLOAT) * accuracy * completeness / (accuracy + completeness) AS FLOAT) END AS f1
@@ -559,3 +587,6 @@ def clouds_dense(spark, d):
         write_coloured(df, path, "point_id")
         rows.append((name, is_dense(spark, path)))
     return spark.createDataFrame(rows, "cloud string, dense boolean")
+
+
+ORACLES["projects_of_a_folder"] = ORACLES["projects_of_a_folder"].replace("{rough}", _rough(_CLOUDS))
