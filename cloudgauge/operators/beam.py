@@ -68,9 +68,9 @@ def beams(points: DataFrame, poses: dict[int, list[float]], start: float, tangen
     return p.withColumn("tier", tier).where(~F.isnan("pr") & (F.col("pr") < float("inf")))
 
 
-def seen_pairs(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]], start: float, tangent: float, key: str = "point_id") -> DataFrame:
-    """(key, d2, front) of every pair of a point and a ray that sees it; front: the point lies before the surface."""
-    rays = scan_rays(scans)
+def seen_pairs(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], start: float, tangent: float, key: str = "point_id", rays: DataFrame | None = None) -> DataFrame:
+    """(key, d2, front) of every pair of a point and a ray that sees it; front: the point lies before the surface. rays: those of the scans, where they are stored."""
+    rays = scan_rays(scans) if rays is None else rays
     p = beams(points, poses, start, tangent, key)
     own = [key, "scan_id", "px", "py", "pz", "b"]
     # rows of a wide tier: of the first, one for each inclination row and sector that a cone touches

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
+from ..config import Settings
 from ..functions.geometry import band, beam_radius, finite, integer_root, norm, unit
 from ..functions.voxels import CELL, approximate_cells, in_both_grids
 from ..operators.beam import AZIMUTH_STEP, AZIMUTHS, INCLINATION_STEP, INCLINATIONS, MOST_BINS, beams, in_scan_frames, scan_rays, seen_pairs
-from ..operators.nearest import bounding_box, nearest_squared_distance, verify
+from ..operators.nearest import SLACK, bounding_box, nearest_squared_distance, verify
+from ..operators.stored import nearest_stored, open_candidates, open_rays, store_candidates, store_rays
 from ..sources.files import opened, shared_path
 from ..sources.ply import is_dense, read_cloud, write_coloured
 from ..sources.project import check_poses, read_project, read_projects, resolved
@@ -314,6 +316,44 @@ def nn_huge(spark, d):
     return nearest_squared_distance(asked, held, S.tolerances[-1]).select("point_id", "d2")
 
 
+#: Tolerances of a second run over the same stored indexes.
+AGAIN = Settings((0.03, 0.25), voxel_size=fixtures.SETTINGS.voxel_size)
+
+
+@_query(
+    "stored_nearest",
+    _NEAR + f" SELECT 0 AS run, point_id, d2 FROM banded UNION ALL SELECT 1, point_id, CASE WHEN d2 < CAST({AGAIN.squared[-1]!r} AS FLOAT) THEN d2 END FROM banded",
+)
+def stored_nearest(spark, d):
+    """Two runs of other tolerances over one stored index."""
+    path = shared_path(spark, "blocks")
+    store_candidates(fixtures.reconstruction(spark, d), path, S.tolerances[-1] * SLACK, split=1000)
+    index = open_candidates(spark, path)
+    runs = []
+    for k, settings in enumerate((S, AGAIN)):
+        near = nearest_stored(_scans(spark, d), index, settings.tolerances[-1])
+        runs.append(near.select(F.lit(k).alias("run"), "point_id", F.when(F.col("d2") < F.lit(settings.squared[-1]).cast("float"), F.col("d2")).alias("d2")))
+    return runs[0].unionByName(runs[1])
+
+
+def _at(settings: Settings) -> str:
+    return "CAST(CASE " + " ".join(f"WHEN d2 <= CAST({v!r} AS FLOAT) THEN {t}" for t, v in enumerate(settings.squared)) + f" ELSE {len(settings.tolerances)} END AS INTEGER)"
+
+
+@_query(
+    "stored_rays_seen",
+    _SEEN + ", best AS (SELECT r.point_id, p.d2, coalesce(p.front, false) AS front FROM recon r LEFT JOIN (SELECT point_id, min(d2) AS d2, bool_or(front) AS front FROM pairs GROUP BY point_id) p USING (point_id)) "
+    + " UNION ALL ".join(f"SELECT {k} AS run, point_id, {_at(s)} AS first, front FROM best" for k, s in enumerate((S, AGAIN))),
+)
+def stored_rays_seen(spark, d):
+    """Two runs of other tolerances over the stored rays."""
+    path = shared_path(spark, "rays")
+    store_rays(fixtures.scans(spark, d), path)
+    rays = open_rays(spark, path)
+    runs = [scoring.first_and_front(fixtures.reconstruction(spark, d), None, fixtures.POSES, s, rays=rays).select(F.lit(k).alias("run"), "point_id", "first", "front") for k, s in enumerate((S, AGAIN))]
+    return runs[0].unionByName(runs[1])
+
+
 @_query("completeness_voxel_ratio", _COMPLETE + " SELECT grid_id, vx, vy, vz, n, " + ", ".join(f"c{t} / n AS r{t}" for t in T) + " FROM banded_cells")
 def completeness_voxel_ratio(spark, d):
     return scoring.completeness_cells(_bands(spark, d), S).select(*CELL, "n", *((F.col(f"c{t}") / F.col("n").cast("double")).alias(f"r{t}") for t in T))

@@ -12,6 +12,7 @@ from ..functions.geometry import BLUE, GREEN, RED, affine, band, coloured, f1, f
 from ..functions.voxels import CELL, tally
 from ..operators.beam import seen_pairs
 from ..operators.nearest import SLACK, nearest_squared_distance
+from ..operators.stored import StoredCandidates, nearest_stored
 
 UNOBSERVED, ACCURATE, INACCURATE = 0, 1, 2
 
@@ -28,6 +29,12 @@ def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settin
     return near.withColumn("band", band(F.col("d2"), settings.squared)).drop("d2")
 
 
+def stored_bands(scan_points: DataFrame, index: StoredCandidates, settings: Settings) -> DataFrame:
+    """completeness_bands over a stored index of the reconstruction."""
+    near = nearest_stored(scan_points, index, settings.tolerances[-1] * SLACK)
+    return near.withColumn("band", band(F.col("d2"), settings.squared)).drop("d2")
+
+
 def completeness_cells(bands: DataFrame, settings: Settings) -> DataFrame:
     """(grid_id, vx, vy, vz, n, c0, c1, ...): points of each voxel, and those complete at each tolerance."""
     return tally(bands, settings.voxel_inverse, n=F.lit(True), **{f"c{t}": F.col("band") <= t for t in range(len(settings.tolerances))})
@@ -48,13 +55,13 @@ def completeness(bands: DataFrame, settings: Settings) -> DataFrame:
     return _by_tolerance(means, settings, "completeness")
 
 
-def first_and_front(points: DataFrame, scans: DataFrame, poses: dict[int, list[float]], settings: Settings, key: str = "point_id") -> DataFrame:
+def first_and_front(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], settings: Settings, key: str = "point_id", rays: DataFrame | None = None) -> DataFrame:
     """points (key, x, y, z, ...) with `first`, the first tolerance index of a scan point that sees them, or their number, and `front`.
 
     Pairs are aggregated by the key first, so the points' columns take no part in that; points that no ray
-    sees stay.
+    sees stay. rays: of the scans, where they are stored.
     """
-    pairs = seen_pairs(points, scans, poses, settings.beam_start, settings.beam_tangent, key)
+    pairs = seen_pairs(points, scans, poses, settings.beam_start, settings.beam_tangent, key, rays)
     best = pairs.groupBy(F.col(key).alias("_key")).agg(F.min("d2").alias("_d2"), F.bool_or("front").alias("_front"))
     seen = points.join(best, F.col(key) == F.col("_key"), "left")
     return seen.select(*points.columns, first_within(F.col("_d2"), settings.squared).alias("first"), F.coalesce("_front", F.lit(False)).alias("front"))
