@@ -17,6 +17,8 @@ from ..sources.files import shared_base
 CHUNK_BYTES = 4 << 20
 #: Rows of a file of a narrow intermediate table.
 FILE_ROWS = 1 << 16
+#: Rows and key bytes of a lookup table that is broadcast, and keys over which the rows that ask a larger one are dealt.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 100_000, 16 << 20, 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,22 @@ def dropped_at_end(spark: SparkSession, path: str) -> None:
     system.deleteOnExit(target)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, on: Column, dealt: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (as `d`) joined with a written table (as `p`) of one row a key by the condition `on`, at any share of rows that one key holds.
+
+    A table of at most `most` rows and BROADCAST_BYTES of keys is broadcast, and the rows stay where they
+    are. A larger one is copied to SALTS keys, over which rows are dealt by the hash of `dealt`, an expression of theirs
+    that tells rows of one key apart. An empty table, or one without keys, is broadcast.
+    """
+    n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    if n <= most and (size or 0) <= BROADCAST_BYTES:
+        return rows.alias("d").join(F.broadcast(table).alias("p"), on, how)
+    salt, copy = free_name(rows, "_salt"), free_name(table, "_copy")
+    asked = rows.withColumn(salt, F.pmod(F.xxhash64(dealt), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.alias("d").join(copies.alias("p"), on & (F.col(f"d.{salt}") == F.col(f"p.{copy}")), how)
+
+
 def files_for(rows: int) -> int:
     """Files, and tasks that write them, of a narrow table: as many as its rows ask for, not one a shuffle partition."""
     return max(1, -(-rows // FILE_ROWS))

@@ -5,7 +5,8 @@ the documents whose hash lies below it are taken. The threshold comes from histo
 hash digit. One aggregation finds the 4096-wide bucket in which the running sum crosses the
 budget; only the documents of that boundary bucket are summed again, by the next 12 bits, four
 times in all. Nothing is sorted and no document leaves its place: the decision is a filter
-`hash < threshold`. Thresholds of larger budgets hold those of smaller ones (the samples nest).
+`hash < threshold`. Thresholds of larger budgets hold those of smaller ones (the samples nest). The plan, a row a
+source, is broadcast up to BROADCAST_ROWS sources; beyond, documents of a source are dealt over several keys.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, named, read_table, written
+from .common import BROADCAST_ROWS, free_name, looked_up, named, read_table, written
 
 #: Hash bits, and bits that each histogram resolves.
 BITS, STEP = 48, 12
@@ -53,16 +54,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return full.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * water).alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, budgets: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hash thresholds of budgets: (source, budget) to (source, threshold).
 
     sized: (source, size, h). The documents of a source with h < threshold have at most `budget`
     words, and one more hash value would exceed it; the nearer of the two is chosen. A budget of
-    0 or less gives 0. Sources are joined by null-safe equality.
+    0 or less gives 0. Sources are joined by null-safe equality. budgets: a written table.
     """
     path = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for shift in range(BITS - STEP, -1, -STEP):
-        inside = sized.alias("d").join(path.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.shiftright("d.h", shift + STEP) == F.col("p.prefix")))
+        inside = looked_up(sized, path, "source", F.col("d.source").eqNullSafe(F.col("p.source")) & (F.shiftright("d.h", shift + STEP) == F.col("p.prefix")), F.col("h"), most=most)
         histogram = inside.groupBy(F.col("d.source").alias("source"), F.col("p.budget").alias("budget"), F.shiftright("d.h", shift).alias("prefix")).agg(F.sum("d.size").alias("n"), F.first("p.below").alias("base"))
         running = Window.partitionBy("source").orderBy("prefix")
         summed = histogram.withColumn("upto", F.col("base") + F.sum("n").over(running))
@@ -76,7 +77,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return path.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
-def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, most: int = BROADCAST_ROWS) -> DataFrame:
     """(source, source_size, target, whole, threshold) from (source, size, h): one row a source.
 
     A source with target T and size S is taken floor(T / S) times whole and once more below the
@@ -85,7 +86,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
     plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    cut = thresholds(sized, plan.select("source", "budget"))
+    cut = thresholds(sized, plan.select("source", "budget"), most)
     plan = plan.alias("p").join(cut.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left").select("p.*", F.coalesce("t.threshold", F.lit(0)).alias("threshold"))
     return written(plan.drop("budget"), "mix-plan")
 
@@ -100,7 +101,7 @@ def copies(h: Column) -> Column:
     return F.col("p.whole") + (h < F.col("p.threshold")).cast("long")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, most: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs.
 
     Null texts have size 0; a null source is a source of its own; a source of size 0 has target 0;
@@ -108,20 +109,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     other columns, whatever their names, are not read. An empty table gives an empty result. Reruns agree: the hash is of the id.
     """
     sized = sizes(docs, key, text, source)
-    plan = mixing_plan(sized, weights, share, repeats)
+    plan = mixing_plan(sized, weights, share, repeats, most)
     taken = F.col("d.size") * copies(F.col("d.h"))
-    return sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.doc_id", "d.size", "p.source_size", "p.target", taken.alias("taken"))
+    return looked_up(sized, plan, "source", F.col("d.source").eqNullSafe(F.col("p.source")), F.col("h"), most=most).select("d.doc_id", "d.size", "p.source_size", "p.target", taken.alias("taken"))
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns of docs, whatever their names. Texts are not shuffled.
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the columns of docs, whatever their names. Texts are shuffled only where over `most` sources make the plan too large to broadcast.
 
     Null and empty texts have size 0 and stand as often as others of their source and hash; a null
     source is a source of its own; rows repeated under one id fare alike; an empty table gives none.
     """
-    plan = mixing_plan(sizes(docs, key, text, source), weights, share, repeats)
+    plan = mixing_plan(sizes(docs, key, text, source), weights, share, repeats, most)
     number = free_name(docs, "_number")
-    taken = docs.alias("d").join(plan.alias("p"), F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")))
+    taken = looked_up(docs, plan, "source", F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")), id_hash(F.col(f"`{key}`")), most=most)
     taken = taken.select("d.*", F.explode(F.array_repeat(F.lit(0), copies(id_hash(F.col(f"d.`{key}`"))).cast("int"))).alias(number))
     return taken.select(*map(named, docs.columns))
 

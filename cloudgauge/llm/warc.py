@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, dropped_at_end, file_system, fresh_dir, read_table, written
+from .common import BROADCAST_ROWS, batch_of, dropped_at_end, file_system, fresh_dir, looked_up, read_table, written
 
 MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 32 << 10, 400, 16 << 10
@@ -191,20 +191,22 @@ def _dictionary(pages: DataFrame, key: str, html: str) -> bytes:
 _DONE = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, level: int = 3) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, level: int = 3, most: int = BROADCAST_ROWS) -> DataFrame:
     """Writes all pages below `path`; (archive, records, bytes), one row an archive.
 
     Equal payloads of at least `least` bytes share one response, that with the smallest id; null
     ids come last and have record ids of their own. Rows repeated under that smallest id are all
     responses. Null and empty payloads are empty ones; payloads are written whole, however long. Further
-    columns, whatever their names, are not read; an empty table gives no archive. A task that is run
+    columns, whatever their names, are not read; an empty table gives no archive. Payloads stay where they are while at most
+    `most` payloads repeat, else they are shuffled once, evenly. A task that is run
     again writes an archive of another name, and only the names that Spark committed are listed.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(written(first, "warc-first"), "digest", "left").drop("digest")
+    # of digests, only those that repeat; pages of one digest do not meet in one task
+    rows = looked_up(rows, written(first, "warc-first"), "digest", F.col("d.digest") == F.col("p.digest"), F.struct("page_id", "url"), "left", most).select("d.page_id", "d.url", "d.payload", "p.first")
     dictionary = spark.sparkContext.broadcast(_dictionary(pages, key, html))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

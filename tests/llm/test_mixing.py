@@ -67,3 +67,25 @@ def test_against_sql(spark):
     con.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
     want = sorted(con.sql(mixing.ORACLE_SQL).fetchall())
     assert want == sorted(map(tuple, mixing.op3_hash_threshold_mix(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_many_sources_are_dealt_and_agree(spark):
+    """A plan too large to broadcast: sources and a hot one are dealt over keys, with the same result; texts are not gathered by source."""
+    rows = [(k, "w " * (k % 9), None if k % 50 == 0 else f"s{k % 7}" if k % 3 else "hot") for k in range(500)] + [(3, "again", "hot"), (None, None, "hot")]
+    docs = documents(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [mixing.mix(docs, most=most) for most in (100_000, 0)]
+        assert sorted(map(tuple, found[0].collect()), key=str) == sorted(map(tuple, found[1].collect()), key=str)
+        out = [mixing.mixture(docs, most=most) for most in (100_000, 0)]
+        assert sorted(map(tuple, out[0].collect()), key=str) == sorted(map(tuple, out[1].collect()), key=str)
+        plans = [o._jdf.queryExecution().executedPlan().toString() for o in out]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plans[0] and "_salt" in plans[1]
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    got = run(spark, [(1, "word " * 1_000_000, "a"), (2, "x" * 5_000_000, "a")])
+    assert (got[1]["size"], got[2]["size"], got[2]["source_size"]) == (1_000_000, 1, 1_000_001)

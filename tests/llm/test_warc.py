@@ -75,3 +75,24 @@ def test_optional_fields():
 
 def test_null_ids_have_records_of_their_own():
     assert record(None, b"same") != record(None, b"same")
+
+
+def test_hot_payloads_are_dealt_and_agree(spark):
+    rows = [(k, f"u{k}", "hot" if k % 3 else f"p{k // 30}", 0) for k in range(300)] + [(None, "u", "hot", 0), (1, "u", "hot", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [warc.write_archives(pages, fresh_dir(spark, "t"), most=most) for most in (100_000, 0)]
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+        kept = [f.cache() for f in found]
+        got = [sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload"]) for r in warc.read_archives(f).collect() if r["page_id"] is not None) for f in kept]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plans[0] and "_salt" in plans[1]
+    assert got[0] == got[1] and sum(r[1] == "response" for r in got[0]) == 12
+
+
+def test_very_long_payloads_go_through_the_writer(spark):
+    html = "é<p>" * 3_000_000
+    assert run(spark, [(1, "u", html, 0), (2, "u", html, 0)]) == [(1, 15_000_000, "response", None, html), (2, 15_000_000, "revisit", 1, None)]
