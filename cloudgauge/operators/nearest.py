@@ -22,10 +22,10 @@ from math import floor, inf, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.geometry import finite, squared_distance
+from ..functions.geometry import band, f32, finite, squared_distance
 from .kd import kd_squared_distance
 
 LOG = logging.getLogger("cloudgauge")
@@ -277,13 +277,31 @@ def brute_force(queries: DataFrame, candidates: DataFrame, key: str, radius: flo
     return queries.select(key).join(best, key, "left")
 
 
+def _against_kd(near: DataFrame, candidates: DataFrame, squared: tuple[float, ...]) -> DataFrame:
+    """near (queries with d2) with `a` and `b`, the distances of both indexes below the largest tolerance, and their bands."""
+    capped = lambda c: F.when(c < f32(squared[-1]), c)
+    both = kd_squared_distance(near.withColumnRenamed("d2", "_near"), candidates, float(np.sqrt(squared[-1])) * SLACK)
+    both = both.withColumns({"a": capped(F.col("_near")), "b": capped(F.col("d2"))}).drop("d2").withColumnRenamed("_near", "d2")
+    return both.withColumns({"band": band(F.col("a"), squared), "other": band(F.col("b"), squared)})
+
+
+def _mismatches():
+    return F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("value_mismatches"), F.count_if(F.col("band") != F.col("other")).alias("band_mismatches")
+
+
 def verify(queries: DataFrame, candidates: DataFrame, key: str, squared: tuple[float, ...]) -> DataFrame:
     """Compares the block search with the kd-tree within the largest tolerance: by band of the block search, numbers of queries, and of values and of bands that differ, and the largest squared distance."""
-    from ..functions.geometry import band, f32
+    near = nearest_squared_distance(queries.select(key, "x", "y", "z"), candidates, float(np.sqrt(squared[-1])) * SLACK)
+    both = _against_kd(near, candidates, squared)
+    return both.groupBy("band").agg(F.count(F.lit(1)).alias("queries"), *_mismatches(), F.max("a").alias("largest"))
 
-    radius = float(np.sqrt(squared[-1])) * SLACK
-    capped = lambda c: F.when(c < f32(squared[-1]), c)
-    near = nearest_squared_distance(queries.select(key, "x", "y", "z"), candidates, radius).withColumnRenamed("d2", "a")
-    both = kd_squared_distance(near, candidates, radius).select(capped(F.col("a")).alias("a"), capped(F.col("d2")).alias("b"))
-    both = both.select("*", band(F.col("a"), squared).alias("band"), band(F.col("b"), squared).alias("other"))
-    return both.groupBy("band").agg(F.count(F.lit(1)).alias("queries"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("value_mismatches"), F.count_if(F.col("band") != F.col("other")).alias("band_mismatches"), F.max("a").alias("largest"))
+
+def verified(near: DataFrame, candidates: DataFrame, squared: tuple[float, ...], counters: Observation) -> DataFrame:
+    """near (queries x, y, z, ..., d2) as it is, compared with the kd-tree while its rows pass.
+
+    The counters hold what `verify` sums, over all bands: queries, value_mismatches and band_mismatches. They come with
+    the first action that reads the rows, without a job of their own. Tasks that are run again may count
+    twice, so only zero and not zero are to be relied on.
+    """
+    both = _against_kd(near, candidates, squared).observe(counters, F.count(F.lit(1)).alias("queries"), *_mismatches())
+    return both.select(*near.columns)

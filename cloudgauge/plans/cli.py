@@ -7,11 +7,10 @@ import sys
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, SettingsError
-from ..operators.nearest import verify
 from ..sources.ply import COLOURS, PlyUnreadable, PlyUnsupported, read_cloud, write_clouds
 from ..sources.project import ProjectError, check_poses, read_project, resolved
 from . import scoring
@@ -80,20 +79,21 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> in
     poses = {s.scan_id: list(s.pose) for s in scans}
     placed = scoring.to_global(local, poses) if poses else local
     print("Computing completeness", flush=True)
-    if args.nn_verify:
-        keyed = placed.withColumn("key", F.struct("scan_id", "point_index"))
-        found = verify(keyed, reconstruction.select("x", "y", "z"), "key", settings.squared).collect()  # a row a band
-        print("nn_verify:", {n: sum(r[n] for r in found) for n in ("queries", "value_mismatches", "band_mismatches")}, file=sys.stderr)
-        if any(r["band_mismatches"] for r in found):
+    counters = Observation("nn_verify") if args.nn_verify else None
+    bands = scoring.completeness_bands(placed, reconstruction.select("x", "y", "z"), settings, {"grid": "auto", "flann": "kd"}[args.nn_index], counters).persist(StorageLevel.MEMORY_AND_DISK)
+    complete = {r["tolerance_index"]: r["completeness"] for r in scoring.completeness(bands, settings).collect()}  # a row a tolerance
+    if counters is not None:
+        found = counters.get
+        print("nn_verify:", {n: found[n] for n in ("queries", "value_mismatches", "band_mismatches")}, file=sys.stderr)
+        if found["band_mismatches"]:
             return SYSTEM_FAILURE
-    bands = scoring.completeness_bands(placed, reconstruction.select("x", "y", "z"), settings, {"grid": "auto", "flann": "kd"}[args.nn_index]).persist(StorageLevel.MEMORY_AND_DISK)
     if args.completeness_cloud_output_path:
         write_coloured_at_each(bands.withColumn("order", F.struct("scan_id", "point_index")), args.completeness_cloud_output_path, settings, scoring.completeness_colours, "order")
     print("Computing accuracy", flush=True)
     seen = scoring.first_and_front(reconstruction, local, poses, settings).persist(StorageLevel.MEMORY_AND_DISK)
     if args.accuracy_cloud_output_path:
         write_coloured_at_each(seen, args.accuracy_cloud_output_path, settings, scoring.accuracy_colours, "point_id")
-    print(report(scoring.scores(bands, seen, settings).orderBy("tolerance_index").collect()), flush=True)
+    print(report(scoring.scored(complete, seen, settings).orderBy("tolerance_index").collect()), flush=True)
     for df in (bands, seen, local, reconstruction):
         df.unpersist()
     return OK

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.geometry import BLUE, GREEN, RED, affine, band, coloured, f1, f32, first_within, rgb
 from ..functions.voxels import CELL, tally
 from ..operators.beam import seen_pairs
-from ..operators.nearest import SLACK, nearest_squared_distance
+from ..operators.nearest import SLACK, nearest_squared_distance, verified
 from ..operators.stored import StoredCandidates, nearest_stored
 
 UNOBSERVED, ACCURATE, INACCURATE = 0, 1, 2
@@ -23,9 +23,11 @@ def to_global(scans: DataFrame, poses: dict[int, list[float]]) -> DataFrame:
     return scans.withColumns(dict(zip("xyz", new, strict=True)))
 
 
-def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settings: Settings, index: str = "auto") -> DataFrame:
-    """scan_points (global x, y, z, ...) with `band`, the first tolerance index that holds the nearest reconstruction point, or their number."""
+def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settings: Settings, index: str = "auto", counters: Observation | None = None) -> DataFrame:
+    """scan_points (global x, y, z, ...) with `band`, the first tolerance index that holds the nearest reconstruction point, or their number. counters: of a comparison with the kd-tree, made in the same pass."""
     near = nearest_squared_distance(scan_points, reconstruction, settings.tolerances[-1] * SLACK, index=index)
+    if counters is not None:
+        near = verified(near, reconstruction, settings.squared, counters)
     return near.withColumn("band", band(F.col("d2"), settings.squared)).drop("d2")
 
 
@@ -100,6 +102,12 @@ def scores(bands: DataFrame, seen: DataFrame, settings: Settings) -> DataFrame:
     return both.withColumn("f1", f1(F.col("accuracy"), F.col("completeness")))
 
 
+def scored(complete: dict[int, float], seen: DataFrame, settings: Settings) -> DataFrame:
+    """scores, where the completenesses by tolerance index are known."""
+    known = reduce(lambda out, c: F.when(F.col("tolerance_index") == c[0], f32(c[1])).otherwise(out), complete.items(), f32(float("nan")))
+    return accuracy(seen, settings).withColumn("completeness", known).withColumn("f1", f1(F.col("accuracy"), F.col("completeness")))
+
+
 def at_each_tolerance(df: DataFrame, settings: Settings, **columns) -> DataFrame:
     """Rows once a tolerance, with columns made by functions of its index."""
     each = F.array(*[F.struct(F.lit(t).alias("tolerance_index"), *(f(t).alias(n) for n, f in columns.items())) for t in range(len(settings.tolerances))])

@@ -1,5 +1,7 @@
 import numpy as np
 
+from cloudgauge.operators import nearest
+from cloudgauge.operators.kd import kd_squared_distance
 from cloudgauge.plans.cli import main
 from tests.test_ply import header
 from tests.test_project import EYE, mesh
@@ -36,3 +38,11 @@ def test_exit_codes(spark, tmp_path):
     assert main(args, spark) == 1
     (tmp_path / "r.ply").unlink()
     assert main(args, spark) == 2
+
+
+def test_a_difference_between_the_indexes_fails_before_anything_is_written(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(nearest, "kd_squared_distance", lambda q, c, r: kd_squared_distance(q, c.limit(0), r))
+    args = [*scene(tmp_path), "--completeness_cloud_output_path", str(tmp_path / "c"), "--nn_verify"]
+    assert main(args, spark) == 1
+    assert "'queries': 3, 'value_mismatches': 3, 'band_mismatches': 3" in capsys.readouterr().err
+    assert not list(tmp_path.glob("c.*"))

@@ -4,11 +4,12 @@ import logging
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cloudgauge.operators import kd, nearest
 from cloudgauge.operators.kd import Regions, Tree, cuts, kd_squared_distance
-from cloudgauge.operators.nearest import PLACE, SLACK, bounding_box, brute_force, in_blocks, nearest_squared_distance, octree, verify
+from cloudgauge.operators.nearest import PLACE, SLACK, bounding_box, brute_force, in_blocks, nearest_squared_distance, octree, verified, verify
 
 
 def all_pairs(q, c):
@@ -165,3 +166,21 @@ def test_verify_counts_differences(spark, monkeypatch):
     monkeypatch.setattr(nearest, "kd_squared_distance", lambda q, c, r: kd_squared_distance(q, c.limit(100), r))
     rows = verify(a, b, "point_id", squared).collect()
     assert sum(r["value_mismatches"] for r in rows) > 20 and sum(r["band_mismatches"] for r in rows) > 0
+
+
+def test_counters_come_with_the_pass(spark, monkeypatch):
+    """The observed counters equal what the comparison sums, and no job runs for them."""
+    rng = np.random.default_rng(13)
+    a, b = frame(spark, clustered(rng, 200)), frame(spark, clustered(rng, 200))
+    squared = (0.01, 0.25, 1.0)
+    monkeypatch.setattr(nearest, "kd_squared_distance", lambda q, c, r: kd_squared_distance(q, c.limit(50), r))
+    rows = verify(a, b, "point_id", squared).collect()
+    near = nearest_squared_distance(a, b, SLACK)
+    counters = Observation("differences")
+    passed = verified(near, b, squared, counters)
+    got = sorted(map(tuple, passed.collect()), key=str)
+    tracker, seen = spark.sparkContext.statusTracker(), counters.get
+    jobs = len(tracker.getJobIdsForGroup(None))
+    assert seen == {n: sum(r[n] for r in rows) for n in ("queries", "value_mismatches", "band_mismatches")} and seen["band_mismatches"] > 0
+    assert len(tracker.getJobIdsForGroup(None)) == jobs
+    assert passed.columns == near.columns and got == sorted(map(tuple, near.collect()), key=str)
