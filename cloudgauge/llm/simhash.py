@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, pi, sqrt
+from math import acos, ceil, comb, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import ascii_words, batch_of, by_run, chunks, dropped, dropped_at_end, files_for, free_name, fresh_dir, named, read_table, written
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
+#: Where segments follow the number of fingerprints: those of one value on average, the least bits, and the share of pairs
+#: at the similarity that no segment may bring together.
+BUCKET, LEAST_BITS, MISSED = 16, 16, 0.006
 #: Texts, and hashes of their shingle sets, that a block of a candidate group has about; blocks are compared in pairs.
 BLOCK_TEXTS, BLOCK_HASHES = 256, 1 << 18
 #: Candidate pairs that a task verifies at a time, and the size from which a bucket is gone through row by row.
@@ -219,6 +222,54 @@ def _segment(fp: np.ndarray, low: int, high: int) -> np.ndarray:
     return out & np.uint64((1 << high - low) - 1)
 
 
+def _gathered(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints at these positions, the first lowest."""
+    if bits[-1] - bits[0] + 1 == len(bits):  # positions ascend
+        return _segment(fp, int(bits[0]), int(bits[-1]) + 1)
+    out = np.zeros(len(fp), np.uint64)
+    for k, b in enumerate(bits.tolist()):
+        out |= (fp[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _mask(bits: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    for b in bits.tolist():
+        out[b // 64] |= np.uint64(1 << b % 64)
+    return out
+
+
+def cut(bits: int, segments: int) -> list[np.ndarray]:
+    """Positions of each of so many consecutive segments of a fingerprint."""
+    edges = [bits * k // segments for k in range(segments + 1)]
+    return [np.arange(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def segments_for(number: int, similarity: float, words: int, radius: int = 1) -> list[np.ndarray]:
+    """Positions of each segment, ascending, as wide as this number of fingerprints asks for.
+
+    A segment's value has BUCKET of them on average, so that what one meets does not grow with their number.
+    Wider segments bring fewer pairs together: the bits are cut in their order, then in one fixed
+    permutation after the other, until a pair of sets of this similarity is missed by all
+    segments at MISSED at most. Up to 2^20 fingerprints of 256 bits that is one cut into 16.
+    """
+    bits = 64 * words
+    width = min(max(LEAST_BITS, ceil(log2(max(1, number) / BUCKET))), 64, bits)
+    each = bits // width
+    # ways to lay d differing bits so that every segment of a permutation has more than radius of them
+    ways = np.array([comb(bits - each * width, r) for r in range(bits - each * width + 1)], float)
+    for _ in range(each):
+        ways = np.convolve(ways, [comb(width, r) * (r > radius) for r in range(width + 1)])
+    apart = np.array([comb(bits, d) for d in range(bits + 1)], float)
+    share = differing(similarity)
+    chance = apart * share ** np.arange(bits + 1) * (1 - share) ** np.arange(bits, -1, -1)
+    rounds = 1
+    while chance @ (ways / apart) ** rounds > MISSED:
+        rounds += 1
+    orders = [np.arange(bits), *(np.random.default_rng(k).permutation(bits) for k in range(1, rounds))]
+    return [np.sort(order[k * width : (k + 1) * width]) for order in orders for k in range(each)]
+
+
 def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
     """Which pairs differ in `distance` bits at most, the nearest first."""
     apart = np.bitwise_count(fp[left] ^ fp[right]).sum(1, dtype=np.int64)
@@ -226,12 +277,12 @@ def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) ->
     return near[np.argsort(apart[near], kind="stable")]
 
 
-def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int, earlier: tuple[tuple[int, int], ...] = (), radius: int = 0) -> list[tuple[int, int]]:
+def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int, flips: np.ndarray, distance: int, earlier: tuple[np.ndarray, ...] = (), radius: int = 0) -> list[tuple[int, int]]:
     """Links among the fingerprints of a slice, as pairs of rows of fp.
 
     The first `homes` entries file their row under their key, and look up the flips of it; the
     others only look up their key. Of two different keys the smaller looks up the larger. A pair
-    that also meets in one of the `earlier` segments (bit ranges), by differing in `radius` bits at
+    that also meets in one of the `earlier` segments (masks), by differing in `radius` bits at
     most there, is left to that.
     """
     forest = Forest(len(fp))
@@ -242,8 +293,8 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
     def join(left: np.ndarray, right: np.ndarray) -> None:
         apart = fp[left] ^ fp[right]
         own = np.ones(len(left), bool)
-        for low, high in earlier:
-            own &= np.bitwise_count(_segment(apart, low, high)) > radius
+        for mask in earlier:
+            own &= np.bitwise_count(apart & mask).sum(1) > radius
         left, right = left[own], right[own]
         used = forest.join(left, right)
         found.extend(zip(left[used].tolist(), right[used].tolist(), strict=True))
@@ -284,17 +335,17 @@ def slice_links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, homes: int,
     return found
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, segments: int | list[np.ndarray] = SEGMENTS, words: int = 1, radius: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all pairs within `distance` bits.
 
-    radius: of the balls; by default distance // segments, which misses no pair. A smaller one
-    misses pairs whose bits differ in every segment by more.
+    segments: how many, or the bit positions of each. radius: of the balls; by default distance // segments,
+    which misses no pair where segments do not overlap. A smaller one misses pairs whose bits differ in every segment by more.
     """
-    radius = distance // segments if radius is None else radius
+    places = cut(64 * words, segments) if isinstance(segments, int) else segments
+    radius = distance // len(places) if radius is None else radius
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = [64 * words * k // segments for k in range(segments + 1)]
-    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    top = min(max(0, (4 * parts // segments).bit_length() - 1), min(widths))  # bits that name a slice
+    widths, masks = [len(bits) for bits in places], [_mask(bits, words) for bits in places]
+    top = min(max(0, (4 * parts // len(places)).bit_length() - 1), min(widths))  # bits that name a slice
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +353,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
                 column = batch.column(0).slice(at, 8192)
                 fp = _words(column)
                 for s, width in enumerate(widths):
-                    place = (_segment(fp, edges[s], edges[s + 1]) >> np.uint64(width - top)).astype(np.int64)
+                    place = (_gathered(fp, places[s]) >> np.uint64(width - top)).astype(np.int64)
                     for flip in ball(top, radius).astype(np.int64):
                         there = place ^ flip
                         go = np.flatnonzero((there > place) | (flip == 0))
@@ -311,7 +362,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
     def slice_of(number: int, fp: np.ndarray, at_home: np.ndarray) -> list[tuple[int, int]]:
         s, here = number >> top, number & (1 << top) - 1
         width = widths[s]
-        key = _segment(fp, edges[s], edges[s + 1])
+        key = _gathered(fp, places[s])
         low, rest = np.uint64((1 << width - top) - 1), ball(width - top, radius)
         here = np.uint64(here) << np.uint64(width - top)
         # a guest has left its slice by some flips, and looks up what the rest of its ball has here
@@ -322,7 +373,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, wo
             fits = guest[used + np.bitwise_count(flip) <= radius]
             pick.append(fits)
             which.append(key[fits] & low ^ flip | here)
-        return slice_links(fp, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, tuple(zip(edges[:s], edges[1 : s + 1], strict=True)), radius)
+        return slice_links(fp, np.concatenate(pick), np.concatenate(which), len(pick[0]), rest, distance, tuple(masks[:s]), radius)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts_of in by_run(batches, "slice"):
@@ -470,12 +521,12 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return paired.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int | None = SEGMENTS, words: int = 1, radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
     component_id is the smallest id that a chain of links reaches. With `similarity`, texts of one
     shingle set are merged, fingerprints are of sets and find candidates only, and links hold by
-    the Jaccard similarity of the whole sets. Null and empty texts have the fingerprint 0 and are
+    the Jaccard similarity of the whole sets; without `segments`, these follow the number of distinct sets. Null and empty texts have the fingerprint 0 and are
     linked like any other. A null id stays null and never names a component unless all ids of it
     are null. Rows repeated under one id each get a row; other columns, whatever their names, are not
     read. Texts are read whole, however long; a task hashes a very long one by itself. An empty
@@ -486,6 +537,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     node = "fp" if similarity is None else "node"
     lows = prints.groupBy(node).agg(F.min("doc_id").alias("low"), *([] if similarity is None else [F.min("fp").alias("fp"), F.min("n").alias("n")]))
     distinct = written(lows.coalesce(files), "simhash-distinct")
+    if segments is None:
+        radius = 1 if radius is None else radius
+        segments = SEGMENTS if similarity is None else segments_for(distinct.count(), similarity, words, radius)
     found = links(distinct.select("fp").distinct() if similarity is not None else distinct, distance, segments, words, radius)
     stars = components(found if similarity is None else verified(found, distinct, docs, key, text, size, similarity, files), files).withColumnRenamed("node", "_node")
     placed = distinct.join(stars, distinct[node] == stars["_node"], "left").select(node, "low", F.coalesce("component", node).alias("component"))
@@ -494,20 +548,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.select("doc_id", *dict.fromkeys(["fp", node])).join(placed, node).select("doc_id", "fp", "component_id").coalesce(files)
 
 
-def distance_for(similarity: float, words: int, slack: float = 3.0) -> int:
-    """Differing bits of texts whose shingle sets have this Jaccard similarity: the mean and `slack` standard deviations.
+def differing(similarity: float) -> float:
+    """The share of bits that differ between texts whose shingle sets have this Jaccard similarity.
 
     Sets of similarity s have a cosine of 2s / (1 + s), and a bit differs with the angle's share of pi.
     """
-    share = acos(2 * similarity / (1 + similarity)) / pi
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def distance_for(similarity: float, words: int, slack: float = 3.0) -> int:
+    """Differing bits of texts whose shingle sets have this Jaccard similarity: the mean and `slack` standard deviations."""
+    share = differing(similarity)
     return round(64 * words * share + slack * sqrt(64 * words * share * (1 - share)))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 16, radius: int = 1) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, words: int = 4, segments: int | None = None, radius: int = 1) -> DataFrame:
     """The rows of docs without near duplicates: of each group the row of the smallest id stays.
 
     Groups are components of texts whose sets of `size`-word shingles are `similarity` alike or
-    more. Fingerprints of 64 * words bits find the candidates, with some slack; the whole sets decide.
+    more. Fingerprints of 64 * words bits find the candidates, with some slack, in segments that follow the number of
+    texts unless `segments` names one; the whole sets decide.
     Rows are told apart by 128 bits of a SHA-256 of all their named values, so null and repeated ids do
     no harm; of equal rows one stays. Null and empty texts are one group, of which one stays. Texts
     are read whole, however long. Columns of any name and type come back as they were. An empty

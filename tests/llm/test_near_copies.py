@@ -87,6 +87,16 @@ def test_family_on_a_template_against_brute_force(spark):
     assert kept(spark, texts) == want
 
 
+def test_wide_segments_keep_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_BITS", 22)  # as for some 60 million texts
+    rng, texts = np.random.default_rng(17), [None, ""]
+    for shared in [456] * 20 + [446] * 20 + [438] * 20:
+        base = fresh(rng, 504)
+        texts += [" ".join(base), " ".join(base[: shared + 4] + fresh(rng, 500 - shared))]
+    assert kept(spark, texts) == survivors([t or "" for t in texts])
+    assert kept(spark, []) == []
+
+
 def test_blocks_compare_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 3)
     rng = np.random.default_rng(16)

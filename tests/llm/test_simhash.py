@@ -94,6 +94,57 @@ def test_a_large_family_costs_a_forest(spark, monkeypatch):
     assert len(found) == len(values) - 1
 
 
+def test_segments_follow_the_number_of_fingerprints():
+    shapes = {e: [len(x) for x in simhash.segments_for(1 << e, 0.8, 4)] for e in (0, 4, 20, 21, 24, 28, 32)}
+    assert shapes[0] == shapes[4] == shapes[20] == [16] * 16
+    assert [set(shapes[e]) for e in (21, 24, 28, 32)] == [{17}, {20}, {24}, {28}]
+    assert all(np.array_equal(x, y) for x, y in zip(simhash.segments_for(1 << 20, 0.8, 4), simhash.cut(256, 16), strict=True))
+    for bits in simhash.segments_for(1 << 24, 0.8, 4):
+        assert len(np.unique(bits)) == 20 and (np.diff(bits) > 0).all() and 0 <= bits[0] and bits[-1] < 256
+
+
+@pytest.mark.parametrize("exponent", [16, 22, 24, 28, 32])
+def test_wider_segments_still_bring_pairs_together(exponent):
+    rng, n = np.random.default_rng(exponent), 40_000
+    apart = np.packbits(rng.random((n, 256)) < simhash.differing(0.8), axis=1).view(np.uint64)  # pairs at a similarity of just 0.8
+    missed = np.ones(n, bool)
+    for bits in simhash.segments_for(1 << exponent, 0.8, 4):
+        missed &= np.bitwise_count(apart & simhash._mask(bits, 4)).sum(1) > 1
+    assert missed.mean() <= simhash.MISSED + 3 * (simhash.MISSED / n) ** 0.5
+
+
+def test_gathered_bits():
+    rng = np.random.default_rng(21)
+    values = [int.from_bytes(rng.bytes(32), "big") for _ in range(50)]
+    fp = np.array([[v >> 64 * k & 2**64 - 1 for k in range(4)] for v in values], np.uint64)
+    for bits in [*simhash.cut(256, 7), np.sort(rng.permutation(256)[:30]), np.sort(rng.permutation(256)[:64])]:
+        assert simhash._gathered(fp, bits).tolist() == [sum((v >> int(b) & 1) << k for k, b in enumerate(bits)) for v in values]
+        assert simhash._mask(bits, 4).tolist() == [sum(1 << int(b) for b in bits) >> 64 * k & 2**64 - 1 for k in range(4)]
+
+
+def test_candidates_of_a_fingerprint_do_not_grow_with_their_number(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_BITS", 4)
+    met, near = [], simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda fp, left, right, distance: (met.append(len(right)), near(fp, left, right, distance))[1])
+    rng, rates = np.random.default_rng(22), []
+    for n in (1 << 12, 1 << 14, 1 << 16):
+        bits = simhash.segments_for(n, 0.8, 4)[0]
+        fp = rng.integers(0, 2**64 - 1, (n, 4), dtype=np.uint64)
+        met.clear()
+        assert simhash.slice_links(fp, np.arange(n), simhash._gathered(fp, bits), n, simhash.ball(len(bits), 1), 56) == []
+        rates.append(sum(met) / n / (1 + len(bits)))  # for each value of the ball
+    assert max(rates) < 1.1 * min(rates) and max(rates) < simhash.BUCKET
+
+
+def test_no_link_is_lost_in_permuted_segments(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_BITS", 24)
+    places = simhash.segments_for(1, 0.8, 4)
+    values = families(np.random.default_rng(23), 40, 256, 12)
+    got, _ = linked(spark, values, 20, places, 4, 1)
+    want, first = grouped(values, 20), {}
+    assert len(places) > 256 // 24 and got == [first.setdefault(w, k) for k, w in enumerate(want)]
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 150), (120, 150), (100, 120), (7, 7)]
     df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in pairs], "a binary, b binary")
