@@ -194,6 +194,14 @@ def choose(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, float]:
 _PHRASE = pa.schema([("phrase", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64())])
 
 
+def _word_before(folded: str, at: int) -> str:
+    """The last word before a place, its last 40 characters if longer; the text is not copied, so many matches in a very long one cost no more each."""
+    end = at
+    while end and folded[end - 1].isspace():
+        end -= 1
+    return folded[max(0, end - 40) : end].split(" ")[-1]
+
+
 def _phrases(some: DataFrame, shared) -> dict[tuple[str, int], int]:
     """(phrase, toxic) -> documents, of matched words with the word before or behind them; '' counts documents."""
 
@@ -204,7 +212,7 @@ def _phrases(some: DataFrame, shared) -> dict[tuple[str, int], int]:
                 folded, own = fold(text.as_py() or ""), {""}
                 for a, _, _ in shared.value.spans(folded):
                     stop = folded.index(" ", a + 1)
-                    word, before, behind = folded[a + 1 : stop], folded[:a].rstrip()[-40:].split(" ")[-1], folded[stop : stop + 40].split(maxsplit=1)
+                    word, before, behind = folded[a + 1 : stop], _word_before(folded, a), folded[stop : stop + 40].split(maxsplit=1)
                     own.update([f"{before} {word}"] if before else [], [f"{word} {behind[0]}"] if behind else [])
                 counts.update((phrase, toxic) for phrase in own)
         yield batch_of(_PHRASE, [k[0] for k in counts], [k[1] for k in counts], list(counts.values()))

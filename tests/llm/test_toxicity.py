@@ -116,3 +116,19 @@ def test_curve_is_fitted_at_the_true_share(spark, monkeypatch):
     lexicon = toxicity.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = scored(spark, rows, lexicon)
     assert abs(np.mean(list(got.values())) - share) < 0.03
+
+
+def test_the_word_before_a_match():
+    rng = np.random.default_rng(31)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab  \t"), 150)) + "x" * int(rng.integers(0, 60)) + " " * int(rng.integers(0, 50))
+        for at in {0, 1, len(text), *rng.integers(0, len(text), 5).tolist()}:
+            assert toxicity._word_before(text, at) == text[:at].rstrip()[-40:].split(" ")[-1]
+
+
+def test_a_very_long_text_with_many_matches_teaches(spark):
+    shared = spark.sparkContext.broadcast(toxicity.Lexicon({"vile": 1.0}))
+    text = "quite vile thing " * 60_000  # a megabyte
+    rows = spark.createDataFrame([(0, text), (1, "vile"), (0, None), (0, "")], "toxic int, _text string")
+    got = toxicity._phrases(rows, shared)
+    assert got[("", 0)] == 3 and got[("quite vile", 0)] == got[("vile thing", 0)] == 1
