@@ -8,6 +8,7 @@ Angles serve to find candidates only and are DOUBLE.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,10 +36,16 @@ def squared_distance(a: tuple[Column, Column, Column], b: tuple[Column, Column,
 
 
 def finite(*columns: Column) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return out
+    """Whether all are finite; each is named once, as a filter computes what it names anew at each place."""
+    return reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in columns], F.lit(True))  # Spark holds NaN to be above infinity
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The rows as they are, behind a generator, so that Spark does not copy the expressions of their columns to each place that names them.
+
+    Filters on derived columns otherwise grow into methods of over 8,000 bytes, which the JVM does not compile but interprets.
+    """
+    return df.select(F.inline(F.array(F.struct("*"))))
 
 
 def unit(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

@@ -15,7 +15,7 @@ from math import pi
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import affine, azimuth, beam_radius, f32, inclination, inverse_rigid, norm, squared_distance, squared_norm, unit
+from ..functions.geometry import affine, apart, azimuth, beam_radius, f32, inclination, inverse_rigid, norm, squared_distance, squared_norm, unit
 
 AZIMUTHS, INCLINATIONS = 2048, 1024
 AZIMUTH_STEP, INCLINATION_STEP = 2 * pi / AZIMUTHS, pi / INCLINATIONS
@@ -70,8 +70,8 @@ def beams(points: DataFrame, poses: dict[int, list[float]], start: float, tangen
 
 def seen_pairs(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], start: float, tangent: float, key: str = "point_id", rays: DataFrame | None = None) -> DataFrame:
     """(key, d2, front) of every pair of a point and a ray that sees it; front: the point lies before the surface. rays: those of the scans, where they are stored."""
-    rays = scan_rays(scans) if rays is None else rays
-    p = beams(points, poses, start, tangent, key)
+    rays = apart(scan_rays(apart(scans))) if rays is None else rays
+    p = apart(beams(apart(points.select(key, "x", "y", "z")), poses, start, tangent, key))
     own = [key, "scan_id", "px", "py", "pz", "b"]
     # rows of a wide tier: of the first, one for each inclination row and sector that a cone touches
     touched = (F.col("i1") - F.col("i0") + 1) * F.least(F.floor(F.col("a1") / SECTOR) - F.floor(F.col("a0") / SECTOR) + 1, F.lit(AZIMUTHS // SECTOR))
