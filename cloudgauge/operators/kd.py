@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import finite
+from ..functions.geometry import apart, finite
 from ..sources.files import shared_base
 
 #: Candidates of a region, about; regions at most; sampled points a region; points of a leaf.
 REGION_POINTS, MOST_REGIONS, SAMPLE_EACH, LEAF = 100_000, 1 << 14, 16, 32
 #: Queries and candidates of a task; queries that a tree answers at a time.
-QUERY_ROWS, CANDIDATE_ROWS, BATCH = 1_000_000, 2_000_000, 8192
+QUERY_ROWS, CANDIDATE_ROWS, BATCH = 250_000, 400_000, 8192
 #: A little below 1: bounds are DOUBLE, distances FLOAT, and rounding must not hide a neighbour.
 CAUTION = 1 - 1e-6
 
@@ -188,6 +188,7 @@ def kd_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float
     Queries that are not finite have none; candidates that are not finite take no part; every query keeps its row.
     """
     spark = queries.sparkSession
+    queries, candidates = apart(queries), apart(candidates.select("x", "y", "z"))
     usable = finite(*(F.col(c) for c in "xyz"))
     shared_base(spark)  # where checkpoints go
     points = candidates.where(usable).select(*(F.col(c).cast("float").alias(c) for c in "xyz")).distinct().checkpoint()
@@ -237,13 +238,12 @@ def kd_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float
 
     def answered(asks: DataFrame) -> DataFrame:
         """(x, y, z, best): each asked region dealt to tasks of bounded size; a query comes back once a holder."""
-        counts = {r["region"]: -(-r["n"] // QUERY_ROWS) for r in asks.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
-        askers = F.lit(1)
-        for region, n in sorted(counts.items()):
-            askers = F.when(F.col("region") == region, n).otherwise(askers) if n > 1 else askers
-        several = F.lit(1)
-        for region in np.flatnonzero(holders > 1).tolist():
-            several = F.when(F.col("region") == region, int(holders[region])).otherwise(several)
+        parts = np.ones(regions, np.int64)
+        for r in asks.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect():
+            parts[r["region"]] = -(-r["n"] // QUERY_ROWS)
+        # arrays of literals are looked up; a condition for each region would outgrow what the JVM compiles
+        each = lambda numbers: F.array(*map(F.lit, numbers.tolist()))[F.col("region")] if numbers.max() > 1 else F.lit(1)
+        askers, several = each(parts), each(holders)
         left = asks.withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0), several - 1)))
         right = placed.withColumn("holder", F.pmod(F.xxhash64("x", "y", "z", F.lit(1)), several)).withColumn("part", F.explode(F.sequence(F.lit(0), askers - 1)))
         keys = ["region", "part", "holder"]

@@ -7,10 +7,12 @@ and again, while its edge stays at least twice the radius, so that a candidate g
 Queries farther than the radius from the box of all candidates are answered without a shuffle. Within a
 block the search refines: cells of doubling size, each query looking at the 27 cells around it and
 dropping out once its nearest lies within the size. Work thus follows the distance to the neighbour,
-not the radius, also where points are dense. Blocks with too many queries deal them to several tasks;
-blocks that cannot be halved any more deal their candidates, and the least of the tasks' distances
-is taken, so no task holds a block of unbounded size. Where coordinates are too large for block
-keys, the kd-tree answers instead.
+not the radius, also where points are dense. Blocks with too many queries deal them to several tasks.
+Blocks that are over-full and cannot be halved any more are left to the kd-tree, whose regions are as small as
+their points ask for, whatever the radius. Where it is to be compared with the blocks, such a block deals its
+candidates to several tasks instead, each of which meets all its queries, and the least of their distances is taken; that
+costs queries times candidates. No task holds a block of unbounded size. Where coordinates are too large for block
+keys, the kd-tree answers all.
 """
 
 from __future__ import annotations
@@ -18,19 +20,19 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 from functools import reduce
-from math import floor, inf, log2
+from math import ceil, floor, inf, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.geometry import band, f32, finite, squared_distance
+from ..functions.geometry import apart, band, f32, finite, squared_distance
 from .kd import kd_squared_distance
 
 LOG = logging.getLogger("cloudgauge")
 #: Candidates of a block at most and at least, about; queries and candidates of a task; pairs compared at a time.
-BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 100_000, 1_000, 1_000_000, 2_000_000, 1 << 20
+BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 50_000, 1_000, 250_000, 400_000, 1 << 20
 #: Candidates over which a block is halved, at most and at least; those that reach in from around come on top.
 SPLIT_ROWS, LEAST_SPLIT = CANDIDATE_ROWS // 8, 16 * LEAST_POINTS
 #: Halvings at most, and rows of the tables of halved or crowded blocks, which are broadcast.
@@ -53,7 +55,9 @@ def edge_within(box, radius: float, tasks: int) -> float:
         return max(2 * radius * SLACK, 1.0)
     sides = [max(float(box[f"max_{c}"]) - float(box[f"min_{c}"]), radius, 1e-6) for c in "xyz"]
     even = (sides[0] / box["n"] * sides[1] * sides[2] * min(max(box["n"] / (8 * tasks), LEAST_POINTS), BLOCK_POINTS)) ** (1 / 3)
-    return max(2 * radius * SLACK, min(even, max(sides)), 1e-6)
+    least, edge = max(2 * radius * SLACK, 1e-6), min(even, max(sides))
+    # doubled so often that halving comes down to the least edge
+    return least * 2.0 ** max(0, ceil(log2(edge / least) - 1e-9))
 
 
 def representable(box, edge: float) -> bool:
@@ -62,6 +66,12 @@ def representable(box, edge: float) -> bool:
     return most / edge < MOST_KEY and max(most, edge) < MOST_COORDINATE
 
 
+def within_reach(box, reach: float):
+    """Whether a point is finite and no farther than the reach from the box; what lies outside has no neighbour and is not shuffled."""
+    near = [F.col(c).cast("double").between(float(box[f"min_{c}"]) - reach, float(box[f"max_{c}"]) + reach) for c in "xyz"]
+    return F.coalesce(reduce(lambda a, b: a & b, near), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Blocks:
     """An octree: the edge of its root blocks, and by (level, x, y, z) the halved blocks and those that are over-full but cannot be halved, with the tasks to deal them to."""
@@ -100,7 +110,7 @@ def root_counts(edge: float, most: int, candidates: DataFrame, queries: DataFram
 
 def octree(candidates: DataFrame, edge: float, radius: float, most: int = SPLIT_ROWS, full: list[tuple[int, int, int]] | None = None) -> Blocks:
     """Blocks for some finite candidates; most: that one holds; full: root blocks with more. Only these are counted again, at all levels at once."""
-    level = max(0, min(MOST_LEVELS, floor(log2(edge / max(2 * radius * SLACK, 1e-9)))))
+    level = max(0, min(MOST_LEVELS, floor(log2(edge / max(2 * radius * SLACK, 1e-9)) + 1e-9)))
     full = root_counts(edge, most, candidates)[0] if full is None else full
     if not full:
         return Blocks(edge)
@@ -191,16 +201,17 @@ def _points(table: pa.Table, names: tuple[str, str, str]) -> np.ndarray:
     return np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float32)
 
 
-def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto", split: int | None = None) -> DataFrame:
+def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto", split: int | None = None, trees: bool = True) -> DataFrame:
     """queries (x, y, z and other columns) with `d2`, the FLOAT squared distance to the nearest candidate (x, y, z).
 
     d2 is null where no candidate lies within the radius (or a hair beyond), and for queries that are
     not finite. Candidates that are not finite take no part. Every query keeps its row. edge: of the
     root blocks. index: `blocks`, `kd`, or `auto`: blocks wherever their keys are exact. split: candidates over
-    which a block is halved, by default a task's share.
+    which a block is halved, by default a task's share. trees: whether the kd-tree answers in over-full blocks.
     """
     if index == "kd":
         return kd_squared_distance(queries, candidates, radius)
+    queries, candidates = apart(queries), apart(candidates.select("x", "y", "z"))
     box = bounding_box(candidates).first()
     if not box["n"]:
         return queries.withColumn("d2", F.lit(None).cast("float"))
@@ -212,17 +223,19 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         LOG.warning("coordinates are too large for block keys; the kd-tree is used instead")
         return kd_squared_distance(queries, candidates, radius)
     reach = max(radius, 0.0) * SLACK
-    usable = finite(*(F.col(c) for c in "xyz"))
-    filed = candidates.where(usable).select("x", "y", "z")
-    # what lies farther than the reach from all candidates has no neighbour and is not shuffled
-    inside = reduce(lambda a, b: a & b, [F.col(c).cast("double").between(float(box[f"min_{c}"]) - reach, float(box[f"max_{c}"]) + reach) for c in "xyz"])
-    inside = F.coalesce(inside & usable, F.lit(False))
+    filed = candidates.where(finite(*(F.col(c) for c in "xyz")))
+    inside = within_reach(box, reach)
     most = min(SPLIT_ROWS, split or max(LEAST_SPLIT, box["n"] // (2 * tasks)))
     full, many, away = root_counts(edge, most, filed, queries, inside)
     blocks = octree(filed, edge, radius, most, full)
-    names = queries.columns
-    crowded = crowded_blocks(queries.where(inside), many, blocks)
-    asked, filed = in_blocks(queries.where(inside), blocks), in_blocks(filed, blocks, reach)
+    names, planted = queries.columns, None
+    asked, held = in_blocks(queries.where(inside), blocks), in_blocks(filed, blocks, reach)
+    if trees and blocks.crowded:
+        dense = F.broadcast(queries.sparkSession.createDataFrame(list(blocks.crowded), "level int, bx long, by long, bz long"))
+        planted = kd_squared_distance(asked.join(dense, PLACE, "left_semi").select(*names), filed, radius)
+        asked, held = asked.join(dense, PLACE, "left_anti"), held.join(dense, PLACE, "left_anti")
+    filed = held
+    crowded = crowded_blocks(queries.where(inside), many, blocks, trees)
     schema = queries.limit(0).withColumn("d2", F.lit(None).cast("float")).schema
 
     def search(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
@@ -234,6 +247,7 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         return search(left, right, names)
 
     def beside(near: DataFrame) -> DataFrame:
+        near = near.unionByName(planted) if planted is not None else near
         return near.unionByName(queries.where(~inside).withColumn("d2", F.lit(None).cast("float"))) if away else near
 
     if not crowded:
@@ -256,15 +270,17 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
     return beside(whole.unionByName(least))
 
 
-def crowded_blocks(queries: DataFrame, many: dict[tuple[int, int, int], int], blocks: Blocks) -> list[tuple[int, int, int, int, int, int]]:
+def crowded_blocks(queries: DataFrame, many: dict[tuple[int, int, int], int], blocks: Blocks, trees: bool = False) -> list[tuple[int, int, int, int, int, int]]:
     """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each, MOST_BLOCKS of either at most.
 
-    many: root blocks with over QUERY_ROWS queries. They are counted by leaves again where one is halved.
+    many: root blocks with over QUERY_ROWS queries. They are counted by leaves again where one is halved. trees: over-full blocks are left to the kd-tree.
     """
     askers = {(0, *place): -(-n // QUERY_ROWS) for place, n in many.items()}
     if any(place in askers for place in blocks.halved):
         fine = in_blocks(queries.select("x", "y", "z"), blocks).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERY_ROWS)
         askers = {tuple(r[c] for c in PLACE): -(-r["n"] // QUERY_ROWS) for r in fine.orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()}
+    if trees:
+        return [(*place, n, 1) for place, n in sorted(askers.items()) if place not in blocks.crowded]
     return [(*place, askers.get(place, 1), blocks.crowded.get(place, 1)) for place in sorted(askers.keys() | blocks.crowded.keys())]
 
 
@@ -291,7 +307,7 @@ def _mismatches():
 
 def verify(queries: DataFrame, candidates: DataFrame, key: str, squared: tuple[float, ...]) -> DataFrame:
     """Compares the block search with the kd-tree within the largest tolerance: by band of the block search, numbers of queries, and of values and of bands that differ, and the largest squared distance."""
-    near = nearest_squared_distance(queries.select(key, "x", "y", "z"), candidates, float(np.sqrt(squared[-1])) * SLACK)
+    near = nearest_squared_distance(queries.select(key, "x", "y", "z"), candidates, float(np.sqrt(squared[-1])) * SLACK, trees=False)
     both = _against_kd(near, candidates, squared)
     return both.groupBy("band").agg(F.count(F.lit(1)).alias("queries"), *_mismatches(), F.max("a").alias("largest"))
 

@@ -25,7 +25,7 @@ def to_global(scans: DataFrame, poses: dict[int, list[float]]) -> DataFrame:
 
 def completeness_bands(scan_points: DataFrame, reconstruction: DataFrame, settings: Settings, index: str = "auto", counters: Observation | None = None) -> DataFrame:
     """scan_points (global x, y, z, ...) with `band`, the first tolerance index that holds the nearest reconstruction point, or their number. counters: of a comparison with the kd-tree, made in the same pass."""
-    near = nearest_squared_distance(scan_points, reconstruction, settings.tolerances[-1] * SLACK, index=index)
+    near = nearest_squared_distance(scan_points, reconstruction, settings.tolerances[-1] * SLACK, index=index, trees=counters is None)
     if counters is not None:
         near = verified(near, reconstruction, settings.squared, counters)
     return near.withColumn("band", band(F.col("d2"), settings.squared)).drop("d2")

@@ -184,3 +184,36 @@ def test_counters_come_with_the_pass(spark, monkeypatch):
     assert seen == {n: sum(r[n] for r in rows) for n in ("queries", "value_mismatches", "band_mismatches")} and seen["band_mismatches"] > 0
     assert len(tracker.getJobIdsForGroup(None)) == jobs
     assert passed.columns == near.columns and got == sorted(map(tuple, near.collect()), key=str)
+
+
+def test_over_full_blocks_are_left_to_the_tree(spark, monkeypatch):
+    for name, value in (("SPLIT_ROWS", 40), ("LEAST_SPLIT", 40)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(11)
+    c, q = crowded_cloud(rng, 900), np.concatenate([crowded_cloud(rng, 200), np.repeat(crowded_cloud(rng, 1), 5, 0)])
+    a, b = frame(spark, q), frame(spark, c)
+    near = nearest_squared_distance(a, b, 0.5)
+    assert near.count() == len(q) and capped(near, 0.5) == capped(brute_force(a, b, "point_id"), 0.5)
+    dealt = nearest_squared_distance(a, b, 0.5, trees=False)  # to several tasks, each of which meets all queries of its block
+    assert capped(dealt, 0.5) == capped(near, 0.5)
+    explained = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "holders" in explained(dealt) and "holders" not in explained(near)
+
+
+@pytest.mark.parametrize("seen", [False, True])
+def test_filters_stay_small_enough_to_be_compiled(spark, seen):
+    """The JVM interprets methods of over 8,000 bytes, at a tenth of the speed or less."""
+    from cloudgauge import fixtures
+    from cloudgauge.operators.beam import seen_pairs
+    from cloudgauge.plans.scoring import to_global
+
+    d, before = "/root/testdata/sf0.001", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the whole plan has its code at once
+    try:
+        recon = fixtures.reconstruction(spark, d)
+        found = seen_pairs(recon, fixtures.scans(spark, d), fixtures.POSES, 0.001, 0.0002) if seen else nearest_squared_distance(to_global(fixtures.scans(spark, d), fixtures.POSES), recon, 0.5)
+        codes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [codes.apply(k)._3().maxMethodCodeSize() for k in range(codes.size())]
+    assert sizes and max(sizes) < 8000
