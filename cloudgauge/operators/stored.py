@@ -1,7 +1,7 @@
 """Spatial indexes kept as bucketed tables, for runs that ask the same clouds again.
 
 A stored index of candidates holds every candidate in each leaf block of the octree that its ball of the
-index's radius touches; blocks that cannot be halved are dealt to holders. The table is bucketed by the key that the
+index's radius touches; over-full blocks that cannot be halved are dealt to holders, so that no file holds one whole. The table is bucketed by the key that the
 search groups by, so a run with any tolerance up to that radius shuffles its queries alone. A stored
 index of rays is bucketed by scan and angular bins, the key of the beam join's narrow tier.
 
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import finite
+from ..functions.geometry import apart, finite
 from .beam import scan_rays
-from .nearest import CANDIDATE_ROWS, LEAST_SPLIT, MOST_BLOCKS, PLACE, QUERY_ROWS, SLACK, SPLIT_ROWS, Blocks, _points, bounding_box, edge_within, in_blocks, nearest_in_block, octree, representable
+from .kd import kd_squared_distance
+from .nearest import CANDIDATE_ROWS, LEAST_SPLIT, MOST_BLOCKS, PLACE, QUERY_ROWS, SLACK, SPLIT_ROWS, Blocks, _points, bounding_box, edge_within, in_blocks, nearest_in_block, octree, representable, within_reach
 
 HELD, RAY = [*PLACE, "holder"], ["scan_id", "az", "incl"]
 _HALVED, _CROWDED = "level int, bx long, by long, bz long", "level int, bx long, by long, bz long, holders long"
@@ -76,6 +77,7 @@ def store_candidates(candidates: DataFrame, path: str, radius: float, edge: floa
     """
     spark = candidates.sparkSession
     _unused(spark, path)
+    candidates = apart(candidates.select("x", "y", "z"))
     box = bounding_box(candidates).first()
     tasks = spark.sparkContext.defaultParallelism
     edge = edge_within(box, radius, tasks) if edge is None else edge
@@ -107,7 +109,7 @@ def nearest_stored(queries: DataFrame, index: StoredCandidates, radius: float, m
     """nearest_squared_distance over a stored index; only queries are shuffled.
 
     The radius must not exceed the index's. Blocks with over `most_queries` queries deal them to several tasks, and
-    their candidates, no others, are shuffled to meet them.
+    their candidates, no others, are shuffled to meet them; so are those of over-full blocks, which the kd-tree answers.
     """
     if radius > index.radius:
         raise ValueError(f"the index answers radii up to {index.radius:g}, not {radius:g}")
@@ -116,8 +118,7 @@ def nearest_stored(queries: DataFrame, index: StoredCandidates, radius: float, m
         return queries.withColumn("d2", null)
     spark, names = queries.sparkSession, queries.columns
     reach = max(radius, 0.0) * SLACK
-    near = [F.col(c).cast("double").between(index.box[f"min_{c}"] - reach, index.box[f"max_{c}"] + reach) for c in "xyz"]
-    inside = F.coalesce(reduce(lambda a, b: a & b, near) & finite(*(F.col(c) for c in "xyz")), F.lit(False))
+    queries, inside = apart(queries), within_reach(index.box, reach)
     asked = in_blocks(queries.where(inside), index.blocks)
     full = in_blocks(queries.where(inside).select("x", "y", "z"), index.blocks).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_queries)
     askers = {tuple(r)[:4]: -(-r["n"] // most_queries) for r in full.orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()}
@@ -131,33 +132,29 @@ def nearest_stored(queries: DataFrame, index: StoredCandidates, radius: float, m
         schema = left.limit(0).select(*kept).withColumn("d2", null).schema
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: search(a, b, kept), schema)
 
-    out = queries.where(~inside).withColumn("d2", null)
-    if not askers and not index.blocks.crowded:
-        return out.unionByName(searched(asked.withColumn("holder", F.lit(0).cast("long")), index.table, HELD, names))
-    crowd = [(*place, askers.get(place, 1), index.blocks.crowded.get(place, 1)) for place in sorted(askers.keys() | index.blocks.crowded.keys())]
-    parts = F.broadcast(spark.createDataFrame(crowd, f"{_HALVED}, askers long, holders long"))
-    one = F.lit(1).cast("long")
-    asked = asked.join(parts, PLACE, "left").withColumns({"askers": F.coalesce("askers", one), "holders": F.coalesce("holders", one)})
-    asked = asked.withColumns({"part": F.pmod(F.xxhash64(*names), F.col("askers")), "holder": F.explode(F.sequence(F.lit(0).cast("long"), F.col("holders") - 1))})
-    more = [*names, "holders"]
-    pieces = [searched(asked.where("askers = 1 AND holders = 1"), index.table.where("holders = 1"), HELD, more)]
+    out, table = queries.where(~inside).withColumn("d2", null), index.table
     if index.blocks.crowded:
-        pieces.append(searched(asked.where("askers = 1 AND holders > 1"), index.table.where("holders > 1"), HELD, more))
-    if askers:
-        dealt = index.table.drop("holders").join(parts.where("askers > 1"), PLACE).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)))
-        pieces.append(searched(asked.where("askers > 1"), dealt.drop("askers", "holders"), [*HELD, "part"], more))
-    out = out.unionByName(pieces[0].select(*names, "d2"))
-    # a query has come back once a holder; equal queries have equal distances, so they may be taken together
-    several = reduce(DataFrame.unionByName, pieces[1:])
-    least = several.groupBy(*more).agg(F.min("d2").alias("d2"), F.count(F.lit(1)).alias("_n"))
-    return out.unionByName(least.withColumn("_n", F.explode(F.sequence(one, F.expr("_n DIV holders")))).select(*names, "d2"))
+        dense = F.broadcast(spark.createDataFrame(list(index.blocks.crowded), _HALVED))
+        held = table.where("holders > 1").select("x", "y", "z")
+        out = out.unionByName(kd_squared_distance(asked.join(dense, PLACE, "left_semi").select(*names), held, radius))
+        asked, table = asked.join(dense, PLACE, "left_anti"), table.where("holders = 1")
+        askers = {place: n for place, n in askers.items() if place not in index.blocks.crowded}
+    zero = F.lit(0).cast("long")
+    if not askers:
+        return out.unionByName(searched(asked.withColumn("holder", zero), table, HELD, names))
+    parts = F.broadcast(spark.createDataFrame([(*place, n) for place, n in sorted(askers.items())], f"{_HALVED}, askers long"))
+    asked = asked.join(parts, PLACE, "left").withColumns({"askers": F.coalesce("askers", F.lit(1).cast("long")), "holder": zero})
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(*names), F.col("askers")))
+    dealt = table.drop("holders").join(parts, PLACE).withColumn("part", F.explode(F.sequence(zero, F.col("askers") - 1)))
+    out = out.unionByName(searched(asked.where("askers = 1"), table, HELD, names))
+    return out.unionByName(searched(asked.where("askers > 1"), dealt.drop("askers"), [*HELD, "part"], names))
 
 
 def store_rays(scans: DataFrame, path: str, buckets: int | None = None) -> None:
     """Writes the rays of scan points (scan_id, x, y, z in the scanners' frames) to a new folder; they serve all tolerances and poses."""
     spark = scans.sparkSession
     _unused(spark, path)
-    rays = scan_rays(scans)
+    rays = scan_rays(apart(scans))
     buckets = buckets or _buckets(spark, scans.count())
     _store(rays, f"{path}/table", buckets, RAY)
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rays.schema)

@@ -110,3 +110,15 @@ def test_refusals_empty_clouds_and_a_catalog_left_as_it_was(spark):
     store_candidates(some, full, 0.2)
     assert nearest_stored(none, open_candidates(spark, full), 0.1).count() == 0
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+
+
+def test_over_full_blocks_meet_each_query_once(spark, monkeypatch):
+    monkeypatch.setattr("cloudgauge.operators.nearest.SPLIT_ROWS", 100)
+    monkeypatch.setattr("cloudgauge.operators.stored.SPLIT_ROWS", 100)
+    queries, held = cloud(spark, 300, 3, 0.1), cloud(spark, 900, 4, 0.1)
+    path = shared_path(spark, "index")
+    store_candidates(held, path, 0.2)
+    index = open_candidates(spark, path)
+    near = nearest_stored(queries, index, 0.2)
+    assert index.blocks.crowded and near.count() == 300
+    assert "DIV holders" not in plan(near) and "div holders" not in plan(near)  # not once a holder
