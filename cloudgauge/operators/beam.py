@@ -33,6 +33,10 @@ def _inclination_bin(angle):
     return F.greatest(F.least(F.floor(angle / INCLINATION_STEP), F.lit(INCLINATIONS - 1)), F.lit(0)).cast("int")
 
 
+def _names(key: str | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def scan_rays(scans: DataFrame) -> DataFrame:
     """(scan_id, sx, sy, sz, sr, dx, dy, dz, az, incl) from scan points in scanner coordinates (scan_id, x, y, z)."""
     x, y, z = (F.col(c) for c in "xyz")
@@ -44,15 +48,16 @@ def scan_rays(scans: DataFrame) -> DataFrame:
     )
 
 
-def in_scan_frames(points: DataFrame, poses: dict[int, list[float]], key: str = "point_id") -> DataFrame:
-    """(key, scan_id, px, py, pz): each point once a scan, in the scanner's frame. Poses are few; they are literals of the plan."""
+def in_scan_frames(points: DataFrame, poses: dict[int, list[float]], key: str | tuple[str, ...] = "point_id") -> DataFrame:
+    """(key, scan_id, px, py, pz): each point once a scan, in the scanner's frame; key: one column or several. Poses are few; they are literals of the plan."""
+    keys = _names(key)
     own = [F.struct(F.lit(k).alias("scan_id"), *(c.alias(f"p{n}") for c, n in zip(affine(inverse_rigid(m), *(F.col(a) for a in "xyz")), "xyz", strict=True))) for k, m in poses.items()]
     if not own:
         own = [F.lit(None).cast("struct<scan_id:int,px:float,py:float,pz:float>")]
-    return points.select(key, F.explode(F.array(*own)).alias("p")).where("p IS NOT NULL").select(key, "p.*")
+    return points.select(*keys, F.explode(F.array(*own)).alias("p")).where("p IS NOT NULL").select(*keys, "p.*")
 
 
-def beams(points: DataFrame, poses: dict[int, list[float]], start: float, tangent: float, key: str = "point_id") -> DataFrame:
+def beams(points: DataFrame, poses: dict[int, list[float]], start: float, tangent: float, key: str | tuple[str, ...] = "point_id") -> DataFrame:
     """Points in scanner frames with the beam's radius b, and the angles of the cone around the beam, a little widened."""
     p = in_scan_frames(points, poses, key)
     p = p.withColumn("pr", norm(F.col("px"), F.col("py"), F.col("pz"))).withColumn("b", beam_radius(F.col("pr"), start, tangent))
@@ -68,11 +73,12 @@ def beams(points: DataFrame, poses: dict[int, list[float]], start: float, tangen
     return p.withColumn("tier", tier).where(~F.isnan("pr") & (F.col("pr") < float("inf")))
 
 
-def seen_pairs(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], start: float, tangent: float, key: str = "point_id", rays: DataFrame | None = None) -> DataFrame:
+def seen_pairs(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], start: float, tangent: float, key: str | tuple[str, ...] = "point_id", rays: DataFrame | None = None) -> DataFrame:
     """(key, d2, front) of every pair of a point and a ray that sees it; front: the point lies before the surface. rays: those of the scans, where they are stored."""
     rays = apart(scan_rays(apart(scans))) if rays is None else rays
-    p = apart(beams(apart(points.select(key, "x", "y", "z")), poses, start, tangent, key))
-    own = [key, "scan_id", "px", "py", "pz", "b"]
+    keys = _names(key)
+    p = apart(beams(apart(points.select(*dict.fromkeys([*keys, "x", "y", "z"]))), poses, start, tangent, key))
+    own = [*keys, "scan_id", "px", "py", "pz", "b"]
     # rows of a wide tier: of the first, one for each inclination row and sector that a cone touches
     touched = (F.col("i1") - F.col("i0") + 1) * F.least(F.floor(F.col("a1") / SECTOR) - F.floor(F.col("a0") / SECTOR) + 1, F.lit(AZIMUTHS // SECTOR))
     wide = {r["tier"]: r["n"] for r in p.where("tier > 0").groupBy("tier").agg(F.sum(F.when(F.col("tier") == 1, touched).otherwise(1)).alias("n")).collect()}
@@ -98,6 +104,17 @@ def seen_pairs(points: DataFrame, scans: DataFrame | None, poses: dict[int, list
         pairs = pairs.withColumn("ahead", ahead)
         off = tuple(c - F.col("ahead") * F.col(f"d{n}") for c, n in zip(q, "xyz", strict=True))
         pairs = pairs.where((F.col("ahead") >= f32(0)) & (squared_norm(*off) <= F.col("b") * F.col("b")))
-        pairs = pairs.select(key, squared_distance(s, q).alias("d2"), (F.col("ahead") < F.col("sr")).alias("front"))
+        pairs = pairs.select(*keys, squared_distance(s, q).alias("d2"), (F.col("ahead") < F.col("sr")).alias("front"))
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def nearest_seen(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], start: float, tangent: float, rays: DataFrame | None = None) -> DataFrame:
+    """(x, y, z, d2, front) of every different point that a ray sees: the least of its pairs' d2, and whether it lies before a surface.
+
+    Equal points have equal pairs, and equal rays add nothing to them, so either is taken once: the pairs of
+    n copies of a point and m of a ray would be n times m.
+    """
+    scans = None if scans is None else scans.select("scan_id", "x", "y", "z").distinct()
+    pairs = seen_pairs(points.select("x", "y", "z").distinct(), scans, poses, start, tangent, ("x", "y", "z"), rays)
+    return pairs.groupBy("x", "y", "z").agg(F.min("d2").alias("d2"), F.bool_or("front").alias("front"))

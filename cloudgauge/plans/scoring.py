@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.geometry import BLUE, GREEN, RED, affine, band, coloured, f1, f32, first_within, rgb
 from ..functions.voxels import CELL, tally
-from ..operators.beam import seen_pairs
+from ..operators.beam import nearest_seen
 from ..operators.nearest import SLACK, nearest_squared_distance, verified
 from ..operators.stored import StoredCandidates, nearest_stored
 
@@ -60,12 +60,11 @@ def completeness(bands: DataFrame, settings: Settings) -> DataFrame:
 def first_and_front(points: DataFrame, scans: DataFrame | None, poses: dict[int, list[float]], settings: Settings, key: str = "point_id", rays: DataFrame | None = None) -> DataFrame:
     """points (key, x, y, z, ...) with `first`, the first tolerance index of a scan point that sees them, or their number, and `front`.
 
-    Pairs are aggregated by the key first, so the points' columns take no part in that; points that no ray
+    Pairs are aggregated by coordinates first, so the points' columns take no part in that; points that no ray
     sees stay. rays: of the scans, where they are stored.
     """
-    pairs = seen_pairs(points, scans, poses, settings.beam_start, settings.beam_tangent, key, rays)
-    best = pairs.groupBy(F.col(key).alias("_key")).agg(F.min("d2").alias("_d2"), F.bool_or("front").alias("_front"))
-    seen = points.join(best, F.col(key) == F.col("_key"), "left")
+    best = nearest_seen(points, scans, poses, settings.beam_start, settings.beam_tangent, rays).withColumnsRenamed({c: f"_{c}" for c in (*"xyz", "d2", "front")})
+    seen = points.join(best, [F.col(c) == F.col(f"_{c}") for c in "xyz"], "left")
     return seen.select(*points.columns, first_within(F.col("_d2"), settings.squared).alias("first"), F.coalesce("_front", F.lit(False)).alias("front"))
 
 

@@ -241,3 +241,15 @@ def test_integer_root(spark):
     values = [0, 1, 2, 3, 4, 15, 16, 17, 2**52 - 1, 2**52, (2**30 + 1) ** 2 - 1, (2**30 + 1) ** 2, 2**62 - 1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "n long").select(integer_root(F.col("n"))).collect()]
     assert got == [math.isqrt(v) for v in values]
+
+
+def test_copies_of_points_and_rays_do_not_multiply(spark, monkeypatch):
+    """300 copies of a ray and of a point are one pair, not 90,000; every copy keeps its row."""
+    from cloudgauge.operators import beam
+
+    pairs, plain = [], beam.seen_pairs
+    monkeypatch.setattr(beam, "seen_pairs", lambda *a: pairs.append(plain(*a)) or pairs[-1])
+    points = cloud(spark, [(1, 0, 0)] * 300 + [(0.25, 0, -0.0), (0.25, -0.0, 0), (NAN, 0, 0), (NAN, 0, 0), (1, 0.002, 0)])
+    got = by_id(scoring.first_and_front(points, cloud(spark, [(1, 0, 0)] * 300, scan_id=0), {0: EYE}, settings(0.01, 0.1)), "first", "front")
+    assert got == {k: (0, False) if k < 300 else (2, k < 302) for k in range(305)}
+    assert pairs[0].count() == 2
