@@ -8,10 +8,12 @@ Queries farther than the radius from the box of all candidates are answered with
 block the search refines: cells of doubling size, each query looking at the 27 cells around it and
 dropping out once its nearest lies within the size. Work thus follows the distance to the neighbour,
 not the radius, also where points are dense. Blocks with too many queries deal them to several tasks.
-Blocks that are over-full and cannot be halved any more are left to the kd-tree, whose regions are as small as
+Equal candidates are one. Where blocks are over-full and cannot be halved any more, all queries first look within
+a part of the radius, for which blocks can be smaller; a neighbour found there is the nearest. The rest, few where candidates
+are dense, look again within the radius. Of these, the over-full blocks' are left to the kd-tree, whose regions are as small as
 their points ask for, whatever the radius. Where it is to be compared with the blocks, such a block deals its
-candidates to several tasks instead, each of which meets all its queries, and the least of their distances is taken; that
-costs queries times candidates. No task holds a block of unbounded size. Where coordinates are too large for block
+candidates to several tasks instead, each of which meets all the queries that are left, and the least of their distances is
+taken. No task holds a block of unbounded size. Where coordinates are too large for block
 keys, the kd-tree answers all.
 """
 
@@ -28,15 +30,18 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import apart, band, f32, finite, squared_distance
+from ..sources.files import shared_base
 from .kd import kd_squared_distance
 
 LOG = logging.getLogger("cloudgauge")
 #: Candidates of a block at most and at least, about; queries and candidates of a task; pairs compared at a time.
-BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 50_000, 1_000, 250_000, 400_000, 1 << 20
+BLOCK_POINTS, LEAST_POINTS, QUERY_ROWS, CANDIDATE_ROWS, PAIRS = 50_000, 1_000, 250_000, 400_000, 1 << 18
 #: Candidates over which a block is halved, at most and at least; those that reach in from around come on top.
 SPLIT_ROWS, LEAST_SPLIT = CANDIDATE_ROWS // 8, 16 * LEAST_POINTS
 #: Halvings at most, and rows of the tables of halved or crowded blocks, which are broadcast.
 MOST_LEVELS, MOST_BLOCKS = 16, 1 << 16
+#: How often the radius is lessened, at most, where blocks are over-full.
+MOST_RUNGS = 3
 #: Coordinates in root blocks up to which keys are exact; edges and coordinates whose squares FLOAT still holds.
 MOST_KEY, MOST_COORDINATE = 2.0**40, float(np.finfo(np.float32).max) ** 0.5 / 4
 #: A little more than 1, so that rounding never hides a neighbour.
@@ -151,9 +156,19 @@ def _cells(points: np.ndarray, size: float, low: np.ndarray, counts: np.ndarray)
 
 def nearest_in_block(q: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
     """float32 squared distance of each query to its nearest candidate, +inf if none is within the radius or so."""
-    best = np.full(len(q), np.inf, np.float32)
     if not len(c) or not len(q):
-        return best
+        return np.full(len(q), np.inf, np.float32)
+    # equal queries are asked once, and those near each other one after the other
+    order = np.lexsort(q.T)
+    q = q[order]
+    new = np.r_[True, (q[1:] != q[:-1]).any(1)]
+    found = np.empty(len(q), np.float32)
+    found[order] = _nearest_of_different(q[new], c, radius)[np.cumsum(new) - 1]
+    return found
+
+
+def _nearest_of_different(q: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
+    best = np.full(len(q), np.inf, np.float32)
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
     low, high = np.minimum(q64.min(0), c64.min(0)), np.maximum(q64.max(0), c64.max(0))
     reach = max(radius * SLACK, 1e-9)
@@ -165,7 +180,9 @@ def nearest_in_block(q: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
         counts = np.floor((high - low) / size).astype(np.int64) + 3
         filed = _cells(c64, size, low, counts)
         order = np.argsort(filed, kind="stable")
-        filed, own = filed[order], _cells(q64[left], size, low, counts)
+        filed, held, own = filed[order], c[order], _cells(q64[left], size, low, counts)
+        by = np.argsort(own, kind="stable")
+        left, own = left[by], own[by]
         for row in (-1, 0, 1):
             for line in (-1, 0, 1):  # three cells side by side are one range
                 base = own + (row * counts[1] + line) * counts[2]
@@ -176,8 +193,8 @@ def nearest_in_block(q: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
                 for a, b in _cuts(upto):
                     rows, n = some[a:b], number[some[a:b]]
                     first = np.cumsum(n) - n
-                    pick = order[np.repeat(start[rows], n) + np.arange(n.sum()) - np.repeat(first, n)]
-                    d = q[np.repeat(left[rows], n)] - c[pick]
+                    pick = np.repeat(start[rows] - first, n) + np.arange(n.sum())
+                    d = q[np.repeat(left[rows], n)] - held[pick]
                     d2 = (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2]
                     best[left[rows]] = np.minimum(best[left[rows]], np.minimum.reduceat(d2, first))
         if size >= reach:
@@ -201,18 +218,21 @@ def _points(table: pa.Table, names: tuple[str, str, str]) -> np.ndarray:
     return np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float32)
 
 
-def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto", split: int | None = None, trees: bool = True) -> DataFrame:
+def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius: float, edge: float | None = None, index: str = "auto", split: int | None = None, trees: bool = True, rungs: int = MOST_RUNGS) -> DataFrame:
     """queries (x, y, z and other columns) with `d2`, the FLOAT squared distance to the nearest candidate (x, y, z).
 
     d2 is null where no candidate lies within the radius (or a hair beyond), and for queries that are
     not finite. Candidates that are not finite take no part. Every query keeps its row. edge: of the
     root blocks. index: `blocks`, `kd`, or `auto`: blocks wherever their keys are exact. split: candidates over
-    which a block is halved, by default a task's share. trees: whether the kd-tree answers in over-full blocks.
+    which a block is halved, by default a task's share. trees: whether the kd-tree answers what is
+    left in over-full blocks. rungs: how often the radius may be lessened first; at 0 the candidates differ and are finite.
     """
     if index == "kd":
         return kd_squared_distance(queries, candidates, radius)
-    queries, candidates = apart(queries), apart(candidates.select("x", "y", "z"))
-    box = bounding_box(candidates).first()
+    queries = apart(queries)
+    shared_base(queries.sparkSession)  # where checkpoints go
+    filed = _different(candidates) if rungs else candidates.select("x", "y", "z")
+    box = bounding_box(filed).first()
     if not box["n"]:
         return queries.withColumn("d2", F.lit(None).cast("float"))
     tasks = queries.sparkSession.sparkContext.defaultParallelism
@@ -221,13 +241,20 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         if index == "blocks":
             raise ValueError(f"coordinates of {box.asDict()} have no exact block keys at an edge of {edge:g}")
         LOG.warning("coordinates are too large for block keys; the kd-tree is used instead")
-        return kd_squared_distance(queries, candidates, radius)
+        return kd_squared_distance(queries, filed, radius)
     reach = max(radius, 0.0) * SLACK
-    filed = candidates.where(finite(*(F.col(c) for c in "xyz")))
     inside = within_reach(box, reach)
     most = min(SPLIT_ROWS, split or max(LEAST_SPLIT, box["n"] // (2 * tasks)))
-    full, many, away = root_counts(edge, most, filed, queries, inside)
-    blocks = octree(filed, edge, radius, most, full)
+    blocks = octree(filed, edge, radius, most)
+    near, fine = radius, blocks
+    for _ in range(rungs):
+        if less := lesser_radius(fine, box, near):
+            near, fine = less, octree(filed, edge_within(box, less, tasks), less, most)
+    if near < radius:
+        close = nearest_squared_distance(queries, filed, near, split=split, trees=trees, rungs=0).checkpoint()
+        some, rest = close.where("d2 IS NOT NULL"), close.where("d2 IS NULL").drop("d2")
+        return close if rest.where(inside).isEmpty() else some.unionByName(nearest_squared_distance(rest, filed, radius, edge, split=split, trees=trees, rungs=0))
+    _, many, away = root_counts(edge, most, filed, queries, inside)
     names, planted = queries.columns, None
     asked, held = in_blocks(queries.where(inside), blocks), in_blocks(filed, blocks, reach)
     if trees and blocks.crowded:
@@ -250,26 +277,43 @@ def nearest_squared_distance(queries: DataFrame, candidates: DataFrame, radius:
         near = near.unionByName(planted) if planted is not None else near
         return near.unionByName(queries.where(~inside).withColumn("d2", F.lit(None).cast("float"))) if away else near
 
+    # by the work, not by bytes, of which there are few
+    parts = max(4 * tasks, -(-box["n"] // SPLIT_ROWS)) if box["n"] > SPLIT_ROWS else 0
+    dealt = lambda df, keys: (df.repartition(parts, *keys) if parts else df).groupBy(*keys)
     if not crowded:
-        return beside(asked.groupBy(*PLACE).cogroup(filed.groupBy(*PLACE)).applyInArrow(run, schema))
-    parts = F.broadcast(queries.sparkSession.createDataFrame(crowded, "level int, bx long, by long, bz long, askers long, holders long"))
+        return beside(dealt(asked, PLACE).cogroup(dealt(filed, PLACE)).applyInArrow(run, schema))
+    shares = F.broadcast(queries.sparkSession.createDataFrame(crowded, "level int, bx long, by long, bz long, askers long, holders long"))
     askers, holders = F.coalesce("askers", F.lit(1)), F.coalesce("holders", F.lit(1))
     # a task of a block has one part of its queries and one of its candidates
-    asked = asked.join(parts, PLACE, "left").withColumn("part", F.pmod(F.xxhash64(*names), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0).cast("long"), holders - 1)))
-    filed = filed.join(parts, PLACE, "left").withColumn("holder", F.pmod(F.xxhash64("x", "y", "z"), holders)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), askers - 1)))
+    asked = asked.join(shares, PLACE, "left").withColumn("part", F.pmod(F.xxhash64(*names), askers)).withColumn("holder", F.explode(F.sequence(F.lit(0).cast("long"), holders - 1)))
+    filed = filed.join(shares, PLACE, "left").withColumn("holder", F.pmod(F.xxhash64("x", "y", "z"), holders)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), askers - 1)))
     places = [*PLACE, "part", "holder"]
     several = asked.where(holders > 1).drop("askers"), filed.where(holders > 1).drop("askers", "holders")
     asked, filed = asked.where(holders == 1).drop("askers", "holders"), filed.where(holders == 1).drop("askers", "holders")
-    whole = asked.groupBy(*places).cogroup(filed.groupBy(*places)).applyInArrow(run, schema)
+    whole = dealt(asked, places).cogroup(dealt(filed, places)).applyInArrow(run, schema)
     more = [*names, "holders"]
     wider = queries.limit(0).withColumn("holders", F.lit(0).cast("long")).withColumn("d2", F.lit(None).cast("float")).schema
-    pieces = several[0].groupBy(*places).cogroup(several[1].groupBy(*places)).applyInArrow(lambda left, right: search(left, right, more), wider)
+    pieces = dealt(several[0], places).cogroup(dealt(several[1], places)).applyInArrow(lambda left, right: search(left, right, more), wider)
     # equal queries have equal distances, so they may be taken together; each has come back once a holder
     least = pieces.groupBy(*more).agg(F.min("d2").alias("d2"), F.count(F.lit(1)).alias("_n"))
     least = least.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_n DIV holders")))).select(*names, "d2")
     return beside(whole.unionByName(least))
 
 
+def _different(candidates: DataFrame) -> DataFrame:
+    """The different finite candidates (x, y, z), kept below the checkpoints' folder, as they are counted before they are dealt."""
+    candidates = apart(candidates.select(*(F.col(c).cast("float").alias(c) for c in "xyz")))
+    return candidates.where(finite(*(F.col(c) for c in "xyz"))).distinct().checkpoint()
+
+
+def lesser_radius(blocks: Blocks, box, radius: float) -> float | None:
+    """A part of the radius for which the fullest block, if its points lie evenly, can be halved to a task's share; None without over-full blocks or exact keys."""
+    if not blocks.crowded:
+        return None
+    near = radius / 2 ** (1 + ceil(log2(max(blocks.crowded.values())) / 3))
+    return near if near > 1e-6 and representable(box, 2 * near) else None
+
+
 def crowded_blocks(queries: DataFrame, many: dict[tuple[int, int, int], int], blocks: Blocks, trees: bool = False) -> list[tuple[int, int, int, int, int, int]]:
     """Blocks with more queries or candidates than a task should have, and over how many tasks to deal each, MOST_BLOCKS of either at most.
 

@@ -217,3 +217,19 @@ def test_filters_stay_small_enough_to_be_compiled(spark, seen):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     sizes = [codes.apply(k)._3().maxMethodCodeSize() for k in range(codes.size())]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("trees", [True, False])
+def test_over_full_blocks_look_near_first(spark, monkeypatch, trees):
+    """Dense clouds are answered within a part of the radius; only what finds nothing there is left to the other index."""
+    for name, value in (("SPLIT_ROWS", 40), ("LEAST_SPLIT", 40)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(14)
+    c = np.repeat(rng.uniform(0, 2, (1500, 3)), 2, 0).astype(np.float32)  # copies are one candidate
+    far = np.array([[2.9, 1, 1], [1, -0.8, 1], [1, 1, 9]])
+    a, b = frame(spark, np.concatenate([rng.uniform(0, 2, (600, 3)), c[:50], np.repeat(c[:1], 20, 0), far, np.full((1, 3), np.nan)])), frame(spark, c)
+    asked = []
+    monkeypatch.setattr(nearest, "kd_squared_distance", lambda q, c, r: asked.append(q.count()) or kd_squared_distance(q, c, r))
+    near = nearest_squared_distance(a, b, 1.0, trees=trees)
+    assert near.count() == 674 and capped(near, 1.0) == capped(brute_force(a, b, "point_id"), 1.0)
+    assert sum(asked) < 100 and nearest._different(b).count() == 1500
